@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from sigflow.llm.bpe import bpe_round_trip
+from sigflow.llm.langid import fit_langid, predict_language
 from sigflow.llm.packing import best_fit_pack
+from sigflow.llm.toxicity import fit_toxicity, score_toxicity
 from sigflow.session import table
 
 QUERIES = {}
@@ -25,3 +27,17 @@ def op7_bpe_round_trip(spark, sf_dir):
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_crf_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = predict_language(docs, fit_langid(docs))
+    return out.selectExpr("doc_id", "crc32(cast(doc_id as string)) % 3 = 1 as held_out", "lang_pred", "score")
+
+
+@query
+def op2_nb_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return out.selectExpr("doc_id", "crc32(cast(doc_id as string)) % 3 = 1 as held_out", "score", "predicted")
