@@ -88,15 +88,15 @@ def _rows(slot, batches):
             yield pa.record_batch([pa.array([label[i] for i in c.ids.tolist()], pa.int32()), pa.array([f[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:])])], names=["y", "f"])
 
 
-def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, scale: np.ndarray, l2: float = 0.01, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression on binary features times ``scale``, by Adam on all rows."""
+def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, scale: np.ndarray, l2: float = 1.0, positive: float = 2.0, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-regularised logistic regression on binary features times ``scale``, by Adam on all rows; rows of label 1 count ``positive`` times."""
     n, d = len(y), len(scale)
     x = scale[col]
     w, b = np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], n) + b, -30, 30)))
-        g = p - y
+        g = (p - y) * np.where(y > 0, positive, 1.0)
         gw = (np.bincount(col, x * g[row], d) + l2 * w) / n
         gb = g.mean()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
