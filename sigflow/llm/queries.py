@@ -7,6 +7,7 @@ import public_tokenizers
 from sigflow.llm.bpe import bpe_round_trip
 from sigflow.llm.langid import fit_langid, predict_language
 from sigflow.llm.packing import best_fit_pack
+from sigflow.llm.quality import quality_rules
 from sigflow.llm.toxicity import fit_toxicity, score_toxicity
 from sigflow.session import table
 
@@ -41,3 +42,8 @@ def op2_nb_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return out.selectExpr("doc_id", "crc32(cast(doc_id as string)) % 3 = 1 as held_out", "score", "predicted")
+
+
+@query
+def op3_decision_list(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
