@@ -6,6 +6,7 @@ import public_tokenizers
 
 from sigflow.llm.bpe import bpe_round_trip
 from sigflow.llm.langid import fit_langid, predict_language
+from sigflow.llm.neardup import near_duplicates
 from sigflow.llm.packing import best_fit_pack
 from sigflow.llm.quality import quality_rules
 from sigflow.llm.toxicity import fit_toxicity, score_toxicity
@@ -47,3 +48,24 @@ def op2_nb_toxicity(spark, sf_dir):
 @query
 def op3_decision_list(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+@query
+def op4_odd_sketch_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+SQL["op4_odd_sketch_dedup"] = r"""
+with recursive
+doc as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+num as (select doc_id, w, coalesce(len(w), 0) n from doc),
+sh as (select distinct doc_id, s from (
+  select doc_id, unnest(case when n = 0 then [] when n < 4 then [array_to_string(w, ' ')] else list_transform(range(1, n - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) s from num)),
+size as (select doc_id, count(*) k from sh group by 1),
+pair as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from pair join size p on p.doc_id = x join size q on q.doc_id = y where 100 * c >= 80 * (p.k + q.k - c)),
+edge as (select x, y from link union select y, x from link),
+reach as (select doc_id x, doc_id y from num union select r.x, e.y from reach r join edge e on e.x = r.y)
+select n.doc_id, coalesce(k, 0)::bigint n_shingles, m.c::bigint component_id, n.doc_id = m.c kept
+from num n left join size using (doc_id) join (select x, min(y) c from reach group by 1) m on m.x = n.doc_id
+"""
