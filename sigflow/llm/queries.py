@@ -9,6 +9,7 @@ from sigflow.llm.langid import fit_langid, predict_language
 from sigflow.llm.neardup import near_duplicates
 from sigflow.llm.packing import best_fit_pack
 from sigflow.llm.quality import quality_rules
+from sigflow.llm.spans import by_suffix_array, remove_repeats
 from sigflow.llm.toxicity import fit_toxicity, score_toxicity
 from sigflow.session import table
 
@@ -69,3 +70,30 @@ reach as (select doc_id x, doc_id y from num union select r.x, e.y from reach r
 select n.doc_id, coalesce(k, 0)::bigint n_shingles, m.c::bigint component_id, n.doc_id = m.c kept
 from num n left join size using (doc_id) join (select x, min(y) c from reach group by 1) m on m.x = n.doc_id
 """
+
+
+def _repeat_sql(length: int) -> str:
+    return rf"""
+with doc as (select doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i + 1:i + {length}], ' ')) h from (select doc_id, w, unnest(range(0, len(w) - {length - 1})) i from doc)),
+rep as (select h from win group by h having count(*) > 1),
+gone as (select doc_id, list(distinct i + j) g from (select doc_id, i, unnest(range({length})) j from win where h in (select h from rep)) group by 1),
+kept as (select d.doc_id, w, coalesce(g, []) g from doc d left join gone using (doc_id)),
+word as (select doc_id, len(w) n, len(g) r, w, g from kept),
+stay as (select doc_id, list(x order by i) k from (select doc_id, unnest(w) x, unnest(range(len(w))) i from word) s where not exists (select 1 from (select doc_id d, unnest(g) p from word) q where q.d = s.doc_id and q.p = s.i) group by 1)
+select doc_id, n::bigint n_words, r::bigint n_removed, sha256(coalesce(array_to_string(k, ' '), '')) kept_sha256 from word left join stay using (doc_id)
+"""
+
+
+@query
+def op6_suffix_automata(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), length=35).drop("spans")
+
+
+@query
+def op9_sparse_suffix_arrays(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50, resolver=by_suffix_array).drop("spans")
+
+
+SQL["op6_suffix_automata"] = _repeat_sql(35)
+SQL["op9_sparse_suffix_arrays"] = _repeat_sql(50)
