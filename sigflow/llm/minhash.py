@@ -26,14 +26,14 @@ _BLOCK = 1 << 15
 BUCKET, PIVOTS = 1024, 32
 
 
-def coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(97)
-    return rng.integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+def coefficients(k: int) -> np.ndarray:
+    """Odd multipliers; each permutes the 32-bit values."""
+    return np.random.default_rng(97).integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
 
 
 def signatures(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     """(items, k) MinHash values of the sets h[first[i]:first[i+1]]; an empty set has all ones."""
-    a, b = coefficients(k)
+    a = coefficients(k)
     sizes = np.diff(first)
     full = np.flatnonzero(sizes)
     out = np.full((len(sizes), k), 0xFFFFFFFF, np.uint32)
@@ -48,7 +48,6 @@ def signatures(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
         buf = np.empty_like(part)
         for j in range(k):
             np.multiply(part, a[j], out=buf)
-            np.add(buf, b[j], out=buf)
             np.minimum.reduceat(buf, cut, out=sig[j])
         out[full[at:z]] = sig.T
         at = z
@@ -201,11 +200,17 @@ def _confirm(num: int, den: int, batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def linked_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, buckets: int = 64) -> DataFrame:
-    """(id, comp) of the items that have a link; items is (id, keys, sketch), ids distinct.
+def deal(items: DataFrame, buckets: int) -> DataFrame:
+    """Packed (key, id) pairs of (id, keys) rows, by bucket of the key."""
+    return items.select("id", "keys").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary")
 
-    ``sets_of(ids)`` gives (id, values) for at least the asked ids: the full set, as
-    sorted 64-bit values in a binary.
+
+def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, buckets: int = 64) -> DataFrame:
+    """(id, comp) of the items that have a link.
+
+    ``dealt`` has packed (key, id) pairs by bucket. ``sketches_of(ids)`` gives (id,
+    sketch) and ``sets_of(ids)`` (id, values), one row for each asked id and maybe for
+    others; values are the full set as sorted 64-bit values in a binary.
     """
     confirm = partial(_confirm, num, den)
 
@@ -217,9 +222,8 @@ def linked_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
         return checkpoint(both.select("a", "b", "va", "vb").mapInArrow(confirm, "a long, b long"))
 
-    dealt = items.select("id", "keys").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary")
-    lists = dealt.groupBy("bucket").applyInArrow(_lists, "list long, id long").distinct()
-    lists = checkpoint(lists.join(items.select("id", "sketch"), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "id", "sketch"))
+    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(_lists, "list long, id long").distinct())
+    lists = checkpoint(lists.join(sketches_of(lists.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "id", "sketch"))
     links = verified(lists.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long"))
     comp = components(links)
     open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

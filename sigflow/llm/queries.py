@@ -6,6 +6,7 @@ import public_tokenizers
 
 from sigflow.llm.bpe import bpe_round_trip
 from sigflow.llm.langid import fit_langid, predict_language
+from sigflow.llm.lines import dedup_lines
 from sigflow.llm.neardup import near_duplicates
 from sigflow.llm.packing import best_fit_pack
 from sigflow.llm.quality import quality_rules
@@ -97,3 +98,8 @@ def op9_sparse_suffix_arrays(spark, sf_dir):
 
 SQL["op6_suffix_automata"] = _repeat_sql(35)
 SQL["op9_sparse_suffix_arrays"] = _repeat_sql(50)
+
+
+@query
+def op10_fuzzy_lines(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))

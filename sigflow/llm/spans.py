@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
-from sigflow.llm.text import Chunk, _grow, chunks, gram_hash, mix, packed, span_hash, spread, tokens, unpacked
+from sigflow.llm.text import Chunk, _grow, chunks, gram_hash, mix, packed, rewrite, row_chunks, span_hash, tokens, unpacked
 from sigflow.llm import text as _text
 from sigflow.session import checkpoint, ship
 
@@ -337,56 +337,68 @@ def _occurrences(length: int, keep, batches):
         yield pa.record_batch([pa.array(a.key.view(np.int64)), pa.array(d.view(np.int64)), pa.array(c.ids[a.doc]), pa.array((a.pos - a.first[a.doc]).astype(np.int32))], names=["h", "c", "doc_id", "pos"])
 
 
-def _remove(length: int, keep_text: bool, batches):
+def gone_words(c: Chunk, pos: pa.Array, mask: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words, first word of each row, and which words lie in a marked window."""
     reach = length - GRAM
+    starts, ends, first = tokens(c)
+    edge = np.zeros(len(starts) + 1, np.int64)
+    for k in range(len(c)):
+        if not pos[k].is_valid:
+            continue
+        p = pos[k].values.to_numpy().astype(np.int64)
+        m = mask[k].values.to_numpy().view(np.uint64)
+        on = (m[:, None] >> np.arange(reach + 1, dtype=np.uint64)[None, :]) & np.uint64(1) > 0
+        at = np.unique((p[:, None] - reach + np.arange(reach + 1)[None, :])[on])
+        at = at[at >= 0] + first[k]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + length, first[k + 1]), -1)
+    return starts, ends, first, np.cumsum(edge)[:-1] > 0
+
+
+def _remove(length: int, batches):
     for b in batches:
-        hit = dict(zip(b.column(0).to_pylist(), zip(b.column(2), b.column(3))))
-        for c in chunks([b.select([0, 1])]):
-            starts, ends, first = tokens(c)
-            edge = np.zeros(len(starts) + 1, np.int64)
-            for k, doc in enumerate(c.ids.tolist()):
-                pos, mask = hit[doc]
-                if not pos.is_valid:
-                    continue
-                p = pos.values.to_numpy().astype(np.int64)
-                m = mask.values.to_numpy().view(np.uint64)
-                on = (m[:, None] >> np.arange(reach + 1, dtype=np.uint64)[None, :]) & np.uint64(1) > 0
-                at = np.unique((p[:, None] - reach + np.arange(reach + 1)[None, :])[on])
-                at = at[at >= 0] + first[k]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, np.minimum(at + length, first[k + 1]), -1)
-            gone = np.cumsum(edge)[:-1] > 0
+        for c in row_chunks(b, 1):
+            at, rows = int(c.ids[0]), len(c)
+            starts, ends, first, gone = gone_words(c, b.column(2).slice(at, rows), b.column(3).slice(at, rows), length)
             raw = c.data.tobytes()
-            n = np.diff(first)
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
             kept, spans = [], []
-            for k in range(len(c)):
+            for k in range(rows):
                 lo, hi = int(first[k]), int(first[k + 1])
                 stay = np.flatnonzero(~gone[lo:hi]) + lo
-                kept.append(b" ".join([raw[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist())]))
+                kept.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist())])).hexdigest())
                 flips = np.flatnonzero(np.diff(gone[lo:hi].astype(np.int8), prepend=0, append=0))
                 spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(flips[::2], flips[1::2])])
-            cols = [pa.array(c.ids), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
-            cols.append(pa.array([x.decode("utf-8", "replace") for x in kept]) if keep_text else pa.array([hashlib.sha256(x).hexdigest() for x in kept]))
-            yield pa.record_batch(cols, names=["doc_id", "n_words", "n_removed", "spans", "kept" if keep_text else "kept_sha256"])
+            yield pa.record_batch([b.column(0).slice(at, rows), pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "spans", "kept_sha256"])
+
+
+def _kept_text(length: int, c: Chunk, pos: pa.Array, mask: pa.Array) -> list[bytes | None]:
+    """Texts without the marked words: what stands between them as it was, joined by a space."""
+    starts, ends, first, gone = gone_words(c, pos, mask, length)
+    raw = c.data.tobytes()
+    out: list[bytes | None] = []
+    for k in range(len(c)):
+        lo, hi = int(first[k]), int(first[k + 1])
+        if c.null[k]:
+            out.append(None)
+        elif not gone[lo:hi].any():
+            out.append(raw[c.off[k] : c.off[k + 1]])
+        else:
+            flips = np.flatnonzero(np.diff((~gone[lo:hi]).astype(np.int8), prepend=0, append=0)) + lo
+            out.append(b" ".join([raw[starts[s] : ends[e - 1]] for s, e in zip(flips[::2].tolist(), flips[1::2].tolist())]))
+    return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Every document without the words that lie in a repeated window of ``length`` words.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
-    Returns (doc_id, n_words, n_removed, spans, kept_sha256), spans being the maximal
-    removed runs as word positions; with ``keep_text`` the kept words joined by one
-    space as ``kept`` instead of their digest. Both places of a repeat go, also within
-    one document; windows are judged on the input.
 
-    Null, empty and short texts have no window and stay whole. Rows with a null id
-    are left out. A repeated row repeats all its windows. An empty table gives an
-    empty result. Other columns are not looked at. ``length`` may be 9 to 71.
-    """
+def repeat_marks(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, pos, mask) arrays: anchors of each document with repeated windows, and which windows over each."""
     if not GRAM < length <= GRAM + 63:
         raise ValueError("length must be 9 to 71")
     spark = ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = _texts(docs, id_col, text_col)
     share = spark.sparkContext.broadcast
 
     def dealt(f, n_cols: int) -> DataFrame:
@@ -399,7 +411,26 @@ def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, keep_
     solved = dealt(partial(_send_contexts, length, buckets, mixed), 6).applyInArrow(lambda t: _resolve(length, resolver, t), "h long, c long, mask long")
     every = F.lit(-1).cast("long")  # all windows of a context that occurs twice; those outside the document are not there to remove
     marks = counted.where("twice and not mixed").select("h", "c", every.alias("mask")).union(solved.join(counted.where("mixed").select("h", "c"), ["h", "c"], "left_semi"))
-    places = texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, doc_id long, pos int").join(marks, ["h", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("hits"))
-    rows = texts.join(places, "doc_id", "left").select("doc_id", "text", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask"))
-    last = "kept string" if keep_text else "kept_sha256 string"
-    return rows.mapInArrow(partial(_remove, length, keep_text), f"doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, {last}")
+    return texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, doc_id long, pos int").join(marks, ["h", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")).select("doc_id", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask"))
+
+
+def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document without the words that lie in a repeated window of ``length`` words.
+
+    Returns (doc_id, n_words, n_removed, spans, kept_sha256), spans being the maximal
+    removed runs as word positions. Both places of a repeat go, also within
+    one document; windows are judged on the input.
+
+    Null, empty and short texts have no window and stay whole. Rows with a null id
+    are left out. A repeated row repeats all its windows. An empty table gives an
+    empty result. Other columns are not looked at. ``length`` may be 9 to 71.
+    """
+    marks = repeat_marks(docs, length=length, resolver=resolver, id_col=id_col, text_col=text_col)
+    rows = _texts(docs, id_col, text_col).join(marks, "doc_id", "left").select("doc_id", "text", "pos", "mask")
+    return rows.mapInArrow(partial(_remove, length), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every column, the texts rid of repeated passages. Null texts stay null; rows with a null id stay as they are."""
+    marks = repeat_marks(docs, length=length, resolver=resolver, id_col=id_col, text_col=text_col)
+    return rewrite(docs, marks, lambda c, p, m: _kept_text(length, c, p, m), text_col, id_col)

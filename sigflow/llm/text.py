@@ -11,6 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once; bounds the memory of every kernel.
 CHUNK_BYTES = 4 << 20
@@ -182,3 +185,32 @@ def unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
     """All values of a packed column."""
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name) if x.is_valid]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def row_chunks(batch: pa.RecordBatch, text: int, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """Chunks of one batch whose ids are the row numbers; text is the number of the text column."""
+    return chunks([pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(text)], names=["row", "text"])], size)
+
+
+def rewrite(docs: DataFrame, marks: DataFrame, new_text, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with texts changed by ``new_text(chunk, mark columns of its rows)``, a list of bytes or None for each row.
+
+    ``marks`` has doc_id and further columns, one row an id at most; all other columns
+    of ``docs`` pass through, whatever their names. Rows without a mark, a null id among
+    them, get null marks.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    names = [c for c in marks.columns if c != "doc_id"]
+    row = F.struct(*(docs[c] for c in others)) if others else F.struct(F.lit(1).alias("none"))
+    marks = marks.select(F.col("doc_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in names))
+    joined = docs.join(marks, docs[id_col].cast("long") == marks["__id"], "left").select(row.alias("__row"), docs[text_col].cast("string").alias("__text"), *(f"__{c}" for c in names))
+
+    def run(batches):
+        for b in batches:
+            for c in row_chunks(b, 1):
+                at, n = int(c.ids[0]), len(c)
+                texts = new_text(c, *(b.column(2 + k).slice(at, n) for k in range(len(names))))
+                yield pa.record_batch([b.column(0).slice(at, n), pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())], names=["__row", "__text"])
+
+    out = joined.mapInArrow(run, T.StructType([joined.schema["__row"], T.StructField("__text", T.StringType())]))
+    return out.select(*(F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns))

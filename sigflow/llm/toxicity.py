@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed
+from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, row_chunks
 from sigflow.session import ship
 
 #: Hashed feature space, n-gram orders, features kept for the linear model.
@@ -170,3 +170,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_score, shared, threshold), "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with every column, whose text scores below the threshold; one narrow pass."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for c in row_chunks(b, at, 1 << 20):
+                yield b.slice(int(c.ids[0]), len(c)).filter(pa.array(shared.value.score(c) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
