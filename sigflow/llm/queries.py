@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from sigflow.llm.ann import nearest
 from sigflow.llm.bpe import bpe_round_trip
 from sigflow.llm.langid import fit_langid, predict_language
 from sigflow.llm.lines import dedup_lines
@@ -103,3 +104,8 @@ SQL["op9_sparse_suffix_arrays"] = _repeat_sql(50)
 @query
 def op10_fuzzy_lines(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_nn_descent(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
