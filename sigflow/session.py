@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,13 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Write ``df`` as Parquet to the shared checkpoint folder and go on from the files.
 
     The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a notebook) a folder of this machine is used.
+    unset (tests, a notebook) a folder of this machine is used. Files, unlike a
+    checkpointed RDD, bring their true size to the planner.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sigflow_checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
