@@ -51,6 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle; a vertex of very many edges is only ever joined with one row.
     """
     e = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if e.isEmpty():
+        return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     comp = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

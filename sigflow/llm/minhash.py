@@ -3,8 +3,8 @@
 Items have a long id, band keys and a sketch. Items that share a band key are
 compared by their sketches inside a task; what a task emits is a spanning forest
 of likely pairs, never all pairs of a bucket. Likely pairs are then confirmed on
-the full sets, and a second round looks at every pair that still lies in
-different components.
+the full sets. A second round compares, on the full sets and inside tasks, all
+items that share a key but still lie in different components.
 """
 
 from __future__ import annotations
@@ -21,9 +21,14 @@ from sigflow.llm.graph import components
 from sigflow.llm.text import mix, packed, unpacked
 from sigflow.session import checkpoint
 
-_BLOCK = 1 << 15
+#: Values hashed at once, and the height of a column.
+_BLOCK, _HIGH = 1 << 16, 32
+#: Bands whose lists give the first links; all bands count in the second round.
+EARLY = 4
 #: Members of one bucket that are compared with each other at once; larger buckets go block by block with shared pivots.
 BUCKET, PIVOTS = 1024, 32
+#: Items of a block in the exact second round.
+BLOCK = 256
 
 
 def coefficients(k: int) -> np.ndarray:
@@ -32,34 +37,46 @@ def coefficients(k: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """(items, k) MinHash values of the sets h[first[i]:first[i+1]]; an empty set has all ones."""
+    """(items, k) MinHash values of the sets h[first[i]:first[i+1]]; an empty set has all ones.
+
+    Sets are padded to whole columns of _HIGH values (a set's last value repeats), so
+    that the minima run down columns, many at a time.
+    """
     a = coefficients(k)
     sizes = np.diff(first)
     full = np.flatnonzero(sizes)
     out = np.full((len(sizes), k), 0xFFFFFFFF, np.uint32)
+    if not len(full):
+        return out
+    columns = -(-sizes[full] // _HIGH)
+    ends = np.cumsum(columns)
     v = (h >> np.uint64(32)).astype(np.uint32)
     at = 0
-    starts = first[full]
     while at < len(full):
-        z = max(at + 1, int(np.searchsorted(first[full + 1], starts[at] + _BLOCK, "right")))
-        lo, hi = int(starts[at]), int(first[full[z - 1] + 1])
-        part, cut = v[lo:hi], (starts[at:z] - lo)
+        done = int(ends[at - 1]) if at else 0
+        z = max(at + 1, int(np.searchsorted(ends, done + _BLOCK // _HIGH, "right")))
+        n, c = sizes[full[at:z]], columns[at:z]
+        cut = np.cumsum(c) - c
+        place = np.arange(int(c.sum()) * _HIGH) - np.repeat(cut * _HIGH, c * _HIGH)
+        part = v[np.repeat(first[full[at:z]], c * _HIGH) + np.minimum(place, np.repeat(n - 1, c * _HIGH))]
+        part = np.ascontiguousarray(part.reshape(-1, _HIGH).T)
         sig = np.empty((k, z - at), np.uint32)
-        buf = np.empty_like(part)
+        buf, low = np.empty_like(part), np.empty(part.shape[1], np.uint32)
         for j in range(k):
             np.multiply(part, a[j], out=buf)
-            np.minimum.reduceat(buf, cut, out=sig[j])
+            np.minimum.reduce(buf, axis=0, out=low)
+            np.minimum.reduceat(low, cut, out=sig[j])
         out[full[at:z]] = sig.T
         at = z
     return out
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(items, bands) 64-bit keys of the first bands * rows values."""
+    """(items, bands) keys of the first bands * rows values: the band in the top byte, 56 bits of hash."""
     key = np.zeros((len(sig), bands), np.uint64) + mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :]
     for r in range(rows):
         key = mix((key + sig[:, r : bands * rows : rows].astype(np.uint64)).ravel()).reshape(key.shape)
-    return key
+    return key >> np.uint64(8) | np.arange(bands, dtype=np.uint64)[None, :] << np.uint64(56)
 
 
 def odd_sketch(sig: np.ndarray, bits: int) -> np.ndarray:
@@ -128,14 +145,18 @@ def _lists(t: pa.Table) -> pa.Table:
     key, ids = key[order], ids[order]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     seen: dict[int, np.ndarray] = {}
+    early: dict[int, bool] = {}
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if b - a > 1:
             got = np.unique(ids[a:b])
             if len(got) > 1:
                 weight = mix(got.view(np.uint64))
-                seen.setdefault(int(np.bitwise_xor.reduce(weight) ^ mix(np.array([int(weight.sum(dtype=np.uint64))], np.uint64))[0]), got)
-    mine = np.repeat(np.array(list(seen), np.uint64).view(np.int64), [len(x) for x in seen.values()])
-    return pa.table({"list": pa.array(mine, pa.int64()), "id": pa.array(np.concatenate(list(seen.values())) if seen else np.zeros(0, np.int64), pa.int64())})
+                name = int(np.bitwise_xor.reduce(weight) ^ mix(np.array([int(weight.sum(dtype=np.uint64))], np.uint64))[0])
+                seen.setdefault(name, got)
+                early[name] = early.get(name, False) or int(key[a]) >> 56 < EARLY
+    size = [len(x) for x in seen.values()]
+    mine = np.repeat(np.array(list(seen), np.uint64).view(np.int64), size)
+    return pa.table({"list": pa.array(mine, pa.int64()), "early": pa.array(np.repeat(np.array([early[k] for k in seen], bool), size), pa.bool_()), "id": pa.array(np.concatenate(list(seen.values())) if seen else np.zeros(0, np.int64), pa.int64())})
 
 
 def _per_list(t: pa.Table):
@@ -165,29 +186,91 @@ def _likely(similar, floor: float, t: pa.Table) -> pa.Table:
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
 
 
-def _across(similar, floor: float, t: pa.Table) -> pa.Table:
-    """Second round: every pair at or above the floor whose items are still in different components."""
-    out_a, out_b = [], []
-    for ids, sketch, comp in _per_list(t):
-        for i in range(0, len(ids), BUCKET):
-            for j in range(i, len(ids), BUCKET):
-                ci, cj = comp[i : i + BUCKET], comp[j : j + BUCKET]
-                if len(np.unique(np.concatenate([ci, cj]))) == 1:
-                    continue
-                hit = (similar(sketch[i : i + BUCKET], sketch[j : j + BUCKET]) >= floor) & (ci[:, None] != cj[None, :])
-                if i == j:
-                    hit = np.triu(hit)
-                x, y = np.nonzero(hit)
-                out_a.append(ids[i : i + BUCKET][x])
-                out_b.append(ids[j : j + BUCKET][y])
-    none = [np.zeros(0, np.int64)]
-    return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)}, schema=_PAIRS)
-
-
-def _confirm(num: int, den: int, batches):
+def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components among full sets: a spanning forest over the components.
+
+    Intersections of all pairs come from products of slices of the incidence matrix,
+    over the values that two sets share at least.
+    """
+    n = np.array([len(v) for v in values])
+    owner = np.repeat(np.arange(len(values)), n)
+    _, col, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = count > 1
+    rank = np.cumsum(shared) - 1
+    ok = shared[col]
+    owner, col = owner[ok], rank[col[ok]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    both = np.zeros((len(values), len(values)), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(col, [lo, lo + 4096])
+        x = np.zeros((len(values), 4096), np.float32)
+        x[owner[a:b], col[a:b] - lo] = 1
+        both += x @ x.T
+    either = n[:, None] + n[None, :] - both
+    i, j = np.nonzero(np.triu((den * both >= num * either) & (comp[:, None] != comp[None, :]), 1))
+    _, c = np.unique(comp, return_inverse=True)
+    up, out = list(range(int(c.max()) + 1)), []
+    for p, q in zip(i.tolist(), j.tolist()):
+        rp, rq = _find(up, int(c[p])), _find(up, int(c[q]))
+        if rp != rq:
+            up[max(rp, rq)] = min(rp, rq)
+            out.append((p, q))
+    return out
+
+
+def _compare(num: int, den: int, expand, t: pa.Table) -> pa.Table:
+    task, ids, comp = (t.column(k).to_numpy() for k in ("task", "id", "comp"))
+    values = expand(t.column("values"))
+    order = np.lexsort((ids, task))
+    cut = np.flatnonzero(np.concatenate([[True], task[order][1:] != task[order][:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    out: list[tuple[int, int]] = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        at = order[a:b]
+        if len(np.unique(comp[at])) > 1:
+            out += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in exact_links([values[k] for k in at], comp[at], num, den)]
+    return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
+
+
+def remaining_links(lists: DataFrame, comp: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, num: int, den: int, expand, buckets: int) -> DataFrame:
+    """Second round: exact links between items that share a list but not yet a component.
+
+    Components that meet in a list form a cluster. In a cluster the items outside its
+    largest component are cut into blocks of BLOCK items, and so is the largest
+    component; every outside block meets every block once, in a task of its own. So
+    a large group costs tasks and copies of its outsiders, but no pair is a row.
+    """
+    member = lists.select("list", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = member.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list", "lo")
+    member = checkpoint(member.join(mixed, "list").select("id", "comp", "lo").distinct())
+    if member.isEmpty():
+        return member.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    cluster = components(member.select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    item = member.select("id", "comp").distinct().join(cluster, "comp")
+    size = item.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("nm"), F.sum("n").alias("n"))
+    size = size.select("cluster", "main", F.ceil(F.col("nm") / BLOCK).cast("int").alias("bm"), F.ceil((F.col("n") - F.col("nm")) / BLOCK).cast("int").alias("bo"))
+    dealt = item.join(size, "cluster").selectExpr(
+        "id", "comp", "cluster",
+        """explode(if(comp = main,
+             transform(sequence(0, bo - 1), i -> struct(i as i, 1 as kind, cast(pmod(xxhash64(id), bm) as int) as j)),
+             concat(transform(sequence(0, bo - 1), j -> struct(least(j, cast(pmod(xxhash64(id), bo) as int)) as i, 0 as kind, greatest(j, cast(pmod(xxhash64(id), bo) as int)) as j)),
+                    transform(sequence(0, bm - 1), j -> struct(cast(pmod(xxhash64(id), bo) as int) as i, 1 as kind, j as j))))) as t""",
+    )
+    dealt = dealt.select("id", "comp", F.xxhash64("cluster", "t.i", "t.kind", "t.j").alias("task"))
+    dealt = checkpoint(dealt)
+    sets = sets_of(dealt.select("id").distinct())
+    return dealt.join(sets, "id").select(F.pmod("task", F.lit(buckets)).cast("int").alias("bucket"), "task", "id", "comp", "values").groupBy("bucket").applyInArrow(lambda t: _compare(num, den, expand, t), "a long, b long")
+
+
+def plain_sets(values: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """Sets that travel as sorted 64-bit values."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in values]
+
+
+def _confirm(num: int, den: int, expand, batches):
     """Pairs whose full sets (sorted 64-bit values) have den * |both| >= num * |either|."""
     for b in batches:
-        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in (2, 3)]
+        sets = [expand(b.column(k)) for k in (2, 3)]
         ok = []
         for x, y in zip(*sets):
             small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -205,14 +288,14 @@ def deal(items: DataFrame, buckets: int) -> DataFrame:
     return items.select("id", "keys").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary")
 
 
-def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, buckets: int = 64) -> DataFrame:
+def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int = 64) -> DataFrame:
     """(id, comp) of the items that have a link.
 
     ``dealt`` has packed (key, id) pairs by bucket. ``sketches_of(ids)`` gives (id,
     sketch) and ``sets_of(ids)`` (id, values), one row for each asked id and maybe for
-    others; values are the full set as sorted 64-bit values in a binary.
+    others; ``expand`` makes the full sets (sorted 64-bit values) from these binaries.
     """
-    confirm = partial(_confirm, num, den)
+    confirm = partial(_confirm, num, den, expand)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.distinct())
@@ -222,12 +305,10 @@ def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataF
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
         return checkpoint(both.select("a", "b", "va", "vb").mapInArrow(confirm, "a long, b long"))
 
-    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(_lists, "list long, id long").distinct())
-    lists = checkpoint(lists.join(sketches_of(lists.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "id", "sketch"))
-    links = verified(lists.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long"))
+    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(_lists, "list long, early boolean, id long").groupBy("list", "id").agg(F.max("early").alias("early")))
+    early = lists.where("early").select("list", "id")
+    early = early.join(sketches_of(early.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "id", "sketch")
+    links = verified(early.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long"))
     comp = components(links)
-    open_ = lists.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = open_.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("list")
-    more = open_.join(mixed, "list").select("bucket", "list", "id", "sketch", "comp").groupBy("bucket").applyInArrow(lambda t: _across(similar, floor, t), "a long, b long")
-    more = verified(more)
+    more = checkpoint(remaining_links(lists, comp, sets_of, num=num, den=den, expand=expand, buckets=4 * buckets))
     return comp if more.isEmpty() else components(links.union(more))
