@@ -141,6 +141,13 @@ def _deal(n: int, batches):
 def _lists(t: pa.Table) -> pa.Table:
     """Ids of every key that two or more items share, once for each distinct list."""
     key, ids = unpacked(t, "p0", np.uint64), unpacked(t, "p1", np.int64)
+    line = np.sort(key)
+    again = np.unique(line[1:][line[1:] == line[:-1]])
+    if len(again):  # most keys occur once; only the others are sorted with their ids
+        ok = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
+        key, ids = key[ok], ids[ok]
+    else:
+        key, ids = key[:0], ids[:0]
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)

@@ -174,7 +174,7 @@ def packed(bucket: np.ndarray, n: int, *columns: np.ndarray) -> pa.RecordBatch |
     """Rows (bucket, one binary per column): the values of each bucket laid end to end."""
     if not len(bucket):
         return None
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")  # 16 bits: a radix sort
     cut = np.searchsorted(bucket[order], np.arange(n + 1))
     keep = np.flatnonzero(np.diff(cut))
     edges = np.append(cut[keep], len(bucket))
