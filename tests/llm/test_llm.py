@@ -182,6 +182,14 @@ def test_fuzzy_lines(spark, corpus):
         assert got[d] == (len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
 
 
+def test_bands_of_lines_miss_no_pair_at_the_threshold():
+    rng, n = np.random.default_rng(5), 40000
+    both, own = rng.integers(0, 1 << 63, (n, 72)), rng.integers(0, 1 << 63, (2, n, 9))
+    h = np.concatenate([np.concatenate([both, x], 1) for x in own]).ravel().astype(np.uint64)
+    keys = minhash.band_keys(minhash.signatures(h, np.arange(2 * n + 1) * 81, lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS)
+    assert (keys[:n] == keys[n:]).any(1).all()
+
+
 def test_bpe_equals_the_library(spark, corpus):
     texts = [*corpus, "<|endoftext|>a<|endoftext|>", "don't  we'll\n\n  x '", "‍\U0001f600 ́"]
     path = public_tokenizers.path("byte_bpe_50k.json")
