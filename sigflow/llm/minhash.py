@@ -98,12 +98,12 @@ def odd_similarity(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - different / (2 * k)
 
 
-def byte_similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal MinHash bytes, corrected for equal bytes of different values."""
-    same = np.zeros((len(x), len(y)))
-    for w in range(x.shape[1]):
-        same += x[:, w, None] == y[None, :, w]
-    return (same / x.shape[1] - 1 / 256) / (1 - 1 / 256)
+def byte_matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal MinHash bytes along the last axis, corrected for equal bytes of different values."""
+    same = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1], np.float32)
+    for w in range(x.shape[-1]):
+        same += x[..., w] == y[..., w]
+    return (same / x.shape[-1] - 1 / 256) / (1 - 1 / 256)
 
 
 def _find(up: list[int], i: int) -> int:
@@ -138,29 +138,49 @@ def _deal(n: int, batches):
             yield packed((keys % np.uint64(n)).astype(np.int64), n, keys, np.repeat(ids, each))
 
 
-def _lists(t: pa.Table) -> pa.Table:
-    """Ids of every key that two or more items share, once for each distinct list."""
-    key, ids = unpacked(t, "p0", np.uint64), unpacked(t, "p1", np.int64)
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Size of a set in steps of a sixteenth of its logarithm."""
+    return np.minimum(16 * np.log(np.maximum(n, 1)), 255).astype(np.uint8)
+
+
+def class_gap(num: int, den: int) -> int:
+    """Sets further apart than so many size classes have a similarity below num / den, whatever they hold."""
+    return int(16 * np.log(den / num)) + 1 if num else 255
+
+
+def _lists(gap: int, t: pa.Table) -> pa.Table:
+    """Ids of every key that two or more items share, once for each distinct list.
+
+    Where size classes travel too, a list is cut where the next larger set is more than
+    ``gap`` classes away: no link crosses the cut.
+    """
+    if "p3" in t.column_names:
+        key = unpacked(t, "p0", np.uint32).astype(np.uint64) | unpacked(t, "p3", np.uint8).astype(np.uint64) << np.uint64(56)
+        size = unpacked(t, "p2", np.uint8)
+    else:
+        key = unpacked(t, "p0", np.uint64)
+        size = np.zeros(len(key), np.uint8)
+    ids = unpacked(t, "p1", np.int64)
     line = np.sort(key)
     again = np.unique(line[1:][line[1:] == line[:-1]])
     if len(again):  # most keys occur once; only the others are sorted with their ids
         ok = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
-        key, ids = key[ok], ids[ok]
+        key, ids, size = key[ok], ids[ok], size[ok].astype(np.int64)
     else:
-        key, ids = key[:0], ids[:0]
-    order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+        key, ids, size = key[:0], ids[:0], size[:0]
+    order = np.lexsort((ids, size, key))
+    key, ids, size = key[order], ids[order], size[order]
+    cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[1:] - size[:-1] > gap), [True]])) if len(key) else np.zeros(1, np.int64)
+    more = np.flatnonzero(np.diff(cut) > 1)
     seen: dict[int, np.ndarray] = {}
     early: dict[int, bool] = {}
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        if b - a > 1:
-            got = np.unique(ids[a:b])
-            if len(got) > 1:
-                weight = mix(got.view(np.uint64))
-                name = int(np.bitwise_xor.reduce(weight) ^ mix(np.array([int(weight.sum(dtype=np.uint64))], np.uint64))[0])
-                seen.setdefault(name, got)
-                early[name] = early.get(name, False) or int(key[a]) >> 56 < EARLY
+    for a, b in zip(cut[more].tolist(), cut[more + 1].tolist()):
+        got = np.unique(ids[a:b])
+        if len(got) > 1:
+            weight = mix(got.view(np.uint64))
+            name = int(np.bitwise_xor.reduce(weight) ^ mix(np.array([int(weight.sum(dtype=np.uint64))], np.uint64))[0])
+            seen.setdefault(name, got)
+            early[name] = early.get(name, False) or int(key[a]) >> 56 < EARLY
     size = [len(x) for x in seen.values()]
     mine = np.repeat(np.array(list(seen), np.uint64).view(np.int64), size)
     return pa.table({"list": pa.array(mine, pa.int64()), "early": pa.array(np.repeat(np.array([early[k] for k in seen], bool), size), pa.bool_()), "id": pa.array(np.concatenate(list(seen.values())) if seen else np.zeros(0, np.int64), pa.int64())})
@@ -193,6 +213,65 @@ def _likely(similar, floor: float, t: pa.Table) -> pa.Table:
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
 
 
+_SIEVED = pa.schema([("link", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _sieve(similar, floor: float, low: float, t: pa.Table) -> pa.Table:
+    """First round, and the lists of the second: likely pairs (link, a, b) of early lists, and members (not link, list, id) of lists.
+
+    The members of a list that pairs at or above ``low`` connect are a list of their own.
+    ``low`` is so far below the threshold that a link stays in one with all but
+    certainty. A list beyond BUCKET stays whole.
+    """
+    which, ids, early = t.column("list").to_numpy(), t.column("id").to_numpy(), t.column("early").to_numpy()
+    sketch = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
+    order = np.lexsort((ids, which))
+    which, ids, early, sketch = which[order], ids[order], early[order], sketch[order]
+    cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    n = np.diff(cut)
+    large = np.repeat(n > BUCKET, n)
+    links, names, members = [], [which[large]], [ids[large]]
+    for k in np.flatnonzero(n > BUCKET).tolist():
+        a, b = int(cut[k]), int(cut[k + 1])
+        if early[a]:
+            rest = np.arange(a + PIVOTS, b)
+            for at in (np.concatenate([np.arange(a, a + PIVOTS), rest[j : j + BUCKET]]) for j in range(0, len(rest), BUCKET)):
+                links += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in forest(similar(sketch[at, None], sketch[None, at]), floor)]
+    end = np.where(large, 0, np.repeat(cut[1:], n))
+    left, right, value = [], [], []
+    here, d = np.arange(len(ids)), 1
+    while len(here := here[end[here] > here + d]):
+        for lo in range(0, len(here), 1 << 16):
+            i = here[lo : lo + (1 << 16)]
+            est = similar(sketch[i], sketch[i + d])
+            ok = est >= low
+            left.append(i[ok])
+            right.append(i[ok] + d)
+            value.append(est[ok])
+        d += 1
+    if left:
+        i, j, est = np.concatenate(left), np.concatenate(right), np.concatenate(value)
+        order = np.lexsort((j, i, -est))
+        up = list(range(len(ids)))
+        for a, b, likely in zip(i[order].tolist(), j[order].tolist(), (est[order] >= floor).tolist()):
+            ra, rb = _find(up, a), _find(up, b)
+            if ra != rb:
+                up[max(ra, rb)] = min(ra, rb)
+                if likely and early[a]:
+                    links.append((int(ids[a]), int(ids[b])))
+        at = np.unique(np.concatenate([i, j]))
+        root = np.array([_find(up, k) for k in at.tolist()], np.int64)
+        _, of = np.unique(root, return_inverse=True)
+        weight, total, name = mix(ids[at].view(np.uint64)), np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        np.add.at(total, of, weight)
+        np.bitwise_xor.at(name, of, weight)
+        names.append((name ^ mix(total))[of].view(np.int64))
+        members.append(ids[at])
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    names, members = np.concatenate(names), np.concatenate(members)
+    return pa.table([pa.array(np.arange(len(pairs) + len(names)) < len(pairs)), pa.array(np.concatenate([pairs[:, 0], names])), pa.array(np.concatenate([pairs[:, 1], members]))], schema=_SIEVED)
+
+
 def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links between different components among full sets: a spanning forest over the components.
 
@@ -295,14 +374,17 @@ def deal(items: DataFrame, buckets: int) -> DataFrame:
     return items.select("id", "keys").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary")
 
 
-def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int = 64) -> DataFrame:
+def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int = 64, low: float | None = None) -> DataFrame:
     """(id, comp) of the items that have a link.
 
     ``dealt`` has packed (key, id) pairs by bucket. ``sketches_of(ids)`` gives (id,
     sketch) and ``sets_of(ids)`` (id, values), one row for each asked id and maybe for
     others; ``expand`` makes the full sets (sorted 64-bit values) from these binaries.
+    With ``low``, lists are sieved by sketches before they count in the second round, as
+    chance meetings would chain most items to one cluster; ``similar`` then compares
+    along the last axis.
     """
-    confirm = partial(_confirm, num, den, expand)
+    confirm, gap = partial(_confirm, num, den, expand), class_gap(num, den)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.distinct())
@@ -312,10 +394,16 @@ def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataF
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
         return checkpoint(both.select("a", "b", "va", "vb").mapInArrow(confirm, "a long, b long"))
 
-    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(_lists, "list long, early boolean, id long").groupBy("list", "id").agg(F.max("early").alias("early")))
-    early = lists.where("early").select("list", "id")
-    early = early.join(sketches_of(early.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "id", "sketch")
-    links = verified(early.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long"))
+    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(lambda t: _lists(gap, t), "list long, early boolean, id long").groupBy("list", "id").agg(F.max("early").alias("early")))
+    early = lists.where("early").select("list", "id") if low is None else lists
+    early = early.join(sketches_of(early.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), *early.columns, "sketch")
+    if low is None:
+        likely = early.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long")
+    else:
+        sieved = checkpoint(early.groupBy("bucket").applyInArrow(lambda t: _sieve(similar, floor, low, t), "link boolean, a long, b long"))
+        likely = sieved.where("link").select("a", "b")
+        lists = sieved.where("not link").select(F.col("a").alias("list"), F.col("b").alias("id")).distinct()
+    links = verified(likely)
     comp = components(links)
     more = checkpoint(remaining_links(lists, comp, sets_of, num=num, den=den, expand=expand, buckets=4 * buckets))
     return comp if more.isEmpty() else components(links.union(more))

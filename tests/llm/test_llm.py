@@ -182,6 +182,24 @@ def test_fuzzy_lines(spark, corpus):
         assert got[d] == (len(ls), len(ls) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
 
 
+@pytest.mark.parametrize("n", [50, 65, 80])
+def test_lines_with_one_edit_inside(spark, n):
+    line = "".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz "), n - 6)) + " on 3."
+    other = line[: n // 2] + "#" + line[n // 2 + 1 :]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, [line, other, "".join(RNG.choice(list("abcdefghijkl "), n))])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_fuzzy_lines_among_many_alike(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET", 24)
+    monkeypatch.setattr(minhash, "PIVOTS", 4)
+    base = "".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz "), 90))
+    alike = ["".join("#" if RNG.random() < 0.03 else x for x in base) for _ in range(120)] + ["".join(RNG.choice(list("abcde "), 90)) for _ in range(60)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, alike)).collect()}
+    comp = brute_components([{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in alike], 80)
+    assert len(set(comp)) > 61 and got == {i: int(c != i) for i, c in enumerate(comp)}
+
+
 def test_bands_of_lines_miss_no_pair_at_the_threshold():
     rng, n = np.random.default_rng(5), 40000
     both, own = rng.integers(0, 1 << 63, (n, 72)), rng.integers(0, 1 << 63, (2, n, 9))
