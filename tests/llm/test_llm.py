@@ -190,6 +190,13 @@ def test_lines_with_one_edit_inside(spark, n):
     assert got == {0: 0, 1: 1, 2: 0}
 
 
+def test_short_lines_repeat_too(spark):
+    texts = ["Read more\nok\n\n#\nabcd", "ok\nRead more\nabce\n \né", "é\nRead more\n\nabcd\n#"]
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    left = [texts[0], "abce\n \né", ""]
+    assert got == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (n, t) in enumerate(zip((0, 2, 4), left))}
+
+
 def test_fuzzy_lines_among_many_alike(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET", 24)
     monkeypatch.setattr(minhash, "PIVOTS", 4)
