@@ -19,6 +19,8 @@ from sigflow.session import checkpoint, ship
 NEIGHBOURS, TREES, ROUNDS, BEAM = 20, 3, 3, 400
 #: Rows of one block that are compared with each other; queries that are searched at once; nodes of a bucket.
 BLOCK, QUERY_BLOCK, NODES = 256, 2048, 800
+#: Nodes that name one hub and are compared in its task; of more, blocks meet pair by pair in tasks of their own.
+HUB = 2048
 _CAND = "bucket int, p0 binary, p1 binary, p2 binary"
 
 
@@ -155,24 +157,78 @@ def _announce(n: int, k: int):
     return run
 
 
-def _local_join(n: int):
-    """At every node, those that named it are compared with each other: neighbours of a common neighbour."""
+def _all_pairs(v: np.ndarray, worst: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every two of the nodes compared, BLOCK rows at a time: (node, other, squared distance) below the node's worst, k a node at most."""
+    out = []
+    n = (x * x).sum(1)
+    for lo in range(0, len(v), BLOCK):
+        at = np.arange(lo, min(lo + BLOCK, len(v)))
+        d = np.maximum(n[at, None] + n[None, :] - 2 * x[at] @ x.T, 0)
+        d[at - lo, at] = np.inf
+        i, j = np.nonzero(d < worst[at][:, None])
+        found = v[at[i]], v[j], d[i, j]
+        out.append(found if len(v) <= BLOCK else _top(*found, k))
+    return out
+
+
+def _groups(key: np.ndarray, v: np.ndarray):
+    """Positions of each key's nodes, by id; a node counts once."""
+    order = np.lexsort((v, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (v[order][1:] != v[order][:-1])
+    order = order[new]
+    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield order[a:b]
+
+
+def _candidates(n: int, k: int, out: list[tuple]) -> pa.RecordBatch | None:
+    v, c, d = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    v, c, d = _top(v, c, d.astype(np.float32), k)
+    return packed(_bucket(v, n), n, v, c, d)
+
+
+def _local_join(n: int, k: int, hub: int = HUB):
+    """At every node, those that named it are compared with each other: neighbours of a common neighbour.
+
+    Where more than ``hub`` nodes name one, they are dealt to blocks of about ``hub``
+    and every two blocks go to a task (``dealt`` rows: task, node, worst, vector).
+    """
 
     def run(t: pa.Table) -> pa.Table:
         to, v, worst = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64), unpacked(t, "p2", np.float32)
         x = unpacked(t, "p3", np.float32).reshape(len(to), -1)
-        order = np.lexsort((v, to))
-        cut = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
         out: list[tuple] = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            for lo in range(a, b, BLOCK):
-                at = order[lo : min(lo + BLOCK, b)]
-                d = _squares(x[at])
-                i, j = np.nonzero(d < worst[at][:, None])
-                out.append((v[at[i]], v[at[j]], d[i, j]))
-        v, c, d = (np.concatenate(z) for z in zip(*out))
-        v, c, d = _top(v, c, d.astype(np.float32), 1 << 30)
-        return _table(packed(_bucket(v, n), n, v, c, d), 3)
+        sent: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in _groups(to, v):
+            if len(at) <= hub:
+                out += _all_pairs(v[at], worst[at], x[at], k)
+                continue
+            blocks = -(-len(at) // hub)
+            mine = _bucket(v[at] ^ to[at], blocks)
+            seed = mix(to[at[:1]].view(np.uint64))
+            for j in range(blocks):
+                pair = np.minimum(mine, j) * blocks + np.maximum(mine, j)
+                sent.append((mix(seed + pair.astype(np.uint64)).view(np.int64), at))
+        tables = []
+        if (b := _candidates(n, k, out)) is not None:
+            tables.append(_table(b, 3).append_column("p3", pa.nulls(b.num_rows, pa.binary())).append_column("dealt", pa.array([False] * b.num_rows)))
+        if sent:
+            task, at = (np.concatenate(z) for z in zip(*sent))
+            b = packed(_bucket(task, n), n, task, v[at], worst[at], _void(x[at]))
+            tables.append(_table(b, 4).append_column("dealt", pa.array([True] * b.num_rows)))
+        return pa.concat_tables(tables) if tables else _empty(4).append_column("dealt", pa.array([], pa.bool_()))
+
+    return run
+
+
+def _block_join(n: int, k: int):
+    """The nodes of each task compared with each other."""
+
+    def run(t: pa.Table) -> pa.Table:
+        task, v, worst = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64), unpacked(t, "p2", np.float32)
+        x = unpacked(t, "p3", np.float32).reshape(len(task), -1)
+        return _table(_candidates(n, k, [z for at in _groups(task, v) for z in _all_pairs(v[at], worst[at], x[at], k)]), 3)
 
     return run
 
@@ -308,7 +364,11 @@ def nn_descent(nodes: DataFrame, buckets: int, dim: int, *, k: int = NEIGHBOURS,
     graph = checkpoint(graph.groupBy("bucket").applyInArrow(_merge_lists(k), _CAND))
     for _ in range(rounds):
         told = _cogroup(graph, nodes, _announce(buckets, k), _CAND + ", p3 binary")
-        found = told.groupBy("bucket").applyInArrow(_local_join(buckets), _CAND)
+        met = checkpoint(told.groupBy("bucket").applyInArrow(_local_join(buckets, k), _CAND + ", p3 binary, dealt boolean"))
+        found = met.where("not dealt").select("bucket", "p0", "p1", "p2")
+        dealt = met.where("dealt").drop("dealt")
+        if not dealt.isEmpty():
+            found = found.union(dealt.groupBy("bucket").applyInArrow(_block_join(buckets, k), _CAND))
         graph = checkpoint(graph.union(found).groupBy("bucket").applyInArrow(_merge_lists(k), _CAND))
     return graph
 

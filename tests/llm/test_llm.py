@@ -7,6 +7,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -341,6 +343,26 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 3")).count() == 2
 
 
+@pytest.mark.parametrize("hub", [2048, 100])
+def test_all_that_name_a_hub_are_compared(hub):
+    x = RNG.normal(size=(700, 8)).astype(np.float32)
+    v = RNG.permutation(700).astype(np.int64)
+    sent = pa.Table.from_batches([text.packed(np.zeros(700, np.int64), 1, np.full(700, 5), v, np.full(700, np.inf, np.float32), ann._void(x))])
+    met = ann._local_join(1, 10, hub)(sent)
+    parts = [met.filter(pc.invert(met["dealt"]))]
+    if hub < 700:
+        parts.append(ann._block_join(1, 10)(met.filter(met["dealt"])))
+    got = defaultdict(set)
+    for t in parts:
+        for a, b in zip(text.unpacked(t, "p0", np.int64), text.unpacked(t, "p1", np.int64)):
+            got[a].add(b)
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1)
+    hits = sum(len(set(v[near[i, :10]].tolist()) & got[v[i]]) for i in range(700))
+    assert hits >= 0.999 * 7000
+
+
 def test_pipeline(spark, corpus, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "substring_dedup", "packing"]
     extra = prose(100)
