@@ -32,3 +32,14 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["linear_svm_ovr", "scaled_linear_svm", "mlp", "decision_tree", "rbf_svm"])
+def test_classifiers_take_every_class(spark, duck, name):
+    got = sorted((r.vec_id, int(r.label)) for r in QUERIES[name](spark, DATA).collect())
+    assert got == sorted(duck.execute("select vec_id, label from embeddings where vec_id % 5 = 0").fetchall())
+
+
+def test_csp_takes_every_pair_of_classes(spark, duck):
+    got = QUERIES["csp_filters"](spark, DATA).select("c1", "c2").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(SQL["class_pairs"]).fetchall())
