@@ -199,9 +199,7 @@ def test_short_lines_repeat_too(spark):
     assert got == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (n, t) in enumerate(zip((0, 2, 4), left))}
 
 
-def test_fuzzy_lines_among_many_alike(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BUCKET", 24)
-    monkeypatch.setattr(minhash, "PIVOTS", 4)
+def test_fuzzy_lines_among_many_alike(spark):
     base = "".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz "), 90))
     alike = ["".join("#" if RNG.random() < 0.03 else x for x in base) for _ in range(120)] + ["".join(RNG.choice(list("abcde "), 90)) for _ in range(60)]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, alike)).collect()}
@@ -209,6 +207,23 @@ def test_fuzzy_lines_among_many_alike(spark, monkeypatch):
     assert len(set(comp)) > 61 and got == {i: int(c != i) for i, c in enumerate(comp)}
 
 
+@pytest.mark.parametrize("bucket", [1024, 24])
+def test_sieve_keeps_near_items_together(monkeypatch, bucket):
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "PIVOTS", 4)
+    near = np.where(RNG.random((60, 32)) < 0.1, RNG.integers(0, 256, (60, 32)), RNG.integers(0, 256, 32)).astype(np.uint8)
+    sketch = np.concatenate([near, RNG.integers(0, 256, (4, 32), dtype=np.uint8)])
+    t = pa.table({"list": [1] * 62 + [2] * 2, "early": [True] * 64, "id": list(range(64)), "sketch": [r.tobytes() for r in sketch]})
+    rows = minhash._sieve(minhash.byte_matches, 0.7, 0.38, t).to_pylist()
+    lists = defaultdict(set)
+    for r in rows:
+        if not r["link"]:
+            lists[r["a"]].add(r["b"])
+    assert list(lists.values()) == [set(range(60 if bucket > 62 else 62))]
+    pairs = [(r["a"], r["b"]) for r in rows if r["link"]]
+    assert {x for p in pairs for x in p} == set(range(60)) and len(pairs) < 70
+
+
 def test_bands_of_lines_miss_no_pair_at_the_threshold():
     rng, n = np.random.default_rng(5), 40000
     both, own = rng.integers(0, 1 << 63, (n, 72)), rng.integers(0, 1 << 63, (2, n, 9))
