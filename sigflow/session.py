@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def buckets(spark: SparkSession, per: int = 4) -> int:
+    """Groups that packed rows are dealt to: several for each shuffle partition, so that they grow with the input as that setting does."""
+    return max(32, per * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and go on from the files.
 
