@@ -1,15 +1,16 @@
 """MinHash signatures, odd sketches, and exact links found through bands.
 
-Items have a long id, band keys and a sketch. Items that share a band key are
-compared by their sketches inside a task; what a task emits is a spanning forest
-of likely pairs, never all pairs of a bucket. Likely pairs are then confirmed on
-the full sets. A second round compares, on the full sets and inside tasks, all
-items that share a key but still lie in different components.
+Items have a long id, band keys and a sketch. Items that share a band key form a
+list. Lists are sieved by sketches inside tasks: members that no chain of similar
+pairs connects are parted, and a most similar spanning tree of each part names
+likely pairs, never all pairs. Likely pairs are confirmed on the full sets. A second
+round compares, on the full sets and inside tasks, the members of a sieved list that
+still lie in different components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -18,65 +19,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import components
-from sigflow.llm.text import mix, packed, unpacked
+from sigflow.llm.text import mix, packed_stream, unpacked
 from sigflow.session import checkpoint
 
-#: Values hashed at once, and the height of a column.
-_BLOCK, _HIGH = 1 << 16, 32
-#: Bands whose lists give the first links; all bands count in the second round.
+#: Bytes hashed at once by one sample.
+_BLOCK = 1 << 18
+#: Bands whose lists give likely pairs; all bands count in the second round.
 EARLY = 4
-#: Members of one bucket that are compared with each other at once; larger buckets go block by block with shared pivots.
-BUCKET, PIVOTS = 1024, 32
+#: Lists up to SMALL are sieved together, pair by pair; larger ones grow a tree each. Lists beyond LARGE are cut to blocks, every two of which are a list.
+SMALL, LARGE = 64, 4096
 #: Items of a block in the exact second round.
 BLOCK = 256
 
 
-def coefficients(k: int) -> np.ndarray:
-    """Odd multipliers; each permutes the 32-bit values."""
-    return np.random.default_rng(97).integers(0, 1 << 32, k, dtype=np.uint32) | np.uint32(1)
+def coefficients(k: int, dtype=np.uint32) -> np.ndarray:
+    """Distinct odd multipliers; each permutes the odd values of the type."""
+    bits = 8 * np.dtype(dtype).itemsize
+    return (np.random.default_rng(97).choice(1 << (bits - 1), k, replace=False).astype(np.uint64) * np.uint64(2) + np.uint64(1)).astype(dtype)
 
 
-def signatures(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """(items, k) MinHash values of the sets h[first[i]:first[i+1]]; an empty set has all ones.
+def signatures(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """(items, k) MinHash values of the sets v[start:start+size], v being hashed values of 16 or 32 bits; an empty set has all ones.
 
-    Sets are padded to whole columns of _HIGH values (a set's last value repeats), so
+    Sets of like size become columns of one matrix (a set's last value repeats), so
     that the minima run down columns, many at a time.
     """
-    a = coefficients(k)
-    sizes = np.diff(first)
-    full = np.flatnonzero(sizes)
-    out = np.full((len(sizes), k), 0xFFFFFFFF, np.uint32)
-    if not len(full):
-        return out
-    columns = -(-sizes[full] // _HIGH)
-    ends = np.cumsum(columns)
-    v = (h >> np.uint64(32)).astype(np.uint32)
-    at = 0
-    while at < len(full):
-        done = int(ends[at - 1]) if at else 0
-        z = max(at + 1, int(np.searchsorted(ends, done + _BLOCK // _HIGH, "right")))
-        n, c = sizes[full[at:z]], columns[at:z]
-        cut = np.cumsum(c) - c
-        place = np.arange(int(c.sum()) * _HIGH) - np.repeat(cut * _HIGH, c * _HIGH)
-        part = v[np.repeat(first[full[at:z]], c * _HIGH) + np.minimum(place, np.repeat(n - 1, c * _HIGH))]
-        part = np.ascontiguousarray(part.reshape(-1, _HIGH).T)
-        sig = np.empty((k, z - at), np.uint32)
-        buf, low = np.empty_like(part), np.empty(part.shape[1], np.uint32)
+    v = v | v.dtype.type(1)
+    a = coefficients(k, v.dtype)
+    out = np.full((k, len(sizes)), np.iinfo(v.dtype).max, v.dtype)
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    at = int(np.searchsorted(n, 1))
+    while at < len(n):
+        room = max(1, _BLOCK // v.itemsize // int(n[at]))
+        z = min(int(np.searchsorted(n, n[at] + n[at] // 4 + 4, "right")), at + room)
+        high = int(n[z - 1])
+        part = v[starts[order[at:z]][None, :] + np.minimum(np.arange(high)[:, None], n[None, at:z] - 1)]
+        buf, low = np.empty_like(part), np.empty((k, z - at), v.dtype)
         for j in range(k):
             np.multiply(part, a[j], out=buf)
-            np.minimum.reduce(buf, axis=0, out=low)
-            np.minimum.reduceat(low, cut, out=sig[j])
-        out[full[at:z]] = sig.T
+            np.minimum.reduce(buf, axis=0, out=low[j])
+        out[:, order[at:z]] = low
         at = z
-    return out
+    return out.T
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(items, bands) keys of the first bands * rows values: the band in the top byte, 56 bits of hash."""
+    """(items, bands) 64-bit keys of the first bands * rows values."""
     key = np.zeros((len(sig), bands), np.uint64) + mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :]
     for r in range(rows):
         key = mix((key + sig[:, r : bands * rows : rows].astype(np.uint64)).ravel()).reshape(key.shape)
-    return key >> np.uint64(8) | np.arange(bands, dtype=np.uint64)[None, :] << np.uint64(56)
+    return key
 
 
 def odd_sketch(sig: np.ndarray, bits: int) -> np.ndarray:
@@ -88,12 +81,12 @@ def odd_sketch(sig: np.ndarray, bits: int) -> np.ndarray:
 
 
 def odd_similarity(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of all rows of x with all rows of y, from the set bits of their XOR."""
+    """Estimated Jaccard similarity along the last axis, from the set bits of the XOR of two odd sketches of k samples."""
+    n = x.shape[-1] * 8
+    ones = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1], np.int32)
     x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
-    n = x.shape[1] * 64
-    ones = np.zeros((len(x), len(y)))
-    for w in range(x.shape[1]):
-        ones += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    for w in range(x.shape[-1]):
+        ones += np.bitwise_count(x[..., w] ^ y[..., w])
     different = -n / 2 * np.log(np.maximum(1 - 2 * ones / n, 1e-9))
     return 1 - different / (2 * k)
 
@@ -113,132 +106,99 @@ def _find(up: list[int], i: int) -> int:
     return i
 
 
-def forest(est: np.ndarray, floor: float) -> list[tuple[int, int]]:
-    """Most similar spanning forest of the pairs at or above the floor (Kruskal; ties by position)."""
-    i, j = np.nonzero(np.triu(est >= floor, 1))
-    order = np.lexsort((j, i, -est[i, j]))
-    up, out = list(range(len(est))), []
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        ra, rb = _find(up, a), _find(up, b)
-        if ra != rb:
-            up[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-            if len(out) == len(est) - 1:
-                break
-    return out
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Size of a set in steps of an eighth of its logarithm: seven bits."""
+    return np.minimum(8 * np.log(np.maximum(n, 1)), 127).astype(np.uint8)
 
 
-def _deal(n: int, batches):
-    """(key, id) pairs of all bands, packed by bucket of the key."""
-    for b in batches:
-        if b.num_rows:
-            ids = b.column(0).to_numpy()
-            keys = np.frombuffer(b"".join(x.as_buffer() for x in b.column(1)), np.uint64)
-            each = len(keys) // len(ids)
-            yield packed((keys % np.uint64(n)).astype(np.int64), n, keys, np.repeat(ids, each))
+def class_gap(num: int, den: int) -> int:
+    """Sets further apart than so many size classes have a similarity below num / den, whatever they hold."""
+    return int(8 * np.log(den / num)) + 1 if num else 127
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
-    """Size of a set in steps of a sixteenth of its logarithm."""
-    return np.minimum(16 * np.log(np.maximum(n, 1)), 255).astype(np.uint8)
+def dealt_keys(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Parts for ``packed_stream`` of (items, bands) keys: bucket, 32 bits of the key, id, and size class with a bit for early bands."""
+    bands = keys.shape[1]
+    flat = keys.ravel()
+    size = np.repeat(size_class(sizes), bands) | np.tile((np.arange(bands) < EARLY).astype(np.uint8) << 7, len(ids))
+    return ((flat >> np.uint64(32)) % np.uint64(n)).astype(np.int64), flat.astype(np.uint32), np.repeat(ids, bands), size
 
 
-def class_gap(num: int, den: int) -> int:
-    """Sets further apart than so many size classes have a similarity below num / den, whatever they hold."""
-    return int(16 * np.log(den / num)) + 1 if num else 255
+def named_parts(part: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For members grouped by ``part`` (sorted numbers from 0), the name of each one's part: a hash of its ids."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    weight, at = mix(ids.view(np.uint64)), np.flatnonzero(np.diff(part, prepend=-1))
+    name = np.bitwise_xor.reduceat(weight, at) ^ mix(np.add.reduceat(weight, at))
+    return name[part].view(np.int64)
 
 
-def _lists(gap: int, t: pa.Table) -> pa.Table:
-    """Ids of every key that two or more items share, once for each distinct list.
+def bucket_lists(gap: int, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, early, id) of every key of a bucket that two or more items share.
 
-    Where size classes travel too, a list is cut where the next larger set is more than
-    ``gap`` classes away: no link crosses the cut.
+    A list is cut where the next larger set is more than ``gap`` size classes away: no
+    link crosses the cut.
     """
-    if "p3" in t.column_names:
-        key = unpacked(t, "p0", np.uint32).astype(np.uint64) | unpacked(t, "p3", np.uint8).astype(np.uint64) << np.uint64(56)
-        size = unpacked(t, "p2", np.uint8)
-    else:
-        key = unpacked(t, "p0", np.uint64)
-        size = np.zeros(len(key), np.uint8)
-    ids = unpacked(t, "p1", np.int64)
     line = np.sort(key)
     again = np.unique(line[1:][line[1:] == line[:-1]])
-    if len(again):  # most keys occur once; only the others are sorted with their ids
-        ok = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
-        key, ids, size = key[ok], ids[ok], size[ok].astype(np.int64)
-    else:
-        key, ids, size = key[:0], ids[:0], size[:0]
+    if not len(again):
+        return ids[:0], np.zeros(0, bool), ids[:0]
+    ok = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
+    key, ids, early, size = key[ok], ids[ok], size[ok] > 127, (size[ok] & 127).astype(np.int16)
     order = np.lexsort((ids, size, key))
-    key, ids, size = key[order], ids[order], size[order]
-    cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[1:] - size[:-1] > gap), [True]])) if len(key) else np.zeros(1, np.int64)
-    more = np.flatnonzero(np.diff(cut) > 1)
-    seen: dict[int, np.ndarray] = {}
-    early: dict[int, bool] = {}
-    for a, b in zip(cut[more].tolist(), cut[more + 1].tolist()):
-        got = np.unique(ids[a:b])
-        if len(got) > 1:
-            weight = mix(got.view(np.uint64))
-            name = int(np.bitwise_xor.reduce(weight) ^ mix(np.array([int(weight.sum(dtype=np.uint64))], np.uint64))[0])
-            seen.setdefault(name, got)
-            early[name] = early.get(name, False) or int(key[a]) >> 56 < EARLY
-    size = [len(x) for x in seen.values()]
-    mine = np.repeat(np.array(list(seen), np.uint64).view(np.int64), size)
-    return pa.table({"list": pa.array(mine, pa.int64()), "early": pa.array(np.repeat(np.array([early[k] for k in seen], bool), size), pa.bool_()), "id": pa.array(np.concatenate(list(seen.values())) if seen else np.zeros(0, np.int64), pa.int64())})
-
-
-def _per_list(t: pa.Table):
-    which, ids = t.column("list").to_numpy(), t.column("id").to_numpy()
-    sketch = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
-    comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
-    order = np.lexsort((ids, which))
-    cut = np.flatnonzero(np.concatenate([[True], which[order][1:] != which[order][:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        at = order[a:b]
-        yield ids[at], sketch[at], None if comp is None else comp[at]
-
-
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _likely(similar, floor: float, t: pa.Table) -> pa.Table:
-    """First round: a spanning forest of each list. A list beyond BUCKET goes block by block, each with the same pivots."""
-    out: list[tuple[int, int]] = []
-    for ids, sketch, _ in _per_list(t):
-        blocks = [np.arange(len(ids))]
-        if len(ids) > BUCKET:
-            pivots, rest = np.arange(PIVOTS), np.arange(PIVOTS, len(ids))
-            blocks = [np.concatenate([pivots, rest[k : k + BUCKET]]) for k in range(0, len(rest), BUCKET)]
-        for at in blocks:
-            out += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in forest(similar(sketch[at], sketch[at]), floor)]
-    return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
+    key, ids, early, size = key[order], ids[order], early[order], size[order]
+    head = np.ones(len(key), bool)
+    head[1:] = (key[1:] != key[:-1]) | (size[1:] - size[:-1] > gap)
+    new = head.copy()
+    new[1:] |= ids[1:] != ids[:-1]
+    head, ids, early = head[new], ids[new], early[new]
+    part = np.cumsum(head) - 1
+    ok = np.bincount(part)[part] > 1
+    ids, early, part = ids[ok], early[ok], part[ok]
+    part = np.cumsum(np.diff(part, prepend=-1) > 0) - 1
+    return named_parts(part, ids), early, ids
+
+
+def _tree(sketch: np.ndarray, similar, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, similarity) of each item in a most similar spanning forest of the pairs at or above ``low``; a root is its own parent. Grown item by item, in linear space."""
+    n = len(sketch)
+    best, parent = np.full(n, -np.inf, np.float32), np.arange(n)
+    left = np.arange(n)
+    while len(left):
+        k = int(best[left].argmax())
+        at = left[k]
+        if best[at] < low:
+            best[at], parent[at] = -np.inf, at
+        left = np.delete(left, k)
+        est = similar(sketch[at], sketch[left]).astype(np.float32)
+        closer = est > best[left]
+        best[left[closer]], parent[left[closer]] = est[closer], at
+    return parent, best
 
 
 _SIEVED = pa.schema([("link", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sieve(similar, floor: float, low: float, t: pa.Table) -> pa.Table:
-    """First round, and the lists of the second: likely pairs (link, a, b) of early lists, and members (not link, list, id) of lists.
+    """Likely pairs (link, a, b) of early lists, and the parts of all lists (not link, part, id) that pairs at or above ``low`` connect.
 
-    The members of a list that pairs at or above ``low`` connect are a list of their own.
-    ``low`` is so far below the threshold that a link stays in one with all but
-    certainty. A list beyond BUCKET stays whole.
+    ``low`` is so far below the threshold that a link stays in one part with all but certainty.
     """
     which, ids, early = t.column("list").to_numpy(), t.column("id").to_numpy(), t.column("early").to_numpy()
-    sketch = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sketch")), np.uint8).reshape(len(ids), -1)
+    sketch = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sketch").combine_chunks()), np.uint8).reshape(len(ids), -1)
     order = np.lexsort((ids, which))
     which, ids, early, sketch = which[order], ids[order], early[order], sketch[order]
     cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
     n = np.diff(cut)
-    large = np.repeat(n > BUCKET, n)
-    links, names, members = [], [which[large]], [ids[large]]
-    for k in np.flatnonzero(n > BUCKET).tolist():
-        a, b = int(cut[k]), int(cut[k + 1])
-        if early[a]:
-            rest = np.arange(a + PIVOTS, b)
-            for at in (np.concatenate([np.arange(a, a + PIVOTS), rest[j : j + BUCKET]]) for j in range(0, len(rest), BUCKET)):
-                links += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in forest(similar(sketch[at, None], sketch[None, at]), floor)]
-    end = np.where(large, 0, np.repeat(cut[1:], n))
     left, right, value = [], [], []
+    for k in np.flatnonzero(n > SMALL).tolist():
+        a, b = int(cut[k]), int(cut[k + 1])
+        parent, est = _tree(sketch[a:b], similar, low)
+        at = np.flatnonzero(parent != np.arange(b - a))
+        left.append(a + np.minimum(at, parent[at]))
+        right.append(a + np.maximum(at, parent[at]))
+        value.append(est[at])
+    end = np.where(np.repeat(n > SMALL, n), 0, np.repeat(cut[1:], n))
     here, d = np.arange(len(ids)), 1
     while len(here := here[end[here] > here + d]):
         for lo in range(0, len(here), 1 << 16):
@@ -249,27 +209,26 @@ def _sieve(similar, floor: float, low: float, t: pa.Table) -> pa.Table:
             right.append(i[ok] + d)
             value.append(est[ok])
         d += 1
+    links, names, members = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if left:
         i, j, est = np.concatenate(left), np.concatenate(right), np.concatenate(value)
         order = np.lexsort((j, i, -est))
-        up = list(range(len(ids)))
-        for a, b, likely in zip(i[order].tolist(), j[order].tolist(), (est[order] >= floor).tolist()):
+        up, taken = list(range(len(ids))), []
+        for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
             ra, rb = _find(up, a), _find(up, b)
             if ra != rb:
                 up[max(ra, rb)] = min(ra, rb)
-                if likely and early[a]:
-                    links.append((int(ids[a]), int(ids[b])))
+                taken.append(k)
+        taken = np.array(taken, np.int64)
+        taken = taken[(est[taken] >= floor) & early[i[taken]]]
+        links = np.stack([ids[i[taken]], ids[j[taken]]], 1)
         at = np.unique(np.concatenate([i, j]))
         root = np.array([_find(up, k) for k in at.tolist()], np.int64)
-        _, of = np.unique(root, return_inverse=True)
-        weight, total, name = mix(ids[at].view(np.uint64)), np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        np.add.at(total, of, weight)
-        np.bitwise_xor.at(name, of, weight)
-        names.append((name ^ mix(total))[of].view(np.int64))
-        members.append(ids[at])
-    pairs = np.array(links, np.int64).reshape(-1, 2)
-    names, members = np.concatenate(names), np.concatenate(members)
-    return pa.table([pa.array(np.arange(len(pairs) + len(names)) < len(pairs)), pa.array(np.concatenate([pairs[:, 0], names])), pa.array(np.concatenate([pairs[:, 1], members]))], schema=_SIEVED)
+        order = np.argsort(root, kind="stable")
+        part = np.cumsum(np.diff(root[order], prepend=-1) > 0) - 1
+        members = ids[at[order]]
+        names = named_parts(part, members)
+    return pa.table([pa.array(np.arange(len(links) + len(names)) < len(links)), pa.array(np.concatenate([links[:, 0], names])), pa.array(np.concatenate([links[:, 1], members]))], schema=_SIEVED)
 
 
 def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -305,46 +264,45 @@ def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int)
     return out
 
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _compare(num: int, den: int, expand, t: pa.Table) -> pa.Table:
     task, ids, comp = (t.column(k).to_numpy() for k in ("task", "id", "comp"))
-    values = expand(t.column("values"))
+    raw = t.column("values").combine_chunks()
     order = np.lexsort((ids, task))
     cut = np.flatnonzero(np.concatenate([[True], task[order][1:] != task[order][:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
     out: list[tuple[int, int]] = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         at = order[a:b]
         if len(np.unique(comp[at])) > 1:
-            out += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in exact_links([values[k] for k in at], comp[at], num, den)]
+            out += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in exact_links(expand(raw.take(pa.array(at))), comp[at], num, den)]
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
 
 
-def remaining_links(lists: DataFrame, comp: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, num: int, den: int, expand, buckets: int) -> DataFrame:
-    """Second round: exact links between items that share a list but not yet a component.
+def remaining_links(parts: DataFrame, comp: DataFrame, sets: DataFrame, *, num: int, den: int, expand, buckets: int) -> DataFrame:
+    """Second round: exact links between members of a part that are not yet of one component.
 
-    Components that meet in a list form a cluster. In a cluster the items outside its
-    largest component are cut into blocks of BLOCK items, and so is the largest
-    component; every outside block meets every block once, in a task of its own. So
-    a large group costs tasks and copies of its outsiders, but no pair is a row.
+    The members outside a part's largest component are cut into blocks of BLOCK
+    items, and so is the largest component; every outside block meets every block once,
+    in a task of its own. So a large part costs tasks and copies of its outsiders,
+    but no pair is a row.
     """
-    member = lists.select("list", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = member.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list", "lo")
-    member = checkpoint(member.join(mixed, "list").select("id", "comp", "lo").distinct())
+    member = parts.join(comp, "id", "left").select("list", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = member.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    member = checkpoint(member.join(mixed, "list"))
     if member.isEmpty():
         return member.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    cluster = components(member.select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
-    item = member.select("id", "comp").distinct().join(cluster, "comp")
-    size = item.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("nm"), F.sum("n").alias("n"))
-    size = size.select("cluster", "main", F.ceil(F.col("nm") / BLOCK).cast("int").alias("bm"), F.ceil((F.col("n") - F.col("nm")) / BLOCK).cast("int").alias("bo"))
-    dealt = item.join(size, "cluster").selectExpr(
-        "id", "comp", "cluster",
+    size = member.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("list").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.max("n").alias("nm"), F.sum("n").alias("n"))
+    size = size.select("list", "main", F.ceil(F.col("nm") / BLOCK).cast("int").alias("bm"), F.ceil((F.col("n") - F.col("nm")) / BLOCK).cast("int").alias("bo"))
+    dealt = member.join(size, "list").selectExpr(
+        "id", "comp", "list",
         """explode(if(comp = main,
              transform(sequence(0, bo - 1), i -> struct(i as i, 1 as kind, cast(pmod(xxhash64(id), bm) as int) as j)),
              concat(transform(sequence(0, bo - 1), j -> struct(least(j, cast(pmod(xxhash64(id), bo) as int)) as i, 0 as kind, greatest(j, cast(pmod(xxhash64(id), bo) as int)) as j)),
                     transform(sequence(0, bm - 1), j -> struct(cast(pmod(xxhash64(id), bo) as int) as i, 1 as kind, j as j))))) as t""",
     )
-    dealt = dealt.select("id", "comp", F.xxhash64("cluster", "t.i", "t.kind", "t.j").alias("task"))
-    dealt = checkpoint(dealt)
-    sets = sets_of(dealt.select("id").distinct())
+    dealt = checkpoint(dealt.select("id", "comp", F.xxhash64("list", "t.i", "t.kind", "t.j").alias("task")))
     return dealt.join(sets, "id").select(F.pmod("task", F.lit(buckets)).cast("int").alias("bucket"), "task", "id", "comp", "values").groupBy("bucket").applyInArrow(lambda t: _compare(num, den, expand, t), "a long, b long")
 
 
@@ -360,7 +318,7 @@ def _confirm(num: int, den: int, expand, batches):
         ok = []
         for x, y in zip(*sets):
             small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if den * len(small) < num * len(large):
+            if not len(large) or den * len(small) < num * len(large):
                 ok.append(False)
                 continue
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
@@ -369,41 +327,56 @@ def _confirm(num: int, den: int, expand, batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def deal(items: DataFrame, buckets: int) -> DataFrame:
-    """Packed (key, id) pairs of (id, keys) rows, by bucket of the key."""
-    return items.select("id", "keys").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary")
+def _deal(n: int, batches) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy()
+                keys = np.frombuffer(b"".join(x.as_buffer() for x in b.column(1)), np.uint64).reshape(len(ids), -1)
+                yield dealt_keys(keys, ids, b.column(2).to_numpy(), n)
+
+    yield from packed_stream(parts(), n)
+
+
+def _lists(gap: int, t: pa.Table) -> pa.Table:
+    name, early, ids = bucket_lists(gap, unpacked(t, "p0", np.uint32), unpacked(t, "p1", np.int64), unpacked(t, "p2", np.uint8))
+    return pa.table({"list": pa.array(name), "early": pa.array(early), "id": pa.array(ids)})
+
+
+def key_lists(items: DataFrame, gap: int, buckets: int) -> DataFrame:
+    """(list, early, id) of the keys that items (id, keys, n) share."""
+    dealt = items.select("id", "keys", "n").mapInArrow(partial(_deal, buckets), "bucket int, p0 binary, p1 binary, p2 binary")
+    return dealt.groupBy("bucket").applyInArrow(lambda t: _lists(gap, t), "list long, early boolean, id long")
+
+
+def cut_large(lists: DataFrame) -> DataFrame:
+    """Lists beyond LARGE as blocks, every two of which are a list of their own; so no task holds a whole large list, and every pair still meets."""
+    size = checkpoint(lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE))
+    if size.isEmpty():
+        return lists
+    blocks = f"ceil(2 * n / {LARGE})"
+    cut = lists.join(size, "list", "left").selectExpr("list", "early", "id", f"if(n is null, null, cast({blocks} as int)) as b", f"if(n is null, 0, cast(pmod(xxhash64(id), {blocks}) as int)) as i")
+    cut = cut.selectExpr("list", "early", "id", "b", "i", "explode(if(b is null, array(0), sequence(0, b - 1))) as j")
+    return checkpoint(cut.selectExpr("if(b is null, list, xxhash64(list, least(i, j), greatest(i, j))) as list", "early", "id"))
 
 
-def linked_components(dealt: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int = 64, low: float | None = None) -> DataFrame:
+def linked_components(lists: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, low: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int) -> DataFrame:
     """(id, comp) of the items that have a link.
 
-    ``dealt`` has packed (key, id) pairs by bucket. ``sketches_of(ids)`` gives (id,
-    sketch) and ``sets_of(ids)`` (id, values), one row for each asked id and maybe for
-    others; ``expand`` makes the full sets (sorted 64-bit values) from these binaries.
-    With ``low``, lists are sieved by sketches before they count in the second round, as
-    chance meetings would chain most items to one cluster; ``similar`` then compares
-    along the last axis.
+    ``lists`` has (list, early, id) rows. ``sketches_of(ids)`` gives (id, sketch) and
+    ``sets_of(ids)`` (id, values), one row for each asked id and maybe for others;
+    ``expand`` makes the full sets (sorted 64-bit values) from these binaries.
+    ``similar`` estimates similarities along the last axis of sketches; ``floor`` makes
+    a likely pair, ``low`` keeps members of a list together.
     """
-    confirm, gap = partial(_confirm, num, den, expand), class_gap(num, den)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = checkpoint(pairs.distinct())
-        if pairs.isEmpty():
-            return pairs
-        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
-        return checkpoint(both.select("a", "b", "va", "vb").mapInArrow(confirm, "a long, b long"))
-
-    lists = checkpoint(dealt.groupBy("bucket").applyInArrow(lambda t: _lists(gap, t), "list long, early boolean, id long").groupBy("list", "id").agg(F.max("early").alias("early")))
-    early = lists.where("early").select("list", "id") if low is None else lists
-    early = early.join(sketches_of(early.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), *early.columns, "sketch")
-    if low is None:
-        likely = early.groupBy("bucket").applyInArrow(lambda t: _likely(similar, floor, t), "a long, b long")
-    else:
-        sieved = checkpoint(early.groupBy("bucket").applyInArrow(lambda t: _sieve(similar, floor, low, t), "link boolean, a long, b long"))
-        likely = sieved.where("link").select("a", "b")
-        lists = sieved.where("not link").select(F.col("a").alias("list"), F.col("b").alias("id")).distinct()
-    links = verified(likely)
+    lists = cut_large(checkpoint(lists.groupBy("list", "id").agg(F.max("early").alias("early"))))
+    asked = lists.join(sketches_of(lists.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "early", "id", "sketch")
+    sieved = checkpoint(asked.groupBy("bucket").applyInArrow(lambda t: _sieve(similar, floor, low, t), "link boolean, a long, b long"))
+    likely = sieved.where("link").select("a", "b").distinct()
+    parts = checkpoint(sieved.where("not link").select(F.col("a").alias("list"), F.col("b").alias("id")).distinct())
+    sets = checkpoint(sets_of(parts.select("id").distinct()))
+    both = likely.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
+    links = checkpoint(both.select("a", "b", "va", "vb").mapInArrow(partial(_confirm, num, den, expand), "a long, b long"))
     comp = components(links)
-    more = checkpoint(remaining_links(lists, comp, sets_of, num=num, den=den, expand=expand, buckets=4 * buckets))
+    more = checkpoint(remaining_links(parts, comp, sets, num=num, den=den, expand=expand, buckets=buckets))
     return comp if more.isEmpty() else components(links.union(more))

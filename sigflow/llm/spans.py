@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
-from sigflow.llm.text import Chunk, _grow, chunks, gram_hash, mix, packed, rewrite, row_chunks, span_hash, tokens, unpacked
-from sigflow.llm import text as _text
+from sigflow.llm.text import _POW, Chunk, chunks, gram_hash, keyed_texts, mix, packed_stream, poly, rewrite, row_chunks, span_hash, tokens, unpacked
+from sigflow.session import buckets as groups
 from sigflow.session import checkpoint, ship
 
 GRAM = 8
-BUCKETS = 128
-#: An automaton takes at most so many distinct contexts; the windows of larger groups are counted by hash.
-AUTOMATON = 512
+#: An automaton takes at most so many distinct contexts (some 50 MB of states); the windows of larger groups are counted by hash, exactly.
+AUTOMATON = 2048
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -71,19 +70,15 @@ def _bounds(a: Anchors, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digest(a: Anchors, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    _grow(len(a.word) + 1)
-    sums = np.zeros(len(a.word) + 1, np.uint64)
-    np.cumsum(a.word * _text._POW[: len(a.word)], out=sums[1:])
-    lo = a.pos - left
-    return mix((sums[a.pos + right] - sums[lo]) * _text._UNPOW[lo] + (left * 4096 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(poly(a.word, a.pos - left, a.pos + right) + (left * 4096 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _contexts(a: Anchors, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
-    """(anchors, 2 * length - 8) words as 32-bit hashes; 0 outside the document."""
+    """(anchors, 2 * length - 8) words as 64-bit hashes, odd ones; 0 outside the document."""
     at = np.arange(-(length - GRAM), length)[None, :]
     inside = (at >= -left[:, None]) & (at < right[:, None])
     idx = np.clip(a.pos[:, None] + at, 0, max(len(a.word) - 1, 0))
-    return np.where(inside, (a.word[idx] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+    return np.where(inside, a.word[idx] | np.uint64(1), np.uint64(0))
 
 
 def _pick(a: Anchors, ok: np.ndarray) -> Anchors:
@@ -95,11 +90,12 @@ def _bucket(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def _send_keys(length: int, n: int, batches):
-    for c in chunks(batches):
-        a = anchors(c, length)
-        key, count = np.unique(a.key, return_counts=True)
-        if (b := packed(_bucket(key, n), n, key, (count > 1).astype(np.uint8))) is not None:
-            yield b
+    def parts():
+        for c in chunks(batches):
+            key, count = np.unique(anchors(c, length).key, return_counts=True)
+            yield _bucket(key, n), key, (count > 1).astype(np.uint8)
+
+    return packed_stream(parts(), n)
 
 
 def _repeated(t: pa.Table) -> pa.Table:
@@ -110,18 +106,26 @@ def _repeated(t: pa.Table) -> pa.Table:
     return pa.table({"h": pa.array(value[(count > 1) | again].view(np.int64))})
 
 
+def _distinct(a: Anchors, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of one anchor for each (key, context digest), and how often each occurs, up to two."""
+    order = np.lexsort((d, a.key))
+    k, ds = a.key[order], d[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (ds[1:] != ds[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(k)))
+    return order[new], np.minimum(count, 2).astype(np.uint8)
+
+
 def _send_digests(length: int, n: int, keep, batches):
-    for c in chunks(batches):
-        a = anchors(c, length)
-        a = _pick(a, keep.value.has(a.key))
-        d = _digest(a, *_bounds(a, length))
-        order = np.lexsort((d, a.key))
-        k, d = a.key[order], d[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-        count = np.diff(np.append(np.flatnonzero(new), len(k)))
-        if (b := packed(_bucket(k[new], n), n, k[new], d[new], np.minimum(count, 2).astype(np.uint8))) is not None:
-            yield b
+    def parts():
+        for c in chunks(batches):
+            a = anchors(c, length)
+            a = _pick(a, keep.value.has(a.key))
+            d = _digest(a, *_bounds(a, length))
+            at, count = _distinct(a, d)
+            yield _bucket(a.key[at], n), a.key[at], d[at], count
+
+    return packed_stream(parts(), n)
 
 
 def _counted(t: pa.Table) -> pa.Table:
@@ -140,29 +144,27 @@ def _counted(t: pa.Table) -> pa.Table:
 
 
 def _send_contexts(length: int, n: int, keep, batches):
-    for c in chunks(batches, 2 << 20):
-        a = anchors(c, length)
-        a = _pick(a, keep.value.has(a.key))
-        left, right = _bounds(a, length)
-        d = _digest(a, left, right)
-        order = np.lexsort((d, a.key))
-        k, ds = a.key[order], d[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (ds[1:] != ds[:-1])
-        count = np.diff(np.append(np.flatnonzero(new), len(k)))
-        at = order[new]
-        a, left, right = _pick(a, at), left[at], right[at]
-        ctx = _contexts(a, left, right, length)
-        width = ctx.shape[1] * 4
-        if (b := packed(_bucket(a.key, n), n, a.key, d[at], np.minimum(count, 2).astype(np.uint8), left.astype(np.uint8), right.astype(np.uint8), ctx.view(np.dtype((np.void, width)))[:, 0] if len(ctx) else np.zeros(0, np.dtype((np.void, width))))) is not None:
-            yield b
+    def parts():
+        for c in chunks(batches):
+            a = anchors(c, length)
+            a = _pick(a, keep.value.has(a.key))
+            left, right = _bounds(a, length)
+            d = _digest(a, left, right)
+            at, count = _distinct(a, d)
+            for lo in range(0, len(at), 1 << 14):
+                k = at[lo : lo + (1 << 14)]
+                some = _pick(a, k)
+                ctx = _contexts(some, left[k], right[k], length)
+                yield _bucket(some.key, n), some.key, d[k], count[lo : lo + (1 << 14)], left[k].astype(np.uint8), right[k].astype(np.uint8), ctx.view(np.dtype((np.void, ctx.shape[1] * 8)))[:, 0]
+
+    return packed_stream(parts(), n, 1 << 15)
 
 
 def _resolve(length: int, resolver, t: pa.Table) -> pa.Table:
     """(h, c, mask): bit i of mask says that the window starting i words after the context's leftmost reach is repeated."""
     k, d, n = unpacked(t, "p0", np.uint64), unpacked(t, "p1", np.uint64), unpacked(t, "p2", np.uint8)
     left, right = unpacked(t, "p3", np.uint8), unpacked(t, "p4", np.uint8)
-    ctx = unpacked(t, "p5", np.uint32).reshape(len(k), 2 * length - GRAM)
+    ctx = unpacked(t, "p5", np.uint64).reshape(len(k), 2 * length - GRAM)
     order = np.lexsort((d, k))
     new = np.ones(len(k), bool)
     new[1:] = (k[order][1:] != k[order][:-1]) | (d[order][1:] != d[order][:-1])
@@ -196,7 +198,7 @@ def by_suffix_array(k, ctx, count, left, right, length) -> np.ndarray:
     key = k.astype(">u8").view(np.uint8).reshape(m, 8)
 
     def classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.concatenate([key, np.ascontiguousarray(words.astype(">u4")).view(np.uint8).reshape(m, -1)], 1)
+        raw = np.concatenate([key, np.ascontiguousarray(words.astype(">u8")).view(np.uint8).reshape(m, -1)], 1)
         order = np.argsort(np.ascontiguousarray(raw).view(np.dtype(("S", raw.shape[1])))[:, 0], kind="stable")
         w, kk = words[order], k[order]
         same = w[1:] == w[:-1]
@@ -222,8 +224,8 @@ def by_window_hash(ctx, count, left, right, length) -> np.ndarray:
     """Windows of the contexts of one anchor, counted by hash offset by offset."""
     ok = _valid(left, right, length)
     rep = np.zeros_like(ok)
-    wide = mix(ctx.astype(np.uint64).ravel()).reshape(ctx.shape)
-    power = _text._POW[:length]
+    wide = mix(ctx.ravel()).reshape(ctx.shape)
+    power = _POW[:length]
     for off in range(ok.shape[1]):
         use = np.flatnonzero(ok[:, off])
         if len(use):
@@ -309,12 +311,12 @@ def by_automaton(k, ctx, count, left, right, length) -> np.ndarray:
     out = np.zeros(len(k), np.uint64)
     reach = length - GRAM
     cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    place = np.arange(ctx.shape[1], dtype=np.int64)
+    place = np.arange(ctx.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if b - a > AUTOMATON:
             out[a:b] = by_window_hash(ctx[a:b], count[a:b], left[a:b], right[a:b], length)
             continue
-        coded = (ctx[a:b].astype(np.int64) << 8) | place
+        coded = mix((ctx[a:b] + place).ravel()).reshape(b - a, -1).view(np.int64)
         words = [row[reach - lo : reach + hi].tolist() for row, lo, hi in zip(coded, left[a:b].tolist(), right[a:b].tolist())]
         sam = SuffixAutomaton()
         for w, n in zip(words, count[a:b].tolist()):
@@ -334,7 +336,7 @@ def _occurrences(length: int, keep, batches):
         a = anchors(c, length)
         a = _pick(a, keep.value.has(a.key))
         d = _digest(a, *_bounds(a, length))
-        yield pa.record_batch([pa.array(a.key.view(np.int64)), pa.array(d.view(np.int64)), pa.array(c.ids[a.doc]), pa.array((a.pos - a.first[a.doc]).astype(np.int32))], names=["h", "c", "doc_id", "pos"])
+        yield pa.record_batch([pa.array(a.key.view(np.int64)), pa.array(d.view(np.int64)), pa.array(c.ids[a.doc]), pa.array((a.pos - a.first[a.doc]).astype(np.int32))], names=["h", "c", "row", "pos"])
 
 
 def gone_words(c: Chunk, pos: pa.Array, mask: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -389,16 +391,13 @@ def _kept_text(length: int, c: Chunk, pos: pa.Array, mask: pa.Array) -> list[byt
     return out
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-
-
-def repeat_marks(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, pos, mask) arrays: anchors of each document with repeated windows, and which windows over each."""
+def repeat_marks(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """(row, pos, mask) arrays: anchors of each text with repeated windows, and which windows over each; rows are named by ``row_key``."""
     if not GRAM < length <= GRAM + 63:
         raise ValueError("length must be 9 to 71")
     spark = ship(docs.sparkSession)
-    texts = _texts(docs, id_col, text_col)
+    buckets = buckets or groups(spark)
+    texts = keyed_texts(docs, id_col, text_col).select("row", "text")
     share = spark.sparkContext.broadcast
 
     def dealt(f, n_cols: int) -> DataFrame:
@@ -411,7 +410,7 @@ def repeat_marks(docs: DataFrame, *, length: int, resolver=by_automaton, id_col:
     solved = dealt(partial(_send_contexts, length, buckets, mixed), 6).applyInArrow(lambda t: _resolve(length, resolver, t), "h long, c long, mask long")
     every = F.lit(-1).cast("long")  # all windows of a context that occurs twice; those outside the document are not there to remove
     marks = counted.where("twice and not mixed").select("h", "c", every.alias("mask")).union(solved.join(counted.where("mixed").select("h", "c"), ["h", "c"], "left_semi"))
-    return texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, doc_id long, pos int").join(marks, ["h", "c"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")).select("doc_id", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask"))
+    return texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, row long, pos int").join(marks, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")).select("row", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,15 +421,21 @@ def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_co
     one document; windows are judged on the input.
 
     Null, empty and short texts have no window and stay whole. Rows with a null id
-    are left out. A repeated row repeats all its windows. An empty table gives an
-    empty result. Other columns are not looked at. ``length`` may be 9 to 71.
+    are left out. Two texts under one id are two documents; a repeated row repeats
+    all its windows. A text may be of any length. An empty table gives an empty
+    result. Other columns are not looked at. ``length`` may be 9 to 71.
     """
     marks = repeat_marks(docs, length=length, resolver=resolver, id_col=id_col, text_col=text_col)
-    rows = _texts(docs, id_col, text_col).join(marks, "doc_id", "left").select("doc_id", "text", "pos", "mask")
+    rows = keyed_texts(docs, id_col, text_col).join(marks.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "pos", "mask")
     return rows.mapInArrow(partial(_remove, length), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every column, the texts rid of repeated passages. Null texts stay null; rows with a null id stay as they are."""
+    """``docs`` with every column, the texts rid of repeated passages.
+
+    Null texts stay null; rows with a null id stay as they are and their windows
+    count nowhere. A repeated row repeats all its windows, so nothing but its short
+    rest is left. An empty table stays empty.
+    """
     marks = repeat_marks(docs, length=length, resolver=resolver, id_col=id_col, text_col=text_col)
     return rewrite(docs, marks, lambda c, p, m: _kept_text(length, c, p, m), text_col, id_col)

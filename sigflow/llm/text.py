@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; bounds the memory of every kernel.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,15 +38,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_POW = _powers(_BASE, 1 << 16)
-_UNPOW = _powers(_UNBASE, 1 << 16)
-
-
-def _grow(n: int) -> None:
-    global _POW, _UNPOW
-    if len(_POW) < n:
-        size = 1 << int(n - 1).bit_length()
-        _POW, _UNPOW = _powers(_BASE, size), _powers(_UNBASE, size)
+#: Polynomials are summed in sections of this many items, so their tables stay small however long a text is.
+_SECTION = 1 << 16
+_POW = _powers(_BASE, _SECTION)
+_UNPOW = _powers(_UNBASE, _SECTION)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,28 +116,47 @@ def tokens(c: Chunk, data: np.ndarray | None = None, breaks: np.ndarray | None =
     return starts, ends, np.searchsorted(starts, c.off)
 
 
+def poly(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of values[start + i] * base**i for each span, by running sums inside sections; the few spans that cross sections are put together."""
+    sums = np.empty(len(values), np.uint64)
+    for lo in range(0, len(values), _SECTION):
+        part = values[lo : lo + _SECTION]
+        np.cumsum(part * _POW[: len(part)], out=sums[lo : lo + _SECTION])
+    place = starts & (_SECTION - 1)
+
+    def between(s, e, place):
+        return (sums[e - 1] - np.where(place > 0, sums[np.maximum(s, 1) - 1], np.uint64(0))) * _UNPOW[place]
+
+    out = between(starts, ends, place) if len(values) else np.zeros(len(starts), np.uint64)
+    for k in np.flatnonzero((starts // _SECTION != (ends - 1) // _SECTION) | (ends <= starts)).tolist():
+        total, at, e = 0, int(starts[k]), int(ends[k])
+        while at < e:
+            z = min(e, (at // _SECTION + 1) * _SECTION)
+            total += int(between(np.array([at]), np.array([z]), np.array([at % _SECTION]))[0]) * pow(_BASE, at - int(starts[k]), 1 << 64)
+            at = z
+        out[k] = total & _MASK
+    return out
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: a polynomial over random byte values, by prefix sums, then mixed."""
-    n = len(data)
-    _grow(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * _POW[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _UNPOW[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+    """A 64-bit hash of each byte span: a polynomial over random byte values, then mixed."""
+    return mix(poly(_BYTE[data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of h[i:i+k] for every i (len(h) - k + 1 of them)."""
+    """Hash of h[i:i+k] for every i (len(h) - k + 1 of them), put together from runs of doubling length."""
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    _grow(len(h) + 1)
-    sums = np.empty(len(h) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(h * _POW[: len(h)], out=sums[1:])
-    return mix((sums[k:] - sums[:m]) * _UNPOW[:m])
+    out, done, part, width = np.zeros(m, np.uint64), 0, h, 1
+    while True:
+        if k & width:
+            out += part[done : done + m] * _POW[done]
+            done += width
+        if done == k:
+            return mix(out)
+        part = part[:-width] + part[width:] * _POW[width]
+        width *= 2
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -181,6 +195,25 @@ def packed(bucket: np.ndarray, n: int, *columns: np.ndarray) -> pa.RecordBatch |
     return pa.record_batch([pa.array(keep.astype(np.int32)), *(binary_offsets(edges, c[order]) for c in columns)], names=["bucket", *(f"p{i}" for i in range(len(columns)))])
 
 
+def packed_stream(parts, n: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``packed`` rows of (bucket, columns ...) parts, held back until they have ``limit`` values: rows stay large where buckets are many."""
+    held, size = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size >= limit:
+            yield packed(*_joined(held, n))
+            held, size = [], 0
+    if held:
+        yield packed(*_joined(held, n))
+
+
+def _joined(held: list[tuple], n: int) -> tuple:
+    bucket, *columns = (np.concatenate(c) for c in zip(*held))
+    return bucket, n, *columns
+
+
 def unpacked(table: pa.Table, name: str, dtype) -> np.ndarray:
     """All values of a packed column."""
     parts = [np.frombuffer(x.as_buffer(), dtype) for x in table.column(name) if x.is_valid]
@@ -192,18 +225,30 @@ def row_chunks(batch: pa.RecordBatch, text: int, size: int = CHUNK_BYTES) -> Ite
     return chunks([pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column(text)], names=["row", "text"])], size)
 
 
+def row_key(id_col: str, text_col: str):
+    """Names a row by its id and text, so that two texts under one id stay apart; rows equal in both are one."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, doc_id) of the rows that have an id."""
+    return docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+
+
 def rewrite(docs: DataFrame, marks: DataFrame, new_text, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with texts changed by ``new_text(chunk, mark columns of its rows)``, a list of bytes or None for each row.
 
-    ``marks`` has doc_id and further columns, one row an id at most; all other columns
-    of ``docs`` pass through, whatever their names. Rows without a mark, a null id among
-    them, get null marks.
+    ``marks`` has row (``row_key``) and further columns, one line a row at most; all other
+    columns of ``docs`` pass through, whatever their names. Rows without a mark, those
+    with a null id among them, get null marks.
     """
     others = [c for c in docs.columns if c != text_col]
-    names = [c for c in marks.columns if c != "doc_id"]
+    names = [c for c in marks.columns if c != "row"]
     row = F.struct(*(docs[c] for c in others)) if others else F.struct(F.lit(1).alias("none"))
-    marks = marks.select(F.col("doc_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in names))
-    joined = docs.join(marks, docs[id_col].cast("long") == marks["__id"], "left").select(row.alias("__row"), docs[text_col].cast("string").alias("__text"), *(f"__{c}" for c in names))
+    key = F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")))
+    marks = marks.select(F.col("row").alias("__key"), *(F.col(c).alias(f"__{c}") for c in names))
+    bare = docs.select(row.alias("__row"), docs[text_col].cast("string").alias("__text"), key.alias("__of"))
+    joined = bare.join(marks.hint("shuffle_hash"), bare["__of"] == marks["__key"], "left").select("__row", "__text", *(f"__{c}" for c in names))
 
     def run(batches):
         for b in batches:

@@ -119,8 +119,9 @@ def test_odd_sketches_estimate(spark):
     for share in (0.95, 0.9, 0.8):
         m = int(4000 * share)
         b = np.concatenate([a[:m], RNG.integers(0, 1 << 63, 4000 - m).astype(np.uint64)])
-        sig = minhash.signatures(np.concatenate([a, b]), np.array([0, 4000, 8000]), neardup.SAMPLES)
-        est = minhash.odd_similarity(neardup.SAMPLES, *(minhash.odd_sketch(sig[i : i + 1], neardup.SKETCH_BITS) for i in (0, 1)))[0, 0]
+        both = (np.concatenate([a, b]) >> np.uint64(32)).astype(np.uint32)
+        sig = minhash.signatures(both, np.array([0, 4000]), np.array([4000, 4000]), neardup.SAMPLES)
+        est = minhash.odd_similarity(neardup.SAMPLES, *(minhash.odd_sketch(sig[i : i + 1], neardup.SKETCH_BITS) for i in (0, 1)))[0]
         assert abs(est - m / (8000 - m)) < 0.15
 
 
@@ -171,7 +172,7 @@ def test_fuzzy_lines(spark, corpus):
     seen = {}
     for d, t in enumerate(texts):
         for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= lines.MIN_CHARS and WORD.search(x):
+            if WORD.search(x):
                 seen.setdefault(x, []).append((d, k))
     comp = brute_components([{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in seen], 80)
     keeper = {}
@@ -207,29 +208,83 @@ def test_fuzzy_lines_among_many_alike(spark):
     assert len(set(comp)) > 61 and got == {i: int(c != i) for i, c in enumerate(comp)}
 
 
-@pytest.mark.parametrize("bucket", [1024, 24])
-def test_sieve_keeps_near_items_together(monkeypatch, bucket):
-    monkeypatch.setattr(minhash, "BUCKET", bucket)
-    monkeypatch.setattr(minhash, "PIVOTS", 4)
+@pytest.mark.parametrize("small", [64, 24])
+def test_sieve_keeps_near_items_together(monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
     near = np.where(RNG.random((60, 32)) < 0.1, RNG.integers(0, 256, (60, 32)), RNG.integers(0, 256, 32)).astype(np.uint8)
     sketch = np.concatenate([near, RNG.integers(0, 256, (4, 32), dtype=np.uint8)])
     t = pa.table({"list": [1] * 62 + [2] * 2, "early": [True] * 64, "id": list(range(64)), "sketch": [r.tobytes() for r in sketch]})
     rows = minhash._sieve(minhash.byte_matches, 0.7, 0.38, t).to_pylist()
-    lists = defaultdict(set)
+    parts = defaultdict(set)
     for r in rows:
         if not r["link"]:
-            lists[r["a"]].add(r["b"])
-    assert list(lists.values()) == [set(range(60 if bucket > 62 else 62))]
+            parts[r["a"]].add(r["b"])
+    assert list(parts.values()) == [set(range(60))]
     pairs = [(r["a"], r["b"]) for r in rows if r["link"]]
-    assert {x for p in pairs for x in p} == set(range(60)) and len(pairs) < 70
+    assert {x for p in pairs for x in p} == set(range(60)) and len(pairs) == 59
+
 
+def test_bucket_lists():
+    key, ids = np.array([5, 5, 5, 7, 7, 9, 5, 8, 8, 8], np.uint32), np.array([1, 2, 3, 1, 2, 4, 1, 1, 2, 9])
+    size = np.array([10, 10, 40, 10, 10, 10, 10, 10, 10, 12], np.uint8) | np.array([0, 0, 0, 128, 128, 0, 0, 0, 0, 0], np.uint8)
+    name, early, got = minhash.bucket_lists(2, key, ids, size)
+    lists = defaultdict(set)
+    for a, b in zip(name.tolist(), got.tolist()):
+        lists[a].add(b)
+    assert sorted(map(sorted, lists.values())) == [[1, 2], [1, 2, 9]]
+    assert sorted(early.tolist()) == [False] * 5 + [True] * 2
 
-def test_bands_of_lines_miss_no_pair_at_the_threshold():
+
+@pytest.mark.parametrize("dtype", [np.uint16, np.uint32])
+def test_bands_of_lines_miss_no_pair_at_the_threshold(dtype):
     rng, n = np.random.default_rng(5), 40000
     both, own = rng.integers(0, 1 << 63, (n, 72)), rng.integers(0, 1 << 63, (2, n, 9))
-    h = np.concatenate([np.concatenate([both, x], 1) for x in own]).ravel().astype(np.uint64)
-    keys = minhash.band_keys(minhash.signatures(h, np.arange(2 * n + 1) * 81, lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS)
-    assert (keys[:n] == keys[n:]).any(1).all()
+    h = np.concatenate([np.concatenate([both, x], 1) for x in own]).ravel().astype(dtype)
+    keys = minhash.band_keys(minhash.signatures(h, np.arange(2 * n) * 81, np.full(2 * n, 81), lines.BANDS * lines.ROWS), lines.BANDS, lines.ROWS)
+    assert (~(keys[:n] == keys[n:]).any(1)).sum() <= 1
+
+
+def test_signatures_are_minima_whatever_the_sizes():
+    v = RNG.integers(0, 1 << 32, 5000, dtype=np.uint32)
+    starts, sizes = np.array([0, 10, 10, 4000, 7, 30]), np.array([3, 0, 700, 1000, 1, 40])
+    got, a = minhash.signatures(v, starts, sizes, 8), minhash.coefficients(8)
+    for i, (s, n) in enumerate(zip(starts, sizes)):
+        assert got[i].tolist() == ([min((int(x) | 1) * int(k) % (1 << 32) for x in v[s : s + n]) for k in a] if n else [0xFFFFFFFF] * 8)
+
+
+def test_lists_beyond_the_limit_become_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 10)
+    df = spark.createDataFrame([(1, True, i) for i in range(35)] + [(2, False, 1), (2, False, 2)], "list long, early boolean, id long")
+    lists = defaultdict(set)
+    for r in minhash.cut_large(df).collect():
+        lists[r.list].add(r.id)
+    assert {(a, b) for x in lists.values() for a in x for b in x} >= {(a, b) for a in range(35) for b in range(35)} and lists[2] == {1, 2}
+    assert max(map(len, lists.values())) < 35
+
+
+def test_two_texts_under_one_id(spark):
+    shared = prose(80)
+    line = "a line of text that is long enough to be compared"
+    texts = [f"{prose(300)}\n{line}", prose(5), f"{shared}\n{line}", f"{shared} tail", f"short\n{line}"]
+    ids = [1, 1, 2, 3, 1]
+    df = frame(spark, texts, ids)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in spans.remove_repeats(df, length=35).collect())
+    assert got == sorted((i, *x) for i, x in zip(ids, brute_repeats(texts, 35)))
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect())
+    assert got == [(1, 1, 0), (1, 2, 0), (1, 2, 1), (2, 2, 1), (3, 1, 1)] or got == sorted((i, len(t.split("\n")), k) for i, t, k in zip(ids, texts, (1, 0, 1, 1, 0)))
+    left = {(r.doc_id, r.text) for r in lines.without_repeated_lines(df).collect()}
+    assert (1, texts[1]) in left and sum(line in t for _, t in left) == 1
+
+
+def test_a_frequent_line_and_many_near_copies(spark):
+    base = "".join(RNG.choice(list("abcdefghijklmnopqrstuvwxyz "), 120))
+    near = ["".join("#" if RNG.random() < 0.01 else x for x in base) for _ in range(5000)]
+    texts = [f"the same line in all\n{x}" for x in near]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    distinct = list(dict.fromkeys(near))
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in distinct]
+    alone = sum(not any(len(s & t) * 100 >= 80 * len(s | t) for t in sets if t is not s) for s in sets)
+    assert got[0] == 0 and sum(1 for n in got.values() if n == 1) <= alone + 1
 
 
 def test_bpe_equals_the_library(spark, corpus):
