@@ -22,14 +22,14 @@ from sigflow.llm.graph import components
 from sigflow.llm.text import mix, packed_stream, unpacked
 from sigflow.session import checkpoint
 
-#: Bytes hashed at once by one sample.
-_BLOCK = 1 << 18
+#: Bytes hashed at once by one sample, and the height of a column.
+_BLOCK, _HIGH = 1 << 18, 32
 #: Bands whose lists give likely pairs; all bands count in the second round.
 EARLY = 4
 #: Lists up to SMALL are sieved together, pair by pair; larger ones grow a tree each. Lists beyond LARGE are cut to blocks, every two of which are a list.
 SMALL, LARGE = 64, 4096
-#: Items of a block in the exact second round.
-BLOCK = 256
+#: Items of a block in the exact second round; up to FEW are compared pair by pair, more by a matrix.
+BLOCK, FEW = 256, 4
 
 
 def coefficients(k: int, dtype=np.uint32) -> np.ndarray:
@@ -41,8 +41,8 @@ def coefficients(k: int, dtype=np.uint32) -> np.ndarray:
 def signatures(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     """(items, k) MinHash values of the sets v[start:start+size], v being hashed values of 16 or 32 bits; an empty set has all ones.
 
-    Sets of like size become columns of one matrix (a set's last value repeats), so
-    that the minima run down columns, many at a time.
+    Sets of like size are laid out together, each as some columns of _HIGH values (its
+    last value repeats), so that the minima run down many columns at a time.
     """
     v = v | v.dtype.type(1)
     a = coefficients(k, v.dtype)
@@ -51,15 +51,15 @@ def signatures(v: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) ->
     n = sizes[order]
     at = int(np.searchsorted(n, 1))
     while at < len(n):
-        room = max(1, _BLOCK // v.itemsize // int(n[at]))
-        z = min(int(np.searchsorted(n, n[at] + n[at] // 4 + 4, "right")), at + room)
-        high = int(n[z - 1])
-        part = v[starts[order[at:z]][None, :] + np.minimum(np.arange(high)[:, None], n[None, at:z] - 1)]
-        buf, low = np.empty_like(part), np.empty((k, z - at), v.dtype)
+        z = min(int(np.searchsorted(n, n[at] + n[at] // 4 + 4, "right")), at + max(1, _BLOCK // v.itemsize // int(n[at])))
+        columns = -(-int(n[z - 1]) // _HIGH)
+        place = np.arange(_HIGH)[:, None, None] + np.arange(columns)[None, :, None] * _HIGH
+        part = v[starts[order[at:z]] + np.minimum(place, n[at:z] - 1)].reshape(_HIGH, -1)
+        buf, low = np.empty_like(part), np.empty((k, part.shape[1]), v.dtype)
         for j in range(k):
             np.multiply(part, a[j], out=buf)
             np.minimum.reduce(buf, axis=0, out=low[j])
-        out[:, order[at:z]] = low
+        out[:, order[at:z]] = low.reshape(k, columns, z - at).min(1)
         at = z
     return out.T
 
@@ -99,7 +99,7 @@ def byte_matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same / x.shape[-1] - 1 / 256) / (1 - 1 / 256)
 
 
-def _find(up: list[int], i: int) -> int:
+def _find(up: list[int] | dict[int, int], i: int) -> int:
     while up[i] != i:
         up[i] = up[up[i]]
         i = up[i]
@@ -247,9 +247,10 @@ def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int)
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     both = np.zeros((len(values), len(values)), np.float32)
+    width = min(4096, int(shared.sum()))
     for lo in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(col, [lo, lo + 4096])
-        x = np.zeros((len(values), 4096), np.float32)
+        x = np.zeros((len(values), width), np.float32)
         x[owner[a:b], col[a:b] - lo] = 1
         both += x @ x.T
     either = n[:, None] + n[None, :] - both
@@ -267,16 +268,45 @@ def exact_links(values: list[np.ndarray], comp: np.ndarray, num: int, den: int)
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _share(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets (sorted values) have den * |both| >= num * |either|."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(large) or den * len(small) < num * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _few_links(values: list[np.ndarray], comp: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """``exact_links`` of a few sets, pair by pair."""
+    up, out = {c: c for c in comp}, []
+    for j in range(len(values)):
+        for i in range(j):
+            p, q = _find(up, comp[i]), _find(up, comp[j])
+            if p != q and _share(values[i], values[j], num, den):
+                up[max(p, q)] = min(p, q)
+                out.append((i, j))
+    return out
+
+
 def _compare(num: int, den: int, expand, t: pa.Table) -> pa.Table:
     task, ids, comp = (t.column(k).to_numpy() for k in ("task", "id", "comp"))
     raw = t.column("values").combine_chunks()
     order = np.lexsort((ids, task))
-    cut = np.flatnonzero(np.concatenate([[True], task[order][1:] != task[order][:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
+    task, ids, comp = task[order], ids[order], comp[order]
+    cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]])) if len(ids) else np.zeros(1, np.int64)
     out: list[tuple[int, int]] = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        at = order[a:b]
-        if len(np.unique(comp[at])) > 1:
-            out += [(int(ids[at[i]]), int(ids[at[j]])) for i, j in exact_links(expand(raw.take(pa.array(at))), comp[at], num, den)]
+    at = 0
+    while at < len(cut) - 1:  # the sets of some 512 rows are made at once
+        z = max(at + 1, int(np.searchsorted(cut, cut[at] + 2 * BLOCK, "right")) - 1)
+        base = int(cut[at])
+        values = expand(raw.take(pa.array(order[base : cut[z]])))
+        for a, b in zip(cut[at:z].tolist(), cut[at + 1 : z + 1].tolist()):
+            some = values[a - base : b - base]
+            found = _few_links(some, comp[a:b].tolist(), num, den) if b - a <= FEW else exact_links(some, comp[a:b], num, den)
+            out += [(int(ids[a + i]), int(ids[a + j])) for i, j in found]
+        at = z
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)
 
 
@@ -315,15 +345,7 @@ def _confirm(num: int, den: int, expand, batches):
     """Pairs whose full sets (sorted 64-bit values) have den * |both| >= num * |either|."""
     for b in batches:
         sets = [expand(b.column(k)) for k in (2, 3)]
-        ok = []
-        for x, y in zip(*sets):
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if not len(large) or den * len(small) < num * len(large):
-                ok.append(False)
-                continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            ok.append(den * both >= num * (len(x) + len(y) - both))
+        ok = [_share(x, y, num, den) for x, y in zip(*sets)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
