@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import components
-from sigflow.llm.text import mix, packed_stream, unpacked
+from sigflow.llm.text import distinct, mix, packed_stream, unpacked
 from sigflow.session import checkpoint
 
 #: Bytes hashed at once by one sample, and the height of a column.
@@ -140,7 +140,7 @@ def bucket_lists(gap: int, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -
     link crosses the cut.
     """
     line = np.sort(key)
-    again = np.unique(line[1:][line[1:] == line[:-1]])
+    again = distinct(line[1:][line[1:] == line[:-1]])
     if not len(again):
         return ids[:0], np.zeros(0, bool), ids[:0]
     ok = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
