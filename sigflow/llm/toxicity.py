@@ -10,31 +10,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, row_chunks
-from sigflow.session import ship
+from sigflow.llm.graph import KeyFilter
+from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, row_chunks, unpacked
+from sigflow.session import checkpoint, ship
 
-#: Hashed feature space, n-gram orders, features kept for the linear model.
-BITS, ORDERS, KEPT = 20, (4, 6, 8, 10), 16384
-#: Labelled rows that a fit looks at, at most: those with the smallest hash of the id.
+#: Hashed feature space, n-gram orders, features kept for the linear model, documents that must hold a kept feature.
+BITS, ORDERS, KEPT, LEAST = 20, (3, 4, 5, 6), 16384, 5
+#: Labelled rows of the linear fit, at most: those with the smallest hash of the id. Counts see all labelled rows.
 MAX_ROWS = 12_000
+#: Occurrences in 1,000 characters at which a feature has half its full value; weight of label 1 in the fit; L2 penalty.
+HALF, POSITIVE, L2 = 4.0, 4.0, 1.0
 THRESHOLD = 0.7
 _SHARDS = 64
+_CHUNK = 512 << 10
 _FOLD = "crc32(cast(doc_id as string)) % 3 = 1"
 
 
-def grams(c: Chunk) -> Iterator[np.ndarray]:
-    """For each order the hashed n-gram that starts at each byte; -1 where it would leave its document.
+def characters(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and each text's first (documents + 1). Letters A-Z count as a-z and every blank as a space."""
+    data = np.where(_BLANK[c.data], 32, lower_ascii(c.data)).astype(np.uint8)
+    off = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[c.off]
+    point = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return point, np.minimum(off, len(point))
 
-    Letters A-Z count as a-z and every blank as a space.
-    """
-    data = lower_ascii(c.data)
-    data = np.where(_BLANK[c.data], 32, data).astype(np.uint32)
-    n = len(data)
-    room = np.repeat(c.off[1:], np.diff(c.off)) - np.arange(n)
+
+def grams(point: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order the hashed n-gram that starts at each character; -1 where it would leave its document."""
+    n = len(point)
+    room = np.repeat(off[1:], np.diff(off)) - np.arange(n)
     h = np.zeros(n, np.uint32)
     for j in range(max(ORDERS)):
         h = h[: max(n - j, 0)]
-        h = (h ^ data[j:]) * np.uint32((0x01000193 + 2 * j * 0x3D4D51) & 0xFFFFFFFF)
+        h = (h ^ point[j:]) * np.uint32((0x01000193 + 2 * j * 0x3D4D51) & 0xFFFFFFFF)
         h ^= h >> np.uint32(15)
         if (k := j + 1) in ORDERS:
             out = np.full(n, -1, np.int32)
@@ -43,61 +50,72 @@ def grams(c: Chunk) -> Iterator[np.ndarray]:
             yield out
 
 
-def presence(c: Chunk, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs; with ``slot`` only features that have one, renamed to it."""
-    doc = np.repeat(np.arange(len(c), dtype=np.int64), np.diff(c.off))
+def occurrences(c: Chunk, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, times) of all pairs that occur, and each text's characters; with ``slot`` only features that have one, renamed to it."""
+    point, off = characters(c)
+    doc = np.repeat(np.arange(len(c), dtype=np.int64), np.diff(off)) << 32
     keys = []
-    for h in grams(c):
-        ok = h >= 0
+    for h in grams(point, off):
         if slot is not None:
-            s = slot[h]  # -1 finds the last slot; it is masked out
-            ok &= s >= 0
-            h = s
-        keys.append(doc[ok] << 32 | h[ok].astype(np.int64))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key >> 32, key & 0xFFFFFFFF
+            h = slot[h]  # -1 finds the last slot, which is always free
+        ok = h >= 0
+        keys.append(doc[ok] | h[ok])
+    key = np.sort(np.concatenate(keys))
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key))), np.diff(off)
+
+
+def values(doc: np.ndarray, times: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A feature's value in a text, between 0 and 1: its occurrences in 1,000 characters, dampened."""
+    often = times * 1000.0 / np.maximum(size[doc], 1)
+    return often / (often + HALF)
 
 
 def _counts(batches):
-    """Documents of each class that hold each feature, as 64 shards of the feature space."""
-    total = np.zeros((2, 1 << BITS), np.int64)
-    rows = np.zeros(2, np.int64)
+    """(feature, documents and occurrences in class 0, the same in class 1) of the features that a task meets, packed by shard; feature -1 counts all."""
+    total = np.zeros((4, 1 << BITS), np.int64)
+    rows = np.zeros(4, np.int64)
     for b in batches:
-        label = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
-        for c in chunks([b.select([0, 1])], 1 << 20):
-            y = np.array([label[i] for i in c.ids.tolist()])
-            rows += np.bincount(y, minlength=2)
-            d, f = presence(c)
+        y = b.column(0).to_numpy()
+        for c in row_chunks(b, 1, _CHUNK):
+            label = y[c.ids]
+            d, f, times, _ = occurrences(c)
             for k in (0, 1):
-                total[k] += np.bincount(f[y[d] == k], minlength=1 << BITS)
-    flat = np.concatenate([total.reshape(2, _SHARDS, -1).transpose(1, 0, 2).reshape(_SHARDS, -1), np.tile(rows, (_SHARDS, 1))], 1)
-    yield packed(np.repeat(np.arange(_SHARDS), flat.shape[1]), _SHARDS, flat.ravel())
+                ok = label[d] == k
+                total[2 * k] += np.bincount(f[ok], minlength=1 << BITS)
+                total[2 * k + 1] += np.bincount(f[ok], times[ok], minlength=1 << BITS).astype(np.int64)
+                rows[2 * k] += int((label == k).sum())
+                rows[2 * k + 1] += int(times[ok].sum())
+    if rows.any():
+        at = np.flatnonzero(total.any(0))
+        yield packed(np.append(at % _SHARDS, 0), _SHARDS, np.append(at, -1).astype(np.int32), *(np.append(total[k][at], rows[k]) for k in range(4)))
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    vecs = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("p0")]
-    return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "p0": [np.sum(vecs, 0).tobytes()]}, schema=pa.schema([("bucket", pa.int32()), ("p0", pa.binary())]))
+    f, back = np.unique(unpacked(t, "p0", np.int32), return_inverse=True)
+    sums = [np.bincount(back, unpacked(t, f"p{k + 1}", np.int64)).astype(np.int64) for k in range(4)]
+    return pa.table([pa.array(f, pa.int32()), *map(pa.array, sums)], names=["f", "d0", "n0", "d1", "n1"])
 
 
 def _rows(slot, batches):
     for b in batches:
-        label = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
-        for c in chunks([b.select([0, 1])], 1 << 20):
-            d, f = presence(c, slot)
-            cut = np.searchsorted(d, np.arange(len(c) + 1))
-            yield pa.record_batch([pa.array([label[i] for i in c.ids.tolist()], pa.int32()), pa.array([f[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:])])], names=["y", "f"])
-
-
-def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, scale: np.ndarray, l2: float = 1.0, positive: float = 2.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression on binary features times ``scale``, by Adam on all rows; rows of label 1 count ``positive`` times."""
-    n, d = len(y), len(scale)
-    x = scale[col]
-    w, b = np.zeros(d), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
+        for c in row_chunks(b, 1, _CHUNK):
+            d, f, times, size = occurrences(c, slot)
+            cut = np.searchsorted(d, np.arange(len(c) + 1)).tolist()
+            x = values(d, times, size).astype(np.float16)
+            f = f.astype(np.uint16)
+            yield pa.record_batch([b.column(0).take(pa.array(c.ids)), pa.array([f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], names=["y", "f", "x"])
+
+
+def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, size: int, l2: float = L2, positive: float = POSITIVE, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-regularised logistic regression on sparse (row, column, value) features, by Adam on all rows; rows of label 1 count ``positive`` times."""
+    n = len(y)
+    w, b = np.zeros(size), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], n) + b, -30, 30)))
         g = (p - y) * np.where(y > 0, positive, 1.0)
-        gw = (np.bincount(col, x * g[row], d) + l2 * w) / n
+        gw = (np.bincount(col, x * g[row], size) + l2 * w) / n
         gb = g.mean()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -114,58 +132,88 @@ class ToxicityModel:
         self.slot, self.weight, self.bias = slot, weight, bias
 
     def score(self, c: Chunk) -> np.ndarray:
-        d, f = presence(c, self.slot)
-        z = np.bincount(d, self.weight[f], len(c)) + self.bias
+        d, f, times, size = occurrences(c, self.slot)
+        z = np.bincount(d, self.weight[f] * values(d, times, size), len(c)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: str | None = _FOLD) -> ToxicityModel:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out ``fold`` (a SQL condition on doc_id).
+def log_count_ratios(docs: np.ndarray, times: np.ndarray, rows: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of each feature, and what it is worth keeping (0: not at all).
+
+    ``docs`` and ``times`` are (2, features) documents and occurrences by class, ``rows``
+    and ``total`` the same over all. Documents of the rarer class weigh as much as those
+    of the other.
+    """
+    ratio = np.log((times[1] + 1) / (total[1] + 1)) - np.log((times[0] + 1) / (total[0] + 1))
+    return ratio, np.abs(ratio) * np.sqrt(docs[1] + docs[0] * rows[1] / max(rows[0], 1)) * (docs.sum(0) >= LEAST)
+
+
+def _labelled(keep, batches):
+    for b in batches:
+        yield b.filter(pa.array(keep.value.has_bits(b.column(2).to_numpy()))).select([0, 1])
 
-    A first pass counts, per class, the documents that hold each hashed n-gram; the
-    counts give the log-count ratios and the kept features. A second pass brings
-    the kept features of the sampled rows (bounded by ``max_rows`` times KEPT) to
-    the driver for the linear fit. With one class only, the score is the class rate.
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: str | None = _FOLD) -> ToxicityModel:
+    """Fit on the labelled rows outside the held-out ``fold`` (a SQL condition on doc_id).
+
+    A bounded bitmap of the labelled ids goes to every task, so that only labelled
+    texts are shuffled to their labels; they are written once. One pass counts, per
+    class, the documents and occurrences of each hashed n-gram in all of them; the
+    counts give the log-count ratios and the kept features. A second pass brings the
+    kept features of at most ``max_rows`` rows to the driver for the linear fit.
+
+    Labels other than 0 and 1, null ids and documents without a label teach nothing;
+    of two labels of one id the larger counts, and it holds for every text of that id.
+    Null and empty texts have no features. With one class only, or an empty table, the
+    score is the class rate. Other columns of either table are not looked at.
     """
     spark = ship(docs.sparkSession)
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     if fold:
         y = y.where(f"not ({fold})")
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
-    shards = rows.mapInArrow(_counts, "bucket int, p0 binary").groupBy("bucket").applyInArrow(_sum, "bucket int, p0 binary").orderBy("bucket").collect()
-    count = np.stack([np.frombuffer(r.p0, np.int64) for r in shards]) if shards else np.zeros((_SHARDS, 2 * (1 << BITS) // _SHARDS + 2), np.int64)
-    n = count[0, -2:]
-    have = count[:, :-2].reshape(_SHARDS, 2, -1).transpose(1, 0, 2).reshape(2, -1)
+    y = checkpoint(y)
+    keep = spark.sparkContext.broadcast(KeyFilter(y, "doc_id", hashed=False))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    near = texts.withColumn("bit", F.shiftrightunsigned(F.xxhash64("doc_id"), 38)).mapInArrow(partial(_labelled, keep), "doc_id long, text string")
+    rows = checkpoint(near.join(y, "doc_id").select("y", "text", "doc_id"))
+    counted = rows.select("y", "text").mapInArrow(_counts, "bucket int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("bucket").applyInArrow(lambda t: _sum(t), "f int, d0 long, n0 long, d1 long, n1 long").toArrow()
+    got = np.stack([counted.column(k).to_numpy() for k in range(5)])
+    whole = got[1:, got[0] < 0].sum(1)
     slot = np.full(1 << BITS, -1, np.int32)
-    if not n.all():
-        return ToxicityModel(slot, np.zeros(KEPT), float(np.log((n[1] + 1) / (n[0] + 1))))
-    ratio = np.log((have[1] + 1) / (n[1] + 2)) - np.log((have[0] + 1) / (n[0] + 2))
-    gain = np.abs(ratio) * np.sqrt(have.sum(0)) * (have.sum(0) >= 5)
-    kept = np.argsort(-gain, kind="stable")[:KEPT]
-    kept = kept[gain[kept] > 0]
+    if not (whole[0] and whole[2]):
+        return ToxicityModel(slot, np.zeros(KEPT), float(np.log((whole[2] + 1) / (whole[0] + 1))))
+    table = np.zeros((4, 1 << BITS), np.int64)
+    table[:, got[0][got[0] >= 0]] = got[1:, got[0] >= 0]
+    table[:, -1] = 0  # that slot stays free
+    ratio, worth = log_count_ratios(table[[0, 2]], table[[1, 3]], whole[[0, 2]], whole[[1, 3]])
+    kept = np.argsort(-worth, kind="stable")[:KEPT]
+    kept = kept[worth[kept] > 0]
     slot[kept] = np.arange(len(kept))
-    got = rows.mapInArrow(partial(_rows, slot), "y int, f binary").toArrow()
+    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(partial(_rows, slot), "y int, f binary, x binary").toArrow()
     truth = got.column("y").to_numpy().astype(float)
     feats = [np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("f")]
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    w, b = logistic(truth, row, np.concatenate(feats).astype(np.int64), ratio[kept])
+    col = np.concatenate(feats).astype(np.int64)
+    x = np.concatenate([np.frombuffer(x.as_buffer(), np.float16) for x in got.column("x")]).astype(float) * ratio[kept][col]
+    w, b = logistic(truth, row, col, x, len(kept))
     return ToxicityModel(slot, np.append(w * ratio[kept], 0.0), b)
 
 
 def _score(model, threshold, batches):
     model = model.value
-    for c in chunks(batches, 1 << 20):
+    for c in chunks(batches, _CHUNK):
         s = model.score(c)
         yield pa.record_batch([pa.array(c.ids), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of every document: one narrow pass over whole texts with the model (about 1 MB) broadcast.
+    """(doc_id, score, predicted) of every document: one narrow pass over whole texts with the model (about 4 MB) broadcast.
 
     A null or empty text has no features and gets the score of the bias. Rows with
-    a null id are left out; repeated rows give one result each; an empty table
-    gives an empty result. Only doc_id and text are looked at.
+    a null id are left out; repeated rows and two texts of one id give one result
+    each; a text may be of any length; an empty table gives an empty result. Only
+    doc_id and text are looked at.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -173,14 +221,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with every column, whose text scores below the threshold; one narrow pass."""
+    """The rows of ``docs``, with every column, whose text scores below the threshold; one narrow pass.
+
+    Null and empty texts have the score of the bias. Rows with a null id are judged by
+    their text as others are; repeated rows stay or go together. An empty table stays empty.
+    """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            for c in row_chunks(b, at, 1 << 20):
+            for c in row_chunks(b, at, _CHUNK):
                 yield b.slice(int(c.ids[0]), len(c)).filter(pa.array(shared.value.score(c) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
