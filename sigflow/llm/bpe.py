@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import partial
@@ -18,6 +19,8 @@ from sigflow.llm.wordids import Pieces
 from sigflow.session import ship
 
 _SHIFT = np.int64(20)
+#: Bytes of a word that is merged with the others, at most.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -40,54 +43,91 @@ class Merges:
         letters = byte_letters()
         self.first = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + end] for c in letters], np.int64)
+        self.rules: dict[int, tuple[int, int]] = {}
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, end to end, and the number of each word's ids.
+        """Ids of all words, end to end, and the number of each word's ids. Words beyond LONG bytes are merged alone, through a heap."""
+        size = np.array([len(w) for w in words], np.int64)
+        alone = np.flatnonzero(size > LONG)
+        if not len(alone):
+            return self._rounds(words, size)
+        ids, lens = self._rounds([b"" if n > LONG else w for w, n in zip(words, size.tolist())], np.where(size > LONG, 0, size))
+        parts, at = [], 0
+        ends = np.cumsum(lens)
+        for k in alone.tolist():
+            found = self._one(words[k])
+            parts += [ids[at : ends[k]], found]
+            at, lens[k] = int(ends[k]), len(found)
+        return np.concatenate([*parts, ids[at:]]), lens
+
+    def _one(self, word: bytes) -> np.ndarray:
+        """Ids of one word: the lowest-ranked, leftmost pair first, in time near-linear in its length."""
+        if not self.rules:
+            self.rules = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        raw, n = np.frombuffer(word, np.uint8), len(word)
+        sym = [*self.first[raw[:-1]].tolist(), int(self.last[raw[-1]])]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rule[0], i, a, b, rule[1]) for i, (a, b) in enumerate(zip(sym, sym[1:])) if (rule := self.rules.get(a << 20 | b))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue
+            sym[i], sym[j], after[i] = made, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (rule := self.rules.get(sym[x] << 20 | sym[y])):
+                    heapq.heappush(heap, (rule[0], x, sym[x], sym[y], rule[1]))
+        return np.array([x for x in sym if x >= 0], np.uint32)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (the number of rules if there is none) and product of each pair."""
+        key = left << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], len(self.key)), self.made[at]
 
-        All symbols lie in one flat array. A round looks up every adjacent pair
-        by binary search, finds each word's lowest rank, and merges that pair
-        wherever it stands in the word, from the left. Words without a
-        mergeable pair leave the array.
+    def _rounds(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols lie in one flat array, each with the rank of the pair that it starts.
+
+        A round finds each word's lowest rank and merges that pair wherever it stands in
+        the word, from the left; the pairs that a merge makes are looked up by binary
+        search. Words without a mergeable pair leave the array.
         """
-        size = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.first[raw]
         ends = np.cumsum(size)
         sym[ends[size > 0] - 1] = self.last[raw[ends[size > 0] - 1]]
         word = np.repeat(np.arange(len(words)), size)
+        none = len(self.key)
+        rank, made = np.full(len(sym), none), np.zeros(len(sym), np.int64)
+        at = np.flatnonzero(word[:-1] == word[1:])
+        rank[at], made[at] = self._look_up(sym[at], sym[at + 1])
         done_sym, done_word = [], []
-        none = np.int64(len(self.key))
-        while len(sym) > 1:
-            same = word[:-1] == word[1:]
-            key = sym[:-1] << _SHIFT | sym[1:]
-            at = np.minimum(np.searchsorted(self.key, key), none - 1)
-            hit = same & (self.key[at] == key)
-            rank = np.where(hit, self.rank[at], none)
-            heads = np.flatnonzero(np.concatenate([[True], ~same]))
-            low = np.minimum.reduceat(np.append(rank, none), heads)  # a word's last symbol starts no pair
-            spans = np.diff(np.append(heads, len(sym)))
-            best = np.repeat(low, spans)
+        while len(sym):
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(sym))))
             live = best < none
             if not live.all():
                 done_sym.append(sym[~live])
                 done_word.append(word[~live])
-            pick = np.flatnonzero(hit & (rank == best[:-1]))
-            if not len(pick):
-                sym = sym[:0]
-                break
-            run = np.concatenate([[True], np.diff(pick) > 1])  # x x x: the first two merge
+            pick = np.flatnonzero(live & (rank == best))
+            run = np.diff(pick, prepend=-2) > 1  # x x x: the first two merge
             place = np.arange(len(pick))
             pick = pick[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
-            sym = sym.copy()
-            sym[pick] = self.made[at[pick]]
+            sym[pick] = made[pick]
             live[pick + 1] = False
-            sym, word = sym[live], word[live]
-        if len(sym):
-            done_sym.append(sym)
-            done_word.append(word)
-        if not done_sym:
-            return np.zeros(0, np.uint32), np.zeros(len(words), np.int64)
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
+            fresh = np.zeros(len(sym), bool)
+            fresh[pick] = True
+            fresh[np.maximum(pick - 1, 0)] = True
+            sym, word, rank, made = sym[live], word[live], rank[live], made[live]
+            at = np.flatnonzero(fresh[live])
+            rank[at] = none
+            at = at[at + 1 < len(sym)]
+            at = at[word[at] == word[at + 1]]
+            rank[at], made[at] = self._look_up(sym[at], sym[at + 1])
+        sym, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word))
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.uint32), np.bincount(word, minlength=len(words))
 

@@ -28,7 +28,7 @@ _BLOCK, _HIGH = 1 << 18, 32
 EARLY = 4
 #: Lists up to SMALL are sieved together, pair by pair; larger ones grow a tree each. Lists beyond LARGE are cut to blocks, every two of which are a list.
 SMALL, LARGE = 64, 4096
-#: Items of a block in the exact second round; up to FEW are compared pair by pair, more by a matrix.
+#: Items of a block in the exact second round; up to FEW pairs an item are compared one by one, more by a matrix.
 BLOCK, FEW = 256, 4
 
 
@@ -279,7 +279,7 @@ def _share(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _few_links(values: list[np.ndarray], comp: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """``exact_links`` of a few sets, pair by pair."""
+    """``exact_links`` pair by pair, for few pairs."""
     up, out = {c: c for c in comp}, []
     for j in range(len(values)):
         for i in range(j):
@@ -304,7 +304,9 @@ def _compare(num: int, den: int, expand, t: pa.Table) -> pa.Table:
         values = expand(raw.take(pa.array(order[base : cut[z]])))
         for a, b in zip(cut[at:z].tolist(), cut[at + 1 : z + 1].tolist()):
             some = values[a - base : b - base]
-            found = _few_links(some, comp[a:b].tolist(), num, den) if b - a <= FEW else exact_links(some, comp[a:b], num, den)
+            met = np.unique(comp[a:b], return_counts=True)[1]
+            across = ((b - a) ** 2 - int((met * met).sum())) // 2
+            found = _few_links(some, comp[a:b].tolist(), num, den) if across <= FEW * (b - a) else exact_links(some, comp[a:b], num, den)
             out += [(int(ids[a + i]), int(ids[a + j])) for i, j in found]
         at = z
     return pa.table({"a": [a for a, _ in out], "b": [b for _, b in out]}, schema=_PAIRS)

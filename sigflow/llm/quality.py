@@ -18,8 +18,6 @@ WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
-#: Low bits of a packed window: its place (up to 2**24 words a text); the rest is its hash.
-_PLACE = 24
 #: Percentiles of each class that become cut points; at most 11 bins for each of the five features.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 FEATURES = {
@@ -36,36 +34,21 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _same_window(words: Column, a: Column, b: Column) -> Column:
-    mask = F.lit((1 << _PLACE) - 1).cast("long")
-    i, j = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-    same = F.lit(True)
-    for k in range(WINDOW):
-        same = same & (F.get(words, i + k) == F.get(words, j + k))
-    return same
-
-
 def _repeated(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
-    Windows are packed as (hash, place) in one long and sorted, so that equal ones
-    are neighbours; neighbours of equal hash are compared word by word.
+    Windows are sorted by (64-bit hash, place), so that equal ones are neighbours; the
+    places of those with an equal neighbour are sorted again and their union counted.
     """
     n = F.size(words) - WINDOW + 1
-    low = F.lit((1 << _PLACE) - 1).cast("long")
-    window = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+    window = lambda i: F.struct(F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))).alias("h"), i.alias("p"))
 
     def places(s: Column) -> Column:
-        head = lambda x: F.shiftright(x, _PLACE)
-
-        def twin(x: Column, k: Column, step: int) -> Column:
-            near, far = F.get(s, k + step), F.get(s, k + 2 * step)
-            return F.coalesce((head(near) == head(x)) & (_same_window(words, near, x) | ((head(far) == head(x)) & _same_window(words, far, x))), F.lit(False))
-
-        return F.sort_array(F.transform(F.filter(s, lambda x, k: twin(x, k, -1) | twin(x, k, 1)), lambda x: x.bitwiseAND(low)))
+        near = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x["p"]))
 
     def union(p: Column) -> Column:
-        return F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, F.lit(WINDOW).cast("long")).otherwise(F.least(F.lit(WINDOW).cast("long"), x - F.get(p, k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(F.transform(p, lambda x, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), x - F.get(p, k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(_let(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), window)), lambda s: _let(places(s), union)))
 
@@ -73,8 +56,9 @@ def _repeated(words: Column) -> Column:
 def base_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every whole text.
 
-    A null text counts as empty. Every row gives one result, also rows with a null
-    id and repeated rows. Other columns are not looked at.
+    A null text counts as empty; a text may have any number of words. Every row gives
+    one result, also rows with a null id and repeated rows. Equal 64-bit hashes of
+    three words count as equal words. Other columns are not looked at.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
@@ -179,7 +163,7 @@ def learn(counts: DataFrame, labels: DataFrame) -> DecisionList:
     truth = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_q"))
     rows = counts.where(f"not {BASE_FAILED}").join(truth, "doc_id").select("_q", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("_fold"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
     at = "array(" + ",".join(map(str, QUANTILES)) + ")"
-    quantiles = rows.groupBy("_q").agg(*(F.expr(f"percentile_approx({f}, {at})").alias(f) for f in FEATURES)).collect()
+    quantiles = rows.groupBy("_q").agg(*(F.expr(f"percentile({f}, {at})").alias(f) for f in FEATURES)).collect()
     if len(quantiles) < 2:
         return DecisionList(())
     cuts = {}

@@ -15,7 +15,7 @@ import regex
 
 from sigflow.llm.text import spread
 
-#: Pieces remembered by one worker; beyond that the memory starts anew.
+#: Pieces remembered by one worker; when it is full, others are encoded wherever they occur, and it starts anew if those become many.
 CACHE = 400_000
 
 
@@ -31,7 +31,8 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, pieces: list) -> None:
+    def _add(self, pieces: list, keep: bool) -> dict:
+        """Put unknown pieces behind the known ones; unless they are kept, the next ones take their place."""
         ids, lens = self.encode(pieces)
         n, k = len(self.index), len(pieces)
         while self.used + len(ids) > len(self.flat):
@@ -41,17 +42,23 @@ class Pieces:
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[n : n + k] = lens
         self.start[n : n + k] = self.used + np.cumsum(lens) - lens
+        if not keep:
+            return dict(zip(pieces, range(n, n + k)))
         self.used += len(ids)
         self.index.update(zip(pieces, range(n, n + k)))
+        return self.index
 
     def ids(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, end to end, and the number of each piece's ids."""
-        if len(self.index) > self.limit:
-            self.clear()
         got = list(map(self.index.get, pieces))
         if None in got:
-            self._add(list(dict.fromkeys(p for p, i in zip(pieces, got) if i is None)))
-            got = list(map(self.index.__getitem__, pieces))
+            missed = [k for k, i in enumerate(got) if i is None]
+            if len(self.index) > self.limit and 4 * len(missed) > len(got):  # other text than before
+                self.clear()
+                return self.ids(pieces)
+            found = self._add(list(dict.fromkeys([pieces[k] for k in missed])), len(self.index) <= self.limit)
+            for k in missed:
+                got[k] = found[pieces[k]]
         at = np.array(got, np.int64)
         lens = self.length[at]
         return self.flat[spread(self.start[at], lens)], lens
@@ -85,7 +92,11 @@ class WordBpe:
 
     def _encode(self, words: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
         found = [[] if isinstance(w, int) else _PIECE.findall(w.decode()) for w in words]
-        flat, lens = self.merges.encode([p.encode() for x in found for p in x])
+        pieces = [p for x in found for p in x]
+        number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+        flat, lens = self.merges.encode([p.encode() for p in number])
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        flat, lens = flat[spread((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
         count = np.array([len(x) for x in found], np.int64)
         sums = np.concatenate([[0], np.cumsum(lens)])
         ends = np.cumsum(count)
