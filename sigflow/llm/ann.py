@@ -7,18 +7,23 @@ each side. Equal vectors are one node.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.llm.text import mix, packed, unpacked
+from sigflow.llm.text import distinct, mix, packed, packed_stream, spread, unpacked
 from sigflow.session import checkpoint, ship
 
-#: Neighbours of a node in the graph; random-projection orders for the start; rounds of NN-descent; nodes in a search's beam.
-NEIGHBOURS, TREES, ROUNDS, BEAM = 20, 3, 3, 400
-#: Rows of one block that are compared with each other; queries that are searched at once; nodes of a bucket.
-BLOCK, QUERY_BLOCK, NODES = 256, 2048, 800
+#: Neighbours of a node in the graph; random-projection orders for the start; rounds of NN-descent at most; nodes in a search's beam.
+NEIGHBOURS, TREES, ROUNDS, BEAM = 20, 3, 8, 400
+#: Rounds end when less than this share of all neighbours is new.
+SETTLED = 0.02
+#: Rows of one block that are compared with each other; nodes of a bucket.
+BLOCK, NODES = 256, 800
 #: Nodes that name one hub and are compared in its task; of more, blocks meet pair by pair in tasks of their own.
 HUB = 2048
 _CAND = "bucket int, p0 binary, p1 binary, p2 binary"
@@ -136,22 +141,49 @@ def _merge_lists(k: int):
     return run
 
 
+def _renew_lists(k: int):
+    """The k best of old and new candidates, with how many entries are not among the old."""
+
+    def run(t: pa.Table) -> pa.Table:
+        v, c, d = _top(*(unpacked(t, f"p{i}", x) for i, x in enumerate((np.int64, np.int64, np.float32))), k)
+        old = t.filter(pc.invert(t.column("new")))
+        pair = lambda a, b: mix(a.view(np.uint64)) + b.view(np.uint64)
+        changed = int((~np.isin(pair(v, c), pair(unpacked(old, "p0", np.int64), unpacked(old, "p1", np.int64)))).sum())
+        out = _row(t.column("bucket")[0].as_py(), v, c, d)
+        return out.append_column("changed", pa.array([changed])).append_column("size", pa.array([len(v)]))
+
+    return run
+
+
+def _both_ways(n: int):
+    """Each (node, neighbour, distance) at the node, and again at the neighbour with distance -1."""
+
+    def parts(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            v, c, d = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64), unpacked(t, "p2", np.float32)
+            u, w = np.concatenate([v, c]), np.concatenate([c, v])
+            yield _bucket(u, n), u, w, np.concatenate([d, np.full(len(d), -1, np.float32)])
+
+    return lambda batches: packed_stream(parts(batches), n)
+
+
 def _announce(n: int, k: int):
-    """Each node sends itself, with its vector and the distance of its last neighbour, to all its neighbours and to itself."""
+    """Each node sends itself, with its vector and the distance of its last neighbour, to all its neighbours, to those that have it as one, and to itself."""
 
-    def run(graph: pa.Table, nodes: pa.Table) -> pa.Table:
+    def run(edges: pa.Table, nodes: pa.Table) -> pa.Table:
         ids = unpacked(nodes, "p0", np.int64)
         if not len(ids):
             return _empty(4)
         x = unpacked(nodes, "p1", np.float64).reshape(len(ids), -1).astype(np.float32)
-        v, c, d = unpacked(graph, "p0", np.int64), unpacked(graph, "p1", np.int64), unpacked(graph, "p2", np.float32)
+        u, w, d = unpacked(edges, "p0", np.int64), unpacked(edges, "p1", np.int64), unpacked(edges, "p2", np.float32)
         order = np.argsort(ids)
-        at = order[np.searchsorted(ids[order], v)] if len(v) else np.zeros(0, np.int64)
-        count = np.bincount(at, minlength=len(ids))
+        at = order[np.searchsorted(ids[order], u)] if len(u) else np.zeros(0, np.int64)
+        own = d >= 0
         worst = np.zeros(len(ids), np.float32)
-        np.maximum.at(worst, at, d)
-        worst[count < k] = np.inf
-        to, who = np.concatenate([c, ids]), np.concatenate([at, np.arange(len(ids))])
+        np.maximum.at(worst, at[own], d[own])
+        worst[np.bincount(at[own], minlength=len(ids)) < k] = np.inf
+        to, who = np.concatenate([w, ids]), np.concatenate([at, np.arange(len(ids))])
         return _table(packed(_bucket(to, n), n, to, ids[who], worst[who], _void(x[who])), 4)
 
     return run
@@ -189,9 +221,9 @@ def _candidates(n: int, k: int, out: list[tuple]) -> pa.RecordBatch | None:
 
 
 def _local_join(n: int, k: int, hub: int = HUB):
-    """At every node, those that named it are compared with each other: neighbours of a common neighbour.
+    """At every node, its neighbours and those that have it as one are compared with each other: neighbours of neighbours.
 
-    Where more than ``hub`` nodes name one, they are dealt to blocks of about ``hub``
+    Where more than ``hub`` nodes meet, they are dealt to blocks of about ``hub``
     and every two blocks go to a task (``dealt`` rows: task, node, worst, vector).
     """
 
@@ -233,18 +265,6 @@ def _block_join(n: int, k: int):
     return run
 
 
-def _both_ways(n: int):
-    def run(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            v, c = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64)
-            u, w = np.concatenate([v, c]), np.concatenate([c, v])
-            if (out := packed(_bucket(u, n), n, u, w)) is not None:
-                yield out
-
-    return run
-
-
 def _merge_edges(t: pa.Table) -> pa.Table:
     u, w = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64)
     order = np.lexsort((w, u))
@@ -254,6 +274,39 @@ def _merge_edges(t: pa.Table) -> pa.Table:
     return _row(t.column("bucket")[0].as_py(), u[new], w[new])
 
 
+def _vectors(t: pa.Table, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, sorted, and the vector of each."""
+    every = unpacked(t, ids, np.int64)
+    x = unpacked(t, vectors, np.float64).reshape(len(every), -1) if len(every) else np.zeros((0, 1))
+    q, at = np.unique(every, return_index=True)
+    return q, x[at]
+
+
+def _to_nodes(n: int, node: np.ndarray, q: np.ndarray, q_ids: np.ndarray, q_x: np.ndarray) -> pa.Table:
+    """(node, query) pairs packed by the node's bucket; each row has the vectors of its queries once."""
+    bucket = _bucket(node, n)
+    order = np.argsort(bucket, kind="stable")
+    bucket, node, q = bucket[order], node[order], q[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        some = distinct(q[a:b])
+        rows.append((int(bucket[a]), node[a:b].tobytes(), q[a:b].tobytes(), some.tobytes(), q_x[np.searchsorted(q_ids, some)].tobytes()))
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "p0", "p1", "p2", "p3"])
+
+
+def _ask(n: int):
+    """The open (node, query) pairs of the beams, sent to the nodes."""
+
+    def run(state: pa.Table, nodes: pa.Table) -> pa.Table:
+        q, c, done = unpacked(state, "p0", np.int64), unpacked(state, "p1", np.int64), unpacked(state, "p3", np.uint8)
+        q_ids, q_x = _vectors(nodes, "p0", "p1")
+        return _to_nodes(n, c[done == 0], q[done == 0], q_ids, q_x)
+
+    return run
+
+
 def _follow(n: int):
     """(node, query) pairs to (neighbour, query) pairs."""
 
@@ -261,29 +314,25 @@ def _follow(n: int):
         c, q = unpacked(front, "p0", np.int64), unpacked(front, "p1", np.int64)
         u, w = unpacked(edges, "p0", np.int64), unpacked(edges, "p1", np.int64)
         lo, hi = np.searchsorted(u, c, "left"), np.searchsorted(u, c, "right")
-        size = hi - lo
-        if not size.sum():
-            return _empty(2)
-        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        pair = np.unique(np.stack([w[at], np.repeat(q, size)], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-        return _table(packed(_bucket(pair[:, 0].copy(), n), n, pair[:, 0].copy(), pair[:, 1].copy()), 2)
+        w, q = w[spread(lo, hi - lo)], np.repeat(q, hi - lo)
+        order = np.lexsort((q, w))
+        w, q = w[order], q[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (q[1:] != q[:-1])
+        return _to_nodes(n, w[new], q[new], *_vectors(front, "p2", "p3"))
 
     return run
 
 
-def _measure(n: int, queries, k: int):
-    """Exact distances of (node, query) pairs; of each query the k nearest met here."""
+def _measure(n: int, k: int):
+    """Exact distances of (node, query) pairs, sent back to the queries; of each query the k nearest met here."""
 
     def run(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
         c, q = unpacked(pairs, "p0", np.int64), unpacked(pairs, "p1", np.int64)
-        ids = unpacked(nodes, "p0", np.int64)
-        if not len(c) or not len(ids):
+        if not len(c) or not nodes.num_rows:
             return _empty(4)
-        x = unpacked(nodes, "p1", np.float64).reshape(len(ids), -1)
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids[order], c)]
-        q_ids, q_x = queries.value
-        of = np.searchsorted(q_ids, q)
+        (ids, x), (q_ids, q_x) = _vectors(nodes, "p0", "p1"), _vectors(pairs, "p2", "p3")
+        at, of = np.searchsorted(ids, c), np.searchsorted(q_ids, q)
         d = np.empty(len(c))
         for lo in range(0, len(c), 1 << 15):
             d[lo : lo + (1 << 15)] = np.sqrt(((x[at[lo : lo + (1 << 15)]] - q_x[of[lo : lo + (1 << 15)]]) ** 2).sum(1))
@@ -314,16 +363,12 @@ def _advance(k: int):
     return run
 
 
-def _open(n: int):
-    def run(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            q, c, done = unpacked(t, "p0", np.int64), unpacked(t, "p1", np.int64), unpacked(t, "p3", np.uint8)
-            o = done == 0
-            if (out := packed(_bucket(c[o], n), n, c[o], q[o])) is not None:
-                yield out
-
-    return run
+def _start(n: int, batches):
+    """Beams that hold the query's own node, open."""
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        if (out := packed(_bucket(ids, n), n, ids, ids, np.zeros(len(ids)), np.zeros(len(ids), np.uint8))) is not None:
+            yield out
 
 
 def _expanded(batches):
@@ -348,8 +393,9 @@ def nn_descent(nodes: DataFrame, buckets: int, dim: int, *, k: int = NEIGHBOURS,
     """Packed (node, neighbour, squared distance) lists of the k nearest found for each node.
 
     Start: nodes sorted by the signs of random projections, compared inside blocks of
-    consecutive rows, several times over. Each round then joins all nodes that name a
-    common neighbour and keeps the k best of old and new.
+    consecutive rows, several times over. Each round then compares, at every node, its
+    neighbours of both directions with each other and keeps the k best of old and new,
+    until few lists change.
     """
     mean = np.zeros(dim)
     sums = nodes.mapInArrow(lambda bs: (pa.record_batch([pa.array([len(x)]), pa.array([x.sum(0).tolist()], pa.list_(pa.float64()))], names=["n", "s"]) for b in bs if b.num_rows for x in [unpacked(pa.Table.from_batches([b]), "p1", np.float64).reshape(-1, dim)]), "n long, s array<double>")
@@ -363,48 +409,42 @@ def nn_descent(nodes: DataFrame, buckets: int, dim: int, *, k: int = NEIGHBOURS,
         graph = lists if graph is None else graph.union(lists)
     graph = checkpoint(graph.groupBy("bucket").applyInArrow(_merge_lists(k), _CAND))
     for _ in range(rounds):
-        told = _cogroup(graph, nodes, _announce(buckets, k), _CAND + ", p3 binary")
+        edges = graph.mapInArrow(_both_ways(buckets), _CAND)
+        told = _cogroup(edges, nodes, _announce(buckets, k), _CAND + ", p3 binary")
         met = checkpoint(told.groupBy("bucket").applyInArrow(_local_join(buckets, k), _CAND + ", p3 binary, dealt boolean"))
         found = met.where("not dealt").select("bucket", "p0", "p1", "p2")
         dealt = met.where("dealt").drop("dealt")
         if not dealt.isEmpty():
             found = found.union(dealt.groupBy("bucket").applyInArrow(_block_join(buckets, k), _CAND))
-        graph = checkpoint(graph.union(found).groupBy("bucket").applyInArrow(_merge_lists(k), _CAND))
+        known, new = graph.withColumn("new", F.lit(False)), found.withColumn("new", F.lit(True))
+        merged = checkpoint(known.union(new).groupBy("bucket").applyInArrow(_renew_lists(k), _CAND + ", changed long, size long"))
+        graph = merged.select("bucket", "p0", "p1", "p2")
+        moved = merged.agg(F.sum("changed"), F.sum("size")).first()
+        if not moved[0] or moved[0] < SETTLED * moved[1]:
+            break
     return graph
 
 
 def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, buckets: int, *, beam: int = BEAM) -> DataFrame:
     """(q, c, d): the beam of every query node when no open node is left in it.
 
-    Queries go in blocks of about QUERY_BLOCK, whose vectors are broadcast. A search
-    starts at the query's own node; each round expands all open nodes of its beam
-    along graph edges, taken both ways, and keeps the ``beam`` nearest.
+    ``queries`` has the ids of query nodes. All searches go on together: a beam lies in
+    the bucket of its query, a search starts at the query's own node, and each round
+    sends all open nodes of the beams, with the query's vector, to those nodes' edges,
+    taken both ways, then to the nodes at their ends, and the distances back. Every step is
+    a shuffle of packed rows; nothing but the number of open nodes comes to the driver.
     """
-    spark = nodes.sparkSession
-    edges = checkpoint(graph.mapInArrow(_both_ways(buckets), "bucket int, p0 binary, p1 binary").groupBy("bucket").applyInArrow(_merge_edges, "bucket int, p0 binary, p1 binary"))
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = None
-    state_type = _CAND + ", p3 binary"
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
-        if not part:
-            continue
-        ids = np.array(sorted(r.id for r in part))
-        vec = {r.id: r.x for r in part}
-        shared = spark.sparkContext.broadcast((ids, np.array([vec[i] for i in ids.tolist()], float)))
-        start = packed(_bucket(ids, buckets), buckets, ids, ids, np.zeros(len(ids)), np.zeros(len(ids), np.uint8))
-        state = spark.createDataFrame(pa.Table.from_batches([start])).select("*", F.lit(1).cast("long").alias("open"))
-        while True:
-            front = state.mapInArrow(_open(buckets), "bucket int, p0 binary, p1 binary")
-            pairs = _cogroup(front, edges, _follow(buckets), "bucket int, p0 binary, p1 binary")
-            met = _cogroup(pairs, nodes, _measure(buckets, shared, beam), state_type)
-            old = state.mapInArrow(_expanded, state_type)
-            state = checkpoint(old.union(met).groupBy("bucket").applyInArrow(_advance(beam), state_type + ", open long"))
-            if not state.agg(F.sum("open")).first()[0]:
-                break
-        found = state.mapInArrow(_flat, "q long, c long, d double")
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], "q long, c long, d double")
+    both = graph.mapInArrow(_both_ways(buckets), _CAND).select("bucket", "p0", "p1")
+    edges = checkpoint(both.groupBy("bucket").applyInArrow(_merge_edges, "bucket int, p0 binary, p1 binary"))
+    beams = _CAND + ", p3 binary"
+    first = queries.select("id").mapInArrow(partial(_start, buckets), beams)
+    state = checkpoint(first.groupBy("bucket").applyInArrow(_advance(beam), beams + ", open long"))
+    while state.agg(F.sum("open")).first()[0]:
+        front = _cogroup(state, nodes, _ask(buckets), beams)
+        pairs = _cogroup(front, edges, _follow(buckets), beams)
+        met = _cogroup(pairs, nodes, _measure(buckets, beam), beams)
+        state = checkpoint(state.mapInArrow(_expanded, beams).union(met).groupBy("bucket").applyInArrow(_advance(beam), beams + ", open long"))
+    return state.mapInArrow(_flat, "q long, c long, d double")
 
 
 def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, trees: int = TREES, rounds: int = ROUNDS, beam: int = BEAM) -> DataFrame:
@@ -435,7 +475,7 @@ def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, id_col: str =
     nodes = checkpoint(reps.mapInArrow(_packs(buckets), "bucket int, p0 binary, p1 binary").groupBy("bucket").applyInArrow(_merge_nodes, "bucket int, p0 binary, p1 binary"))
     graph = nn_descent(nodes, buckets, dim, k=neighbours, trees=trees, rounds=rounds)
     asked = checkpoint(rows.where(F.col("id") % every == 0).distinct().join(reps.select(F.col("id").alias("node"), "x"), "x").select("id", "node"))
-    queries = reps.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    queries = asked.select(F.col("node").alias("id")).distinct()
     found = greedy_search(nodes, graph, queries, buckets, beam=beam)
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).where(F.col("r") <= k + 1)
     each = near.join(members.select(F.col("node").alias("c"), F.col("id").alias("vec_id")), "c").select(F.col("q").alias("node"), "vec_id", "d")
