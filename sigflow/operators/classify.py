@@ -7,22 +7,28 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import MinMaxScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigflow.session import ship
+from sigflow.operators.spd import nested, stacked
+from sigflow.session import checkpoint, ship
 
 
 def with_vector(df: DataFrame, column: str = "f", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.transform(column, lambda x: x.cast("double"))))
 
 
+def dense(column: str):
+    """A vector column as an array."""
+    return vector_to_array(column)
+
+
 def linear_svm(c: float, n: int, scaled: bool = False, seed: int = 1, iterations: int = 20) -> Pipeline:
     """One-vs-rest linear SVM; ``c`` weighs the hinge losses of ``n`` rows against the margin."""
     feature = "scaled" if scaled else "features"
-    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations, tol=1e-5, featuresCol=feature), featuresCol=feature)
+    svm = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations, tol=1e-5, featuresCol=feature), featuresCol=feature, parallelism=8)
     return Pipeline(stages=[*([MinMaxScaler(inputCol="features", outputCol="scaled")] if scaled else []), svm])
 
 
@@ -41,16 +47,93 @@ def fourier_features(df: DataFrame, gamma: float, width: int = 128, seed: int =
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
+            x = stacked(b.column(at), 1)[:, 0]
             rng = np.random.default_rng(seed)
             w = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], width))
             z = np.sqrt(2 / width) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, width))
-            yield pa.record_batch([*b.columns, pa.array(list(z), pa.list_(pa.float64()))], names=[*b.schema.names, "z"])
+            yield pa.record_batch([*b.columns, nested(z)], names=[*b.schema.names, "z"])
 
     rows = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))]))
     return with_vector(rows, "z", out).drop("z")
 
 
+KERNELS = {
+    "rbf": lambda p, gamma, n: np.exp(-gamma * np.maximum(n, 0)),
+    "poly": lambda p, gamma, n: (gamma * p) ** 10,
+    "sigmoid": lambda p, gamma, n: np.tanh(gamma * p),
+}
+
+
+def kernel_features(df: DataFrame, kernel: str, key: str, gamma: float | None = None, landmarks: int = 64, column: str = "f", out: str = "features") -> DataFrame:
+    """Features whose inner product approximates a kernel (rbf, polynomial of degree 10, sigmoid) by its values at landmark rows.
+
+    The landmarks are the ``landmarks`` rows with the smallest hash of the key, the only
+    ones that come to the driver. ``gamma`` is one over the number of components unless given.
+    """
+    ship(df.sparkSession)
+    at = df.columns.index(column)
+    marks = np.array([r[0] for r in df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).select(column).limit(landmarks).collect()], float)
+    gamma = gamma or 1 / marks.shape[1]
+
+    def values(x: np.ndarray) -> np.ndarray:
+        p = x @ marks.T
+        return KERNELS[kernel](p, gamma, (x * x).sum(1)[:, None] + (marks * marks).sum(1)[None, :] - 2 * p)
+
+    w, q = np.linalg.eigh(values(marks))
+    ok = w > 1e-9 * max(np.abs(w).max(), 1e-300)
+    root = q[:, ok] / np.sqrt(w[ok])
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([*b.columns, nested(values(stacked(b.column(at), 1)[:, 0]) @ root)], names=[*b.schema.names, "z"])
+
+    rows = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))]))
+    return with_vector(rows, "z", out).drop("z")
+
+
+def hinge_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, weights, bias) of a one-vs-rest linear SVM on one subject's rows: averaged subgradient steps on the regularised hinge loss."""
+    classes = np.unique(y)
+    sign = np.where(y[None, :] == classes[:, None], 1.0, -1.0)
+    z = np.concatenate([x, np.ones((len(x), 1))], 1)
+    rate, w, mean = 1 / (c * len(x)), np.zeros((len(classes), z.shape[1])), np.zeros((len(classes), z.shape[1]))
+    for t in range(1, steps + 1):
+        inside = sign * (w @ z.T) < 1
+        w -= (rate * w - (sign * inside) @ z / len(x)) / (rate * (t + 10))
+        mean += (w - mean) / t if t > steps // 2 else 0
+        mean = w.copy() if t == steps // 2 else mean
+    return classes, mean[:, :-1], mean[:, -1]
+
+
+def subject_runs(features: DataFrame, runs: DataFrame, column: str = "f") -> DataFrame:
+    """(subject, run, c, fold, n, right, n_params): every run's SVM trained and tested on each subject's folds.
+
+    ``features`` has subject, fold, label and the feature array; a fold is tested by
+    what the other folds teach. ``runs`` is the small table of settings (run, c), sent
+    to every task. A subject's trials, bounded by its sessions, meet in one task for each run.
+    """
+    ship(features.sparkSession)
+
+    def evaluate(t: pa.Table) -> pa.Table:
+        x, y, fold = stacked(t.column(column).combine_chunks(), 1)[:, 0], t.column("label").to_numpy(), t.column("fold").to_numpy()
+        subject, run, c = (t.column(k)[0].as_py() for k in ("subject", "run", "c"))
+        rows = []
+        for k in np.unique(fold).tolist():
+            test = fold == k
+            if test.all():
+                continue
+            classes, w, bias = hinge_svm(x[~test], y[~test], c)
+            right = classes[(x[test] @ w.T + bias).argmax(1)] == y[test]
+            rows.append((subject, run, c, k, int(test.sum()), int(right.sum()), int(w.size)))
+        names = ("subject", "run", "c", "fold", "n", "right", "n_params")
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    given = features.select(F.col("subject").cast("int"), F.col("fold").cast("int"), F.col("label").cast("long"), column).where(F.col(column).isNotNull())
+    each = given.crossJoin(F.broadcast(runs.select(F.col("run").cast("int"), F.col("c").cast("double"))))
+    return each.groupBy("subject", "run").applyInArrow(evaluate, "subject int, run int, c double, fold int, n long, right long, n_params long")
+
+
 def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, key: str) -> tuple[PipelineModel, DataFrame]:
     model = pipeline.fit(train)
     return model, model.transform(test).select(key, "label", F.col("prediction").cast("int").alias("prediction"))
@@ -74,9 +157,15 @@ def integer_scores(df: DataFrame, key: str, column: str, weights: str, classes:
     return df.selectExpr(key, f"posexplode(transform(sequence(0, {classes - 1}), c -> {score})) as (cls, score)")
 
 
-def best_class(scores: DataFrame, key: str) -> DataFrame:
-    """Class of the highest score, ties to the lowest."""
-    return scores.groupBy(key).agg(F.max_by("cls", F.struct("score", -F.col("cls"))).alias("prediction"))
+def score_arrays(df: DataFrame, column: str, weights: str, classes: int, bias: str = "0L", out: str = "scores") -> DataFrame:
+    """``integer_scores`` as one array a row."""
+    score = f"aggregate(transform({column}, (x, k) -> x * ({weights})), {bias}, (s, v) -> s + v)".replace("{c}", "c")
+    return df.withColumn(out, F.expr(f"transform(sequence(0, {classes - 1}), c -> {score})"))
+
+
+def argmax(column: str):
+    """Class of the highest score of an array, ties to the lowest; null for no scores. Local to the row."""
+    return (F.array_position(column, F.array_max(column)) - 1).cast("int")
 
 
 def contiguous_folds(df: DataFrame, k: int, group: list[str], order: str, out: str = "fold") -> DataFrame:
@@ -92,34 +181,36 @@ def min_max(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda x, i: (x.cast("double") - F.get(lows, i)) / F.get(spans, i)))
 
 
-def knn(train: DataFrame, test: DataFrame, key: str, column: str, k: int, block: int = 1024) -> DataFrame:
+def knn(train: DataFrame, test: DataFrame, key: str, column: str, k: int, block: int = 256) -> DataFrame:
     """(key, neighbour, rank) of the k nearest training rows, ties to the smaller key.
 
-    A stated query set against all rows, in blocks: test rows go out in blocks of
-    bounded size, each meets every training partition, and a task keeps k a query.
+    A stated query set against all rows: queries are packed into blocks of about
+    ``block``, training rows into chunks; every block meets every chunk in a task, which
+    keeps k rows a query. Nothing comes to the driver; the number of blocks grows with
+    the queries, not with the training rows. Rows without a vector take no part.
     """
-    ship(train.sparkSession)
-    blocks = test.select(F.col(key).alias("q"), F.col(column).alias("v")).groupBy(F.pmod(F.xxhash64("q"), F.lit(1 << 20)).alias("h"))
-    queries = blocks.agg(F.collect_list(F.struct("q", "v")).alias("part")).select(F.expr("explode(part) as p")).select("p.q", "p.v")
-    out = None
-    rows = queries.orderBy("q").toLocalIterator()
-    while True:
-        part = [r for _, r in zip(range(block), rows)]
-        if not part:
-            break
-        q, v = np.array([r.q for r in part]), np.array([r.v for r in part], float)
-
-        def run(batches, q=q, v=v):
+    spark = ship(train.sparkSession)
+
+    def packs(df: DataFrame, size: int, name: str) -> DataFrame:
+        def run(batches):
             for b in batches:
-                ids, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float)
-                if not len(ids):
-                    continue
-                d = ((v[:, None, :] - x[None, :, :]) ** 2).sum(2)
+                for lo in range(0, b.num_rows, size):
+                    c = b.slice(lo, size)
+                    x = np.stack([v.values.to_numpy(zero_copy_only=False).astype(float) for v in c.column(1)])
+                    yield pa.record_batch([pa.array([c.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=[f"{name}_id", f"{name}_x"])
+
+        return df.where(F.col(column).isNotNull()).select(F.col(key).cast("long"), column).mapInArrow(run, f"{name}_id binary, {name}_x binary")
+
+    def meet(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                q, ids = (np.frombuffer(b.column(i)[r].as_buffer(), np.int64) for i in (0, 2))
+                v, x = (np.frombuffer(b.column(i)[r].as_buffer(), float).reshape(n, -1) for i, n in ((1, len(q)), (3, len(ids))))
+                d = (v * v).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * v @ x.T
                 top = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
                 yield pa.record_batch([pa.array(np.repeat(q, top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())], names=[key, "neighbour", "d"])
 
-        got = train.select(key, column).mapInArrow(run, f"{key} long, neighbour long, d double")
-        out = got if out is None else out.union(got)
-    if out is None:
-        return train.sparkSession.createDataFrame([], f"{key} long, neighbour long, d double, rank int")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "neighbour"))).where(F.col("rank") <= k)
+    queries = checkpoint(packs(test.repartition(max(1, test.count() // (4 * block))), block, "q"))
+    pairs = packs(train, 4096, "t").crossJoin(queries).select("q_id", "q_x", "t_id", "t_x")  # blocks with blocks, not rows with rows
+    found = pairs.mapInArrow(meet, f"{key} long, neighbour long, d double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", "neighbour"))).where(F.col("rank") <= k)

@@ -6,10 +6,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigflow.functions import quant as Q
 from sigflow.session import ship
 
 FIRST_HZ, FS = 4, 250
@@ -19,7 +20,7 @@ def bands(widths: list[int], fs: float = FS, top: int = 40) -> list[tuple[float,
     """Bands as fractions of the Nyquist frequency; the step is the width for 1 and 2 Hz, else 4 Hz."""
     out = []
     for w in widths:
-        step = w if w < 4 else 4
+        step = w if w < 3 else 4
         lo = FIRST_HZ
         while lo + w <= top:
             out.append((2 * lo / fs, 2 * (lo + w) / fs))
@@ -31,8 +32,9 @@ def butter_band(order: int, lo: float, hi: float) -> np.ndarray:
     """(order, 6) second-order sections of a digital Butterworth band-pass; lo and hi as fractions of Nyquist.
 
     Poles of the analogue prototype go through the low-pass to band-pass map and
-    the bilinear transform; each conjugate pair makes a section with one zero at 1
-    and one at -1. The gain sits in the first section.
+    the bilinear transform. Sections are made from the pole pair nearest the unit circle
+    on, each with the two zeros (at 1 or -1) nearest to its pole; the first made is the
+    last in the cascade. The gain sits in the first section.
     """
     k = np.arange(order)
     proto = np.exp(1j * np.pi * (2 * k + order + 1) / (2 * order))
@@ -43,14 +45,23 @@ def butter_band(order: int, lo: float, hi: float) -> np.ndarray:
     analog = np.concatenate([half + root, half - root])
     digital = (4 + analog) / (4 - analog)
     gain = np.real(width**order * 4.0**order / np.prod(4 - analog))
-    up = digital[digital.imag > 1e-12]
-    real = np.sort(digital[np.abs(digital.imag) <= 1e-12].real)
-    pairs = [(-2 * p.real, abs(p) ** 2) for p in sorted(up, key=abs)] + [(-(a + b), a * b) for a, b in zip(real[::2], real[1::2])]
-    sos = np.array([[1.0, 0.0, -1.0, 1.0, a1, a2] for a1, a2 in pairs])
+    up = [(p, np.conj(p)) for p in digital[digital.imag > 1e-12]]
+    real = sorted(digital[np.abs(digital.imag) <= 1e-12].real, key=abs, reverse=True)
+    zeros = [1.0] * order + [-1.0] * order
+    sections = []
+    for p, q in sorted(up + list(zip(real[::2], real[1::2])), key=lambda pair: abs(1 - abs(pair[0]))):
+        near = [zeros.pop(min(range(len(zeros)), key=lambda i: abs(p - zeros[i]))) for _ in range(2)]
+        sections.insert(0, [1.0, -sum(near), near[0] * near[1], 1.0, -np.real(p + q), np.real(p * q)])
+    sos = np.array(sections)
     sos[0, :3] *= gain
     return sos
 
 
+def band_pass_hz(low: float, high: float, fs: float, order: int = 5) -> np.ndarray:
+    """Sections of a Butterworth band-pass between two frequencies in Hz."""
+    return butter_band(order, 2 * low / fs, 2 * high / fs)
+
+
 def fir_band(taps: int, lo: float, hi: float) -> np.ndarray:
     """Band-pass by the window method: difference of two ideal low-passes under a Hamming window, unit gain mid-band."""
     m = np.arange(taps) - (taps - 1) / 2
@@ -64,7 +75,7 @@ def filter_bank(widths: list[int], fs: float = FS, order: int = 4, top: int = 40
 
 
 def quantize_sos(sos: np.ndarray, x_scale: float, y_scale: float, bits: int = 12, reserve: int = 0) -> dict:
-    """Integer sections with their shifts: a and b are scaled by the next power of two of their largest magnitude."""
+    """Integer sections with their shifts: a and b are scaled by the next power of two of their largest magnitude; the output goes ``y_shift`` to the left."""
     a_exp = np.ceil(np.log2(np.abs(sos[:, 3:]).max(1))).astype(int)
     b_exp = np.ceil(np.log2(np.abs(sos[:, :3]).max(1))).astype(int)
     top = 1 << (bits - 1)
@@ -75,7 +86,7 @@ def quantize_sos(sos: np.ndarray, x_scale: float, y_scale: float, bits: int = 12
 
     return {
         "a": q(sos[:, 3:], a_exp), "b": q(sos[:, :3], b_exp), "a_shift": (bits - 1) - a_exp, "b_shift": np.full(len(sos), reserve + bits - 1),
-        "y_shift": -(int(np.round(np.log2(x_scale / y_scale))) + int((b_exp + reserve).sum())), "y_scale": y_scale,
+        "a_scale": np.exp2(a_exp), "b_scale": np.exp2(b_exp), "y_shift": int(np.round(np.log2(x_scale / y_scale))) + int((b_exp + reserve).sum()), "y_scale": y_scale,
     }
 
 
@@ -119,6 +130,32 @@ def sos_int(x: np.ndarray, q: dict, bits: int = 16, device: bool = False) -> np.
     return y
 
 
+def sos_int_floor(x: np.ndarray, q: dict, bits: int = 16, form: int = 1) -> np.ndarray:
+    """Integer cascade whose numerator and denominator sums are shifted down apart, without rounding.
+
+    Form 1 keeps inputs and outputs of each section, form 2 its inner state, on which
+    the next stage applies the numerator. A sum that leaves ``bits`` bits upwards stays at
+    2**(bits - 1); one that leaves them downwards is not limited.
+    """
+    v = np.array(x, np.int64)
+    a, b, top = np.asarray(q["a"], np.int64), np.asarray(q["b"], np.int64), 1 << (bits - 1)
+    state = np.zeros((len(a) + 1, 3, len(v)), np.int64)
+    for t in range(v.shape[1]):
+        if form == 1:
+            state[0, 1:] = state[0, :-1]
+        state[0, 0] = v[:, t]
+        for m in range(1, len(a) + 1):
+            state[m, 1:] = state[m, :-1]
+            if form == 1:
+                acc = np.tensordot(b[m - 1], state[m - 1], 1) >> int(q["b_shift"][m - 1])
+            else:
+                acc = state[0, 0] if m == 1 else np.tensordot(b[m - 2], state[m - 1], 1) >> int(q["b_shift"][m - 2])
+            acc = acc - (np.tensordot(a[m - 1, 1:], state[m, 1:], 1) >> int(q["a_shift"][m - 1]))
+            state[m, 0] = np.minimum(acc, top)
+        v[:, t] = state[-1, 0] if form == 1 else np.tensordot(b[-1], state[-1], 1) >> int(q["b_shift"][-1])
+    return v
+
+
 def fir_same(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Centred convolution of (signals, samples), as long as the input."""
     n, k = x.shape[1], len(h)
@@ -129,7 +166,7 @@ def fir_same(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return full[:, at : at + n]
 
 
-_RUN = {"sos_float": sos_float, "sos_int": sos_int, "sos_int_device": partial(sos_int, device=True), "fir": fir_same}
+_RUN = {"sos_float": sos_float, "sos_int": sos_int, "sos_int_device": partial(sos_int, device=True), "sos_int_floor": sos_int_floor, "sos_int_form2": partial(sos_int_floor, form=2), "fir": fir_same}
 
 
 def apply_filter(df: DataFrame, column: str, kind: str, coefficients, out: str = "y") -> DataFrame:
@@ -164,26 +201,82 @@ def apply_filter(df: DataFrame, column: str, kind: str, coefficients, out: str =
     return df.mapInArrow(batchwise, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(sql))]))
 
 
-def response(freqs: np.ndarray, sos: np.ndarray, samples: int = 1000, tail: int = 100) -> np.ndarray:
-    """Amplitude over the last samples of the filtered unit cosine of each frequency (fraction of Nyquist)."""
-    x = np.cos(np.pi * freqs[:, None] * np.arange(samples)[None, :])
-    return np.abs(sos_float(x, sos)[:, -tail:]).max(1)
+#: What of the padded output each mode keeps, in sections cut from the front and from the back.
+MODES = {"sosfilt": (0, 2), "same": (1, 1), "valid": (2, 2), "full": (0, 0)}
+
+
+def quantised_filter(df: DataFrame, column: str, q: dict, scale: float, mode: str = "sosfilt", kind: str = "sos_int", out: str = "y") -> DataFrame:
+    """Eight-bit input (truncated), integer cascade over the signal and two zeros a section behind it, output shift, floating output of scale y_scale."""
+    m = len(q["a"])
+    front, back = MODES[mode]
+    padded = df.withColumn("_q", F.concat(F.transform(column, lambda v: Q.truncate(v, scale, 8)), F.array_repeat(F.lit(0).cast("bigint"), 2 * m)))
+    rows = apply_filter(padded, "_q", kind, q, "_y").drop("_q")
+    kept = F.slice("_y", F.lit(1 + front * m), F.greatest(F.size("_y") - (front + back) * m, F.lit(0)))
+    return rows.withColumn(out, F.transform(kept, lambda v: output_shift(v, q["y_shift"]).cast("double") / 128.0 * q["y_scale"])).drop("_y")
+
+
+def output_shift(y: Column, k: int) -> Column:
+    """The last shift of a cascade: to the left, or down without rounding."""
+    return F.shiftleft(y, k) if k >= 0 else Q.shift_floor(y, -k)
 
 
-def bits_error(freqs: DataFrame, sos: np.ndarray, widths: list[int]) -> DataFrame:
-    """(bits, l1, l2) of the response with coefficients of so many bits against the exact ones, over all frequencies ``f``."""
+def with_pass_through(q: dict, bits: int = 12) -> dict:
+    """The cascade as whole arrays with a section in front that changes nothing."""
+    one, shift = np.full((1, 3), 1 << (bits - 1)), np.array([bits - 1])
+    return {**q, **{k: np.concatenate([one, q[k]]) for k in ("a", "b")}, **{k: np.concatenate([shift, q[k]]) for k in ("a_shift", "b_shift")}}
+
+
+def amplitudes(freqs: np.ndarray, sos: np.ndarray, bits: int = 12, reserve: int = 0, samples: int = 1000, tail: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Amplitudes of the filtered unit cosine: all in integers, in floating point, and with quantised coefficients. ``freqs`` in radians a sample."""
+    x = np.cos(freqs[:, None] * np.arange(samples)[None, :])
+    exact = sos_float(x, sos)
+    y_scale = np.exp2(np.ceil(np.log2(np.maximum(np.abs(exact).max(1), 1e-300))))
+    q = quantize_sos(sos, 1.0, 1.0, bits, reserve)
+    top = 1 << (bits - 1)
+    coarse = np.concatenate([q["b"] / top * q["b_scale"][:, None], q["a"] / top * q["a_scale"][:, None]], 1)
+    y = sos_int(np.trunc(np.clip(x / 2 * 128, -128, 127)), q)
+    shift = np.round(np.log2(2 / y_scale)).astype(int) + q["y_shift"]
+    y = np.where(shift[:, None] >= 0, y << np.maximum(shift, 0)[:, None], y >> np.maximum(-shift, 0)[:, None]) / 128 * y_scale[:, None]
+    return tuple(np.abs(v[:, -tail:]).max(1) for v in (y, exact, sos_float(x, coarse)))
+
+
+def sweep(freqs: DataFrame, bank: list[np.ndarray], bits: int = 12) -> DataFrame:
+    """(band, f, integer, float, quantised) amplitudes of every band at every frequency ``f`` (radians a sample)."""
     ship(freqs.sparkSession)
 
     def run(batches):
         for b in batches:
             f = b.column(0).to_numpy()
-            exact = response(f, sos)
-            rows: list[tuple] = []
-            for w in widths:
-                q = quantize_sos(sos, 1.0, 1.0, w)
-                coarse = np.concatenate([q["b"] / np.exp2(w - 1) * np.exp2(np.ceil(np.log2(np.abs(sos[:, :3]).max(1))))[:, None], q["a"] / np.exp2(q["a_shift"])[:, None]], 1)
-                err = np.abs(response(f, coarse) - exact)
-                rows += [(w, float(e), float(e * e)) for e in err]
-            yield pa.record_batch([pa.array([r[k] for r in rows]) for k in range(3)], names=["bits", "e1", "e2"])
-
-    return freqs.select(F.col("f").cast("double")).mapInArrow(run, "bits long, e1 double, e2 double").groupBy("bits").agg(F.sum("e1").alias("l1"), F.sum("e2").alias("l2"))
+            for k, sos in enumerate(bank):
+                yield pa.record_batch([pa.array(np.full(len(f), k, np.int32)), pa.array(f), *map(pa.array, amplitudes(f, sos, bits))], names=["band", "f", "integer", "float", "quantised"])
+
+    return freqs.select(F.col("f").cast("double")).mapInArrow(run, "band int, f double, integer double, float double, quantised double")
+
+
+def bits_search(freqs: DataFrame, bank: list[np.ndarray], widths: list[int], reserves: list[int]) -> DataFrame:
+    """(bits, reserve, l1, l2, log, rank_l1, rank_l2, rank_log, best) of the all-integer response against the exact one.
+
+    Errors are summed over bands and frequencies (k, f); the logarithmic one leaves out the
+    first five. A setting that overflows anywhere is left out. ``best`` marks the
+    smallest l1.
+    """
+    spark = ship(freqs.sparkSession)
+    settings = spark.createDataFrame([(w, r, k) for w in widths for r in reserves for k in range(len(bank))], "bits int, reserve int, band int")
+
+    def run(t: pa.Table) -> pa.Table:
+        bits, reserve, band = (t.column(c)[0].as_py() for c in ("bits", "reserve", "band"))
+        f, place = t.column("f").to_numpy(), t.column("k").to_numpy()
+        try:
+            got, want, _ = amplitudes(f, bank[band], bits, reserve)
+        except OverflowError:
+            got = want = np.full(len(f), np.nan)
+        late = place >= 5
+        log = np.abs(np.log(np.maximum(want[late], 1e-300)) - np.log(np.maximum(got[late], 1e-300))).sum()
+        return pa.table({"bits": [bits], "reserve": [reserve], "e1": [np.abs(got - want).sum()], "e2": [((got - want) ** 2).sum()], "el": [log]}, schema=pa.schema([("bits", pa.int32()), ("reserve", pa.int32()), *((c, pa.float64()) for c in ("e1", "e2", "el"))]))
+
+    errors = freqs.crossJoin(F.broadcast(settings)).groupBy("bits", "reserve", "band").applyInArrow(run, "bits int, reserve int, e1 double, e2 double, el double")
+    total = errors.groupBy("bits", "reserve").agg(F.sum("e1").alias("l1"), F.sum("e2").alias("l2"), F.sum("el").alias("log")).where("not isnan(l1)")
+    best = total.agg(F.min_by(F.struct("bits", "reserve"), F.struct("l1", "bits", "reserve")).alias("b"))
+    rank = lambda c: F.row_number().over(Window.orderBy(c, "bits", "reserve")).alias(f"rank_{c}")
+    ranked = total.select("*", *(rank(c) for c in ("l1", "l2", "log")))  # a row a setting: few
+    return ranked.crossJoin(F.broadcast(best)).select(*ranked.columns, ((F.col("bits") == F.col("b.bits")) & (F.col("reserve") == F.col("b.reserve"))).alias("best"))

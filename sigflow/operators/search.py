@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,25 @@ def random_runs(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def chosen_runs(df: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(run, skipped, settings): the whole grid where ``n`` runs exhaust it, the surplus ones marked skipped; else ``n`` random settings."""
+    size = df.count()
+    picked = df if n >= size else random_runs(df, n, seed)
+    runs = picked.withColumn("run", F.row_number().over(Window.orderBy(*df.columns)) - 1)  # a row a setting: few
+    if n <= size:
+        return runs.withColumn("skipped", F.lit(False))
+    surplus = df.sparkSession.range(size, n).select(F.col("id").cast("int").alias("run"), F.lit(True).alias("skipped"))
+    return runs.withColumn("skipped", F.lit(False)).unionByName(surplus, allowMissingColumns=True)
+
+
+def search_report(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """(subject, run, c, accuracy, n_params, description) of every run and subject; a skipped run scores 0."""
+    by = results.groupBy("subject", "run").agg((F.sum("right") / F.sum("n")).alias("accuracy"), F.max("n_params").alias("n_params"))
+    each = results.select("subject").distinct().crossJoin(F.broadcast(runs))
+    out = each.join(by, ["subject", "run"], "left")
+    return out.select("subject", "run", "c", F.when(F.col("skipped"), 0.0).otherwise(F.col("accuracy")).alias("accuracy"), F.coalesce("n_params", F.lit(0)).alias("n_params"), F.when(F.col("skipped"), "skipped run").otherwise(F.format_string("C=%s", "c")).alias("description"))
+
+
 def best_shared(runs: DataFrame) -> DataFrame:
     """The setting with the best mean accuracy over subjects; ties to the first by (mode, run)."""
     means = runs.groupBy("mode", "run").agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))

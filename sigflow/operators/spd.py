@@ -57,6 +57,22 @@ def tridiagonal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, q
 
 
+def stacked(column: pa.Array, rows: int) -> np.ndarray:
+    """(signals, rows, columns) of an array column, from the Arrow buffer; a null or ragged signal is an error that says so."""
+    if column.null_count or (len(column) and len(set(np.diff(column.offsets.to_numpy()).tolist())) > 1):
+        raise ValueError("a signal is null, or signals differ in length: filter or pad them first")
+    flat = column.flatten().cast(pa.float64())
+    if flat.null_count or (len(column) and len(flat) % (len(column) * rows)):
+        raise ValueError("a signal holds a null or does not divide into its channels")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), rows, -1) if len(column) else np.zeros((0, rows, 0))
+
+
+def nested(x: np.ndarray) -> pa.Array:
+    """An array column with one row for each of x, whatever its shape."""
+    flat = np.ascontiguousarray(x, float).reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
+
+
 def map_matrices(df: DataFrame, column: str, n: int, f, out: str = "m", out_type: str = "array<double>") -> DataFrame:
     """f on (rows, n, n) of an array column, batch by batch; nothing but the batch is held."""
     ship(df.sparkSession)
@@ -64,9 +80,9 @@ def map_matrices(df: DataFrame, column: str, n: int, f, out: str = "m", out_type
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, n, n)
-            y = f(x).reshape(b.num_rows, -1)
-            yield pa.record_batch([*b.columns, pa.array(list(y), pa.list_(pa.float64()))], names=[*b.schema.names, out])
+            x = stacked(b.column(at), n)
+            y = np.asarray(f(x)).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
+            yield pa.record_batch([*b.columns, nested(y)], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(out_type))]))
 
@@ -78,10 +94,10 @@ def covariance(df: DataFrame, column: str, channels: int, rho: float = 1.0, out:
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, channels, -1)
-            t = x.shape[2]
-            c = x @ np.swapaxes(x, 1, 2) / (t - 1) + rho / t * np.eye(channels)
-            yield pa.record_batch([*b.columns, pa.array(list(c.reshape(b.num_rows, -1)), pa.list_(pa.float64()))], names=[*b.schema.names, out])
+            x = stacked(b.column(at), channels)
+            t = max(x.shape[2], 1)
+            c = x @ np.swapaxes(x, 1, 2) / max(t - 1, 1) + rho / t * np.eye(channels)
+            yield pa.record_batch([*b.columns, nested(c)], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
@@ -97,7 +113,7 @@ def _sums(df: DataFrame, keys: list[str], column: str, n: int, f) -> dict[tuple,
         for b in batches:
             types = [c.type for c in b.columns[:-1]]
             ks = list(zip(*(c.to_pylist() for c in b.columns[:-1]))) if keys else [()] * b.num_rows
-            x = np.array(b.column(b.num_columns - 1).to_pylist(), float).reshape(b.num_rows, n, n)
+            x = stacked(b.column(b.num_columns - 1), n)
             for k in set(ks):
                 y = f(k, x[[i for i, o in enumerate(ks) if o == k]])
                 p = part.setdefault(k, [0, np.zeros((n, n))])
@@ -160,7 +176,7 @@ class RiemannFeatures:
 
         def run(batches):
             for b in batches:
-                x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, c, -1)
+                x = stacked(b.column(at), c)
                 rest = [b.column(k) for k in range(b.num_columns) if k != at]
                 for w, (lo, hi) in enumerate(windows):
                     part = x[:, :, lo:hi]
@@ -169,7 +185,7 @@ class RiemannFeatures:
                         y = sos_float(part.reshape(-1, t), sos).reshape(part.shape) if sos is not None else part
                         m = y @ np.swapaxes(y, 1, 2) / (t - 1) + rho / t * np.eye(c)
                         n = b.num_rows
-                        yield pa.record_batch([*rest, pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, f, np.int32)), pa.array(list(m.reshape(n, -1)), pa.list_(pa.float64()))], names=[*(k.name for k in kept), "win", "band", "cov"])
+                        yield pa.record_batch([*rest, pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, f, np.int32)), nested(m)], names=[*(k.name for k in kept), "win", "band", "cov"])
 
         schema = T.StructType([*kept, T.StructField("win", T.IntegerType()), T.StructField("band", T.IntegerType()), T.StructField("cov", T.ArrayType(T.DoubleType()))])
         return trials.mapInArrow(run, schema)
@@ -192,12 +208,11 @@ class RiemannFeatures:
 
         def run(batches):
             for b in batches:
-                m = np.array(b.column(3).to_pylist(), float).reshape(b.num_rows, c, c)
+                m = stacked(b.column(3), c)
                 r = np.stack([refs[k] for k in b.column(2).to_pylist()]) if b.num_rows else np.zeros((0, c, c))
                 white = r @ m @ r
                 kernel = logm(white) if log else white
-                flat = lambda a: pa.array(list(a.reshape(len(a), -1)), pa.list_(pa.float64()))
-                yield pa.record_batch([*b.columns[:3], flat(m), flat(white), flat(kernel), flat(half_vector(kernel))], names=schema.names)
+                yield pa.record_batch([*b.columns[:3], *map(nested, (m, white, kernel, half_vector(kernel)))], names=schema.names)
 
         rows = self.covariances(trials.select(key, column), column).mapInArrow(run, schema)
         if trace:
@@ -224,6 +239,11 @@ def csp_filters(cov: DataFrame, label: str, column: str, n: int, pairs: int = 1)
 
 def log_variance(df: DataFrame, column: str, channels: int, w: np.ndarray, sos: np.ndarray | None = None, out: str = "f") -> DataFrame:
     """log10 of the population variance of each spatially filtered (and band-passed) component."""
+    return csp_features(df, column, channels, {(0, 0): w}, [(0, None)], [sos], out)
+
+
+def csp_features(df: DataFrame, column: str, channels: int, w: dict[tuple[int, int], np.ndarray], windows: list[tuple[int, int | None]], bank: list, out: str = "f") -> DataFrame:
+    """log10 variances over windows, bands and components in this order; ``w`` has the projection of each (window, band). One narrow pass."""
     from sigflow.operators.filters import sos_float
 
     ship(df.sparkSession)
@@ -231,10 +251,31 @@ def log_variance(df: DataFrame, column: str, channels: int, w: np.ndarray, sos:
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, channels, -1)
-            y = np.einsum("ck,nct->nkt", w, x)
-            if sos is not None:
-                y = sos_float(y.reshape(-1, y.shape[2]), sos).reshape(y.shape)
-            yield pa.record_batch([*b.columns, pa.array(list(np.log10(y.var(2))), pa.list_(pa.float64()))], names=[*b.schema.names, out])
+            x = stacked(b.column(at), channels)
+            parts = []
+            for i, (lo, hi) in enumerate(windows):
+                for k, sos in enumerate(bank):
+                    y = np.einsum("ck,nct->nkt", w[i, k], x[:, :, lo:hi])
+                    if sos is not None:
+                        y = sos_float(y.reshape(-1, y.shape[2]), sos).reshape(y.shape)
+                    parts.append(np.log10(y.var(2)))
+            yield pa.record_batch([*b.columns, nested(np.concatenate(parts, 1) if len(x) else np.zeros((0, 1)))], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def csp_projections(trials: DataFrame, label: str, column: str, channels: int, windows: list[tuple[int, int]], bank: list, pairs: int = 1) -> dict[tuple[int, int], np.ndarray]:
+    """For each (window, band) the spatial filters of all pairs of classes, side by side; class covariances are summed where they lie."""
+    cov = RiemannFeatures(channels, windows, bank, 0.0).covariances(trials.select(label, column), column)
+    means = mean_euclid(cov, ["win", "band", label], "cov", channels)
+    out = {}
+    for i in range(len(windows)):
+        for k in range(len(bank)):
+            of = {c: m for (w, b, c), m in means.items() if (w, b) == (i, k)}
+            classes = sorted(of)
+            out[i, k] = np.concatenate([spatial_filters(of[a], of[b], pairs) for n, a in enumerate(classes) for b in classes[n + 1 :]], 1)
+    return out
+
+
+def identity_projections(channels: int, windows: int, bands: int) -> dict[tuple[int, int], np.ndarray]:
+    return {(i, k): np.eye(channels) for i in range(windows) for k in range(bands)}

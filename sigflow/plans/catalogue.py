@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigflow.plans import linear, scalars, signal
+from sigflow.plans import linear, models, scalars, signal
 
-QUERIES = {**scalars.QUERIES, **linear.QUERIES, **signal.QUERIES}
-SQL = {**scalars.SQL, **linear.SQL, **signal.SQL}
+QUERIES = {**scalars.QUERIES, **linear.QUERIES, **signal.QUERIES, **models.QUERIES}
+SQL = {**scalars.SQL, **linear.SQL, **signal.SQL, **models.SQL}

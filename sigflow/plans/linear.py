@@ -79,7 +79,8 @@ def covmat_int(spark, d):
 
 
 def covmat_int_clip(spark, d):
-    b = base(spark, d).selectExpr("vec_id", f"transform({_add_rho(_COV, 50)}, v -> least(greatest(shiftright(v, 1), -512L), 511L)) as m")
+    """The device's rule: a rounding shift, then a clip to 16 bits. The input is scaled up so that the clip is met."""
+    b = base(spark, d).selectExpr("vec_id", f"transform({_add_rho(f'transform({_COV}, v -> v * 16L)', 50)}, v -> least(greatest(shiftright(v + 4, 3), -32768L), 32767L)) as m")
     return M.cells(b, "vec_id", "m", N)
 
 
@@ -97,9 +98,9 @@ def half_vec(spark, d):
 
 
 def half_diag_int(spark, d):
-    """Diagonal shifted down by 6 with rounding, off-diagonals times 91 / 64."""
-    s = base(spark, d).selectExpr("vec_id", f"transform({_COV}, v -> v * 1L) as s").selectExpr("vec_id", f"{M.half_vector('s', N, '91L')} as h")
-    return M.entries(s, "vec_id", f"transform(h, (v, i) -> if(i < {N}, shiftright(v * 64 + 32, 6), shiftright(v + 32, 6)))")
+    """Diagonal shifted down by 1, off-diagonals times 91 shifted down by 7, both with rounding: features at twice the logarithm's scale."""
+    s = base(spark, d).selectExpr("vec_id", f"{_COV} as s").selectExpr("vec_id", f"{M.half_vector('s', N, '91L')} as h")
+    return M.entries(s, "vec_id", f"transform(h, (v, i) -> if(i < {N}, shiftright(v + 1, 1), shiftright(v + 64, 7)))")
 
 
 def _pairs(spark, d):
@@ -144,10 +145,10 @@ SQL |= {
     "vec_norm": _WITH + "select vec_id, round(sqrt(sum(v * v)::double), 6) v from a group by 1",
     "mat_swap": _WITH + "select vec_id, i, j, w.v - a.v v from a join w using (i, j)",
     "covmat_int": _C + "select vec_id, i, j, (v + case when i = j then 50 else 0 end + 4) >> 3 v from s",
-    "covmat_int_clip": _C + "select vec_id, i, j, least(greatest((v + case when i = j then 50 else 0 end) >> 1, -512), 511)::bigint v from s",
+    "covmat_int_clip": _C + "select vec_id, i, j, least(greatest((v * 16 + case when i = j then 50 else 0 end + 4) >> 3, -32768), 32767)::bigint v from s",
     "whiten_int": _C + ", r as (select least(i, j) x, greatest(i, j) y, i, j, ((7 * least(i, j) + 3 * greatest(i, j)) % 11 - 5)::bigint v from w), q as (select vec_id, r.i, s.j, sum(r.v * s.v) v from r join s on r.j = s.i group by all) select vec_id, q.i, r.j, sum(q.v * r.v)::bigint v from q join r on q.j = r.i group by all",
     "half_vec": _C + f"select vec_id, {_POS} i, round(case when i = j then v::double else sqrt(2.0::double) * v end, 6) v from s where i <= j",
-    "half_diag_int": _C + f"select vec_id, {_POS} i, case when i = j then v else (v * 91 + 32) >> 6 end::bigint v from s where i <= j",
+    "half_diag_int": _C + f"select vec_id, {_POS} i, case when i = j then (v + 1) >> 1 else (v * 91 + 64) >> 7 end::bigint v from s where i <= j",
     "givens_rotation": f"select event_id, round(cs + 0.0, 6) cs, round(sn + 0.0, 6) sn, round(abs(sn * a + cs * b), 6) rest from (select *, case when b = 0 then 1.0 when a = 0 then 0.0 else a / sqrt(a * a + b * b) end::double cs, case when b = 0 then 0.0 when a = 0 then sign(b) else -b / sqrt(a * a + b * b) end::double sn from ({_P}))",
     "evd_2x2": _E + "select event_id, round(l1, 6) + 0.0 ev1, round(l2, 6) + 0.0 ev2, round(cs2, 6) + 0.0 cs2, round(cssn, 6) + 0.0 cssn from z",
     "givens_diag": _E + "select event_id, round(abs(cs2 * a + 2 * cssn * b + (1 - cs2) * c - l1), 5) off1, round(abs((1 - cs2) * a - 2 * cssn * b + cs2 * c - l2), 5) off2, round(a + c, 5) + 0.0 trace from z",

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.operators import filters
-from sigflow.plans.dialect import quant, trials
+from sigflow.plans.dialect import SIGNAL, quant, trials
 from sigflow.session import table
-from sigflow.sources.tables import embeddings, trial_samples
+from sigflow.sources.tables import embeddings, signals, trial_samples
 
 QUERIES, SQL = {}, {}
 
@@ -65,18 +65,17 @@ def time_window_slice(spark, d):
 
 
 def align_pad(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    size = F.ceil(F.col("n") / 4) * 4
-    pad = rows.select("user_id", "n", F.expr("concat(array_repeat(1, cast(n as int)), array_repeat(0, cast(ceil(n / 4D) * 4 - n as int)))").alias("x"))
-    return pad.select("user_id", "n", F.size("x").cast("bigint").alias("size"), F.aggregate("x", F.lit(0), lambda a, v: a + v).cast("bigint").alias("ones"), (size == F.size("x")).alias("aligned"))
+    """Each user's signal with zeros behind it up to a multiple of four samples."""
+    x = signals(spark, d).withColumn("n", F.size("x"))
+    pad = x.select("user_id", F.concat("x", F.array_repeat(F.lit(0.0), F.pmod(-F.col("n"), F.lit(4)))).alias("x"))
+    return pad.select("user_id", F.posexplode("x").alias("k", "v")).select("user_id", F.col("k").cast("bigint").alias("k"), F.round("v", 6).alias("v"))
 
 
 def vectorise_features(spark, d):
-    """Windows x bands x components flattened in this order."""
-    s = trial_samples(spark, d, 8).select("vec_id", F.expr("c div 4").alias("win"), F.expr("c % 4").alias("band"), "t", "x")
-    parts = s.groupBy("vec_id", "win", "band").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("p"))
-    flat = parts.groupBy("vec_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("win", "band", F.transform("p", lambda r: r.x).alias("f")))), lambda r: r.f)).alias("f"))
-    return flat.select("vec_id", F.posexplode("f").alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("v"))
+    """Windows x bands x components flattened in this order, from one nested array a row; narrow."""
+    e = embeddings(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    cube = e.selectExpr("vec_id", "transform(sequence(0, 1), w -> transform(sequence(0, 3), b -> slice(x, w * 32 + b * 8 + 1, 8))) as f")
+    return cube.select("vec_id", F.posexplode(F.flatten(F.flatten("f"))).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("v"))
 
 
 def artifact_filter(spark, d):
@@ -97,7 +96,7 @@ SQL |= {
     "load_bands": "select width::int width, (row_number() over (partition by width order by f) - 1)::int band, round(2.0::double * f / 250, 9) lo, round(2.0::double * (f + width) / 250, 9) hi from (select width, unnest(range(4, 41, case when width < 4 then width else 4 end)) f from (values (1), (2), (4), (8), (16), (32)) w(width)) where f + width <= 40",
     "window_index": "select n_nationkey::int win, trunc((n_nationkey * 0.1::double + 2.5::double) * 250)::int t_start, trunc((n_nationkey * 0.1::double + 6.0::double) * 250)::int t_end from nation",
     "time_window_slice": f"select vec_id, win, c, (t - lo)::int t, round(x, 6) v from ({trials(8)}), (values (0, 0, 3), (1, 2, 6), (2, 5, 8)) w(win, lo, hi) where t >= lo and t < hi",
-    "align_pad": "select user_id, n, (ceil(n / 4.0) * 4)::bigint size, n ones, true aligned from (select user_id, count(*) n from events group by 1)",
+    "align_pad": f"with s as ({SIGNAL}), n as (select user_id, count(*) n from s group by 1) select user_id, k::bigint k, round(value, 6) v from s union all select user_id, (n + i)::bigint, 0.0::double from n, range(3) r(i) where n + i < ceil(n / 4.0) * 4",
     "vectorise_features": f"select vec_id, ((c // 4) * 32 + (c % 4) * 8 + t)::int pos, round(x, 6) v from ({trials(8)})",
     "artifact_filter": "select user_id, count(*) n from events where event_type <> 'error' group by 1",
     "channel_project": f"select vec_id, count(*) n, count(distinct c) channels from ({trials(8)}) where c < 5 group by 1",

@@ -110,22 +110,15 @@ def quantized_bank(spark, d):
 
 @query()
 def freq_sweep(spark, d):
-    """Amplitude of each band's filter over 200 frequencies, a row a pair."""
-    bank = filters.filter_bank([4], order=2)
-
-    def run(batches):
-        for b in batches:
-            f = b.column(0).to_numpy()
-            for k, sos in enumerate(bank):
-                yield pa.record_batch([pa.array(np.full(len(f), k)), pa.array(f), pa.array(filters.response(f, sos))], names=["band", "f", "amplitude"])
-
-    return spark.range(1, 201, 1, 8).select((F.col("id") / 625.0).alias("f")).mapInArrow(run, "band long, f double, amplitude double")
+    """Amplitudes of each band's filter over 200 frequencies, a row a pair: all in integers, floating, with quantised coefficients."""
+    return filters.sweep(spark.range(1, 201, 1, 8).select((F.col("id") * np.pi / 625.0).alias("f")), list(filters.filter_bank([4], order=2)))
 
 
 @query()
 def filter_bits_search(spark, d):
-    freqs = spark.range(1, 101, 1, 4).select((F.col("id") / 312.5).alias("f"))
-    return filters.bits_error(freqs, filters.butter_band(2, *filters.bands([4])[2]), list(range(8, 17))).orderBy("l1")
+    """Bit widths 8 to 16 over the 4 Hz bands and 60 frequencies: summed errors, three rankings, and the best by l1."""
+    freqs = spark.range(0, 60, 1, 4).select((F.col("id") * np.pi / 120).alias("f"), F.col("id").cast("int").alias("k"))
+    return filters.bits_search(freqs, list(filters.filter_bank([8], order=2)), list(range(8, 17)), [0])
 
 
 # ---- covariances and means ----------------------------------------------------------------------------------------
@@ -227,23 +220,25 @@ def whitened_euclid_c2(spark, d):
 
 @query(SQL["logm_2x2"])
 def no_adaptation_c2(spark, d):
-    return _half(_cov2(spark, d), sym2.logm(*_abc()))
+    """The reference matrix is the identity: whitened all the same, then the logarithm."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    white = _cov2(spark, d).select("vec_id", *(x.alias(n) for x, n in zip(sym2.congruence((one, none, one), _abc()), "abc")))
+    return _half(white, sym2.logm(*_abc()))
 
 
 _CLS = "(values (0, 3, -2, 1, 40), (1, -1, 4, 2, 0), (2, 2, 2, -3, -25), (3, -2, -1, 5, 10)) w(cls, w0, w1, w2, bias)"
-_QF = "trunc(greatest(least({x} * 32.0::double + sign({x}) * 0.5, 127), -128))::bigint"
+_QF = "round_even(greatest(least({x} * 32.0::double, 127), -128), 0)::bigint"
 
 
 @query(f"with {_COV2}, {_MEAN}, {_WHITE}, {_fn_sql('white', _LOG, _DLOG, 'f')}, q as (select vec_id, {_QF.format(x='fa')} q0, {_QF.format(x='fc')} q1, (91 * {_QF.format(x='fb')} + 32) >> 6 q2 from f) select vec_id, (w0 * q0 + w1 * q1 + w2 * q2 + bias)::bigint score, cls::int cls from q, {_CLS} qualify row_number() over (partition by vec_id order by w0 * q0 + w1 * q1 + w2 * q2 + bias desc, cls) = 1")
 def golden_inference(spark, d):
     """Integer features (eight bits, root of two as 91 / 64), integer scores of four classes, best class."""
     a, b, c = sym2.logm(*_abc())
-    q = _whitened(spark, d).select("vec_id", Q.round_away(a, 4.0, 8).alias("q0"), Q.round_away(c, 4.0, 8).alias("q1"), Q.shift_round(91 * Q.round_away(b, 4.0, 8), 6).alias("q2"))
+    q = _whitened(spark, d).select("vec_id", Q.half_even(a, 4.0, 8).alias("q0"), Q.half_even(c, 4.0, 8).alias("q1"), Q.shift_round(91 * Q.half_even(b, 4.0, 8), 6).alias("q2"))
     q = q.select("vec_id", F.array("q0", "q1", "q2").alias("f"))
     w = "array(array(3, -2, 1), array(-1, 4, 2), array(2, 2, -3), array(-2, -1, 5))[{c}][k]"
-    scores = classify.integer_scores(q, "vec_id", "f", w, 4, "cast(array(40, 0, -25, 10)[{c}] as bigint)")
-    best = scores.groupBy("vec_id").agg(F.max(F.struct("score", (-F.col("cls")).alias("n"))).alias("b"))
-    return best.select("vec_id", F.col("b.score").alias("score"), (-F.col("b.n")).cast("int").alias("cls"))
+    scored = classify.score_arrays(q, "f", w, 4, "cast(array(40, 0, -25, 10)[{c}] as bigint)")
+    return scored.select("vec_id", F.array_max("scores").alias("score"), classify.argmax("scores").alias("cls"))
 
 
 # ---- eight channels ------------------------------------------------------------------------------------------------
@@ -328,6 +323,11 @@ def calibrate_ranges(spark, d):
 _SCORES = f"select vec_id, cls::int cls, (sum(x * ((7 * cls + 3 * p) % 11 - 5)) + cls * 10)::bigint score, any_value(label) label from (select vec_id, label, c * 8 + t p, x from ({qtrials(8)})), range(4) r(cls) group by vec_id, cls"
 
 
+def _best(spark, d):
+    scored = classify.score_arrays(base(spark, d), "a", "(7 * {c} + 3 * k) % 11 - 5", 4, "cast(c * 10 as bigint)")
+    return scored.select("vec_id", classify.argmax("scores").alias("prediction"))
+
+
 def _scores(spark, d):
     return classify.integer_scores(base(spark, d), "vec_id", "a", "(7 * {c} + 3 * k) % 11 - 5", 4, "cast(c * 10 as bigint)")
 
@@ -339,30 +339,30 @@ def svm_score_int(spark, d):
 
 @query(f"select vec_id, cls prediction from ({_SCORES}) qualify row_number() over (partition by vec_id order by score desc, cls) = 1")
 def argmax_class(spark, d):
-    return classify.best_class(_scores(spark, d), "vec_id")
+    return _best(spark, d)
 
 
 @query(f"select count(*) n, round(avg((cls = label % 4)::int), 6) accuracy from (select cls, label from ({_SCORES}) qualify row_number() over (partition by vec_id order by score desc, cls) = 1)")
 def accuracy(spark, d):
-    p = classify.best_class(_scores(spark, d), "vec_id").join(embeddings(spark, d).select("vec_id", (F.col("label") % 4).alias("label")), "vec_id")
+    p = _best(spark, d).join(embeddings(spark, d).select("vec_id", (F.col("label") % 4).alias("label")), "vec_id")
     return classify.accuracy(p).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def _split(spark, d):
-    df = classify.with_vector(_trials8(spark, d), "x").withColumn("label", F.col("label").cast("double")).persist()
+    df = classify.with_vector(_trials8(spark, d), "x").withColumn("label", F.col("label").cast("double"))
     return df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0")
 
 
 @query()
 def linear_svm_ovr(spark, d):
     train, test = _split(spark, d)
-    return classify.fit_predict(classify.linear_svm(0.1, 300), train, test, "vec_id")[1]
+    return classify.fit_predict(classify.linear_svm(0.1, train.count()), train, test, "vec_id")[1]
 
 
 @query()
 def scaled_linear_svm(spark, d):
     train, test = _split(spark, d)
-    return classify.fit_predict(classify.linear_svm(0.1, 300, scaled=True), train, test, "vec_id")[1]
+    return classify.fit_predict(classify.linear_svm(0.1, train.count(), scaled=True), train, test, "vec_id")[1]
 
 
 @query()
@@ -380,14 +380,16 @@ def decision_tree(spark, d):
 
 @query()
 def rbf_svm(spark, d):
-    df = classify.fourier_features(_trials8(spark, d).withColumn("label", F.col("label").cast("double")), 0.5, column="x").persist()
-    return classify.fit_predict(classify.linear_svm(1.0, 300), df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0"), "vec_id")[1]
+    df = checkpoint(classify.fourier_features(_trials8(spark, d).withColumn("label", F.col("label").cast("double")), 0.5, column="x").select("vec_id", "label", classify.dense("features").alias("f")))
+    df = classify.with_vector(df)
+    train = df.where("vec_id % 5 <> 0")
+    return classify.fit_predict(classify.linear_svm(1.0, train.count()), train, df.where("vec_id % 5 = 0"), "vec_id")[1]
 
 
-@query(f"with q as (select vec_id, label, list(x order by c, t) x from ({qtrials(8)}) group by 1, 2), n as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vec_id) r from q a join q b on a.vec_id % 5 = 0 and b.vec_id % 5 <> 0), v as (select vec_id, label, count(*) n from n where r <= 5 group by all) select vec_id, label::int prediction from v qualify row_number() over (partition by vec_id order by n desc, label) = 1")
+@query(f"with q as (select vec_id, label, list(x order by c, t) x from ({qtrials(8)}) group by 1, 2), n as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vec_id) r from q a join q b on a.vec_id % 50 = 0 and b.vec_id % 50 <> 0), v as (select vec_id, label, count(*) n from n where r <= 5 group by all) select vec_id, label::int prediction from v qualify row_number() over (partition by vec_id order by n desc, label) = 1")
 def knn_classify(spark, d):
     b = base(spark, d).select("vec_id", "label", "a")
-    near = classify.knn(b.where("vec_id % 5 <> 0"), b.where("vec_id % 5 = 0"), "vec_id", "a", 5)
+    near = classify.knn(b.where("vec_id % 50 <> 0"), b.where("vec_id % 50 = 0"), "vec_id", "a", 5)
     votes = near.join(b.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour").groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("vec_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
 

@@ -22,10 +22,26 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.csv(p, header=True), "text": writer.text}[form](path)
 
 
-def load_model(spark: SparkSession, path: str) -> DataFrame:
-    """One row of model parameters, checked: 4 classes, quantised sections of 6 coefficients."""
+def load_model(spark: SparkSession, path: str, classes: int = 4) -> DataFrame:
+    """The one row of model parameters, checked as it is read: so many classes, each with its bias; filter sections of 3 + 3 coefficients; square references."""
     m = spark.read.parquet(path)
-    return m.select("*", F.assert_true(F.size("svm_bias") == 4, "four classes expected").alias("_ok")).drop("_ok")
+    sections = "forall(filters, f -> size(f.a) = size(f.b) and forall(f.a, c -> size(c) = 3) and forall(f.b, c -> size(c) = 3))"
+    square = "forall(refs, r -> size(r) = channels * channels)"
+    checks = ((f"size(svm_bias) = {classes} and size(svm_weights) = {classes}", f"{classes} classes expected"), (sections, "a filter section has not 3 + 3 coefficients"), (square, "a reference matrix is not square"))
+    fault = "coalesce(" + ", ".join(f"if({ok}, null, '{say}')" for ok, say in checks) + ")"
+    kept = F.expr(f"if({fault} is null, channels, cast(raise_error({fault}) as int))").alias("channels")
+    return m.select(*(kept if c == "channels" else F.col(c) for c in m.columns))
+
+
+def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """What ``write_table`` wrote, in the given schema."""
+    reader = spark.read.schema(schema)
+    return {"parquet": reader.parquet, "json": reader.json, "csv": lambda p: reader.csv(p, header=True), "text": reader.text}[form](path)
+
+
+def report_lines(results: DataFrame, *columns: str) -> DataFrame:
+    """One text line a row, ``name: value`` pairs in the given order."""
+    return results.select(F.concat_ws(", ", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in columns)).alias("value"))
 
 
 def parse_report(lines: DataFrame) -> DataFrame:
