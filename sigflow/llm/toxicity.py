@@ -164,8 +164,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS
 
     Labels other than 0 and 1, null ids and documents without a label teach nothing;
     of two labels of one id the larger counts, and it holds for every text of that id.
-    Null and empty texts have no features. With one class only, or an empty table, the
-    score is the class rate. Other columns of either table are not looked at.
+    Null and empty texts have no features. With one class only, no n-gram in enough
+    documents, or an empty table, the score is the class rate. Other columns of either table are not looked at.
     """
     spark = ship(docs.sparkSession)
     y = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
@@ -188,6 +188,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS
     ratio, worth = log_count_ratios(table[[0, 2]], table[[1, 3]], whole[[0, 2]], whole[[1, 3]])
     kept = np.argsort(-worth, kind="stable")[:KEPT]
     kept = kept[worth[kept] > 0]
+    if not len(kept):
+        return ToxicityModel(slot, np.zeros(KEPT), float(np.log((whole[2] + 1) / (whole[0] + 1))))
     slot[kept] = np.arange(len(kept))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(partial(_rows, slot), "y int, f binary, x binary").toArrow()

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sigflow.llm import ann, graph, langid, lines, minhash, neardup, packing, quality, spans, text, toxicity
 from sigflow.llm.bpe import bpe_round_trip
-from sigflow.llm.queries import QUERIES
+from sigflow.llm.queries import QUERIES, SQL
 
 RNG = np.random.default_rng(11)
 VOCAB = [f"w{k}" for k in range(400)]
@@ -54,6 +54,7 @@ OPERATORS = {
     "sparse": lambda d: spans.remove_repeats(d, length=50, resolver=spans.by_suffix_array),
     "lines": lambda d: lines.dedup_lines(d),
     "bpe": lambda d: bpe_round_trip(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "packing": lambda d: packing.best_fit_pack(d, public_tokenizers.path("word_bpe_49k.json"), capacity=4096),
 }
 
 
@@ -453,5 +454,194 @@ def test_pipeline(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_polynomials_across_sections(monkeypatch):
+    v = RNG.integers(0, 1 << 63, 500).astype(np.uint64)
+    starts = np.sort(RNG.integers(0, 400, 60))
+    ends = starts + RNG.integers(0, 100, 60)
+    whole = text.poly(v, starts, ends)
+    monkeypatch.setattr(text, "_SECTION", 16)
+    assert (text.poly(v, starts, ends) == whole).all()
+    for s, e, got in zip(starts.tolist(), ends.tolist(), whole.tolist()):
+        assert got == sum(int(x) * pow(text._BASE, i, 1 << 64) for i, x in enumerate(v[s:e])) % (1 << 64)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 64])
+def test_a_document_is_one_chain(limit):
+    k, tr, b = 3, RNG.normal(size=(3, 3)), RNG.normal(size=3)
+    first = np.array([0, 7, 7, 8, 30, 31])
+    e = RNG.normal(size=(31, k))
+    got = langid.document_marginals(e, first, tr, b, limit)
+    for a, z in zip(first[:-1], first[1:]):
+        if z > a:
+            want, _, _ = langid.forward_backward(e[None, a:z], np.array([z - a]), tr, b)
+            assert np.allclose(got[a:z], want[0])
+
+
+def test_log_count_ratios_and_fit(spark):
+    texts = ["aaaa bbbb", "aaab", "zzzz zz", "zzzy", None, ""]
+    y = [1, 1, 0, 0, 0, 1]
+    n = 4
+    grams = [[(t or "")[i : i + k] for k in toxicity.ORDERS for i in range(len(t or "") - k + 1)] for t in texts]
+    names = sorted({g for x in grams for g in x})
+    docs = np.array([[sum(g in x for x, c in zip(grams, y) if c == k) for g in names] for k in (0, 1)])
+    times = np.array([[sum(x.count(g) for x, c in zip(grams, y) if c == k) for g in names] for k in (0, 1)])
+    ratio, worth = toxicity.log_count_ratios(docs, times, np.array([3, 3]), times.sum(1))
+    for g, r in zip(names, ratio):
+        p, q = (sum(x.count(g) for x, c in zip(grams, y) if c == k) for k in (1, 0))
+        assert np.isclose(r, np.log((p + 1) / (times[1].sum() + 1)) - np.log((q + 1) / (times[0].sum() + 1)))
+    assert (worth == 0).all() and n == 4  # no gram is in five documents
+    raw = [(t or "").encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    d, f, count, size = toxicity.occurrences(text.Chunk(np.arange(6), np.zeros(6, bool), off, np.frombuffer(b"".join(raw), np.uint8)))
+    assert [int(count[d == i].sum()) for i in range(6)] == [len(g) for g in grams] and size.tolist() == [len(t or "") for t in texts]
+
+
+def test_logistic_is_at_its_minimum():
+    x, y = RNG.normal(size=(300, 4)), (RNG.random(300) < 0.3).astype(float)
+    row, col = np.repeat(np.arange(300), 4), np.tile(np.arange(4), 300)
+    w, b = toxicity.logistic(y, row, col, x.ravel(), 4, l2=1.0, positive=2.0, steps=2000)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    g = (p - y) * np.where(y > 0, 2.0, 1.0)
+    assert np.abs((x.T @ g + w) / 300).max() < 2e-3 and abs(g.mean()) < 2e-3
+
+
+def test_held_out_labels_move_no_score(spark):
+    texts = [prose(40) + (" you utter nastyword" if k % 3 == 0 else "") for k in range(90)]
+    df = frame(spark, texts)
+    held = [zlib.crc32(str(k).encode()) % 3 == 1 for k in range(90)]
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(k, int((k % 3 == 0) != (flip and held[k]))) for k in range(90)], "doc_id long, toxic int")
+        scores.append({r.doc_id: r.score for r in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels)).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts longer than a chunk of text, one of them a single word and one a single line."""
+    words = prose(60000)
+    texts = [words + " " + " ".join(f"u{k}" for k in range(420000)), "x" * (3 << 20), words, "y " * (2 << 20)]
+    df = frame(spark, texts)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in spans.remove_repeats(df, length=35).collect()}
+    assert got == {0: (480000, 60000), 1: (1, 0), 2: (60000, 60000), 3: (2 << 20, 2 << 20)}
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()} == {k: (1, 0) for k in range(4)}
+    assert all(r.component_id == r.doc_id for r in neardup.near_duplicates(df).collect())
+    assert {r.doc_id: r.n_words for r in quality.base_counts(df.where("doc_id in (1, 3)")).collect()} == {1: 1, 3: 2 << 20}
+
+
+def test_long_words_are_merged_alone():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from sigflow.llm.bpe import coder
+    from sigflow.llm.wordids import WordBpe
+
+    texts = ["".join(RNG.choice(list("abcdefghij"), n)) for n in (255, 256, 257, 4000)] + ["a" * 900, "é" * 400, "ab" * 300 + " cd"]
+    for f, name in ((WordBpe(path).ids, "word_bpe_49k.json"), (coder(public_tokenizers.path("byte_bpe_50k.json")).encode, "byte_bpe_50k.json")):
+        ids, n = f(texts)
+        tok = Tokenizer.from_file(public_tokenizers.path(name))
+        assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+
+
+def test_a_full_memory_of_words_gives_the_same_ids():
+    from sigflow.llm.wordids import Pieces
+
+    seen = []
+    code = lambda ps: (seen.append(len(ps)), (np.array([ord(c) for p in ps for c in p], np.uint32), np.array([len(p) for p in ps], np.int64)))[1]
+    memory = Pieces(code, limit=5)
+    for _ in range(40):
+        batch = ["".join(RNG.choice(list("abc"), RNG.integers(1, 4))) for _ in range(30)]
+        ids, n = memory.ids(batch)
+        assert ids.tolist() == [ord(c) for p in batch for c in p] and n.tolist() == list(map(len, batch))
+    assert len(memory.index) < 60
+
+
+def test_pipeline_of_empty_tables_and_names_that_clash(spark, tmp_path):
+    rows = [(k, f"{prose(60)}\nline {k}", 1, 2) for k in range(4)]
+    for name, docs, labels in (("empty", [], []), ("some", rows, []), ("labelled", rows, [(0, 1, "a", "b"), (1, 0, "c", "d")])):
+        at = tmp_path / name
+        spark.createDataFrame(docs, "doc_id long, text string, row int, y int").write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, toxic int, text string, y string").write.parquet(str(at / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(at))
+        assert {r.doc_id for r in got.collect()} <= {k for k, *_ in docs} and (docs == [] or got.count() >= 2)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_queries_on_stored_tables(spark, stored):
+    """The registered queries over whole tables, against the library, brute force and SQL."""
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in stored}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()}
+    one = {r.doc_id: r for r in QUERIES["op1_crf_language"](spark, DATA).collect()}
+    assert set(one) == set(stored) and all(one[d].held_out == held[d] and 0 <= one[d].score <= 1 for d in stored)
+    known = [d for d in stored if held[d] and lang[d] and any(map(str.isalpha, stored[d] or ""))]
+    assert sum(one[d].lang_pred == lang[d] for d in known) >= 0.9 * len(known)
+    two = {r.doc_id: r for r in QUERIES["op2_nb_toxicity"](spark, DATA).collect()}
+    assert set(two) == set(stored) and all(r.predicted == int(r.score >= 0.7) and r.held_out == held[d] for d, r in two.items())
+    for r in QUERIES["op3_decision_list"](spark, DATA).collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    byte, word = (Tokenizer.from_file(public_tokenizers.path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k"))
+    for tok in (byte, word):
+        tok.no_truncation()
+        tok.no_padding()
+    for r in QUERIES["op7_bpe_round_trip"](spark, DATA).collect():
+        ids = byte.encode(stored[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(byte.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    ids = {d: np.array(word.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t in stored.items()}
+    pieces = QUERIES["op8_best_fit_packing"](spark, DATA).collect()
+    assert sum(r.length for r in pieces) == sum(map(len, ids.values())) and all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces)
+
+
+def test_line_query_on_stored_table(spark, stored):
+    at = defaultdict(list)
+    for d in sorted(stored):
+        for k, x in enumerate((stored[d] or "").split("\n")):
+            if WORD.search(x):
+                at[x].append((d, k))
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in at]
+    comp = brute_components(sets, 80)
+    first: dict = {}
+    for c, places in zip(comp, at.values()):
+        first[c] = min([*places, first.get(c, (1 << 60, 0))])
+    gone = defaultdict(set)
+    for c, places in zip(comp, at.values()):
+        for d, k in places:
+            if (d, k) != first[c]:
+                gone[d].add(k)
+    for r in QUERIES["op10_fuzzy_lines"](spark, DATA).collect():
+        kept = [x for k, x in enumerate((stored[r.doc_id] or "").split("\n")) if k not in gone[r.doc_id]]
+        assert (r.n_removed, r.kept_sha256) == (len(gone[r.doc_id]), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+
+
+def test_neighbour_query_on_stored_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = defaultdict(list)
+    for r in QUERIES["op5_nn_descent"](spark, DATA).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        found = sorted(got[q])
+        assert [f[0] for f in found] == list(range(1, 11)) and all(np.isclose(s, d[ids == v][0]) for _, v, s in found)
+        hits += len({f[1] for f in found} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_queries_on_stored_tables(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = c.execute(SQL[name]).df()
+    got = QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
