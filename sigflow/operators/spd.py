@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigflow.session import checkpoint, ship
+from sigflow.session import checkpoint, discard, ship
 
 
 def spectral(m: np.ndarray, f) -> np.ndarray:
@@ -197,6 +197,7 @@ class RiemannFeatures:
             cov = checkpoint(self.covariances(trials, column).select("band", "cov"))
             mean = mean_riemann if self.option == "Riemann" else mean_euclid
             refs = {k[0]: invsqrtm(m) for k, m in mean(cov, ["band"], "cov", self.channels).items()}
+            discard(cov)
         return RiemannFeatures(self.channels, self.windows, self.bank, self.rho, self.option, refs)
 
     def transform(self, trials: DataFrame, key: str, column: str = "x", trace: bool = False) -> DataFrame:

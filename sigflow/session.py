@@ -43,14 +43,29 @@ def buckets(spark: SparkSession, per: int = 4) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and go on from the files.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a notebook) a folder of this machine is used. Files, unlike a
-    checkpointed RDD, bring their true size to the planner.
+    The folder is the one named by ``spark.checkpoint.dir``. Where that is unset a
+    single-process session (tests, a notebook) uses a folder of this machine; on a
+    cluster it is an error, as executors would not see each other's files. Files,
+    unlike a checkpointed RDD, bring their true size to the planner.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sigflow_checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sigflow_checkpoints"))
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._checkpoint_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``checkpoint`` that nothing refers to any more, as in the rounds of a loop. Other frames are left alone."""
+    path = getattr(df, "_checkpoint_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
