@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigflow.llm.text import distinct, mix, packed, packed_stream, spread, unpacked
-from sigflow.session import checkpoint, ship
+from sigflow.session import checkpoint, discard, ship
 
 #: Neighbours of a node in the graph; random-projection orders for the start; rounds of NN-descent at most; nodes in a search's beam.
 NEIGHBOURS, TREES, ROUNDS, BEAM = 20, 3, 8, 400
@@ -417,8 +417,12 @@ def nn_descent(nodes: DataFrame, buckets: int, dim: int, *, k: int = NEIGHBOURS,
         if not dealt.isEmpty():
             found = found.union(dealt.groupBy("bucket").applyInArrow(_block_join(buckets, k), _CAND))
         known, new = graph.withColumn("new", F.lit(False)), found.withColumn("new", F.lit(True))
+        last = graph
         merged = checkpoint(known.union(new).groupBy("bucket").applyInArrow(_renew_lists(k), _CAND + ", changed long, size long"))
+        discard(last)
+        discard(met)
         graph = merged.select("bucket", "p0", "p1", "p2")
+        graph._checkpoint_path = merged._checkpoint_path
         moved = merged.agg(F.sum("changed"), F.sum("size")).first()
         if not moved[0] or moved[0] < SETTLED * moved[1]:
             break
@@ -443,7 +447,8 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, bucket
         front = _cogroup(state, nodes, _ask(buckets), beams)
         pairs = _cogroup(front, edges, _follow(buckets), beams)
         met = _cogroup(pairs, nodes, _measure(buckets, beam), beams)
-        state = checkpoint(state.mapInArrow(_expanded, beams).union(met).groupBy("bucket").applyInArrow(_advance(beam), beams + ", open long"))
+        last, state = state, checkpoint(state.mapInArrow(_expanded, beams).union(met).groupBy("bucket").applyInArrow(_advance(beam), beams + ", open long"))
+        discard(last)
     return state.mapInArrow(_flat, "q long, c long, d double")
 
 

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.session import checkpoint
+from sigflow.session import checkpoint, discard
 
-#: The filter's size is fixed: 2**26 bits, 8 MB, however many keys it holds. When full it lets more through, never less.
+#: The filter's size is fixed: 2**26 bits, 8 MB, however many keys it holds. When full it lets more through, never less; what it lets through is joined exactly later.
 FILTER_BITS = 26
 
 
@@ -53,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    comp = None
+    comp = base = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
@@ -62,10 +62,16 @@ def components(edges: DataFrame) -> DataFrame:
         up = checkpoint(up)
         rename = lambda c: up.select(F.col("a").alias(c), F.col("p").alias(f"{c}_up"))
         if comp is None:
-            comp = up.select(F.col("a").alias("id"), F.col("p").alias("comp"))
+            comp, base = up.select(F.col("a").alias("id"), F.col("p").alias("comp")), up
         else:
             comp = checkpoint(comp.join(up.select(F.col("a").alias("comp"), F.col("p").alias("_up")), "comp", "left").select("id", F.coalesce("_up", "comp").alias("comp")))
-        e = e.join(rename("a"), "a").join(rename("b"), "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
-        e = checkpoint(e)
+            discard(base)
+            base = comp
+        new = checkpoint(e.join(rename("a"), "a").join(rename("b"), "b").where("a_up <> b_up").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        discard(e)
+        if base is not up:
+            discard(up)
+        e = new
         if e.isEmpty():
+            discard(e)
             return comp
