@@ -63,6 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         rename = lambda c: up.select(F.col("a").alias(c), F.col("p").alias(f"{c}_up"))
         if comp is None:
             comp, base = up.select(F.col("a").alias("id"), F.col("p").alias("comp")), up
+            comp._checkpoint_path = up._checkpoint_path
         else:
             comp = checkpoint(comp.join(up.select(F.col("a").alias("comp"), F.col("p").alias("_up")), "comp", "left").select("id", F.coalesce("_up", "comp").alias("comp")))
             discard(base)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sigflow.llm.graph import components
 from sigflow.llm.text import distinct, mix, packed_stream, unpacked
-from sigflow.session import checkpoint
+from sigflow.session import checkpoint, discard
 
 #: Bytes hashed at once by one sample, and the height of a column.
 _BLOCK, _HIGH = 1 << 18, 32
@@ -334,7 +334,7 @@ def remaining_links(parts: DataFrame, comp: DataFrame, sets: DataFrame, *, num:
              concat(transform(sequence(0, bo - 1), j -> struct(least(j, cast(pmod(xxhash64(id), bo) as int)) as i, 0 as kind, greatest(j, cast(pmod(xxhash64(id), bo) as int)) as j)),
                     transform(sequence(0, bm - 1), j -> struct(cast(pmod(xxhash64(id), bo) as int) as i, 1 as kind, j as j))))) as t""",
     )
-    dealt = checkpoint(dealt.select("id", "comp", F.xxhash64("list", "t.i", "t.kind", "t.j").alias("task")))
+    dealt = dealt.select("id", "comp", F.xxhash64("list", "t.i", "t.kind", "t.j").alias("task"))
     return dealt.join(sets, "id").select(F.pmod("task", F.lit(buckets)).cast("int").alias("bucket"), "task", "id", "comp", "values").groupBy("bucket").applyInArrow(lambda t: _compare(num, den, expand, t), "a long, b long")
 
 
@@ -381,7 +381,9 @@ def cut_large(lists: DataFrame) -> DataFrame:
     blocks = f"ceil(2 * n / {LARGE})"
     cut = lists.join(size, "list", "left").selectExpr("list", "early", "id", f"if(n is null, null, cast({blocks} as int)) as b", f"if(n is null, 0, cast(pmod(xxhash64(id), {blocks}) as int)) as i")
     cut = cut.selectExpr("list", "early", "id", "b", "i", "explode(if(b is null, array(0), sequence(0, b - 1))) as j")
-    return checkpoint(cut.selectExpr("if(b is null, list, xxhash64(list, least(i, j), greatest(i, j))) as list", "early", "id"))
+    out = checkpoint(cut.selectExpr("if(b is null, list, xxhash64(list, least(i, j), greatest(i, j))) as list", "early", "id"))
+    discard(lists)
+    return out
 
 
 def linked_components(lists: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, low: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int) -> DataFrame:
@@ -403,4 +405,9 @@ def linked_components(lists: DataFrame, sketches_of: Callable[[DataFrame], DataF
     links = checkpoint(both.select("a", "b", "va", "vb").mapInArrow(partial(_confirm, num, den, expand), "a long, b long"))
     comp = components(links)
     more = checkpoint(remaining_links(parts, comp, sets, num=num, den=den, expand=expand, buckets=buckets))
-    return comp if more.isEmpty() else components(links.union(more))
+    if not more.isEmpty():
+        first, comp = comp, components(links.union(more))
+        discard(first)
+    for done in (lists, sieved, parts, sets, links, more):
+        discard(done)
+    return comp

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sigflow.llm.graph import KeyFilter
 from sigflow.llm.text import _POW, Chunk, chunks, gram_hash, keyed_texts, mix, packed_stream, poly, rewrite, row_chunks, span_hash, tokens, unpacked
 from sigflow.session import buckets as groups
-from sigflow.session import checkpoint, ship
+from sigflow.session import checkpoint, discard, ship
 
 GRAM = 8
 #: An automaton takes at most so many distinct contexts (some 50 MB of states); the windows of larger groups are counted by hash, exactly.
@@ -410,7 +410,11 @@ def repeat_marks(docs: DataFrame, *, length: int, resolver=by_automaton, id_col:
     solved = dealt(partial(_send_contexts, length, buckets, mixed), 6).applyInArrow(lambda t: _resolve(length, resolver, t), "h long, c long, mask long")
     every = F.lit(-1).cast("long")  # all windows of a context that occurs twice; those outside the document are not there to remove
     marks = counted.where("twice and not mixed").select("h", "c", every.alias("mask")).union(solved.join(counted.where("mixed").select("h", "c"), ["h", "c"], "left_semi"))
-    return texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, row long, pos int").join(marks, ["h", "c"]).groupBy("row").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")).select("row", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask"))
+    at = texts.mapInArrow(partial(_occurrences, length, seen), "h long, c long, row long, pos int").join(marks, ["h", "c"])
+    out = checkpoint(at.groupBy("row").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")).select("row", F.col("hits.pos").alias("pos"), F.col("hits.mask").alias("mask")))
+    discard(again)
+    discard(counted)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, length: int, resolver=by_automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

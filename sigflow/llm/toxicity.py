@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
 from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, row_chunks, unpacked
-from sigflow.session import checkpoint, ship
+from sigflow.session import checkpoint, discard, ship
 
 #: Hashed feature space, n-gram orders, features kept for the linear model, documents that must hold a kept feature.
 BITS, ORDERS, KEPT, LEAST = 20, (3, 4, 5, 6), 16384, 5
@@ -173,9 +173,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS
         y = y.where(f"not ({fold})")
     y = checkpoint(y)
     keep = spark.sparkContext.broadcast(KeyFilter(y, "doc_id", hashed=False))
+    rows = _labelled_rows(docs, y, keep)
+    try:
+        return _fit(rows, max_rows)
+    finally:
+        discard(rows)
+        discard(y)
+
+
+def _labelled_rows(docs: DataFrame, y: DataFrame, keep) -> DataFrame:
+    """(y, text, doc_id) of the documents with a label, written once."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     near = texts.withColumn("bit", F.shiftrightunsigned(F.xxhash64("doc_id"), 38)).mapInArrow(partial(_labelled, keep), "doc_id long, text string")
-    rows = checkpoint(near.join(y, "doc_id").select("y", "text", "doc_id"))
+    return checkpoint(near.join(y, "doc_id").select("y", "text", "doc_id"))
+
+
+def _fit(rows: DataFrame, max_rows: int) -> ToxicityModel:
     counted = rows.select("y", "text").mapInArrow(_counts, "bucket int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("bucket").applyInArrow(lambda t: _sum(t), "f int, d0 long, n0 long, d1 long, n1 long").toArrow()
     got = np.stack([counted.column(k).to_numpy() for k in range(5)])
     whole = got[1:, got[0] < 0].sum(1)
