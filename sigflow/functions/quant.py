@@ -57,6 +57,16 @@ def fake_quantize(x: Column, scale: float, bits: int) -> Column:
     return dequantize(round_away(x, scale, bits), scale, bits)
 
 
+def fake_half_even(x: Column, scale: float, bits: int) -> Column:
+    """R3 and back to floating point."""
+    return dequantize(half_even(x, scale, bits), scale, bits)
+
+
+def wrap(x: Column, bits: int) -> Column:
+    """What a store into so many bits keeps: no clip."""
+    return F.pmod(x + F.lit(1 << (bits - 1)), F.lit(1 << bits)) - F.lit(1 << (bits - 1))
+
+
 def shift_round(x: Column, k: int) -> Column:
     """R4: half towards plus infinity."""
     return x if k == 0 else F.shiftright(x + F.lit(1 << (k - 1)), k)

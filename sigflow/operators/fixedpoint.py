@@ -81,7 +81,7 @@ def half_vector(m: np.ndarray, diagonal_shift: int, shift: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class FixedModel:
-    """Parameters of the integer model for one time window; ``fit`` gives a new one with all of them.
+    """Parameters of the integer model for one time ``window`` (samples from, to); ``fit`` gives a new one with all of them.
 
     ``bank`` has the floating sections of each band. Scales are those of full range;
     where one stage's output is shifted into the next, they differ by powers of two.
@@ -91,6 +91,7 @@ class FixedModel:
     bank: list
     rho: float = 1.0
     metric: str = "riemann"
+    window: tuple = (0, None)
     input_scale: float = 1.0
     filters: list = field(default_factory=list)
     cov_scale: list = field(default_factory=list)
@@ -102,6 +103,10 @@ class FixedModel:
     weight_scale: float = 1.0
     bias: np.ndarray | None = None
 
+    def signals(self, column: pa.Array) -> np.ndarray:
+        """(rows, channels, samples of the window) of an array column."""
+        return spd.stacked(column, self.channels)[:, :, slice(*self.window)]
+
     # ---- one band, a batch of trials ------------------------------------------------------------------------------
 
     def wide_scale(self, band: int) -> float:
@@ -127,11 +132,11 @@ class FixedModel:
     def _pass(self, trials: DataFrame, column: str, per_band) -> DataFrame:
         """(band, r0, r1, ..., m): what ``per_band(x, band)`` gives for each batch and band: its maxima and a sum of matrices."""
         ship(trials.sparkSession)
-        c, n = self.channels, len(self.bank)
+        n = len(self.bank)
 
         def run(batches):
             for b in batches:
-                x = spd.stacked(b.column(0), c)
+                x = self.signals(b.column(0))
                 if len(x):
                     for k in range(n):
                         tops, mats = per_band(x, k)
@@ -192,7 +197,7 @@ class FixedModel:
 
         def run(batches):
             for b in batches:
-                x = away(spd.stacked(b.column(1), self.channels), self.input_scale, BITS)
+                x = away(self.signals(b.column(1)), self.input_scale, BITS)
                 got = [self.stages(x, k) for k in range(len(self.bank))] if len(x) else []
                 f = np.clip(np.concatenate([s["features"] for s in got], 1), -_top(BITS), _top(BITS) - 1) if got else np.zeros((0, 0), np.int64)
                 columns = [b.column(0), whole_arrays(f)]
@@ -231,7 +236,7 @@ class FixedModel:
         """The model of a parameter row (see ``sources.reports.load_model``, which checks it)."""
         c = row.channels
         q = [{"a": np.array(f.a), "b": np.array(f.b), "a_shift": np.array(f.a_shift), "b_shift": np.array(f.b_shift), "y_shift": f.y_shift, "y_scale": f.y_scale} for f in row.filters]
-        return cls(c, bank or [None] * len(q), row.rho, "riemann", row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias))
+        return cls(c, bank or [None] * len(q), row.rho, "riemann", (0, None), row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias))
 
 
 def whole_arrays(x: np.ndarray) -> pa.Array:

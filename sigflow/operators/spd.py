@@ -40,6 +40,18 @@ def half_vector(m: np.ndarray) -> np.ndarray:
     return np.concatenate([np.diagonal(m, axis1=-2, axis2=-1), np.sqrt(2) * m[..., i, j]], -1)
 
 
+def reflect(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """H T H of the reflection H = I - 2 v v', as a rank-two update."""
+    w = t @ v
+    w = w - (v @ w) * v
+    return t - 2 * np.outer(v, w) - 2 * np.outer(w, v)
+
+
+def reflect_basis(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Q H of the same reflection."""
+    return q - 2 * np.outer(q @ v, v)
+
+
 def tridiagonal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(T, Q) with m = Q T Q': reflections clear one column after the other."""
     t, n = np.array(m, float), len(m)
@@ -52,11 +64,71 @@ def tridiagonal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         v[k + 1] += np.copysign(r, v[k + 1])
         v /= np.linalg.norm(v)
-        h = np.eye(n) - 2 * np.outer(v, v)
-        t, q = h @ t @ h, q @ h
+        t, q = reflect(t, v), reflect_basis(q, v)
     return t, q
 
 
+def rotation(a: float, b: float) -> tuple[float, float]:
+    """(c, s) with c a - s b = r and s a + c b = 0."""
+    r = np.hypot(a, b)
+    return (1.0, 0.0) if r == 0 else (a / r, -b / r)
+
+
+def tridiagonal_eigen(t: np.ndarray, q: np.ndarray, eps: float = 1e-14) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, vectors) of a symmetric tridiagonal matrix by shifted rotations, vectors starting from ``q``.
+
+    The shift is the eigenvalue of the trailing 2 x 2 block nearest its last entry;
+    an off-diagonal entry at or below ``eps`` times its neighbours ends a block.
+    """
+    t, q = np.array(t, float), np.array(q, float)
+    hi = len(t) - 1
+    for _ in range(60 * len(t)):
+        small = [abs(t[k + 1, k]) <= eps * (abs(t[k, k]) + abs(t[k + 1, k + 1])) for k in range(len(t) - 1)]
+        for k in np.flatnonzero(small).tolist():
+            t[k + 1, k] = t[k, k + 1] = 0.0
+        while hi > 0 and t[hi, hi - 1] == 0:
+            hi -= 1
+        if hi == 0:
+            break
+        lo = hi - 1
+        while lo > 0 and t[lo, lo - 1] != 0:
+            lo -= 1
+        half, b = (t[hi - 1, hi - 1] - t[hi, hi]) / 2, t[hi, hi - 1]
+        shift = t[hi, hi] - b * b / (half + np.copysign(np.hypot(half, b), half if half else 1.0))
+        x, z = t[lo, lo] - shift, t[lo + 1, lo]
+        for k in range(lo, hi):
+            c, s = rotation(x, z)
+            g = np.array([[c, s], [-s, c]])
+            t[:, k : k + 2] = t[:, k : k + 2] @ g
+            t[k : k + 2] = g.T @ t[k : k + 2]
+            q[:, k : k + 2] = q[:, k : k + 2] @ g
+            if k < hi - 1:
+                x, z = t[k + 1, k], t[k + 2, k]
+    return np.diag(t).copy(), q
+
+
+def epsilon_for_accuracy(matrices: DataFrame, column: str, n: int, accuracy: float) -> float:
+    """Largest power of ten at which every matrix is rebuilt, and its eigenvalues met, within ``accuracy``; one aggregation a try."""
+    eps = 0.1
+
+    def worst(e: float):
+        def run(m: np.ndarray) -> np.ndarray:
+            out = []
+            for a in m:
+                w, q = tridiagonal_eigen(*tridiagonal(a), e)
+                out.append(max(np.abs(q * w @ q.T - a).max(), np.abs(np.sort(w) - np.linalg.eigvalsh(a)).max()))
+            return np.array(out)[:, None]
+
+        return run
+
+    while eps > 1e-18:
+        e = map_matrices(matrices.select(column), column, n, worst(eps), "e").agg(F.max(F.get("e", F.lit(0)))).first()[0]
+        if e is None or e <= accuracy:
+            return eps
+        eps *= 0.1
+    return eps
+
+
 def stacked(column: pa.Array, rows: int) -> np.ndarray:
     """(signals, rows, columns) of an array column, from the Arrow buffer; a null or ragged signal is an error that says so."""
     if column.null_count or (len(column) and len(set(np.diff(column.offsets.to_numpy()).tolist())) > 1):
@@ -166,6 +238,10 @@ class RiemannFeatures:
             raise ValueError(f"unknown option {option}")
         self.channels, self.windows, self.bank, self.rho, self.option, self.references = channels, windows, bank, rho, option, references
 
+    def whole_signal(self) -> RiemannFeatures:
+        """The same references on a single window that is the whole signal, for trials cut to it already."""
+        return RiemannFeatures(self.channels, [(0, None)], self.bank, self.rho, self.option, self.references)
+
     def covariances(self, trials: DataFrame, column: str = "x") -> DataFrame:
         """Rows of ``trials`` times (win, band, cov): one pass, no shuffle. ``column`` is channel-major."""
         from sigflow.operators.filters import sos_float

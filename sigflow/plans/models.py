@@ -62,6 +62,29 @@ def sos_int_form2(spark, d):
     return S._samples(filters.apply_filter(S._qsignals(spark, d), "x", "sos_int_form2", S.FIXED_SOS))
 
 
+@query(S._iir_sql(S._QS, "0::bigint", S._section(0, 2, "s.x", "f.xa", "f.xb", "f.ua", "f.ub"), S._section(1, 3, "u", "ua", "ub", "va", "vb"), "((((va >> 1) + 128) % 256 + 256) % 256 - 128)::bigint"))
+def device_filter_store(spark, d):
+    """The device's cascade with its last shift and store: eight bits, no clip."""
+    y = S._samples(filters.apply_filter(S._qsignals(spark, d), "x", "sos_int_device", S.FIXED_SOS))
+    return y.withColumn("y", Q.wrap(filters.output_shift(F.col("y"), -1), 8).cast("bigint"))
+
+
+_EVEN = "round_even(greatest(least((value - 280.0::double) / 64 * 128, 127), -128), 0)"
+
+
+@query(f"select event_id, round({_EVEN} / 128 * 64, 6) + 0.0::double v from events")
+def fake_quantize_even(spark, d):
+    return table(spark, d, "events").select("event_id", (F.round(Q.fake_half_even(F.col("value") - 280.0, 64.0, 8), 6) + 0.0).alias("v"))
+
+
+@query(f"select vec_id, c row, t, case when t < 7 then x else 0 end::bigint v from ({qtrials(8)})")
+def device_input(spark, d):
+    """Eight-bit channels of seven samples, zeros behind them up to a multiple of four."""
+    e = embeddings(spark, d).select("vec_id", F.transform("embedding", lambda v: Q.round_away(v.cast("double"), 1.0, 8)).alias("x"))
+    rows = e.selectExpr("vec_id", "posexplode(transform(sequence(0, 7), c -> slice(x, c * 8 + 1, 7))) as (row, v)")
+    return rows.select("vec_id", "row", F.posexplode(F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.pmod(-F.size("v"), F.lit(4))))).alias("t", "v"))
+
+
 _TRUNC = "trunc(greatest(least((value - 280.0::double) / 512 * 128, 127), -128))::bigint"
 _PADDED = f"with q as (select user_id, k::bigint k, {_TRUNC} x from ({SIGNAL})) select user_id, k, x from q union all select user_id, n + i, 0 from (select user_id, count(*) n from q group by 1), range(4) r(i)"
 _CASCADE = S._iir_sql(_PADDED, "0::bigint", S._section(0, 2, "s.x", "f.xa", "f.xb", "f.ua", "f.ub"), S._section(1, 2, "u", "ua", "ub", "va", "vb"), "(va >> 1) / 128.0::double * 4")
@@ -401,6 +424,30 @@ def tridiag_invariants_c8(spark, d):
     return t.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
 
 
+@query(_C8)
+def qr_invariants_c8(spark, d):
+    """Shifted rotations on the tridiagonal form: the matrix rebuilt from eigenvalues and vectors."""
+
+    def rebuilt(x):
+        pairs = [spd.tridiagonal_eigen(*spd.tridiagonal(m)) for m in x]
+        return np.stack([q * w @ q.T for w, q in pairs]) if pairs else x
+
+    t = M.cells(spd.map_matrices(_cov(spark, d), "cov", 8, rebuilt), "vec_id", "m", 8)
+    return t.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
+
+
+@query(f"with x as (select vec_id, c, t, x from ({trials(8)})), s as (select a.vec_id, sum(a.x * b.x) + case when a.c = b.c then 1.0::double else 0 end v from x a join x b on a.vec_id = b.vec_id and a.t = b.t group by a.vec_id, a.c, b.c) select round((select max(abs(x)) from x), 6) input, round(max(abs(v)), 6) cov from s")
+def range_monitor_c8(spark, d):
+    """Ranges of input and covariance over all trials, as calibration takes them."""
+    model = fixedpoint.FixedModel(8, [None])
+
+    def ranges(x, _):
+        m = x @ np.swapaxes(x, 1, 2) + np.eye(8)
+        return (np.abs(x).max(), 0.0, np.abs(m).max()), m
+
+    return model._pass(_trials(spark, d), "x", ranges).agg(F.round(F.max("r0"), 6).alias("input"), F.round(F.max("r2"), 6).alias("cov"))
+
+
 @query(_C8)
 def logm_round_trip_c8(spark, d):
     """The exponential of the logarithm: trace and squared norm of the matrix again."""

@@ -193,3 +193,153 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.user_id, r.k): r.y for r in spark.table("iir").collect()}
     want = filters.sos_int(x, q)
     assert all(got[u, k] == want[u, k] for u in range(3) for k in range(40))
+
+
+def _fixed_model():
+    from sigflow.operators.fixedpoint import FixedModel
+
+    q = {"a": np.array([[1024, -1200, 500]]), "b": np.array([[500, 0, -500]]), "a_shift": np.array([10]), "b_shift": np.array([11]), "y_shift": 1, "y_scale": 1.0}
+    return FixedModel(2, [None], 0.5, input_scale=1.0, filters=[q], cov_scale=[8.0], ref_scale=[4.0], refs=[np.array([[70, 3], [3, 50]])], log_scale=4.0, feature_scale=8.0).with_classifier(np.array([[0.5, -1.0, 0.25], [1.0, 0.5, -0.75], [0.1, 0.2, 0.3], [-0.4, 0.0, 0.9]]), np.array([0.1, -0.2, 0.0, 0.3]))
+
+
+def test_integer_stages_by_hand(spark):
+    import math
+
+    model = _fixed_model()
+    x = np.random.default_rng(3).normal(0, 0.4, (5, 2, 12))
+    df = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in enumerate(x)], "k long, x array<double>")
+    got = {r.k: r for r in model.scores(model.transform(df, "k", trace=True)).collect()}
+    clip = lambda v, n: max(-(1 << (n - 1)), min((1 << (n - 1)) - 1, v))
+    for k, trial in enumerate(x):
+        q = [[int(clip(v * 128 + math.copysign(0.5, v), 8)) if v else 0 for v in ch] for ch in trial]
+        assert got[k].stages["input"] == sum(q, [])
+        y = []
+        for ch in q:
+            past, out = [0, 0], [0, 0]
+            for t, v in enumerate(ch):
+                acc = ((500 * v - 500 * past[t] + 0) + 1 >> 1) + 1200 * out[-1] - 500 * out[-2]
+                out.append(acc + 512 >> 10)
+                past.append(v)
+            y.append([v << 1 for v in out[2:]])
+        assert got[k].stages["filtered_0"] == sum(y, [])
+        rho = round(0.5 / (1.0 * (1 << 31) / 16384) * (1 << 31))
+        m = [[sum(a * b for a, b in zip(y[i], y[j])) + rho * (i == j) for j in (0, 1)] for i in (0, 1)]
+        m = [[v + 2 >> 2 for v in row] for row in m]
+        assert got[k].stages["cov_0"] == sum(m, [])
+        r = [[70, 3], [3, 50]]
+        mul = lambda a, b: [[sum(a[i][z] * b[z][j] for z in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+        w = mul(mul(r, m), r)
+        assert got[k].stages["white_0"] == sum(w, [])
+        log = spd.logm(np.array(w) * (8.0 / 32768 * (4.0 / 1024) ** 2), 1e-3)
+        log = [[round(clip(v / 4.0 * 128, 8)) for v in row] for row in log.tolist()]
+        assert got[k].stages["log_0"] == sum(log, [])
+        f = [log[0][0] + 1 >> 1, log[1][1] + 1 >> 1, 91 * log[1][0] + 64 >> 7]
+        assert got[k].f == f
+        weights = [[int(clip(v * 128 + math.copysign(0.5, v), 8)) if v else 0 for v in row] for row in ([0.5, -1.0, 0.25], [1.0, 0.5, -0.75], [0.1, 0.2, 0.3], [-0.4, 0.0, 0.9])]
+        bias = [round(v / 8.0 * 16384) for v in (0.1, -0.2, 0.0, 0.3)]
+        scores = [sum(a * b for a, b in zip(row, f)) + c for row, c in zip(weights, bias)]
+        assert got[k].scores == scores and got[k].prediction == scores.index(max(scores))
+
+
+def test_integer_model_survives_a_file(spark, tmp_path):
+    from sigflow.operators.fixedpoint import FixedModel
+
+    model = _fixed_model()
+    reports.write_table(model.parameters(spark), str(tmp_path / "m"))
+    again = FixedModel.from_row(reports.load_model(spark, str(tmp_path / "m")).first())
+    df = spark.createDataFrame([(1, np.linspace(-0.5, 0.5, 24).tolist())], "k long, x array<double>")
+    assert model.scores(model.transform(df, "k")).collect() == again.scores(again.transform(df, "k")).collect()
+    model.parameters(spark).withColumn("svm_bias", F.slice("svm_bias", 1, 2)).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="4 classes expected"):
+        reports.load_model(spark, str(tmp_path / "bad")).collect()
+
+
+def test_integer_model_learns_classes(spark):
+    from sigflow.operators.fixedpoint import FixedModel
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(80):
+        mix = [[3.0, 0.0], [0.0, 1.0]] if k % 2 else [[1.0, 0.0], [2.5, 1.0]]
+        rows.append((k, float(k % 2), (np.array(mix) @ rng.normal(0, 1, (2, 200))).ravel().tolist()))
+    df = spark.createDataFrame(rows, "k long, label double, x array<double>")
+    model = FixedModel(2, [filters.butter_band(2, 0.1, 0.5)], metric="euclid").fit(df)
+    f = model.real_features(model.transform(df, "k")).join(df.select("k", "label"), "k")
+    x, y = (np.array(v) for v in zip(*[(r.f, r.label) for r in f.collect()]))
+    _, w, b = classify.hinge_svm(x, y, 1.0)
+    got = model.with_classifier(w, b).scores(model.transform(df, "k")).collect()
+    assert np.mean([r.prediction == r.k % 2 for r in got]) > 0.95
+
+
+@pytest.mark.parametrize("form", [1, 2])
+def test_shifted_apart_cascade(form):
+    q = {"a": [[1024, -1500, 700], [2048, -1800, 1000]], "b": [[512, 3, -512], [900, 1800, 900]], "b_shift": [12, 13], "a_shift": [10, 11]}
+    x = np.random.default_rng(1).integers(-128, 128, (3, 60))
+    got = filters.sos_int_floor(x, q, form=form)
+    for r, v in enumerate(x.tolist()):
+        for m in range(2):
+            (b0, b1, b2), (_, a1, a2), sb, sa = q["b"][m], q["a"][m], q["b_shift"][m], q["a_shift"][m]
+            if form == 1:
+                out = [0, 0]
+                past = [0, 0, *v]
+                for t in range(len(v)):
+                    out.append(min((b0 * past[t + 2] + b1 * past[t + 1] + b2 * past[t] >> sb) - (a1 * out[-1] + a2 * out[-2] >> sa), 1 << 15))
+                v = out[2:]
+            else:
+                w = [0, 0]
+                for s in v:
+                    w.append(min(s - (a1 * w[-1] + a2 * w[-2] >> sa), 1 << 15))
+                v = [b0 * w[t] + b1 * w[t - 1] + b2 * w[t - 2] >> sb for t in range(2, len(w))]
+        assert got[r].tolist() == v
+
+
+def test_section_pairing_and_pass_through():
+    sos = filters.butter_band(2, *filters.bands([4])[2])
+    assert np.allclose(sos[0, 1:3] / sos[0, 0], [2, 1]) and np.allclose(sos[1, :3], [1, -2, 1]) or np.allclose(sos[0, 1:3] / sos[0, 0], [-2, 1]) and np.allclose(sos[1, :3], [1, 2, 1])
+    assert abs(np.roots(sos[1, 3:])).max() >= abs(np.roots(sos[0, 3:])).max() - 1e-12
+    q = filters.with_pass_through(filters.quantize_sos(sos, 1.0, 1.0))
+    assert q["a"].shape == (3, 3) and q["b"][0].tolist() == [2048] * 3 and q["a_shift"][0] == 11
+
+
+def test_eigenvalues_by_rotations(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 8, 22):
+        a = rng.normal(size=(n, n))
+        a = a @ a.T
+        w, q = spd.tridiagonal_eigen(*spd.tridiagonal(a))
+        assert np.allclose(q * w @ q.T, a) and np.allclose(np.sort(w), np.linalg.eigvalsh(a))
+    df = spark.createDataFrame([((m @ m.T).ravel().tolist(),) for m in rng.normal(size=(20, 6, 6))], "m array<double>")
+    loose, tight = (spd.epsilon_for_accuracy(df, "m", 6, acc) for acc in (1e-2, 1e-9))
+    assert tight < loose <= 0.1
+
+
+def test_kernel_features_give_the_kernel(spark):
+    x = np.random.default_rng(4).normal(size=(40, 3))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, f array<double>")
+    z = np.array([r.z for r in classify.kernel_features(df, "rbf", "k", gamma=0.3, landmarks=40).orderBy("k").select(classify.dense("features").alias("z")).collect()])
+    want = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.abs(z @ z.T - want).max() < 1e-6
+
+
+def test_search_reports(spark, tmp_path):
+    from sigflow.operators import search
+
+    grid = search.grid(spark, c=[0.1, 1.0, 10.0])
+    runs = search.chosen_runs(grid, 5)
+    assert sorted((r.run, r.skipped) for r in runs.collect()) == [(0, False), (1, False), (2, False), (3, True), (4, True)]
+    assert search.chosen_runs(grid, 2).count() == 2
+    feats = spark.createDataFrame([(s, k % 3, k % 2, [float(k % 2), float(s)]) for s in (0, 1) for k in range(30)], "subject int, fold int, label int, f array<double>")
+    report = search.search_report(classify.subject_runs(feats, runs.where("not skipped")), runs)
+    got = {(r.subject, r.run): (r.accuracy, r.description) for r in report.collect()}
+    assert len(got) == 10 and got[0, 1][0] == 1.0 and got[1, 4] == (0.0, "skipped run")
+    reports.write_table(report, str(tmp_path / "r"), "json")
+    assert reports.read_table(spark, str(tmp_path / "r"), "subject int, run int, accuracy double", "json").count() == 10
+    line = reports.report_lines(report.where("subject = 0 and run = 4"), "run", "accuracy").first().value
+    assert line == "run: 4, accuracy: 0.0"
+
+
+def test_a_null_or_ragged_signal_says_so(spark):
+    for x in (None, [1.0, 2.0]):
+        df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, x)], "k long, x array<double>").coalesce(1)
+        with pytest.raises(Exception, match="signal"):
+            spd.covariance(df, "x", 2).collect()
