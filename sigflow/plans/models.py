@@ -265,17 +265,22 @@ def _svm(train, c: float):
     return np.array([m.coefficients.toArray() for m in model.stages[-1].models]), np.array([m.intercept for m in model.stages[-1].models])
 
 
-_LEARNED: dict[tuple[str, str], fixedpoint.FixedModel] = {}
+_LEARNED: dict[tuple[str, str, str], tuple] = {}
 
 
-def quantised_model(spark, d):
-    """The integer model learned from four fifths of the trials; learned once an application and table."""
-    key = (spark.sparkContext.applicationId, d)
+def _once(spark, d, learn):
+    """What ``learn`` gives for a table, learned once an application."""
+    key = (spark.sparkContext.applicationId, d, learn.__name__)
     if key not in _LEARNED:
-        _LEARNED[key] = _learn(spark, d)
+        _LEARNED[key] = learn(spark, d)
     return _LEARNED[key]
 
 
+def quantised_model(spark, d):
+    """The integer model learned from four fifths of the trials."""
+    return _once(spark, d, _learn)
+
+
 def _learn(spark, d):
     t = _trials(spark, d)
     train = t.where("vec_id % 5 <> 0")
@@ -312,13 +317,17 @@ def quantised_parameters(spark, d):
     return quantised_model(spark, d).parameters(spark)
 
 
+def _learn_float(spark, d):
+    train = _trials(spark, d).where("vec_id % 5 <> 0")
+    model = spd.RiemannFeatures(8, [(0, 8)], BANK, 1.0, "Riemann").fit(train)
+    return model, *_svm(_labelled(model.transform(train, "vec_id"), train), 0.1)
+
+
 @query()
 def float_predict(spark, d):
     """Features of the floating model, linear SVM, class of every held-out trial."""
     t = _trials(spark, d)
-    train = t.where("vec_id % 5 <> 0")
-    model = spd.RiemannFeatures(8, [(0, 8)], BANK, 1.0, "Riemann").fit(train)
-    w, b = _svm(_labelled(model.transform(train, "vec_id"), train), 0.1)
+    model, w, b = _once(spark, d, _learn_float)
     f = _labelled(model.transform(t.where("vec_id % 5 = 0"), "vec_id"), t)
     rows = ", ".join("array(" + ", ".join(f"{v!r}D" for v in c) + ")" for c in w.tolist())
     scored = f.withColumn("scores", F.expr(f"transform(array({rows}), (w, c) -> aggregate(zip_with(f, w, (x, y) -> x * y), array({', '.join(f'{v!r}D' for v in b.tolist())})[c], (s, v) -> s + v))"))
@@ -347,13 +356,17 @@ def kernel_svms(spark, d):
 WINDOWS = [(0, 8), (0, 5), (3, 8)]
 
 
+def _learn_csp(spark, d):
+    train = _trials(spark, d).where("vec_id % 5 <> 0")
+    w = spd.csp_projections(train, "label", "x", 8, WINDOWS, BANK)
+    return w, *_svm(spd.csp_features(train, "x", 8, w, WINDOWS, BANK).select(F.col("label").cast("double").alias("label"), "f"), 0.1)
+
+
 @query()
 def csp_predict(spark, d):
     """Spatial patterns over windows and bands learned from four fifths of the trials, log variances, linear SVM."""
     t = _trials(spark, d)
-    train = t.where("vec_id % 5 <> 0")
-    w = spd.csp_projections(train, "label", "x", 8, WINDOWS, BANK)
-    weights, bias = _svm(spd.csp_features(train, "x", 8, w, WINDOWS, BANK).select(F.col("label").cast("double").alias("label"), "f"), 0.1)
+    w, weights, bias = _once(spark, d, _learn_csp)
     f = spd.csp_features(t.where("vec_id % 5 = 0"), "x", 8, w, WINDOWS, BANK)
     shared = spark.sparkContext.broadcast((weights, bias))
 
