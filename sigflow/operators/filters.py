@@ -6,6 +6,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,20 +184,23 @@ def apply_filter(df: DataFrame, column: str, kind: str, coefficients, out: str =
 
     def batchwise(batches):
         for b in batches:
-            col = b.column(at).to_pylist()
-            y: list = [None if v is None else [] for v in col]
-            groups: dict[int, list[int]] = {}
-            for k, v in enumerate(col):
-                if v:
-                    groups.setdefault(len(v) if kind == "fir" else -(-len(v) // 64), []).append(k)
-            for rows in groups.values():
-                x = np.zeros((len(rows), max(len(col[k]) for k in rows)), dtype)
-                for r, k in enumerate(rows):
-                    x[r, : len(col[k])] = col[k]
-                res = run(x, coefficients)
-                for r, k in enumerate(rows):
-                    y[k] = res[r, : len(col[k])]
-            yield pa.record_batch([*b.columns, pa.array(y, pa.list_(arrow))], names=[*b.schema.names, out])
+            col = b.column(at)
+            size = pc.fill_null(pc.list_value_length(col), 0).to_numpy().astype(np.int64)
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+            ends = np.cumsum(size)
+            y = np.empty(len(flat), dtype)
+            group = size if kind == "fir" else -(-size // 64)
+            for g in np.unique(group[size > 0]).tolist():
+                rows = np.flatnonzero((group == g) & (size > 0))
+                x = np.zeros((len(rows), int(size[rows].max())), dtype)
+                inside = np.arange(x.shape[1])[None, :] < size[rows, None]
+                place = (ends - size)[rows, None] + np.arange(x.shape[1])[None, :]
+                x[inside] = flat[place[inside]]
+                y[place[inside]] = run(x, coefficients)[inside]
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(y, arrow))
+            if col.null_count:
+                found = pc.if_else(col.is_valid(), found, pa.scalar(None, found.type))
+            yield pa.record_batch([*b.columns, found], names=[*b.schema.names, out])
 
     return df.mapInArrow(batchwise, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(sql))]))
 
