@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give
 the columns of ``docs``. The stages work on whatever their predecessor left.
+
+In every stage null texts stay null and count nowhere, empty tables stay empty, extra
+columns pass through whatever their names, and texts may be of any length. Two texts under
+one id are two documents, but for near-duplicates, where an id is one vertex and goes or
+stays with all its rows.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all labelled rows still here, does not reject."""
+    """Documents that the classifier does not reject: counts from all labelled rows, linear fit on a bounded sample of them. Without labels nothing goes."""
     return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), fold=None))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat, exactly or nearly, a line that stays."""
+    """Documents without lines that repeat, exactly or nearly, a line that stays: the first by (doc_id, line). Rows with a null id stay as they are."""
     return _measured(without_repeated_lines(docs))
 
 
@@ -42,12 +47,12 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of PASSAGE words or more that occur elsewhere too."""
+    """Documents without passages of PASSAGE words or more that occur elsewhere too, in whichever rows. Rows with a null id stay as they are."""
     return _measured(without_repeats(docs, length=PASSAGE))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 from what is left."""
+    """Token sequences of at most 2048 from what is left; a null or empty text is its end token. Rows with a null id are left out; of equal pieces any comes first."""
     return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
