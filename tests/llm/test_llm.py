@@ -115,6 +115,16 @@ def test_near_duplicates_of_a_large_group(spark):
     assert len(set(comp)) > 1 and got == dict(enumerate(comp))
 
 
+def test_documents_that_share_a_block_do_not_meet_again(spark, monkeypatch):
+    """Boilerplate in every document (similarity about 0.4) leaves next to nothing for the exact second round."""
+    block, met = prose(100), []
+    texts = [" ".join(f"v{RNG.integers(1 << 30)}" for _ in range(65)) + " " + block + " " + " ".join(f"v{RNG.integers(1 << 30)}" for _ in range(65)) for _ in range(1500)]
+    again = minhash.remaining_links
+    monkeypatch.setattr(minhash, "remaining_links", lambda parts, *a, **k: (met.append(parts.count()), again(parts, *a, **k))[1])
+    assert all(r.kept for r in neardup.near_duplicates(frame(spark, texts)).collect())
+    assert met[0] < 30
+
+
 def test_odd_sketches_estimate(spark):
     a = RNG.integers(0, 1 << 63, 4000).astype(np.uint64)
     for share in (0.95, 0.9, 0.8):
