@@ -92,16 +92,17 @@ def quantize_sos(sos: np.ndarray, x_scale: float, y_scale: float, bits: int = 12
 
 
 def sos_float(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
-    """Causal filtering of (signals, samples) from rest; vectorised over signals."""
-    y = np.array(x, float)
+    """Causal filtering of (signals, samples) from rest; vectorised over signals, which lie side by side in memory."""
+    y = np.ascontiguousarray(np.asarray(x, float).T)
+    if np.shares_memory(y, x):
+        y = y.copy()
     for b0, b1, b2, _, a1, a2 in sos:
-        z1, z2 = np.zeros(len(y)), np.zeros(len(y))
-        for t in range(y.shape[1]):
-            v = y[:, t]
+        z1, z2 = np.zeros(y.shape[1]), np.zeros(y.shape[1])
+        for v in y:
             o = b0 * v + z1
             z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-            y[:, t] = o
-    return y
+            v[:] = o
+    return np.ascontiguousarray(y.T)
 
 
 def _half_up(x: np.ndarray, k: int) -> np.ndarray:
@@ -114,21 +115,20 @@ def sos_int(x: np.ndarray, q: dict, bits: int = 16, device: bool = False) -> np.
     The device variant subtracts the first section's denominator shift from every
     numerator shift. A register beyond ``bits`` bits is an error.
     """
-    y = np.array(x, np.int64)
+    y = np.array(np.asarray(x).T, np.int64, order="C")  # signals side by side in memory
     a, b = np.asarray(q["a"], np.int64), np.asarray(q["b"], np.int64)
     for m in range(len(a)):
         sa = int(q["a_shift"][m])
         sb = int(q["b_shift"][m]) - (int(q["a_shift"][0]) if device else sa)
-        p = np.zeros((4, len(y)), np.int64)  # x[t-1], x[t-2], y[t-1], y[t-2]
-        for t in range(y.shape[1]):
-            v = y[:, t].copy()
-            acc = _half_up(b[m, 0] * v + b[m, 1] * p[0] + b[m, 2] * p[1], sb) - a[m, 1] * p[2] - a[m, 2] * p[3]
+        x1, x2, y1, y2 = np.zeros((4, y.shape[1]), np.int64)
+        for v in y:
+            acc = _half_up(b[m, 0] * v + b[m, 1] * x1 + b[m, 2] * x2, sb) - a[m, 1] * y1 - a[m, 2] * y2
             o = _half_up(acc, sa)
-            if len(o) and (o.max() >= 1 << (bits - 1) or o.min() < -(1 << (bits - 1))):
-                raise OverflowError("filter register overflow")
-            p = np.stack([v, p[0], o, p[2]])
-            y[:, t] = o
-    return y
+            x1, x2, y1, y2 = v.copy(), x1, o, y1
+            v[:] = o
+        if y.size and (y.max() >= 1 << (bits - 1) or y.min() < -(1 << (bits - 1))):
+            raise OverflowError("filter register overflow")
+    return np.ascontiguousarray(y.T)
 
 
 def sos_int_floor(x: np.ndarray, q: dict, bits: int = 16, form: int = 1) -> np.ndarray:

@@ -267,21 +267,36 @@ class RiemannFeatures:
         return trials.mapInArrow(run, schema)
 
     def fit(self, trials: DataFrame, column: str = "x") -> RiemannFeatures:
+        if self.option == "No_Adaptation":
+            return self._fit(None)
+        cov = checkpoint(self.covariances(trials, column).select("band", "cov"))
+        model = self._fit(cov)
+        discard(cov)
+        return model
+
+    def _fit(self, cov: DataFrame | None) -> RiemannFeatures:
         if self.option == "No_Adaptation":
             refs = {f: np.eye(self.channels) for f in range(len(self.bank))}
         else:
-            cov = checkpoint(self.covariances(trials, column).select("band", "cov"))
             mean = mean_riemann if self.option == "Riemann" else mean_euclid
             refs = {k[0]: invsqrtm(m) for k, m in mean(cov, ["band"], "cov", self.channels).items()}
-            discard(cov)
         return RiemannFeatures(self.channels, self.windows, self.bank, self.rho, self.option, refs)
 
+    def fit_transform(self, trials: DataFrame, key: str, column: str = "x") -> tuple[RiemannFeatures, DataFrame]:
+        """The fitted model and the features of its own trials; the signals are filtered once."""
+        cov = checkpoint(self.covariances(trials.select(key, column), column))
+        model = self._fit(cov.select("band", "cov"))
+        return model, model._features(cov, key, False)
+
     def transform(self, trials: DataFrame, key: str, column: str = "x", trace: bool = False) -> DataFrame:
         """(key, f), f over windows, bands and components in this order; with ``trace`` one row a window and band, all stages."""
+        return self._features(self.covariances(trials.select(key, column), column), key, trace)
+
+    def _features(self, covariances: DataFrame, key: str, trace: bool) -> DataFrame:
         if self.references is None:
             raise ValueError("fit first")
         refs, c, log = self.references, self.channels, self.option != "Whitened_Euclid"
-        schema = T.StructType([trials.schema[key], *(T.StructField(n, T.IntegerType()) for n in ("win", "band")), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("cov", "white", "kernel", "f"))])
+        schema = T.StructType([covariances.schema[key], *(T.StructField(n, T.IntegerType()) for n in ("win", "band")), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("cov", "white", "kernel", "f"))])
 
         def run(batches):
             for b in batches:
@@ -291,7 +306,7 @@ class RiemannFeatures:
                 kernel = logm(white) if log else white
                 yield pa.record_batch([*b.columns[:3], *map(nested, (m, white, kernel, half_vector(kernel)))], names=schema.names)
 
-        rows = self.covariances(trials.select(key, column), column).mapInArrow(run, schema)
+        rows = covariances.select(key, "win", "band", "cov").mapInArrow(run, schema)
         if trace:
             return rows
         parts = F.array_sort(F.collect_list(F.struct("win", "band", "f")))
