@@ -108,14 +108,19 @@ def _rows(slot, batches):
 
 
 def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, size: int, l2: float = L2, positive: float = POSITIVE, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression on sparse (row, column, value) features, by Adam on all rows; rows of label 1 count ``positive`` times."""
+    """Weights and bias of an L2-regularised logistic regression on sparse (row, column, value) features, by Adam on all rows; rows of label 1 count ``positive`` times.
+
+    Sums run over slices of a million values, so that nothing as large as the features is made.
+    """
     n = len(y)
+    slices = [slice(lo, lo + (1 << 20)) for lo in range(0, len(x), 1 << 20)]
     w, b = np.zeros(size), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], n) + b, -30, 30)))
+        z = sum((np.bincount(row[s], x[s] * w[col[s]], n) for s in slices), np.full(n, b))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g = (p - y) * np.where(y > 0, positive, 1.0)
-        gw = (np.bincount(col, x * g[row], size) + l2 * w) / n
+        gw = sum((np.bincount(col[s], x[s] * g[row[s]], size) for s in slices), l2 * w) / n
         gb = g.mean()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -188,19 +193,27 @@ def _labelled_rows(docs: DataFrame, y: DataFrame, keep) -> DataFrame:
     return checkpoint(near.join(y, "doc_id").select("y", "text", "doc_id"))
 
 
-def _fit(rows: DataFrame, max_rows: int) -> ToxicityModel:
+def _kept_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and occurrences by class, the kept features' numbers, and their log-count ratios."""
     counted = rows.select("y", "text").mapInArrow(_counts, "bucket int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("bucket").applyInArrow(lambda t: _sum(t), "f int, d0 long, n0 long, d1 long, n1 long").toArrow()
-    got = np.stack([counted.column(k).to_numpy() for k in range(5)])
-    whole = got[1:, got[0] < 0].sum(1)
-    slot = np.full(1 << BITS, -1, np.int32)
+    f, *columns = (counted.column(k).to_numpy() for k in range(5))
+    whole = np.array([c[f < 0].sum() for c in columns])
+    none = np.zeros(0, np.int64)
     if not (whole[0] and whole[2]):
-        return ToxicityModel(slot, np.zeros(KEPT), float(np.log((whole[2] + 1) / (whole[0] + 1))))
-    table = np.zeros((4, 1 << BITS), np.int64)
-    table[:, got[0][got[0] >= 0]] = got[1:, got[0] >= 0]
-    table[:, -1] = 0  # that slot stays free
-    ratio, worth = log_count_ratios(table[[0, 2]], table[[1, 3]], whole[[0, 2]], whole[[1, 3]])
+        return whole, none, none.astype(float)
+    ok = (f >= 0) & (f < (1 << BITS) - 1)  # the last slot stays free
+    f, (d0, n0, d1, n1) = f[ok], (c[ok] for c in columns)
+    order = np.argsort(f)
+    f = f[order].astype(np.int64)
+    ratio, worth = log_count_ratios(np.stack([d0, d1])[:, order], np.stack([n0, n1])[:, order], whole[[0, 2]], whole[[1, 3]])
     kept = np.argsort(-worth, kind="stable")[:KEPT]
     kept = kept[worth[kept] > 0]
+    return whole, f[kept], ratio[kept]
+
+
+def _fit(rows: DataFrame, max_rows: int) -> ToxicityModel:
+    whole, kept, ratio = _kept_features(rows)
+    slot = np.full(1 << BITS, -1, np.int32)
     if not len(kept):
         return ToxicityModel(slot, np.zeros(KEPT), float(np.log((whole[2] + 1) / (whole[0] + 1))))
     slot[kept] = np.arange(len(kept))
@@ -208,11 +221,13 @@ def _fit(rows: DataFrame, max_rows: int) -> ToxicityModel:
     got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(partial(_rows, slot), "y int, f binary, x binary").toArrow()
     truth = got.column("y").to_numpy().astype(float)
     feats = [np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("f")]
-    row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    col = np.concatenate(feats).astype(np.int64)
-    x = np.concatenate([np.frombuffer(x.as_buffer(), np.float16) for x in got.column("x")]).astype(float) * ratio[kept][col]
+    row = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
+    col = np.concatenate(feats)
+    x = np.concatenate([np.frombuffer(x.as_buffer(), np.float16) for x in got.column("x")]).astype(np.float32)
+    del got, feats
+    x *= ratio.astype(np.float32)[col]
     w, b = logistic(truth, row, col, x, len(kept))
-    return ToxicityModel(slot, np.append(w * ratio[kept], 0.0), b)
+    return ToxicityModel(slot, np.append(w * ratio, 0.0), b)
 
 
 def _score(model, threshold, batches):
