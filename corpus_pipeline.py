@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id. Rows with a null id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = checkpoint(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())  # of a known size: if small, the texts stay where they are
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
