@@ -6,6 +6,7 @@ array. Words are ``[^\\x20\\x09-\\x0D]+`` everywhere, on the UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +86,14 @@ def _strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return null, off, data
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task keeps none of the last one's arrays."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Chunks of (id, text) record batches. Rows with a null id are left out."""
     for b in batches:
@@ -102,6 +111,7 @@ def chunks(batches, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
             j = min(j, n)
             yield Chunk(ids[k:j], null[k:j], off[k : j + 1] - off[k], data[off[k] : off[j]])
             k = j
+    release()
 
 
 def tokens(c: Chunk, data: np.ndarray | None = None, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

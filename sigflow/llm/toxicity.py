@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
-from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, row_chunks, unpacked
+from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, release, row_chunks, unpacked
 from sigflow.session import checkpoint, discard, ship
 
 #: Hashed feature space, n-gram orders, features kept for the linear model, documents that must hold a kept feature.
@@ -89,6 +89,8 @@ def _counts(batches):
     if rows.any():
         at = np.flatnonzero(total.any(0))
         yield packed(np.append(at % _SHARDS, 0), _SHARDS, np.append(at, -1).astype(np.int32), *(np.append(total[k][at], rows[k]) for k in range(4)))
+    del total
+    release()
 
 
 def _sum(t: pa.Table) -> pa.Table:
