@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from sigflow.llm.ann import nearest
 from sigflow.llm.bpe import bpe_round_trip
@@ -11,7 +12,9 @@ from sigflow.llm.lines import dedup_lines
 from sigflow.llm.neardup import near_duplicates
 from sigflow.llm.packing import best_fit_pack
 from sigflow.llm.quality import quality_rules
+from sigflow.llm.runs import periodic_runs, plant_periods, strongest
 from sigflow.llm.spans import by_suffix_array, remove_repeats
+from sigflow.llm.tokens import token_counts
 from sigflow.llm.toxicity import fit_toxicity, score_toxicity
 from sigflow.session import table
 
@@ -109,3 +112,18 @@ def op10_fuzzy_lines(spark, sf_dir):
 @query
 def op5_nn_descent(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs(plant_periods(table(spark, sf_dir, "documents"))).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
