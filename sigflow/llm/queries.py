@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigflow.llm.ann import nearest
 from sigflow.llm.bpe import bpe_round_trip
+from sigflow.llm.chat import damage, repair_conversations
 from sigflow.llm.langid import fit_langid, predict_language
 from sigflow.llm.lines import dedup_lines
 from sigflow.llm.neardup import near_duplicates
@@ -114,6 +115,80 @@ def op5_nn_descent(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_astar_repair(spark, sf_dir):
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+#: Unsigned crc32 of the ASCII string in {}, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda c: ord(c)::bigint)), lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+#: A label is (cost, audit, text so far); the least of a list, by cost and then audit, and null if there is none.
+_STEP = "list_min(list_filter([{}], lambda x: x is not null))"
+
+
+def _label(of: str, cost: str, audit: str, text: str) -> str:
+    return f"case when {of} is not null then {{'c': {of}.c + {cost}, 'a': {of}.a || '{audit}', 't': {of}.t || {text}}} end"
+
+
+def _labels(*options: str) -> str:
+    return _STEP.format(", ".join(options))
+
+
+def _repair_sql() -> str:
+    to = {"user": "chr(10) || 'user:'", "assistant": "chr(10) || 'assistant:'"}
+    insert_u = _labels("pu", *(_label(f"p{x}", "3", "I", to["user"]) for x in "0sa"))
+    insert_a = _labels("pa", _label("pu", "3", "I", to["assistant"]))
+    kept, user, assistant = "chr(10) || w.role || ':' || w.txt", "chr(10) || 'user:' || w.txt", "chr(10) || 'assistant:' || w.txt"
+
+    def stays(of: str, initial: str) -> str:
+        return f"case when not w.bad and w.r = '{initial}' then {_label(of, 'w.tax', 'K', kept)} end"
+
+    def rerole(of: str, text: str) -> str:
+        return f"case when not w.bad then {_label(of, '3 + w.tax', 'R', text)} end"
+
+    step = {
+        "p0": _labels(_label("j.p0", "4", "D", "''")),
+        "ps": _labels(_label("j.ps", "4", "D", "''"), stays("j.p0", "s")),
+        "pu": _labels(_label("j.pu", "4", "D", "''"), *(f(f"j.p{x}", y) for x in "0sa" for f, y in ((stays, "u"), (rerole, user)))),
+        "pa": _labels(_label("j.pa", "4", "D", "''"), stays("j.pu", "a"), rerole("j.pu", assistant)),
+    }
+    hit = _CRC.format("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")
+    return rf"""
+with recursive
+src as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt, {hit} % 20 k from conversations),
+hurt as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(txt, '[.!?]', '', 'g') else txt end txt, unnest(case when k = 3 then [1, 2] else [1] end) n
+  from src where k <> 0),
+num as (select *, row_number() over (partition by conv_id order by turn nulls first, role, txt) i from hurt),
+flag as (
+  select *, role[1] r, not regexp_matches(txt, '[^ 	-]') blank, row_number() over (partition by conv_id, role, txt order by i) > 1 again,
+    not regexp_matches(txt, '[.!?][ 	-]*\z') cut, lag(role[1]) over (partition by conv_id order by i) || role[1] pair
+  from num),
+w as (select *, blank or again bad, case when cut and not blank and not again then 3 else 0 end tax from flag),
+walk(conv_id, i, p0, ps, pu, pa) as (
+  select distinct conv_id, 0::bigint, {{'c': 0, 'a': '', 't': ''}}, null::struct(c int, a varchar, t varchar), null::struct(c int, a varchar, t varchar), null::struct(c int, a varchar, t varchar) from hurt
+  union all
+  select j.conv_id, j.i + 1, {step["p0"]}, {step["ps"]}, {step["pu"]}, {step["pa"]}
+  from (
+    select conv_id, i, p0, ps, {insert_u} pu, pa from (
+      select conv_id, i, p0, ps, pu, {insert_a} pa from (
+        select conv_id, i, p0, ps, {insert_u} pu, pa from walk))) j
+  join w on w.conv_id is not distinct from j.conv_id and w.i = j.i + 1),
+last as (select conv_id, max(i) i from walk group by 1),
+fin as (select l.conv_id, {_labels("p0", "pa", _label("pu", "3", "I", to["assistant"]), _label("ps", "6", "II", to["user"] + " || " + to["assistant"]))} b from last l join walk x on x.conv_id is not distinct from l.conv_id and x.i = l.i),
+sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank, count(*) filter (again and not blank) dup, count(*) filter (tax > 0) cut,
+    count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) illegal
+  from w group by 1)
+select c.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(dup, 0)::bigint duplicate, coalesce(cut, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+  coalesce(f.b.c, 0)::bigint as cost, coalesce(f.b.a, '') as audit, sha256(coalesce(f.b.t[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join sums s on s.conv_id is not distinct from c.conv_id left join fin f on f.conv_id is not distinct from c.conv_id
+"""
+
+
+SQL["op11_astar_repair"] = _repair_sql()
+
+
 @query
 def op12_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
