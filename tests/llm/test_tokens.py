@@ -64,9 +64,9 @@ def test_other_models_are_refused():
 def test_edges(spark, library):
     texts = [None, "", " ", "word " * 5000, "é\x1c", "x" * 30000]
     df = spark.createDataFrame([(k, t, 1, True) for k, t in enumerate(texts)] * 2 + [(None, "no id", 1, True)], "doc_id long, text string, n_tokens int, over_limit boolean")
-    got = sorted(tuple(r) for r in tokens.token_counts(df).collect())
+    got = sorted(tuple(r) for r in tokens.token_counts(df, PATH).collect())
     assert got == sorted([(k, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for k, t in enumerate(texts)] * 2)
-    assert tokens.token_counts(df.limit(0)).count() == 0
+    assert tokens.token_counts(df.limit(0), PATH).count() == 0
 
 
 def test_query_on_the_table(spark, library):
