@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
-from sigflow.operators import classify, filters, fixedpoint, search, spd
+from sigflow.operators import classify, filters, fixedpoint, kernel, network, search, spd
 from sigflow.operators import matrices as M
+from sigflow.operators.blocks import pack
 from sigflow.plans import signal as S
 from sigflow.plans.dialect import FIXED, SIGNAL, qtrials, quant, trials
 from sigflow.session import checkpoint, ship, table
@@ -339,20 +340,100 @@ def float_score(spark, d):
     return classify.accuracy(float_predict(spark, d))
 
 
+KERNELS = {"rbf": (0.5, 2), "poly": (1.0, 10), "sigmoid": (0.5, 2)}
+
+
 @query()
 def kernel_svms(spark, d):
-    """Held-out predictions of SVMs with the three kernels."""
-    t = _trials(spark, d).withColumn("label", F.col("label").cast("double"))
+    """Held-out classes by machines with the three kernels, C = 1, gamma one over the width."""
+    t = _trials(spark, d)
+    test = t.where("vec_id % 5 = 0")
+    out = None
+    for name in KERNELS:
+        got = kernel.KernelSvm(name).fit(t.where("vec_id % 5 <> 0"), "vec_id", "label", "x").predict(test, "vec_id", "x")
+        got = got.join(test.select("vec_id", "label"), "vec_id").select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), F.lit(name).alias("kernel"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("with c as (select distinct label from embeddings), n as (select label, count(*) n from embeddings group by 1) select c::double c, a.label c1, b.label c2, x.n + y.n n, true balanced, true optimal from c a join c b on a.label < b.label join n x on x.label = a.label join n y on y.label = b.label, (values (0.1), (1.0), (10.0)) v(c)")
+def kernel_svm_optimality(spark, d):
+    """Machines of all classes and three C's meet the conditions of the optimum, by decision values computed anew."""
+    t = _trials(spark, d)
+    model = kernel.KernelSvm("rbf", (0.1, 1.0, 10.0), 0.5).fit(t, "vec_id", "label", "x")
+    of = spark.createDataFrame([(s, k, float(c), model.classes[a], model.classes[b]) for s, (_, c) in enumerate(model.settings) for k, (a, b) in enumerate(model.pairs)], "setting int, pair int, c double, c1 int, c2 int")
+    return model.optimality(t, "vec_id", "label", "x").join(F.broadcast(of), ["setting", "pair"]).select("c", "c1", "c2", "n", (F.abs("balance") < 1e-6).alias("balanced"), (F.col("violation") < 2e-3).alias("optimal"))
+
+
+_PAIR = {
+    "rbf": "exp(-0.5 * list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))",
+    "poly": "pow(1.0 * list_dot_product(a.x, b.x), 10)",
+    "sigmoid": "tanh(0.5 * list_dot_product(a.x, b.x))",
+}
+_COEF = "(({k} % 11) - 5) / 10.0"
+
+
+@query(
+    f"with v as (select vec_id, list(x order by p) x from (select vec_id, unnest(embedding)::double x, unnest(range(64)) p from embeddings) group by 1), s as (select vec_id, x, {_COEF.format(k='vec_id')} w from v where vec_id % 50 = 0) "
+    + " union all ".join(f"select a.vec_id, '{k}' kernel, round(sum(b.w * {f}), 6) score from v a, s b group by 1" for k, f in _PAIR.items())
+)
+def kernel_scores(spark, d):
+    """Decision values of all trials under fixed support vectors, the three kernels."""
+    t = _trials(spark, d)
+    packed = pack(t, "vec_id", "x").frame
+    chosen = pack(t.where("vec_id % 50 = 0"), "vec_id", "x").frame
+    support = kernel.with_coefficients(chosen, lambda ids: ((ids % 11) - 5)[:, None] / 10)
+    out = None
+    for name, (gamma, degree) in KERNELS.items():
+        got = kernel.kernel_scores(packed, support, name, gamma, 1, "vec_id", degree).select("vec_id", F.lit(name).alias("kernel"), F.round(F.col("f")[0], 6).alias("score"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _fixed_layers(sizes: list[int]) -> list[np.ndarray]:
+    """Small weights and biases that SQL can make too."""
+    out = []
+    for a, b in zip(sizes, sizes[1:]):
+        i, j = np.arange(a)[:, None], np.arange(b)[None, :]
+        out += [((7 * i + 3 * j) % 11 - 5) / 10.0, ((5 * np.arange(b)) % 7 - 3) / 10.0]
+    return out
+
+
+def _layer_sql(name: str, before: str, size: int, act: str) -> str:
+    z = f"sum(v * (((7 * i + 3 * j) % 11 - 5) / 10.0)) + ((5 * j) % 7 - 3) / 10.0"
+    return f"{name} as (select vec_id, j i, {act.format(z=z)} v from {before}, (select unnest(range({size})) j) group by vec_id, j)"
+
+
+_RELU, _LOGISTIC, _NONE = "greatest({z}, 0)", "1 / (1 + exp(-({z})))", "{z}"
+_IN = "e as materialized (select vec_id, unnest(embedding)::double v, unnest(range(64)) i from embeddings)"
+
+
+@query(
+    f"with {_IN}, {_layer_sql('r1', 'e', 8, _RELU)}, {_layer_sql('r2', 'r1', 4, _RELU)}, {_layer_sql('r3', 'r2', 10, _NONE)}, {_layer_sql('l1', 'e', 6, _LOGISTIC)}, {_layer_sql('l2', 'l1', 10, _NONE)} "
+    "select 'relu' net, vec_id, i::int cls, round(v, 6) score from r3 union all select 'logistic', vec_id, i::int, round(v, 6) from l2"
+)
+def network_scores(spark, d):
+    """Scores of two networks with fixed weights: two hidden layers of rectifiers, and one of sigmoids."""
+    t = _trials(spark, d)
     out = None
-    for kernel in classify.KERNELS:
-        df = checkpoint(classify.kernel_features(t.select("vec_id", "label", "x"), kernel, "vec_id", column="x").select("vec_id", "label", classify.dense("features").alias("f")))
-        df = classify.with_vector(df)
-        train = df.where("vec_id % 5 <> 0")
-        got = classify.fit_predict(classify.linear_svm(1.0, train.count()), train, df.where("vec_id % 5 = 0"), "vec_id")[1].withColumn("kernel", F.lit(kernel))
+    for name, sizes in (("relu", [64, 8, 4, 10]), ("logistic", [64, 6, 10])):
+        got = network.scores(t, "vec_id", "x", _fixed_layers(sizes), name).select(F.lit(name).alias("net"), "vec_id", F.posexplode("scores").alias("cls", "v")).select("net", "vec_id", "cls", F.round("v", 6).alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+NETS = [network.Net((16,), rate=0.02), network.Net((16, 8), "logistic", rate=0.05), network.Net((16, 8, 8), "relu", "sgd", 0.2, True)]
+
+
+@query()
+def networks(spark, d):
+    """Held-out classes by networks of one to three hidden layers, with both activations and both solvers."""
+    t = _trials(spark, d).withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    packed = pack(t, "vec_id", "x", "label", fold="fold")
+    found = network.train(packed, NETS, (0,), epochs=15, batches=2).predict(packed.frame)
+    return found.where("fold = 0").select("setting", F.col("id").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
 WINDOWS = [(0, 8), (0, 5), (3, 8)]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.functions import sym2
-from sigflow.operators import classify, filters, search, spd
+from sigflow.operators import classify, filters, kernel, search, spd
 from sigflow.operators import matrices as M
 from sigflow.plans.dialect import SIGNAL, qtrials, quant, trials
 from sigflow.plans.linear import base
@@ -378,12 +378,19 @@ def decision_tree(spark, d):
     return classify.fit_predict(classify.tree(), train, test, "vec_id")[1]
 
 
+#: C's of the search over rbf machines.
+RBF_C = (1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0, 100.0)
+
+
 @query()
 def rbf_svm(spark, d):
-    df = checkpoint(classify.fourier_features(_trials8(spark, d).withColumn("label", F.col("label").cast("double")), 0.5, column="x").select("vec_id", "label", classify.dense("features").alias("f")))
-    df = classify.with_vector(df)
-    train = df.where("vec_id % 5 <> 0")
-    return classify.fit_predict(classify.linear_svm(1.0, train.count()), train, df.where("vec_id % 5 = 0"), "vec_id")[1]
+    """Held-out classes under every C of the grid, gamma by the variance of the training vectors."""
+    t = _trials8(spark, d)
+    train = t.where("vec_id % 5 <> 0")
+    model = kernel.KernelSvm("rbf", RBF_C, kernel.scale_gamma(train, "x")).fit(train, "vec_id", "label", "x")
+    of = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(model.settings)], "setting int, c double")
+    test = t.where("vec_id % 5 = 0")
+    return model.predict(test, "vec_id", "x").join(F.broadcast(of), "setting").join(test.select("vec_id", "label"), "vec_id").select("vec_id", "label", "c", F.col("prediction").cast("int").alias("prediction"))
 
 
 @query(f"with q as (select vec_id, label, list(x order by c, t) x from ({qtrials(8)}) group by 1, 2), n as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.vec_id) r from q a join q b on a.vec_id % 50 = 0 and b.vec_id % 50 <> 0), v as (select vec_id, label, count(*) n from n where r <= 5 group by all) select vec_id, label::int prediction from v qualify row_number() over (partition by vec_id order by n desc, label) = 1")
