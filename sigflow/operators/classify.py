@@ -10,9 +10,7 @@ from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sigflow.operators.spd import nested, stacked
 from sigflow.session import checkpoint, ship
 
 
@@ -40,100 +38,6 @@ def tree(depth: int = 5, seed: int = 1) -> Pipeline:
     return Pipeline(stages=[DecisionTreeClassifier(impurity="entropy", maxDepth=depth, seed=seed)])
 
 
-def fourier_features(df: DataFrame, gamma: float, width: int = 128, seed: int = 1, column: str = "f", out: str = "features") -> DataFrame:
-    """Random Fourier features: their inner product approximates the RBF kernel exp(-gamma |x - y|^2)."""
-    ship(df.sparkSession)
-    at = df.columns.index(column)
-
-    def run(batches):
-        for b in batches:
-            x = stacked(b.column(at), 1)[:, 0]
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], width))
-            z = np.sqrt(2 / width) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, width))
-            yield pa.record_batch([*b.columns, nested(z)], names=[*b.schema.names, "z"])
-
-    rows = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))]))
-    return with_vector(rows, "z", out).drop("z")
-
-
-KERNELS = {
-    "rbf": lambda p, gamma, n: np.exp(-gamma * np.maximum(n, 0)),
-    "poly": lambda p, gamma, n: (gamma * p) ** 10,
-    "sigmoid": lambda p, gamma, n: np.tanh(gamma * p),
-}
-
-
-def kernel_features(df: DataFrame, kernel: str, key: str, gamma: float | None = None, landmarks: int = 64, column: str = "f", out: str = "features") -> DataFrame:
-    """Features whose inner product approximates a kernel (rbf, polynomial of degree 10, sigmoid) by its values at landmark rows.
-
-    The landmarks are the ``landmarks`` rows with the smallest hash of the key, the only
-    ones that come to the driver. ``gamma`` is one over the number of components unless given.
-    """
-    ship(df.sparkSession)
-    at = df.columns.index(column)
-    marks = np.array([r[0] for r in df.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).select(column).limit(landmarks).collect()], float)
-    gamma = gamma or 1 / marks.shape[1]
-
-    def values(x: np.ndarray) -> np.ndarray:
-        p = x @ marks.T
-        return KERNELS[kernel](p, gamma, (x * x).sum(1)[:, None] + (marks * marks).sum(1)[None, :] - 2 * p)
-
-    w, q = np.linalg.eigh(values(marks))
-    ok = w > 1e-9 * max(np.abs(w).max(), 1e-300)
-    root = q[:, ok] / np.sqrt(w[ok])
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([*b.columns, nested(values(stacked(b.column(at), 1)[:, 0]) @ root)], names=[*b.schema.names, "z"])
-
-    rows = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("z", T.ArrayType(T.DoubleType()))]))
-    return with_vector(rows, "z", out).drop("z")
-
-
-def hinge_svm(x: np.ndarray, y: np.ndarray, c: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, weights, bias) of a one-vs-rest linear SVM on one subject's rows: averaged subgradient steps on the regularised hinge loss."""
-    classes = np.unique(y)
-    sign = np.where(y[None, :] == classes[:, None], 1.0, -1.0)
-    z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    rate, w, mean = 1 / (c * len(x)), np.zeros((len(classes), z.shape[1])), np.zeros((len(classes), z.shape[1]))
-    for t in range(1, steps + 1):
-        inside = sign * (w @ z.T) < 1
-        w -= (rate * w - (sign * inside) @ z / len(x)) / (rate * (t + 10))
-        mean += (w - mean) / t if t > steps // 2 else 0
-        mean = w.copy() if t == steps // 2 else mean
-    return classes, mean[:, :-1], mean[:, -1]
-
-
-def subject_runs(features: DataFrame, runs: DataFrame, column: str = "f") -> DataFrame:
-    """(subject, run, c, fold, n, right, n_params): every run's SVM trained and tested on each subject's folds.
-
-    ``features`` has subject, fold, label and the feature array; a fold is tested by
-    what the other folds teach. ``runs`` is the small table of settings (run, c), sent
-    to every task. A subject's trials, bounded by its sessions, meet in one task for each run.
-    """
-    ship(features.sparkSession)
-
-    def evaluate(t: pa.Table) -> pa.Table:
-        x, y, fold = stacked(t.column(column).combine_chunks(), 1)[:, 0], t.column("label").to_numpy(), t.column("fold").to_numpy()
-        subject, run, c = (t.column(k)[0].as_py() for k in ("subject", "run", "c"))
-        rows = []
-        for k in np.unique(fold).tolist():
-            test = fold == k
-            if test.all():
-                continue
-            classes, w, bias = hinge_svm(x[~test], y[~test], c)
-            right = classes[(x[test] @ w.T + bias).argmax(1)] == y[test]
-            rows.append((subject, run, c, k, int(test.sum()), int(right.sum()), int(w.size)))
-        names = ("subject", "run", "c", "fold", "n", "right", "n_params")
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    given = features.select(F.col("subject").cast("int"), F.col("fold").cast("int"), F.col("label").cast("long"), column).where(F.col(column).isNotNull())
-    each = given.crossJoin(F.broadcast(runs.select(F.col("run").cast("int"), F.col("c").cast("double"))))
-    return each.groupBy("subject", "run").applyInArrow(evaluate, "subject int, run int, c double, fold int, n long, right long, n_params long")
-
-
 def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, key: str) -> tuple[PipelineModel, DataFrame]:
     model = pipeline.fit(train)
     return model, model.transform(test).select(key, "label", F.col("prediction").cast("int").alias("prediction"))

@@ -8,6 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sigflow.operators.blocks import Blocks, as_binary, blocks_of
 from sigflow.session import ship
@@ -50,7 +51,7 @@ class LinearMachines:
     weights: dict[int, np.ndarray]  # by group: (settings, classes, width + 1), the bias last
     ranges: dict[int, np.ndarray]  # by group: (folds left out, 2, width), subtracted and divided by; empty without scaling
     places: list[int]  # of each setting's fold in ``ranges``
-    gap: dict[int, np.ndarray]  # certified distance to the minimum, as a share of it
+    lower: dict[int, np.ndarray]  # by group: (settings, classes), what the minimum cannot fall below
     rounds: int
 
     def parameters(self) -> int:
@@ -74,6 +75,25 @@ def _predict(share, batches):
             yield pa.record_batch([pa.array(np.full(n, block.group)), pa.array(block.ids), pa.array(np.full(n, s, np.int32)), pa.array(block.fold), pa.array(names[block.y], mask=block.y < 0), pa.array(names[best])], names=["grp", "id", "setting", "fold", "label", "prediction"])
 
 
+def objective(model: LinearMachines, packed: DataFrame) -> DataFrame:
+    """(grp, setting, cls, value): margin term plus mean hinge loss of each machine over the rows that teach it."""
+    share = ship(packed.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches):
+        model = share.value
+        for block, _ in blocks_of(batches):
+            for s, w in enumerate(model.weights.get(block.group, ())):
+                fold, c = model.settings[s]
+                at = block.y >= 0 if fold is None else (block.fold != fold) & (block.y >= 0)
+                sign = np.where(block.y[at][:, None] == np.arange(len(w))[None, :], 1.0, -1.0)
+                loss = np.maximum(1 - sign * (_extended(block.x[at], model.ranges, block.group, model.places[s]) @ w.T), 0).sum(0)
+                k = len(w)
+                yield pa.record_batch([pa.array(np.full(k, block.group)), pa.array(np.full(k, s, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(loss), pa.array(np.full(k, int(at.sum()))), pa.array((w * w).sum(1) / (2 * c))], names=["grp", "setting", "cls", "loss", "n", "margin"])
+
+    rows = packed.mapInArrow(run, "grp long, setting int, cls int, loss double, n long, margin double")
+    return rows.groupBy("grp", "setting", "cls").agg(((F.sum("loss") + F.first("margin")) / F.sum("n")).alias("value"))
+
+
 def _extended(x: np.ndarray, ranges: dict, group: int, place: int) -> np.ndarray:
     """Vectors with a one for the bias, scaled where there are ranges."""
     if ranges:
@@ -146,7 +166,7 @@ class _Bundle:
         m = len(keys) * self.each
         self.c = np.tile(np.repeat(cs, classes), len(keys))
         self.now, self.best = np.zeros((m, width)), np.zeros((m, width))
-        self.upper, self.gap = np.full(m, np.inf), np.full(m, np.inf)
+        self.upper, self.lower = np.full(m, np.inf), np.full(m, -np.inf)
         self.open = np.arange(m)
         self.slopes, self.offsets, self.beta = np.zeros((m, 0, width)), np.zeros((m, 0)), np.zeros((m, 0))
         self.gram = np.zeros((m, 0, 0))
@@ -181,7 +201,7 @@ class _Bundle:
         now = -np.einsum("pk,pkd->pd", beta, slopes) / shrink[:, None]
         lower = (offsets * beta).sum(1) - shrink / 2 * (now**2).sum(1)
         gap = np.where(upper > 0, (upper - lower) / np.maximum(upper, 1e-300), 0.0)
-        self.now[self.open], self.gap[self.open] = now, gap
+        self.now[self.open], self.lower[self.open] = now, np.maximum(self.lower[self.open], lower)
         on = gap > tol
         self.open, self.gram, self.slopes, self.offsets, self.beta = self.open[on], gram[on], slopes[on], offsets[on], beta[on]
 
@@ -191,9 +211,9 @@ class LinearSvm:
 
     A round is one pass: tasks sum hinge losses and slopes of all machines at their
     present weights, one row a group, fold and task; the driver puts a plane under each
-    loss and moves to the minimum. The best weights are within ``gap`` of the
-    minimum, which is certified, as the planes bound it from below. Rounds end when all
-    gaps are below ``tol``, or after ``max_rounds``. Machines go in waves whose planes fit
+    loss and moves to the minimum. The planes bound the loss from below, so the share by
+    which the best weights may miss the minimum is known. Rounds end when all
+    are below ``tol``, or after ``max_rounds``. Machines go in waves whose planes fit
     ``WAVE_BYTES``; a group of any size is as many tasks as it has blocks.
     """
 
@@ -208,7 +228,7 @@ class LinearSvm:
         each = len(self.cs) * n * self.max_rounds * width * 8
         size = max(1, WAVE_BYTES // max(each, 1))
         best: dict[tuple, np.ndarray] = {}
-        gaps: dict[tuple, np.ndarray] = {}
+        bound: dict[tuple, np.ndarray] = {}
         rounds = 0
         schema = "g long, h long, n long, loss binary, slope binary"
         for lo in range(0, len(keys), size):
@@ -223,8 +243,8 @@ class LinearSvm:
                 wave.add({(r["g"], r["h"]): (r["n"], np.frombuffer(r["loss"]), np.frombuffer(r["slope"])) for r in rows}, self.tol)
             for k, key in enumerate(wave.keys):
                 at = slice(k * wave.each, (k + 1) * wave.each)
-                best[key], gaps[key] = wave.best[at].reshape(wave.shape), wave.gap[at]
+                best[key], bound[key] = wave.best[at].reshape(wave.shape), wave.lower[at].reshape(len(self.cs), n)
         settings = [(h, float(c)) for h in left for c in self.cs]
         weights = {g: np.concatenate([best[g, h] for h in range(len(left))]) for g in packed.groups}
-        gap = {g: np.concatenate([gaps[g, h] for h in range(len(left))]) for g in packed.groups}
-        return LinearMachines(packed.classes, settings, weights, ranges, [h for h in range(len(left)) for _ in self.cs], gap, rounds)
+        lower = {g: np.concatenate([bound[g, h] for h in range(len(left))]) for g in packed.groups}
+        return LinearMachines(packed.classes, settings, weights, ranges, [h for h in range(len(left)) for _ in self.cs], lower, rounds)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
-from sigflow.operators import classify, filters, fixedpoint, kernel, network, search, spd
+from sigflow.operators import classify, filters, fixedpoint, kernel, linear, modes, network, search, spd
 from sigflow.operators import matrices as M
 from sigflow.operators.blocks import pack
 from sigflow.plans import signal as S
@@ -482,7 +482,7 @@ def _subjects(spark, d):
 def cross_validated_score(spark, d):
     """Mean accuracy over the five folds of each subject."""
     runs = spark.createDataFrame([(0, 0.1)], "run int, c double")
-    r = classify.subject_runs(_subjects(spark, d), runs)
+    r = modes.subject_runs(_subjects(spark, d), runs, key="vec_id")
     return r.groupBy("subject").agg(F.count(F.lit(1)).alias("folds"), F.avg(F.col("right") / F.col("n")).alias("accuracy"))
 
 
@@ -490,10 +490,30 @@ def cross_validated_score(spark, d):
 def search_runs(spark, d):
     """Eight runs over a grid of five settings and nine subjects: the surplus runs are skipped and score 0."""
     runs = search.chosen_runs(search.grid(spark, c=[0.001, 0.01, 0.1, 1.0, 10.0]), 8).withColumn("c", F.coalesce("c", F.lit(0.0)))
-    results = classify.subject_runs(_subjects(spark, d), runs.where("not skipped"))
+    results = modes.subject_runs(_subjects(spark, d), runs.where("not skipped"), key="vec_id")
     return search.search_report(results, runs.select("run", "c", "skipped"))
 
 
+@query()
+def search_modes(spark, d):
+    """Two runs of every mode of classifier for nine subjects; the grids of one setting skip the second."""
+    t = _trials(spark, d).withColumn("subject", F.col("vec_id") % 9).withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    return modes.search(pack(t, "vec_id", "x", "label", "subject", "fold"), list(modes.MODES), 2, epochs=6)
+
+
+@query("with c as (select distinct vec_id % 5 f from embeddings), k as (select distinct label from embeddings) select f::int fold, c::double c, label, true optimal from c, k, (values (0.01), (0.1), (1.0)) v(c)")
+def linear_svm_certificates(spark, d):
+    """Machines of every fold, C and class are within a hundredth of the minimum, as their cutting planes prove; values are computed anew."""
+    t = _trials(spark, d).withColumn("fold", (F.col("vec_id") % 5).cast("int"))
+    packed = pack(t, "vec_id", "x", "label", fold="fold")
+    model = linear.LinearSvm((0.01, 0.1, 1.0)).solve(packed, (0, 1, 2, 3, 4))
+    value = linear.objective(model, packed.frame)
+    lower = spark.createDataFrame([(s, k, float(v)) for s, row in enumerate(model.lower[0]) for k, v in enumerate(row)], "setting int, cls int, lower double")
+    of = spark.createDataFrame([(s, h, c) for s, (h, c) in enumerate(model.settings)], "setting int, fold int, c double")
+    named = spark.createDataFrame(list(enumerate(model.classes)), "cls int, label int")
+    return value.join(F.broadcast(lower), ["setting", "cls"]).join(F.broadcast(of), "setting").join(F.broadcast(named), "cls").select("fold", "c", "label", (F.col("value") - F.col("lower") <= 0.0101 * F.col("value")).alias("optimal"))
+
+
 # ---- invariants of decompositions that SQL cannot make ------------------------------------------------------------
 
 _C8 = f"with x as (select vec_id, c, t, x from ({trials(8)})), s as (select a.vec_id, a.c i, b.c j, sum(a.x * b.x) / 7 + case when a.c = b.c then 1.0::double / 8 else 0 end v from x a join x b on a.vec_id = b.vec_id and a.t = b.t group by a.vec_id, a.c, b.c) select vec_id, round(sum(v) filter (where i = j), 5) trace, round(sum(v * v), 5) squares from s group by 1"

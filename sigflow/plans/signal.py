@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.functions import sym2
-from sigflow.operators import classify, filters, kernel, search, spd
+from sigflow.operators import classify, filters, kernel, scan, search, spd
 from sigflow.operators import matrices as M
 from sigflow.plans.dialect import SIGNAL, qtrials, quant, trials
 from sigflow.plans.linear import base
@@ -90,6 +90,20 @@ def sos_float(spark, d):
     return _samples(filters.apply_filter(s, "x", "sos_float", FLOAT_SOS)).withColumn("y", F.round("y", 5) + 0.0)
 
 
+@query(SQL["sos_float"])
+def sos_float_blocks(spark, d):
+    """The same filter over signals cut into rows of 64 samples, which no task sees as a whole."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") - 280.0).alias("v"))
+    y = scan.filter_blocks(scan.cut_signals(e, "user_id", ["ts", "event_id"], "v"), FLOAT_SOS, "user_id")
+    return y.select("user_id", "block", F.posexplode("y").alias("at", "y")).select("user_id", (64 * F.col("block") + F.col("at")).alias("k"), (F.round("y", 5) + 0.0).alias("y"))
+
+
+@query("select user_id, event_id, k from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 k from events)")
+def sample_numbers(spark, d):
+    """Every sample's place in its signal, numbered over the partitions."""
+    return scan.numbered(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "k")
+
+
 @query(f"select user_id, k, ({' + '.join(f'({c}) * coalesce(lead(x, {3 - j}) over w, 0)' if j <= 3 else f'({c}) * coalesce(lag(x, {j - 3}) over w, 0)' for j, c in enumerate(TAPS.tolist()))})::bigint y from ({_QS}) window w as (partition by user_id order by k)")
 def fir_same(spark, d):
     return _samples(filters.apply_filter(_qsignals(spark, d), "x", "fir", TAPS))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.functions import sym2
-from sigflow.operators import classify, filters, search, spd
+from sigflow.operators import classify, filters, linear, modes, search, spd
+from sigflow.operators.blocks import pack
 from sigflow.sources import reports
 from sigflow.sources.tables import RECORDING, recording_trials
 from sigflow.streaming.iir import stream_filter
@@ -265,8 +266,9 @@ def test_integer_model_learns_classes(spark):
     df = spark.createDataFrame(rows, "k long, label double, x array<double>")
     model = FixedModel(2, [filters.butter_band(2, 0.1, 0.5)], metric="euclid").fit(df)
     f = model.real_features(model.transform(df, "k")).join(df.select("k", "label"), "k")
-    x, y = (np.array(v) for v in zip(*[(r.f, r.label) for r in f.collect()]))
-    _, w, b = classify.hinge_svm(x, y, 1.0)
+    packed = pack(f, "k", "f", "label")
+    learned = linear.LinearSvm().solve(packed).weights[0][0]
+    w, b = learned[:, :-1], learned[:, -1]
     got = model.with_classifier(w, b).scores(model.transform(df, "k")).collect()
     assert np.mean([r.prediction == r.k % 2 for r in got]) > 0.95
 
@@ -313,23 +315,13 @@ def test_eigenvalues_by_rotations(spark):
     assert tight < loose <= 0.1
 
 
-def test_kernel_features_give_the_kernel(spark):
-    x = np.random.default_rng(4).normal(size=(40, 3))
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, f array<double>")
-    z = np.array([r.z for r in classify.kernel_features(df, "rbf", "k", gamma=0.3, landmarks=40).orderBy("k").select(classify.dense("features").alias("z")).collect()])
-    want = np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(2))
-    assert np.abs(z @ z.T - want).max() < 1e-6
-
-
-def test_search_reports(spark, tmp_path):
-    from sigflow.operators import search
-
+def test_search_of_runs_and_its_report(spark, tmp_path):
     grid = search.grid(spark, c=[0.1, 1.0, 10.0])
     runs = search.chosen_runs(grid, 5)
     assert sorted((r.run, r.skipped) for r in runs.collect()) == [(0, False), (1, False), (2, False), (3, True), (4, True)]
     assert search.chosen_runs(grid, 2).count() == 2
     feats = spark.createDataFrame([(s, k % 3, k % 2, [float(k % 2), float(s)]) for s in (0, 1) for k in range(30)], "subject int, fold int, label int, f array<double>")
-    report = search.search_report(classify.subject_runs(feats, runs.where("not skipped")), runs)
+    report = search.search_report(modes.subject_runs(feats, runs.where("not skipped")), runs)
     got = {(r.subject, r.run): (r.accuracy, r.description) for r in report.collect()}
     assert len(got) == 10 and got[0, 1][0] == 1.0 and got[1, 4] == (0.0, "skipped run")
     reports.write_table(report, str(tmp_path / "r"), "json")
