@@ -351,7 +351,7 @@ def gone_words(c: Chunk, pos: pa.Array, mask: pa.Array, length: int) -> tuple[np
         m = mask[k].values.to_numpy().view(np.uint64)
         on = (m[:, None] >> np.arange(reach + 1, dtype=np.uint64)[None, :]) & np.uint64(1) > 0
         at = np.unique((p[:, None] - reach + np.arange(reach + 1)[None, :])[on])
-        at = at[at >= 0] + first[k]
+        at = at[(at >= 0) & (at < first[k + 1] - first[k])] + first[k]  # a place of another text under the same key marks nothing beyond this one
         np.add.at(edge, at, 1)
         np.add.at(edge, np.minimum(at + length, first[k + 1]), -1)
     return starts, ends, first, np.cumsum(edge)[:-1] > 0

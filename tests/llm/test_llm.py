@@ -273,6 +273,16 @@ def test_lists_beyond_the_limit_become_pairs_of_blocks(spark, monkeypatch):
     assert max(map(len, lists.values())) < 35
 
 
+def test_places_beyond_a_text_mark_nothing_else():
+    """Two texts under one row key: the longer one's places neither reach the next text nor fail."""
+    raw = [b" ".join(b"w%d" % k for k in range(n)) for n in (20, 40)]
+    c = text.Chunk(np.arange(2), np.zeros(2, bool), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    pos = pa.array([[300, 25], None], pa.list_(pa.int32()))
+    mask = pa.array([[-1, 1], None], pa.list_(pa.int64()))
+    _, _, first, gone = spans.gone_words(c, pos, mask, 35)
+    assert not gone[first[1] :].any() and len(gone) == 60
+
+
 def test_two_texts_under_one_id(spark):
     shared = prose(80)
     line = "a line of text that is long enough to be compared"
