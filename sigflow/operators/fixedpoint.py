@@ -227,8 +227,8 @@ class FixedModel:
     def parameters(self, spark) -> DataFrame:
         """One row of all parameters."""
         q = [dict(a=f["a"].tolist(), b=f["b"].tolist(), a_shift=f["a_shift"].tolist(), b_shift=f["b_shift"].tolist(), y_shift=f["y_shift"], y_scale=float(f["y_scale"])) for f in self.filters]
-        schema = "channels int, rho double, input_scale double, filters array<struct<a: array<array<bigint>>, b: array<array<bigint>>, a_shift: array<bigint>, b_shift: array<bigint>, y_shift: int, y_scale: double>>, cov_scale array<double>, ref_scale array<double>, refs array<array<bigint>>, log_scale double, feature_scale double, svm_weights array<array<bigint>>, weight_scale double, svm_bias array<bigint>"
-        row = (self.channels, self.rho, float(self.input_scale), [tuple(f.values()) for f in q], list(map(float, self.cov_scale)), list(map(float, self.ref_scale)), [r.ravel().tolist() for r in self.refs], float(self.log_scale), float(self.feature_scale), None if self.weights is None else self.weights.tolist(), float(self.weight_scale), None if self.bias is None else self.bias.tolist())
+        schema = "channels int, rho double, input_scale double, filters array<struct<a: array<array<bigint>>, b: array<array<bigint>>, a_shift: array<bigint>, b_shift: array<bigint>, y_shift: int, y_scale: double>>, cov_scale array<double>, ref_scale array<double>, refs array<array<bigint>>, log_scale double, feature_scale double, svm_weights array<array<bigint>>, weight_scale double, svm_bias array<bigint>, window struct<start: int, stop: int>, metric string"
+        row = (self.channels, self.rho, float(self.input_scale), [tuple(f.values()) for f in q], list(map(float, self.cov_scale)), list(map(float, self.ref_scale)), [r.ravel().tolist() for r in self.refs], float(self.log_scale), float(self.feature_scale), None if self.weights is None else self.weights.tolist(), float(self.weight_scale), None if self.bias is None else self.bias.tolist(), tuple(self.window), self.metric)
         return spark.createDataFrame([row], schema)
 
     @classmethod
@@ -236,7 +236,7 @@ class FixedModel:
         """The model of a parameter row (see ``sources.reports.load_model``, which checks it)."""
         c = row.channels
         q = [{"a": np.array(f.a), "b": np.array(f.b), "a_shift": np.array(f.a_shift), "b_shift": np.array(f.b_shift), "y_shift": f.y_shift, "y_scale": f.y_scale} for f in row.filters]
-        return cls(c, bank or [None] * len(q), row.rho, "riemann", (0, None), row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias))
+        return cls(c, bank or [None] * len(q), row.rho, row.metric, (row.window.start, row.window.stop), row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias))
 
 
 def whole_arrays(x: np.ndarray) -> pa.Array:

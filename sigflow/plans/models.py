@@ -266,15 +266,16 @@ def _svm(train, c: float):
     return np.array([m.coefficients.toArray() for m in model.stages[-1].models]), np.array([m.intercept for m in model.stages[-1].models])
 
 
-_LEARNED: dict[tuple[str, str, str], tuple] = {}
+_LEARNED: dict[str, tuple] = {}
 
 
 def _once(spark, d, learn):
-    """What ``learn`` gives for a table, learned once an application."""
-    key = (spark.sparkContext.applicationId, d, learn.__name__)
-    if key not in _LEARNED:
-        _LEARNED[key] = learn(spark, d)
-    return _LEARNED[key]
+    """What ``learn`` gives for a table, learned once an application and anew if the table's files are others; one model a kind is kept."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/embeddings.parquet").select("path", "modificationTime", "length").collect()
+    key = (spark.sparkContext.applicationId, sorted(map(tuple, files)))
+    if _LEARNED.get(learn.__name__, (None,))[0] != key:
+        _LEARNED[learn.__name__] = (key, learn(spark, d))
+    return _LEARNED[learn.__name__][1]
 
 
 def quantised_model(spark, d):

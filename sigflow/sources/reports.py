@@ -29,8 +29,7 @@ def load_model(spark: SparkSession, path: str, classes: int = 4) -> DataFrame:
     square = "forall(refs, r -> size(r) = channels * channels)"
     checks = ((f"size(svm_bias) = {classes} and size(svm_weights) = {classes}", f"{classes} classes expected"), (sections, "a filter section has not 3 + 3 coefficients"), (square, "a reference matrix is not square"))
     fault = "coalesce(" + ", ".join(f"if({ok}, null, '{say}')" for ok, say in checks) + ")"
-    kept = F.expr(f"if({fault} is null, channels, cast(raise_error({fault}) as int))").alias("channels")
-    return m.select(*(kept if c == "channels" else F.col(c) for c in m.columns))
+    return m.where(F.expr(f"if({fault} is null, true, cast(raise_error({fault}) as boolean))"))  # a filter stays, whatever columns are read
 
 
 def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:

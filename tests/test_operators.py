@@ -251,8 +251,24 @@ def test_integer_model_survives_a_file(spark, tmp_path):
     df = spark.createDataFrame([(1, np.linspace(-0.5, 0.5, 24).tolist())], "k long, x array<double>")
     assert model.scores(model.transform(df, "k")).collect() == again.scores(again.transform(df, "k")).collect()
     model.parameters(spark).withColumn("svm_bias", F.slice("svm_bias", 1, 2)).write.parquet(str(tmp_path / "bad"))
-    with pytest.raises(Exception, match="4 classes expected"):
-        reports.load_model(spark, str(tmp_path / "bad")).collect()
+    for read in (lambda df: df.collect(), lambda df: df.select("log_scale").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="4 classes expected"):
+            read(reports.load_model(spark, str(tmp_path / "bad")))
+
+
+@pytest.mark.parametrize("window,metric", [((2, 8), "euclid"), ((3, None), "riemann")])
+def test_a_windowed_model_comes_back_whole(spark, tmp_path, window, metric):
+    from dataclasses import fields, replace
+
+    from sigflow.operators.fixedpoint import FixedModel
+
+    model = replace(_fixed_model(), window=window, metric=metric)
+    reports.write_table(model.parameters(spark), str(tmp_path / "m"))
+    again = FixedModel.from_row(reports.load_model(spark, str(tmp_path / "m")).first(), model.bank)
+    for f in fields(model):
+        assert repr(getattr(model, f.name)) == repr(getattr(again, f.name)), f.name
+    df = spark.createDataFrame([(k, np.random.default_rng(k).uniform(-0.5, 0.5, 24).tolist()) for k in range(10)], "k long, x array<double>")
+    assert model.transform(df, "k").collect() == again.transform(df, "k").collect()
 
 
 def test_integer_model_learns_classes(spark):
