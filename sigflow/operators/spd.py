@@ -174,53 +174,18 @@ def covariance(df: DataFrame, column: str, channels: int, rho: float = 1.0, out:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
-def _sums(df: DataFrame, keys: list[str], column: str, n: int, f) -> dict[tuple, tuple[int, np.ndarray]]:
-    """Count and sum of f(matrix) by key: partial sums in each task, one row a key and task to the shuffle."""
-    ship(df.sparkSession)
-    size = n * n
-
-    def run(batches):
-        part: dict[tuple, list] = {}
-        types: list = []
-        for b in batches:
-            types = [c.type for c in b.columns[:-1]]
-            ks = list(zip(*(c.to_pylist() for c in b.columns[:-1]))) if keys else [()] * b.num_rows
-            x = stacked(b.column(b.num_columns - 1), n)
-            for k in set(ks):
-                y = f(k, x[[i for i, o in enumerate(ks) if o == k]])
-                p = part.setdefault(k, [0, np.zeros((n, n))])
-                p[0] += len(y)
-                p[1] += y.sum(0)
-        for k, (c, s) in part.items():
-            yield pa.record_batch([*(pa.array([v], t) for v, t in zip(k, types)), pa.array([c]), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], names=[*keys, "n", "s"])
-
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
-    rows = df.select(*keys, column).mapInArrow(run, schema)
-    summed = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)))
-    return {tuple(r[k] for k in keys): (r["n"], np.array([r[f"s{i}"] for i in range(size)]).reshape(n, n)) for r in summed.collect()}
-
-
 def mean_euclid(df: DataFrame, keys: list[str], column: str, n: int) -> dict[tuple, np.ndarray]:
-    return {k: s / c for k, (c, s) in _sums(df, keys, column, n, lambda _, x: x).items() if c}
+    """``means.euclid_means`` of the few keys of a model, on the driver."""
+    from sigflow.operators.means import euclid_means
+
+    return {tuple(r[k] for k in keys): np.array(r["mean"]).reshape(n, n) for r in euclid_means(df, keys, column, n).collect()}
 
 
 def mean_riemann(df: DataFrame, keys: list[str], column: str, n: int, tol: float = 1e-8, rounds: int = 50) -> dict[tuple, np.ndarray]:
-    """Affine-invariant (Karcher) mean by key.
+    """``means.karcher_means`` of the few keys of a model, on the driver."""
+    from sigflow.operators.means import karcher_means
 
-    Each round maps the matrices to the tangent space at the present means (one
-    small matrix a key goes out with the tasks) and sums there; it ends when every
-    tangent mean is below ``tol`` or after ``rounds``.
-    """
-    mean = mean_euclid(df, keys, column, n)
-    for _ in range(rounds):
-        inv = {k: invsqrtm(m) for k, m in mean.items()}
-        tangent = _sums(df, keys, column, n, lambda k, x: logm(inv[k] @ x @ inv[k]))
-        step = {k: s / c for k, (c, s) in tangent.items()}
-        root = {k: sqrtm(mean[k]) for k in step}
-        mean = {k: root[k] @ expm(step[k]) @ root[k] for k in step}
-        if not step or max(np.linalg.norm(s) for s in step.values()) < tol:
-            break
-    return mean
+    return {tuple(r[k] for k in keys): np.array(r["mean"]).reshape(n, n) for r in karcher_means(df, keys, column, n, tol, rounds).collect()}
 
 
 class RiemannFeatures:
@@ -324,9 +289,12 @@ def spatial_filters(first: np.ndarray, second: np.ndarray, pairs: int) -> np.nda
 
 def csp_filters(cov: DataFrame, label: str, column: str, n: int, pairs: int = 1) -> dict[tuple[int, int], np.ndarray]:
     """Spatial filters of each pair of classes, from class mean covariances summed where they lie."""
-    means = {k[0]: m for k, m in mean_euclid(cov, [label], column, n).items()}
-    classes = sorted(means)
-    return {(a, b): spatial_filters(means[a], means[b], pairs) for i, a in enumerate(classes) for b in classes[i + 1 :]}
+    from sigflow.operators.means import euclid_means, pair_filters
+
+    out: dict[tuple[int, int], list] = {}
+    for r in sorted(pair_filters(euclid_means(cov, [label], column, n), [], label, n, pairs).collect(), key=lambda r: (r["c1"], r["c2"], r["k"])):
+        out.setdefault((r["c1"], r["c2"]), []).append(r["w"])
+    return {k: np.array(v).T for k, v in out.items()}
 
 
 def log_variance(df: DataFrame, column: str, channels: int, w: np.ndarray, sos: np.ndarray | None = None, out: str = "f") -> DataFrame:
@@ -358,15 +326,14 @@ def csp_features(df: DataFrame, column: str, channels: int, w: dict[tuple[int, i
 
 def csp_projections(trials: DataFrame, label: str, column: str, channels: int, windows: list[tuple[int, int]], bank: list, pairs: int = 1) -> dict[tuple[int, int], np.ndarray]:
     """For each (window, band) the spatial filters of all pairs of classes, side by side; class covariances are summed where they lie."""
+    from sigflow.operators.means import euclid_means, pair_filters
+
     cov = RiemannFeatures(channels, windows, bank, 0.0).covariances(trials.select(label, column), column)
-    means = mean_euclid(cov, ["win", "band", label], "cov", channels)
-    out = {}
-    for i in range(len(windows)):
-        for k in range(len(bank)):
-            of = {c: m for (w, b, c), m in means.items() if (w, b) == (i, k)}
-            classes = sorted(of)
-            out[i, k] = np.concatenate([spatial_filters(of[a], of[b], pairs) for n, a in enumerate(classes) for b in classes[n + 1 :]], 1)
-    return out
+    rows = pair_filters(euclid_means(cov, ["win", "band", label], "cov", channels), ["win", "band"], label, channels, pairs).collect()
+    out: dict[tuple[int, int], list] = {}
+    for r in sorted(rows, key=lambda r: (r["win"], r["band"], r["c1"], r["c2"], r["k"])):
+        out.setdefault((r["win"], r["band"]), []).append(r["w"])
+    return {k: np.array(v).T for k, v in out.items()}
 
 
 def identity_projections(channels: int, windows: int, bands: int) -> dict[tuple[int, int], np.ndarray]:

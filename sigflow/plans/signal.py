@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.functions import sym2
-from sigflow.operators import classify, filters, kernel, scan, search, spd
+from sigflow.operators import classify, filters, kernel, means, scan, search, spd
 from sigflow.operators import matrices as M
 from sigflow.plans.dialect import SIGNAL, qtrials, quant, trials
 from sigflow.plans.linear import base
@@ -291,6 +291,37 @@ def karcher_mean(spark, d):
     return spark.createDataFrame([(k[0], i, j, round(float(v[i, j]), 6)) for k, v in m.items() for i in range(8) for j in range(8)], "band int, i int, j int, v double")
 
 
+_FLOAT_COV2 = f"select vec_id, any_value(label) label, sum(x0 * x0) / 31 + 1 / 32.0::double a, sum(x0 * x1) / 31 b, sum(x1 * x1) / 31 + 1 / 32.0::double c from (select vec_id, any_value(label) label, t, max(x) filter (where c = 0) x0, max(x) filter (where c = 1) x1 from ({trials(2)}) group by vec_id, t) group by vec_id"
+
+
+def _float_cov2(spark, d):
+    x = embeddings(spark, d).select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return spd.covariance(x, "x", 2).select("vec_id", "label", "cov")
+
+
+@query(
+    f"with s as (select vec_id // 2 pair, count(*) n, min_by([a, b, c], vec_id) p, max_by([a, b, c], vec_id) q from ({_FLOAT_COV2}) group by 1), d as (select *, sqrt(p[1] * p[3] - p[2] * p[2]) da, sqrt(q[1] * q[3] - q[2] * q[2]) db from s), "
+    "m as (select *, list_transform([1, 2, 3], lambda k: p[k] / da + q[k] / db) g from d), r as (select *, sqrt(da * db / (g[1] * g[3] - g[2] * g[2])) f from m) "
+    "select pair, n, round(f * g[1], 6) a, round(f * g[2], 6) + 0.0 b, round(f * g[3], 6) c from r"
+)
+def karcher_pairs_c2(spark, d):
+    """The mean of every two trials' covariances, all pairs in one loop; of two matrices there is a closed form."""
+    cov = _float_cov2(spark, d).withColumn("pair", F.expr("vec_id div 2"))
+    m = means.karcher_means(cov, ["pair"], "cov", 2, tol=1e-9)
+    at = lambda k: F.round(F.col("mean")[k], 6) + 0.0
+    return m.select("pair", "n", at(0).alias("a"), at(1).alias("b"), at(3).alias("c"))
+
+
+@query(
+    f"with m as (select label, avg(a) a, avg(b) b, avg(c) c from ({_FLOAT_COV2}) group by 1), p as (select x.label c1, y.label c2, (x.a * y.c - 2 * x.b * y.b + x.c * y.a) / (y.a * y.c - y.b * y.b) t, (x.a * x.c - x.b * x.b) / (y.a * y.c - y.b * y.b) d from m x join m y on x.label < y.label) "
+    "select c1, c2, k::int k, round((t + (2 * k - 1) * sqrt(greatest(t * t - 4 * d, 0))) / 2, 6) as value from p, (values (0), (1)) v(k)"
+)
+def generalised_eigen_c2(spark, d):
+    """Generalised eigenvalues between the mean covariances of every two classes."""
+    m = means.euclid_means(_float_cov2(spark, d), ["label"], "cov", 2)
+    return means.pair_filters(m, [], "label", 2).select("c1", "c2", "k", F.round("value", 6).alias("value"))
+
+
 def _model(spark, d, option="Riemann"):
     return spd.RiemannFeatures(8, [(0, 8)], [None, np.array([[0.25, 0.0, -0.25, 1.0, -1.2, 0.5]])], 1.0, option)
 
