@@ -490,6 +490,25 @@ def budget_curve(spark, d):
     return c.select("budget", F.round("mean_best", 6).alias("mean_best"), F.round("std_best", 6).alias("std_best"))
 
 
+@query(f"with r as materialized ({_RUNS}), b as (select budget, subject, max(case when n_params <= budget then accuracy else 0 end) best from r, (select 7 * unnest(range(10000))::bigint budget) group by all) select budget, round(avg(best), 6) mean_best, round(stddev_pop(best), 5) std_best from b group by 1")
+def budget_curve_fine(spark, d):
+    """The same curve at ten thousand budgets."""
+    c = search.budget_curve(_runs(spark, d), spark.range(10_000).select((7 * F.col("id")).alias("budget")))
+    return c.select("budget", F.round("mean_best", 6).alias("mean_best"), F.round("std_best", 5).alias("std_best"))
+
+
+_WIDE_GRID = {f"h{k}": list(range(1000)) for k in range(4)}
+
+
+@query("select count(*) n, count(*) n_distinct, true inside from orders")
+def grid_assignments(spark, d):
+    """Every order gets a setting of its own out of a grid of 10^12 that is not built."""
+    g = search.GridSample(7, **_WIDE_GRID)
+    given = g.of(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    h = F.struct(*_WIDE_GRID)
+    return given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(h).alias("n_distinct"), F.min(F.least(*(F.col(c).between(0, 999) for c in _WIDE_GRID))).alias("inside"))
+
+
 @query(f"select subject, mode, run, accuracy, n_params from ({_RUNS}) order by accuracy desc, subject, mode, run limit 10")
 def top10_runs(spark, d):
     return search.top_runs(_runs(spark, d)).select("subject", "mode", "run", "accuracy", "n_params")
