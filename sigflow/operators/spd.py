@@ -254,9 +254,34 @@ class RiemannFeatures:
         return model, model._features(cov, key, False)
 
     def transform(self, trials: DataFrame, key: str, column: str = "x", trace: bool = False) -> DataFrame:
-        """(key, f), f over windows, bands and components in this order; with ``trace`` one row a window and band, all stages."""
+        """(key, f), f over windows, bands and components in this order; with ``trace`` one row a window and band, all stages. Narrow either way."""
+        if not trace:
+            return self.append(trials.select(key, column), column).select(key, "f")
         return self._features(self.covariances(trials.select(key, column), column), key, trace)
 
+    def append(self, trials: DataFrame, column: str = "x", out: str = "f") -> DataFrame:
+        """``trials`` with a column of features more: one narrow pass."""
+        from sigflow.operators.filters import sos_float
+
+        if self.references is None:
+            raise ValueError("fit first")
+        ship(trials.sparkSession)
+        at, c, windows, bank, rho, refs, log = trials.columns.index(column), self.channels, self.windows, self.bank, self.rho, self.references, self.option != "Whitened_Euclid"
+
+        def run(batches):
+            for b in batches:
+                x, parts = stacked(b.column(at), c), []
+                for lo, hi in windows if len(x) else ():
+                    part = x[:, :, lo:hi]
+                    t = part.shape[2]
+                    for f, sos in enumerate(bank):
+                        y = sos_float(part.reshape(-1, t), sos).reshape(part.shape) if sos is not None else part
+                        white = refs[f] @ (y @ np.swapaxes(y, 1, 2) / (t - 1) + rho / t * np.eye(c)) @ refs[f]
+                        parts.append(half_vector(logm(white) if log else white))
+                yield pa.record_batch([*b.columns, nested(np.concatenate(parts, 1) if parts else np.zeros((0, 0)))], names=[*b.schema.names, out])
+
+        return trials.mapInArrow(run, T.StructType([*trials.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
     def _features(self, covariances: DataFrame, key: str, trace: bool) -> DataFrame:
         if self.references is None:
             raise ValueError("fit first")
