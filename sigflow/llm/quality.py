@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.session import checkpoint
+from sigflow.session import checkpoint, discard
 
 # Fixed values of the base counts.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -153,23 +153,56 @@ def cover(cells: list[tuple[tuple[int, ...], tuple[int, int, int, int]]], cuts:
     return DecisionList(tuple(rules))
 
 
+#: Bins over the logarithm of a feature in which the values around a percentile are looked up.
+BINS = 4096
+
+
+def exact_percentiles(rows: DataFrame, label: str, features: list[str], at: tuple[float, ...]) -> dict[tuple, list[float]]:
+    """(label, feature) -> the percentiles of that label's rows, linear between two values.
+
+    Equal values are counted before they are shuffled. Sums over at most BINS bins of
+    each label and feature say in which bins the wanted ranks lie; only the values of
+    those bins are then numbered, each bin by itself. Null values have no part.
+    """
+    long = rows.select(F.col(label).alias("q"), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in features))).alias("x")).select("q", "x.f", "x.v").where("v is not null")
+    size = F.signum("v") * F.log1p(F.abs("v"))
+    counted = checkpoint(long.groupBy("q", "f", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("s", size))
+    ends = counted.groupBy("q", "f").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("n").alias("total"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int").alias("b")
+    binned = counted.join(F.broadcast(ends), ["q", "f"]).select("q", "f", "v", "n", "total", bin_)  # a row a label and feature
+    before = Window.partitionBy("q", "f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("q", "f", "b", "total").agg(F.sum("n").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(F.lit(p) * (F.col("total") - 1)), F.ceil(F.lit(p) * (F.col("total") - 1))) for p in at))))
+    wanted = bins.select("q", "f", "b", "start", "m", F.explode(ranks).alias("rank")).where("rank >= start and rank < start + m")
+    inside = Window.partitionBy("q", "f", "b").orderBy("v")
+    chosen = binned.join(F.broadcast(wanted.select("q", "f", "b", "start").distinct()), ["q", "f", "b"]).withColumn("last", F.col("start") + F.sum("n").over(inside) - 1)
+    found = chosen.join(F.broadcast(wanted.select("q", "f", "b", "rank")), ["q", "f", "b"]).where("rank <= last and rank > last - n").select("q", "f", "rank", "v", "total").collect()
+    discard(counted)
+    value = {(r.q, r.f, r["rank"]): r.v for r in found}
+    total = {(r.q, r.f): r.total for r in found}
+    out = {}
+    for (q, f), n in total.items():
+        place = [(p * (n - 1), int(p * (n - 1))) for p in at]
+        out[q, f] = [value[q, f, lo] if x == lo else value[q, f, lo] * (lo + 1 - x) + value[q, f, lo + 1] * (x - lo) for x, lo in place]
+    return out
+
+
 def learn(counts: DataFrame, labels: DataFrame) -> DecisionList:
     """Learn the list from the labelled rows that pass the base rules.
 
-    Two aggregations bring to the driver at most 10 cut points a feature and at
-    most 11**5 counted cells, however many rows there are. Without rows of both
-    labels the list is empty and keeps everything.
+    At most 10 cut points a feature and at most 11**5 counted cells come to the
+    driver, however many rows there are. Of two labels under one id the smaller
+    counts. Without rows of both labels the list is empty and keeps everything.
     """
     truth = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("_q"))
     rows = counts.where(f"not {BASE_FAILED}").join(truth, "doc_id").select("_q", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("_fold"), *(F.expr(e).alias(f) for f, e in FEATURES.items()))
-    at = "array(" + ",".join(map(str, QUANTILES)) + ")"
-    quantiles = rows.groupBy("_q").agg(*(F.expr(f"percentile({f}, {at})").alias(f) for f in FEATURES)).collect()
-    if len(quantiles) < 2:
+    points = exact_percentiles(rows, "_q", list(FEATURES), QUANTILES)
+    if len({q for q, _ in points}) < 2:
         return DecisionList(())
     cuts = {}
     for f in FEATURES:
-        points = sorted({v for r in quantiles for v in r[f]})
-        cuts[f] = [(a + b) / 2 for a, b in zip(points, points[1:])]
+        values = sorted({v for (_, g), vs in points.items() if g == f for v in vs})
+        cuts[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]
     bins = {f: "+".join(["0", *(f"if({f} > {c!r}D, 1, 0)" for c in cuts[f])]) for f in FEATURES}
     count = lambda q, grow: F.sum(F.expr(f"if(_q = {q} and {'_fold <> 0' if grow else '_fold = 0'}, 1, 0)"))
     cells = rows.groupBy(*(F.expr(e).alias(f) for f, e in bins.items())).agg(count(0, True).alias("_a"), count(1, True).alias("_b"), count(0, False).alias("_c"), count(1, False).alias("_d")).collect()

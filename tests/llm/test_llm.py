@@ -365,6 +365,66 @@ def test_decision_list_learns_a_threshold():
     assert rules.rules == ((quality.Condition("symbols", True, 0.3),),)
 
 
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_percentiles_are_exact(spark, monkeypatch, bins):
+    monkeypatch.setattr(quality, "BINS", bins)
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 2), float(rng.integers(0, 9)), float(np.exp(rng.normal(0, 4))), None if k % 3 else float(-k), 2.0) for k in range(501)]
+    df = spark.createDataFrame(rows, "q int, a double, b double, c double, d double").repartition(4)
+    got = quality.exact_percentiles(df, "q", ["a", "b", "c", "d"], (0.0, 0.05, 0.3, 0.5, 0.95, 1.0))
+    for q in (0, 1):
+        for k, f in enumerate("abcd"):
+            v = [r[k + 1] for r in rows if r[0] == q and r[k + 1] is not None]
+            assert np.allclose(got[q, f], np.quantile(v, (0.0, 0.05, 0.3, 0.5, 0.95, 1.0)), rtol=1e-12)
+    assert quality.exact_percentiles(df.limit(0), "q", ["a"], (0.5,)) == {}
+
+
+def test_rules_on_random_cells():
+    """Growing and pruning against a plain version that looks at every row."""
+    from math import log2
+
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        cuts = {"symbols": [1.0, 2.0], "n_words": [1.0, 2.0, 3.0], "repeats": [1.0]}
+        cells = {}
+        for b in np.ndindex(3, 4, 2):
+            bad = rng.integers(0, 30, 2) if b[0] + b[1] > 3 + seed % 2 else rng.integers(0, 2, 2)
+            good = rng.integers(0, 3, 2) if b[0] + b[1] > 3 else rng.integers(0, 30, 2)
+            cells[b] = (int(bad[0]), int(good[0]), int(bad[1]), int(good[1]))
+        rows = [(b, fold, label) for b, c in cells.items() for fold, label, n in ((0, 1, c[0]), (0, 0, c[1]), (1, 1, c[2]), (1, 0, c[3])) for _ in range(n)]
+        names = list(cuts)
+        options = [(f, up, k) for f, n in enumerate(names) for k in range(len(cuts[n])) for up in (True, False)]
+        hit = lambda b, o: (b[o[0]] > o[2]) == o[1]
+        want = []
+        while len(want) < 8:
+            grow, conds = [r for r in rows if r[1] == 0], []
+            while len(conds) < 3 and {r[2] for r in grow} == {0, 1}:
+                p0, n0 = (sum(r[2] == v for r in grow) for v in (1, 0))
+                best = (1e-9, None)
+                for o in options:
+                    p, n = (sum(r[2] == v and hit(r[0], o) for r in grow) for v in (1, 0))
+                    gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0
+                    if gain > best[0] + (1e-9 if best[1] else 0):
+                        best = (gain, o)
+                if best[1] is None:
+                    break
+                conds.append(best[1])
+                grow = [r for r in grow if hit(r[0], best[1])]
+
+            def worth(k):
+                at = [r[2] for r in rows if r[1] == 1 and all(hit(r[0], o) for o in conds[:k])]
+                return (2 * sum(at) - len(at)) / len(at) if at else -1.0
+
+            while len(conds) > 1 and worth(len(conds) - 1) >= worth(len(conds)):
+                conds.pop()
+            met = [r[2] for r in rows if all(hit(r[0], o) for o in conds)]
+            if not conds or sum(met) < 5 or sum(met) < 0.9 * len(met):
+                break
+            want.append(tuple(quality.Condition(names[f], up, cuts[names[f]][k]) for f, up, k in conds))
+            rows = [r for r in rows if not all(hit(r[0], o) for o in conds)]
+        assert quality.cover(sorted(cells.items()), cuts).rules == tuple(want)
+
+
 def test_quality_verdicts(spark):
     texts = [prose(80) + (" # $ %" * 10 if k % 3 == 0 else "") for k in range(60)]
     df = frame(spark, texts)
