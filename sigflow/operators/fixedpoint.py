@@ -81,7 +81,7 @@ def half_vector(m: np.ndarray, diagonal_shift: int, shift: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class FixedModel:
-    """Parameters of the integer model for one time ``window`` (samples from, to); ``fit`` gives a new one with all of them.
+    """Parameters of the integer model for a time ``window`` (samples from, to) and maybe ``more_windows``; ``fit`` gives a new one with all of them.
 
     ``bank`` has the floating sections of each band. Scales are those of full range;
     where one stage's output is shifted into the next, they differ by powers of two.
@@ -102,10 +102,26 @@ class FixedModel:
     weights: np.ndarray | None = None
     weight_scale: float = 1.0
     bias: np.ndarray | None = None
+    rules: str = "golden"
+    more_windows: tuple = ()
 
-    def signals(self, column: pa.Array) -> np.ndarray:
-        """(rows, channels, samples of the window) of an array column."""
-        return spd.stacked(column, self.channels)[:, :, slice(*self.window)]
+    def __post_init__(self):
+        if self.rules not in ("golden", "trainer"):
+            raise ValueError(f"unknown rules {self.rules}")
+
+    def parts(self, column: pa.Array) -> list[np.ndarray]:
+        """(rows, channels, samples) of an array column for each window."""
+        x = spd.stacked(column, self.channels)
+        return [x[:, :, slice(*w)] for w in (self.window, *self.more_windows)]
+
+    @property
+    def output_scale(self) -> float:
+        """Scale of the 32-bit scores."""
+        return self.weight_scale * self.feature_scale * _top(WIDE_BITS) / _top(BITS) ** 2
+
+    def rho_units(self, band: int) -> int:
+        """The weight of the identity, in products of two filter outputs."""
+        return int((away if self.rules == "trainer" else even)(self.rho, self.wide_scale(band), WIDE_BITS))
 
     # ---- one band, a batch of trials ------------------------------------------------------------------------------
 
@@ -117,9 +133,16 @@ class FixedModel:
         return whole(np.log2(_top(BITS) ** 2 * self.cov_scale[band] / (self.filters[band]["y_scale"] ** 2 * _top(COV_BITS))))
 
     def stages(self, x: np.ndarray, band: int) -> dict[str, np.ndarray]:
-        """Every integer stage of (rows, channels, samples) eight-bit input."""
+        """Every integer stage of (rows, channels, samples) eight-bit input.
+
+        ``rules`` says how a stage's output becomes the next one's input: golden shifts
+        it down with rounding, as a device does; trainer takes the real value and
+        quantises it anew (R1), at the filter's output, covariance, logarithm and features.
+        """
+        if self.rules == "trainer":
+            return self._trainer_stages(x, band)
         y = filtered(x, self.filters[band])
-        m = covariance(y, int(even(self.rho, self.wide_scale(band), WIDE_BITS)), self.cov_shift(band))
+        m = covariance(y, self.rho_units(band), self.cov_shift(band))
         w = whitened(m, self.refs[band])
         real = w * (self.cov_scale[band] / _top(COV_BITS) * (self.ref_scale[band] / _top(REF_BITS)) ** 2)
         log = even(spd.logm(real, LOG_FLOOR), self.log_scale, BITS)
@@ -127,6 +150,18 @@ class FixedModel:
         f = half_vector(log, ratio, whole(np.log2(_top(BITS) * self.feature_scale / (self.log_scale * SQRT2_SCALE))))
         return {"filtered": y, "cov": m, "white": w, "log": log, "features": f}
 
+    def _trainer_stages(self, x: np.ndarray, band: int) -> dict[str, np.ndarray]:
+        unit = self.filters[band]["y_scale"] / _top(BITS)
+        y = np.clip(filtered(x, self.filters[band]), -_top(BITS), _top(BITS) - 1)
+        m = away(covariance(y, self.rho_units(band), 0) * unit**2, self.cov_scale[band], COV_BITS)
+        w = whitened(m, self.refs[band])
+        real = w * (self.cov_scale[band] / _top(COV_BITS) * (self.ref_scale[band] / _top(REF_BITS)) ** 2)
+        log = away(spd.logm(real, LOG_FLOOR), self.log_scale, BITS)
+        j, i = np.tril_indices(self.channels, -1)
+        root = SQRT2 / _top(BITS) * SQRT2_SCALE
+        half = np.concatenate([np.diagonal(log, axis1=-2, axis2=-1), root * log[..., j, i]], -1) / _top(BITS) * self.log_scale
+        return {"filtered": y, "cov": m, "white": w, "log": log, "features": away(half, self.feature_scale, BITS)}
+
     # ---- calibration ----------------------------------------------------------------------------------------------
 
     def _pass(self, trials: DataFrame, column: str, per_band) -> DataFrame:
@@ -136,9 +171,8 @@ class FixedModel:
 
         def run(batches):
             for b in batches:
-                x = self.signals(b.column(0))
-                if len(x):
-                    for k in range(n):
+                for x in self.parts(b.column(0)):
+                    for k in range(n if len(x) else 0):
                         tops, mats = per_band(x, k)
                         yield pa.record_batch([pa.array([k] * len(mats), pa.int32()), *(pa.array([float(t)] * len(mats)) for t in tops), spd.nested(mats)], names=["band", *(f"r{i}" for i in range(3)), "m"])
 
@@ -178,7 +212,7 @@ class FixedModel:
 
         def fixed(x, k):
             y = within(np.clip(filtered(away(x, model.input_scale, BITS), model.filters[k]), -_top(BITS), _top(BITS) - 1), BITS)
-            m = covariance(y, int(even(model.rho, model.wide_scale(k), WIDE_BITS)), 0)
+            m = covariance(y, model.rho_units(k), 0)
             return (0.0, 0.0, 0.0), m * (model.filters[k]["y_scale"] / _top(BITS)) ** 2
 
         refs = self._references(checkpoint(self._pass(trials, column, fixed)))
@@ -189,7 +223,7 @@ class FixedModel:
     # ---- use ------------------------------------------------------------------------------------------------------
 
     def transform(self, trials: DataFrame, key: str, column: str = "x", trace: bool = False) -> DataFrame:
-        """(key, f): eight-bit features (those beyond stay at the limit), bands one after the other; with ``trace`` every stage as a map of arrays by name and band."""
+        """(key, f): eight-bit features (those beyond stay at the limit), bands one after the other, window by window; with ``trace`` every stage as a map of arrays by name and band."""
         ship(trials.sparkSession)
         ints = T.ArrayType(T.LongType())
         extra = [T.StructField("stages", T.MapType(T.StringType(), ints))] if trace else []
@@ -197,13 +231,13 @@ class FixedModel:
 
         def run(batches):
             for b in batches:
-                x = away(self.signals(b.column(1)), self.input_scale, BITS)
-                got = [self.stages(x, k) for k in range(len(self.bank))] if len(x) else []
+                parts = [away(x, self.input_scale, BITS) for x in self.parts(b.column(1))] if b.num_rows else []
+                got = [self.stages(x, k) for x in parts for k in range(len(self.bank))]
                 f = np.clip(np.concatenate([s["features"] for s in got], 1), -_top(BITS), _top(BITS) - 1) if got else np.zeros((0, 0), np.int64)
                 columns = [b.column(0), whole_arrays(f)]
                 if trace:
-                    named = [("input", x), *((f"{n}_{k}", v) for k, s in enumerate(got) for n, v in s.items())]
-                    columns.append(pa.array([[(n, v[i].ravel().tolist()) for n, v in named] for i in range(len(x))], pa.map_(pa.string(), pa.list_(pa.int64()))))
+                    named = [(f"input{'' if w == 0 else f'_w{w}'}", x) for w, x in enumerate(parts)] + [(f"{n}_{k}", v) for k, s in enumerate(got) for n, v in s.items()]
+                    columns.append(pa.array([[(n, v[i].ravel().tolist()) for n, v in named] for i in range(b.num_rows)], pa.map_(pa.string(), pa.list_(pa.int64()))))
                 yield pa.record_batch(columns, names=schema.names)
 
         return trials.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, schema)
@@ -216,8 +250,8 @@ class FixedModel:
 
         def run(batches):
             for b in batches:
-                x = away(self.signals(b.column(at)), self.input_scale, BITS)
-                f = [self.stages(x, k)["features"] for k in range(len(self.bank))] if len(x) else []
+                parts = [away(x, self.input_scale, BITS) for x in self.parts(b.column(at))] if b.num_rows else []
+                f = [self.stages(x, k)["features"] for x in parts for k in range(len(self.bank))]
                 yield pa.record_batch([*b.columns, whole_arrays(np.clip(np.concatenate(f, 1), -_top(BITS), _top(BITS) - 1) if f else np.zeros((0, 0), np.int64))], names=schema.names)
 
         return trials.where(F.col(column).isNotNull()).mapInArrow(run, schema)
@@ -228,8 +262,8 @@ class FixedModel:
     def with_classifier(self, weights: np.ndarray, bias: np.ndarray) -> FixedModel:
         """Eight-bit weights of (classes, features); the bias joins the 32-bit products."""
         scale = float(np.abs(weights).max()) or 1.0
-        wide = scale * self.feature_scale * _top(WIDE_BITS) / _top(BITS) ** 2
-        return replace(self, weights=away(weights, scale, BITS), weight_scale=scale, bias=even(bias, wide, WIDE_BITS))
+        model = replace(self, weights=away(weights, scale, BITS), weight_scale=scale)
+        return replace(model, bias=even(bias, model.output_scale, WIDE_BITS))
 
     def scores(self, features: DataFrame, column: str = "f") -> DataFrame:
         """``features`` with exact integer ``scores`` of all classes and the best ``prediction``, ties to the lowest; local to the row."""
@@ -238,11 +272,19 @@ class FixedModel:
         wide = f"transform({score}, v -> if(abs(v) >= 2147483648L, cast(raise_error('score beyond 32 bits') as bigint), v))"
         return features.withColumn("scores", F.expr(wide)).withColumn("prediction", F.expr("cast(array_position(scores, array_max(scores)) - 1 as int)"))
 
+    def real_scores(self, scored: DataFrame, column: str = "scores", out: str = "real") -> DataFrame:
+        """``scored`` with its 32-bit scores as real numbers too."""
+        return scored.withColumn(out, F.transform(column, lambda v: v.cast("double") / _top(WIDE_BITS) * self.output_scale))
+
+    def apply(self, trials: DataFrame, key: str, column: str = "x") -> DataFrame:
+        """(key, f, scores, prediction, real): from signals to real scores, every step in integers between."""
+        return self.real_scores(self.scores(self.transform(trials, key, column)))
+
     def parameters(self, spark) -> DataFrame:
         """One row of all parameters."""
         q = [dict(a=f["a"].tolist(), b=f["b"].tolist(), a_shift=f["a_shift"].tolist(), b_shift=f["b_shift"].tolist(), y_shift=f["y_shift"], y_scale=float(f["y_scale"])) for f in self.filters]
-        schema = "channels int, rho double, input_scale double, filters array<struct<a: array<array<bigint>>, b: array<array<bigint>>, a_shift: array<bigint>, b_shift: array<bigint>, y_shift: int, y_scale: double>>, cov_scale array<double>, ref_scale array<double>, refs array<array<bigint>>, log_scale double, feature_scale double, svm_weights array<array<bigint>>, weight_scale double, svm_bias array<bigint>, window struct<start: int, stop: int>, metric string"
-        row = (self.channels, self.rho, float(self.input_scale), [tuple(f.values()) for f in q], list(map(float, self.cov_scale)), list(map(float, self.ref_scale)), [r.ravel().tolist() for r in self.refs], float(self.log_scale), float(self.feature_scale), None if self.weights is None else self.weights.tolist(), float(self.weight_scale), None if self.bias is None else self.bias.tolist(), tuple(self.window), self.metric)
+        schema = "channels int, rho double, input_scale double, filters array<struct<a: array<array<bigint>>, b: array<array<bigint>>, a_shift: array<bigint>, b_shift: array<bigint>, y_shift: int, y_scale: double>>, cov_scale array<double>, ref_scale array<double>, refs array<array<bigint>>, log_scale double, feature_scale double, svm_weights array<array<bigint>>, weight_scale double, svm_bias array<bigint>, windows array<struct<start: int, stop: int>>, metric string, rules string"
+        row = (self.channels, self.rho, float(self.input_scale), [tuple(f.values()) for f in q], list(map(float, self.cov_scale)), list(map(float, self.ref_scale)), [r.ravel().tolist() for r in self.refs], float(self.log_scale), float(self.feature_scale), None if self.weights is None else self.weights.tolist(), float(self.weight_scale), None if self.bias is None else self.bias.tolist(), [tuple(w) for w in (self.window, *self.more_windows)], self.metric, self.rules)
         return spark.createDataFrame([row], schema)
 
     @classmethod
@@ -250,7 +292,7 @@ class FixedModel:
         """The model of a parameter row (see ``sources.reports.load_model``, which checks it)."""
         c = row.channels
         q = [{"a": np.array(f.a), "b": np.array(f.b), "a_shift": np.array(f.a_shift), "b_shift": np.array(f.b_shift), "y_shift": f.y_shift, "y_scale": f.y_scale} for f in row.filters]
-        return cls(c, bank or [None] * len(q), row.rho, row.metric, (row.window.start, row.window.stop), row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias))
+        return cls(c, bank or [None] * len(q), row.rho, row.metric, tuple(row.windows[0]), row.input_scale, q, list(row.cov_scale), list(row.ref_scale), [np.array(r).reshape(c, c) for r in row.refs], row.log_scale, row.feature_scale, None if row.svm_weights is None else np.array(row.svm_weights), row.weight_scale, None if row.svm_bias is None else np.array(row.svm_bias), row.rules, tuple(tuple(w) for w in row.windows[1:]))
 
 
 def whole_arrays(x: np.ndarray) -> pa.Array:

@@ -47,6 +47,7 @@ _matrix("mat_transpose", M.transpose("a", N, N), _WITH + "select vec_id, j i, i
 _matrix("mat_submul", M.mul(M.sub_matrix("a", N, 2, 1, 4, 5), M.sub_matrix("w", N, 1, 3, 5, 3), 4, 5, 3), _WITH + "select vec_id, a.i - 2 i, w.j - 3 j, sum(a.v * w.v)::bigint v from a join w on a.j = w.i where a.i between 2 and 5 and a.j between 1 and 5 and w.j between 3 and 5 group by all", 3)
 _matrix("vec_cov", M.vec_cov("u", N, "upper"), "with k as (" + _VD + ") select vec_id, x.k i, y.k j, case when x.k <= y.k then x.u * y.u else 0 end::bigint v from embeddings, k x, k y")
 _matrix("vec_outer", M.outer("u", "dg", N, N), "with k as (" + _VD + ") select vec_id, x.k i, y.k j, x.u * y.dg v from embeddings, k x, k y")
+_matrix("vec_outer_trials", M.outer("slice(a, 1, 24)", "slice(a, 25, 40)", 24, 40), f"with a as ({A}), f as (select vec_id, 8 * i + j p, v from a) select x.vec_id, x.p i, y.p - 24 j, x.v * y.v v from f x join f y on x.vec_id = y.vec_id and x.p < 24 and y.p >= 24", 40)
 _matrix("matmul_i16", M.mul(M.mul("w", "a", N, N, N), "w", N, N, N), _WITH + ", p as (select vec_id, w.i, a.j, sum(w.v * a.v) v from w join a on w.j = a.i group by all) select vec_id, p.i, w.j, sum(p.v * w.v)::bigint v from p join w on p.j = w.i group by all")
 _vector("mat_vec", M.mat_vec("a", "u", N, N), _WITH + "select vec_id, i, sum(v * u)::bigint v from a join k on k.k = j group by all")
 _vector("vec_mat", M.vec_mat("u", "a", N, N), _WITH + "select vec_id, j i, sum(v * u)::bigint v from a join k on k.k = i group by all")

@@ -193,6 +193,27 @@ def golden_scores_c8(spark, d):
     return classify.integer_scores(_golden_half(spark, d), "vec_id", "h", "(7 * {c} + 3 * k) % 11 - 5", 4, "cast(c * 10 as bigint)")
 
 
+@query(_GY + _GH + ", t as (select vec_id, cls, sum(v * ((7 * cls + 3 * i) % 11 - 5)) + 10 * cls score from h, range(4) c(cls) group by vec_id, cls) select vec_id, cls::int cls, round(score / 2147483648.0::double * (0.5 * 4 * 2147483648.0 / 16384), 9) score from t")
+def golden_output_c8(spark, d):
+    """The scores as real numbers, weights of scale 0.5 on features of scale 4."""
+    model = fixedpoint.FixedModel(8, [None], feature_scale=4.0, weight_scale=0.5)
+    scored = classify.score_arrays(_golden_half(spark, d), "h", "(7 * {c} + 3 * k) % 11 - 5", 4, "cast(c * 10 as bigint)")
+    return model.real_scores(scored).select("vec_id", F.posexplode("real").alias("cls", "v")).select("vec_id", "cls", F.round("v", 9).alias("score"))
+
+
+# R1 to 16 bits of real covariances of eight-bit signals at scale 8.
+_TRAINER_COV = "trunc(greatest(least(v * (1 / 128.0::double) * (1 / 128.0::double) / 8 * 32768 + sign(v) * 0.5, 32767), -32768))::bigint"
+
+
+@query(f"with x as (select vec_id, c, t, x from ({qtrials(8)})), s as (select a.vec_id, a.c i, b.c j, sum(a.x * b.x) + case when a.c = b.c then 16384 * 0.5 else 0 end v from x a join x b on a.vec_id = b.vec_id and a.t = b.t group by a.vec_id, a.c, b.c) select vec_id, i, j, {_TRAINER_COV} v from s")
+def trainer_cov_c8(spark, d):
+    """Covariances by the trainer's rules: real values quantised anew to 16 bits; the filter passes everything."""
+    x = embeddings(spark, d).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    through = {"a": np.array([[1, 0, 0]]), "b": np.array([[1, 0, 0]]), "a_shift": np.array([0]), "b_shift": np.array([0]), "y_shift": 0, "y_scale": 1.0}
+    model = fixedpoint.FixedModel(8, [None], 0.5, filters=[through], cov_scale=[8.0], ref_scale=[1.0], refs=[np.eye(8, dtype=np.int64)], rules="trainer")
+    return M.cells(model.transform(x, "vec_id", trace=True).select("vec_id", F.col("stages")["cov_0"].alias("m")), "vec_id", "m", 8)
+
+
 @query(f"with x as (select vec_id, c, t, x from ({qtrials(8)})) select a.vec_id, a.c i, b.c j, ((sum(a.x * b.x) + case when a.c = b.c then 429497 else 0 end)::bigint) v from x a join x b on a.vec_id = b.vec_id and a.t = b.t group by a.vec_id, a.c, b.c")
 def covmat_quantised(spark, d):
     """Sum of products plus rho quantised to 32 bits at its own scale (0.0002 of full range)."""
@@ -261,9 +282,8 @@ def _labelled(features, trials_):
 
 def _svm(train, c: float):
     """(weights, bias) by class of a one-vs-rest linear SVM on array features."""
-    rows = checkpoint(train.select("label", "f"))
-    model = classify.linear_svm(c, rows.count()).fit(classify.with_vector(rows))
-    return np.array([m.coefficients.toArray() for m in model.stages[-1].models]), np.array([m.intercept for m in model.stages[-1].models])
+    w = linear.LinearSvm((c,)).solve(pack(train, "vec_id", "f", "label")).weights[0][0]
+    return w[:, :-1], w[:, -1]
 
 
 _LEARNED: dict[str, tuple] = {}
@@ -441,7 +461,7 @@ WINDOWS = [(0, 8), (0, 5), (3, 8)]
 def _learn_csp(spark, d):
     train = _trials(spark, d).where("vec_id % 5 <> 0")
     w = spd.csp_projections(train, "label", "x", 8, WINDOWS, BANK)
-    return w, *_svm(spd.csp_features(train, "x", 8, w, WINDOWS, BANK).select(F.col("label").cast("double").alias("label"), "f"), 0.1)
+    return w, *_svm(spd.csp_features(train, "x", 8, w, WINDOWS, BANK).select("vec_id", F.col("label").cast("double").alias("label"), "f"), 0.1)
 
 
 @query()

@@ -256,13 +256,13 @@ def test_integer_model_survives_a_file(spark, tmp_path):
             read(reports.load_model(spark, str(tmp_path / "bad")))
 
 
-@pytest.mark.parametrize("window,metric", [((2, 8), "euclid"), ((3, None), "riemann")])
-def test_a_windowed_model_comes_back_whole(spark, tmp_path, window, metric):
+@pytest.mark.parametrize("window,metric,more,rules", [((2, 8), "euclid", (), "golden"), ((3, None), "riemann", ((0, 6),), "trainer")])
+def test_a_windowed_model_comes_back_whole(spark, tmp_path, window, metric, more, rules):
     from dataclasses import fields, replace
 
     from sigflow.operators.fixedpoint import FixedModel
 
-    model = replace(_fixed_model(), window=window, metric=metric)
+    model = replace(_fixed_model(), window=window, metric=metric, more_windows=more, rules=rules)
     reports.write_table(model.parameters(spark), str(tmp_path / "m"))
     again = FixedModel.from_row(reports.load_model(spark, str(tmp_path / "m")).first(), model.bank)
     for f in fields(model):
@@ -271,6 +271,58 @@ def test_a_windowed_model_comes_back_whole(spark, tmp_path, window, metric):
     assert model.transform(df, "k").collect() == again.transform(df, "k").collect()
 
 
+def _quantised(x, scale, bits):
+    """R1 and back, as real numbers."""
+    top = 2.0 ** (bits - 1)
+    y = x / scale * top
+    return np.trunc(np.clip(y + np.sign(y) * 0.5, -top, top - 1)) / top * scale
+
+
+def test_trainer_rules_are_those_of_real_numbers(spark):
+    """Stage by stage in floating point, quantised after each, over two windows; the model learns its scales first."""
+    from sigflow.operators.fixedpoint import FixedModel
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, (30, 2, 60)).cumsum(2) * 0.1
+    df = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in enumerate(x)], "k long, x array<double>")
+    bank = [filters.butter_band(2, 0.1, 0.5), filters.butter_band(2, 0.2, 0.4)]
+    model = FixedModel(2, bank, 0.3, "euclid", (0, 40), rules="trainer", more_windows=((20, 60),)).fit(df)
+    got = {r.k: np.array(r.f) for r in model.transform(df, "k").collect()}
+    means = {}
+    for b in range(2):
+        unit = model.filters[b]["y_scale"] / 128
+        rho = np.trunc(0.3 / unit**2 + 0.5) * unit**2
+        covs = []
+        for lo, hi in ((0, 40), (20, 60)):
+            q = np.rint(_quantised(x[:, :, lo:hi], model.input_scale, 8) / model.input_scale * 128).astype(np.int64)
+            y = filters.sos_int(q.reshape(-1, hi - lo), model.filters[b]).reshape(q.shape)
+            y = y << model.filters[b]["y_shift"] if model.filters[b]["y_shift"] >= 0 else y >> -model.filters[b]["y_shift"]
+            y = _quantised(y * unit, model.filters[b]["y_scale"], 8)
+            covs.append(y @ np.swapaxes(y, 1, 2) + rho * np.eye(2))
+        means[b] = np.concatenate(covs).mean(0)
+        ref = _quantised(spd.invsqrtm(means[b]), model.ref_scale[b], 11)
+        assert np.allclose(ref, model.refs[b] / 1024 * model.ref_scale[b], atol=1e-12)
+        for w, cov in enumerate(covs):
+            m = _quantised(cov, model.cov_scale[b], 16)
+            log = _quantised(spd.logm(ref @ m @ ref, 1e-3), model.log_scale, 8)
+            half = np.stack([log[:, 0, 0], log[:, 1, 1], 91 / 64 * log[:, 0, 1]], 1)
+            want = np.rint(_quantised(half, model.feature_scale, 8) / model.feature_scale * 128)
+            at = 3 * (2 * w + b)
+            off = np.abs(np.array([got[k][at : at + 3] for k in range(30)]) - want)
+            assert off.max() <= 1 and (off > 0).mean() < 0.01  # ties of R1 in the last bit
+    with pytest.raises(ValueError, match="unknown rules"):
+        FixedModel(2, bank, rules="other")
+
+
+def test_scores_as_real_numbers(spark):
+    model = _fixed_model()
+    df = spark.createDataFrame([(k, np.random.default_rng(k).uniform(-0.5, 0.5, 24).tolist()) for k in range(8)], "k long, x array<double>")
+    for r in model.apply(df, "k").collect():
+        f = np.array(r.f) / 128 * model.feature_scale
+        w, b = model.weights / 128 * model.weight_scale, model.bias / 2.0**31 * model.output_scale
+        assert np.allclose(r.real, w @ f + b) and r.prediction == int(np.argmax(r.scores))
+
+
 def test_integer_model_learns_classes(spark):
     from sigflow.operators.fixedpoint import FixedModel
 
