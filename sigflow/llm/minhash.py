@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import components
@@ -30,6 +30,8 @@ EARLY = 4
 SMALL, LARGE = 64, 4096
 #: Items of a block in the exact second round; up to FEW pairs an item are compared one by one, more by a matrix.
 BLOCK, FEW = 256, 4
+#: Other lists by which an item of a large list meets again those that it has not met.
+FINER = 6
 
 
 def coefficients(k: int, dtype=np.uint32) -> np.ndarray:
@@ -386,6 +388,34 @@ def cut_large(lists: DataFrame) -> DataFrame:
     return out
 
 
+def cut_once(lists: DataFrame, large: DataFrame) -> DataFrame:
+    """Lists beyond LARGE as blocks of half that size, each member in one; every list deals its members in its own way."""
+    blocks = f"cast(ceil(2 * n / {LARGE}) as int)"
+    cut = lists.join(large, "list", "left")
+    return checkpoint(cut.selectExpr(f"if(n is null, list, xxhash64(list, pmod(xxhash64(id, list), {blocks}))) as list", "early", "id"))
+
+
+def finer_lists(lists: DataFrame, large: DataFrame, comp: DataFrame) -> DataFrame:
+    """Lists beyond LARGE that still hold two components, parted by a second list that their members share.
+
+    For each of its large lists an item takes the FINER of its other lists that come
+    first in an order that all members of the list agree on; those with a second list in
+    common are a list. Of two similar items that share a large list, one in twelve
+    has no such second list in common, and they share several lists. What is of one
+    component by now is left out. So n members cost FINER rows each, not a block each.
+    """
+    member = lists.join(large.select("list"), "list").join(comp, "id", "left").select("list", "early", "id", F.coalesce("comp", "id").alias("comp"))
+    several = member.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    met = member.join(several, "list").join(lists.select("id", F.col("list").alias("other")), "id").where("other <> list")
+    rank = F.row_number().over(Window.partitionBy("id", "list").orderBy(F.xxhash64("list", "other"), "other"))  # an item is in a list a band at most
+    fine = met.withColumn("rank", rank).where(F.col("rank") <= FINER)
+    fine = checkpoint(fine.select(F.xxhash64(F.least("list", "other"), F.greatest("list", "other")).alias("list"), "id", "comp").distinct())
+    mixed = fine.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+    out = checkpoint(fine.join(mixed, "list").select("list", F.lit(True).alias("early"), "id"))
+    discard(fine)
+    return out
+
+
 def linked_components(lists: DataFrame, sketches_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similar, floor: float, low: float, *, num: int = 80, den: int = 100, expand=plain_sets, buckets: int) -> DataFrame:
     """(id, comp) of the items that have a link.
 
@@ -394,20 +424,51 @@ def linked_components(lists: DataFrame, sketches_of: Callable[[DataFrame], DataF
     ``expand`` makes the full sets (sorted 64-bit values) from these binaries.
     ``similar`` estimates similarities along the last axis of sketches; ``floor`` makes
     a likely pair, ``low`` keeps members of a list together.
+
+    Lists beyond LARGE first meet in blocks, each member in one block a list. As lists
+    deal their members differently, many near copies are one component after that.
+    Where a large list still holds several, its members meet again in the finer lists
+    that a second shared list makes; only of those, what is beyond LARGE again meets
+    block by block.
     """
-    lists = cut_large(checkpoint(lists.groupBy("list", "id").agg(F.max("early").alias("early"))))
-    asked = lists.join(sketches_of(lists.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "early", "id", "sketch")
-    sieved = checkpoint(asked.groupBy("bucket").applyInArrow(lambda t: _sieve(similar, floor, low, t), "link boolean, a long, b long"))
-    likely = sieved.where("link").select("a", "b").distinct()
-    parts = checkpoint(sieved.where("not link").select(F.col("a").alias("list"), F.col("b").alias("id")).distinct())
-    sets = checkpoint(sets_of(parts.select("id").distinct()))
-    both = likely.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
-    links = checkpoint(both.select("a", "b", "va", "vb").mapInArrow(partial(_confirm, num, den, expand), "a long, b long"))
-    comp = components(links)
-    more = checkpoint(remaining_links(parts, comp, sets, num=num, den=den, expand=expand, buckets=buckets))
-    if not more.isEmpty():
-        first, comp = comp, components(links.union(more))
-        discard(first)
-    for done in (lists, sieved, parts, sets, links, more):
+    lists = checkpoint(lists.groupBy("list", "id").agg(F.max("early").alias("early")))
+    large = checkpoint(lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE))
+    held: list[DataFrame] = []
+
+    def met(lists: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links within lists, added to the known ones, and the components of all."""
+        asked = lists.join(sketches_of(lists.select("id").distinct()), "id").select(F.pmod("list", F.lit(buckets)).cast("int").alias("bucket"), "list", "early", "id", "sketch")
+        sieved = checkpoint(asked.groupBy("bucket").applyInArrow(lambda t: _sieve(similar, floor, low, t), "link boolean, a long, b long"))
+        likely = sieved.where("link").select("a", "b").distinct()
+        parts = checkpoint(sieved.where("not link").select(F.col("a").alias("list"), F.col("b").alias("id")).distinct())
+        sets = checkpoint(sets_of(parts.select("id").distinct()))
+        both = likely.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
+        links = checkpoint(both.select("a", "b", "va", "vb").mapInArrow(partial(_confirm, num, den, expand), "a long, b long"))
+        held.append(links)
+        every = links if known is None else known.union(links)
+        comp = components(every)
+        more = checkpoint(remaining_links(parts, comp, sets, num=num, den=den, expand=expand, buckets=buckets))
+        held.append(more)
+        if not more.isEmpty():
+            every = every.union(more)
+            first, comp = comp, components(every)
+            discard(first)
+        for done in (sieved, parts, sets):
+            discard(done)
+        return every, comp
+
+    if large.isEmpty():
+        _, comp = met(lists, None)
+    else:
+        once = cut_once(lists, large)
+        every, comp = met(once, None)
+        discard(once)
+        fine = finer_lists(lists, large, comp)
+        if not fine.isEmpty():
+            fine = cut_large(fine)
+            first, (_, comp) = comp, met(fine, every)
+            discard(first)
+        discard(fine)
+    for done in (lists, large, *held):
         discard(done)
     return comp

@@ -273,6 +273,37 @@ def test_lists_beyond_the_limit_become_pairs_of_blocks(spark, monkeypatch):
     assert max(map(len, lists.values())) < 35
 
 
+def test_a_large_list_costs_rows_in_proportion(spark):
+    """A list of 100,000 members in 21 blocks and more: each member once; and few rows each where components are left."""
+    n = 100_000
+    member = spark.range(n).select(F.explode(F.array(F.lit(1), 2 + F.col("id") % 50, 1000 + F.col("id") % 77)).alias("list"), F.lit(True).alias("early"), "id").select(F.col("list").cast("long").alias("list"), "early", "id")
+    large = member.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > minhash.LARGE)
+    once = minhash.cut_once(member, large)
+    assert once.count() == 3 * n and once.groupBy("list").count().agg(F.max("count")).first()[0] <= minhash.LARGE
+    comp = spark.range(n).select("id", (F.col("id") - F.col("id") % 2).alias("comp"))
+    fine = minhash.finer_lists(member, large, comp)
+    assert 0 < fine.count() <= minhash.FINER * n and fine.groupBy("list").count().agg(F.max("count")).first()[0] <= n // 50
+    assert minhash.finer_lists(member, large, comp.select("id", F.lit(0).cast("long").alias("comp"))).count() == 0
+
+
+@pytest.mark.parametrize("boilerplate", [False, True])
+def test_large_lists_lose_no_link(spark, monkeypatch, boilerplate):
+    """Lists that count as large from 20 members on: near copies, and pairs of copies among documents that only share a block."""
+    monkeypatch.setattr(minhash, "LARGE", 20)
+    if boilerplate:
+        block = prose(110)
+        texts = []
+        for _ in range(60):
+            own = prose(60)
+            texts += [f"{block} {own}", f"{block} {own} {prose(2)}"]
+    else:
+        base = prose(120).split()
+        texts = [" ".join("z%d_%d" % (i, j) if RNG.random() < 0.03 else w for j, w in enumerate(base)) for i in range(150)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    comp = brute_components([shingle_set(t, 5) for t in texts], 80)
+    assert got == dict(enumerate(comp)) and len(set(comp)) < len(texts)
+
+
 def test_places_beyond_a_text_mark_nothing_else():
     """Two texts under one row key: the longer one's places neither reach the next text nor fail."""
     raw = [b" ".join(b"w%d" % k for k in range(n)) for n in (20, 40)]
