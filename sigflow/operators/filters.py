@@ -29,6 +29,39 @@ def bands(widths: list[int], fs: float = FS, top: int = 40) -> list[tuple[float,
     return out
 
 
+def bands_of(df: DataFrame, width: str, fs: float = FS, top: int = 40) -> DataFrame:
+    """``df`` times the bands of each row's width: (band, lo, hi) more, numbered from 0, as fractions of the Nyquist frequency. Widths without a band have no row."""
+    w = F.col(width).cast("int")
+    step = F.when(w < 3, w).otherwise(4)
+    starts = F.when((w > 0) & (w <= top - FIRST_HZ), F.sequence(F.lit(FIRST_HZ), F.lit(top) - w, step))
+    cut = df.select("*", F.posexplode(starts).alias("band", "at"))
+    return cut.select(*df.columns, "band", (2.0 * F.col("at") / fs).alias("lo"), (2.0 * (F.col("at") + w) / fs).alias("hi"))
+
+
+def design(rows: DataFrame, order: int = 2, quantised: bool = False) -> DataFrame:
+    """``rows`` with the sections of the band-pass from ``lo`` to ``hi`` of each: an array of arrays (b0, b1, b2, a0, a1, a2), and with ``quantised`` the integer form too. Each row by itself."""
+    ship(rows.sparkSession)
+    at = [rows.columns.index(c) for c in ("lo", "hi")]
+    nest = T.ArrayType(T.ArrayType(T.DoubleType()))
+    ints = T.ArrayType(T.ArrayType(T.LongType()))
+    extra = [T.StructField("sos", nest)]
+    if quantised:
+        extra += [T.StructField("a", ints), T.StructField("b", ints), T.StructField("a_shift", ints.elementType), T.StructField("b_shift", ints.elementType), T.StructField("y_shift", T.IntegerType())]
+
+    def run(batches):
+        for b in batches:
+            bank = [butter_band(order, lo, hi) for lo, hi in zip(*(b.column(k).to_pylist() for k in at))]
+            columns = [pa.array([s.tolist() for s in bank], pa.list_(pa.list_(pa.float64())))]
+            if quantised:
+                q = [quantize_sos(s, 1.0, 1.0) for s in bank]
+                columns += [pa.array([v[c].tolist() for v in q], pa.list_(pa.list_(pa.int64()))) for c in ("a", "b")]
+                columns += [pa.array([v[c].tolist() for v in q], pa.list_(pa.int64())) for c in ("a_shift", "b_shift")]
+                columns.append(pa.array([v["y_shift"] for v in q], pa.int32()))
+            yield pa.record_batch([*b.columns, *columns], names=[*b.schema.names, *(f.name for f in extra)])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *extra]))
+
+
 def butter_band(order: int, lo: float, hi: float) -> np.ndarray:
     """(order, 6) second-order sections of a digital Butterworth band-pass; lo and hi as fractions of Nyquist.
 
@@ -257,30 +290,40 @@ def sweep(freqs: DataFrame, bank: list[np.ndarray], bits: int = 12) -> DataFrame
     return freqs.select(F.col("f").cast("double")).mapInArrow(run, "band int, f double, integer double, float double, quantised double")
 
 
-def bits_search(freqs: DataFrame, bank: list[np.ndarray], widths: list[int], reserves: list[int]) -> DataFrame:
-    """(bits, reserve, l1, l2, log, rank_l1, rank_l2, rank_log, best) of the all-integer response against the exact one.
-
-    Errors are summed over bands and frequencies (k, f); the logarithmic one leaves out the
-    first five. A setting that overflows anywhere is left out. ``best`` marks the
-    smallest l1.
+def signal_errors(x: np.ndarray, sos: np.ndarray, bits: int, reserve: int) -> np.ndarray:
+    """(l1, l2, log) of each of (signals, samples) within [-1, 1]: the all-integer filter's output against the exact one, and the difference of the logarithms of their root mean squares. NaN where registers overflow."""
+    exact = sos_float(x, sos)
+    y_scale = float(np.exp2(np.ceil(np.log2(max(np.abs(exact).max(initial=0), 1e-300)))))
+    q = quantize_sos(sos, 1.0, y_scale, bits, reserve)
+    try:
+        y = sos_int(np.trunc(np.clip(x * 128, -128, 127)).astype(np.int64), q)
+    except OverflowError:
+        return np.full((len(x), 3), np.nan)
+    y = (y << q["y_shift"] if q["y_shift"] >= 0 else y >> -q["y_shift"]) / 128 * y_scale
+    power = lambda v: np.log(np.maximum(np.sqrt((v * v).mean(1)), 1e-6)) if v.shape[1] else np.zeros(len(v))
+    return np.stack([np.abs(y - exact).sum(1), ((y - exact) ** 2).sum(1), np.abs(power(y) - power(exact))], 1)
+
+
+def bits_search(signals: DataFrame, column: str, bank: list[np.ndarray], widths: list[int], reserves: list[int]) -> DataFrame:
+    """(bits, reserve, l1, l2, log, rank_l1, rank_l2, rank_log, best) of integer filters with so many coefficient bits on real signals.
+
+    A task runs all settings over its signals and sends one row of summed errors a
+    setting. A setting that overflows on any signal is left out. Rankings are by
+    error, then bits, then reserve; ``best`` marks the smallest l1. Null signals have no part.
     """
-    spark = ship(freqs.sparkSession)
-    settings = spark.createDataFrame([(w, r, k) for w in widths for r in reserves for k in range(len(bank))], "bits int, reserve int, band int")
-
-    def run(t: pa.Table) -> pa.Table:
-        bits, reserve, band = (t.column(c)[0].as_py() for c in ("bits", "reserve", "band"))
-        f, place = t.column("f").to_numpy(), t.column("k").to_numpy()
-        try:
-            got, want, _ = amplitudes(f, bank[band], bits, reserve)
-        except OverflowError:
-            got = want = np.full(len(f), np.nan)
-        late = place >= 5
-        log = np.abs(np.log(np.maximum(want[late], 1e-300)) - np.log(np.maximum(got[late], 1e-300))).sum()
-        return pa.table({"bits": [bits], "reserve": [reserve], "e1": [np.abs(got - want).sum()], "e2": [((got - want) ** 2).sum()], "el": [log]}, schema=pa.schema([("bits", pa.int32()), ("reserve", pa.int32()), *((c, pa.float64()) for c in ("e1", "e2", "el"))]))
-
-    errors = freqs.crossJoin(F.broadcast(settings)).groupBy("bits", "reserve", "band").applyInArrow(run, "bits int, reserve int, e1 double, e2 double, el double")
+    ship(signals.sparkSession)
+    settings = [(w, r) for w in widths for r in reserves]
+
+    def run(batches):
+        total = np.zeros((len(settings), 3))
+        for b in batches:
+            for x in b.column(0):
+                x = x.values.to_numpy(zero_copy_only=False).astype(float)[None, :]
+                for k, (w, r) in enumerate(settings):
+                    total[k] += sum(signal_errors(x, sos, w, r)[0] for sos in bank)
+        yield pa.record_batch([pa.array([w for w, _ in settings], pa.int32()), pa.array([r for _, r in settings], pa.int32()), *(pa.array(total[:, c]) for c in range(3))], names=["bits", "reserve", "e1", "e2", "el"])
+
+    errors = signals.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "bits int, reserve int, e1 double, e2 double, el double")
     total = errors.groupBy("bits", "reserve").agg(F.sum("e1").alias("l1"), F.sum("e2").alias("l2"), F.sum("el").alias("log")).where("not isnan(l1)")
-    best = total.agg(F.min_by(F.struct("bits", "reserve"), F.struct("l1", "bits", "reserve")).alias("b"))
-    rank = lambda c: F.row_number().over(Window.orderBy(c, "bits", "reserve")).alias(f"rank_{c}")
-    ranked = total.select("*", *(rank(c) for c in ("l1", "l2", "log")))  # a row a setting: few
-    return ranked.crossJoin(F.broadcast(best)).select(*ranked.columns, ((F.col("bits") == F.col("b.bits")) & (F.col("reserve") == F.col("b.reserve"))).alias("best"))
+    rank = lambda *c: F.row_number().over(Window.orderBy(*c))
+    return total.select("*", *(rank(c, "bits", "reserve").alias(f"rank_{c}") for c in ("l1", "l2", "log"))).withColumn("best", F.col("rank_l1") == 1)  # a row a setting: few

@@ -21,6 +21,12 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), tables)
 
 
+def grid_of(df: DataFrame, **columns: str) -> DataFrame:
+    """Cross product of the distinct values that columns have: small dimension tables, each made by one combining aggregation."""
+    tables = [df.select(F.col(c).alias(name)).distinct() for name, c in columns.items()]
+    return reduce(lambda a, b: a.crossJoin(b), tables)
+
+
 def random_runs(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 

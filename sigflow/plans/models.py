@@ -109,12 +109,6 @@ def band_pass_order4(spark, d):
     return S._samples(filters.apply_filter(x, "x", "sos_float", filters.band_pass_hz(8.0, 12.0, filters.FS, 4))).withColumn("y", F.round("y", 6) + 0.0)
 
 
-@query("select width::int width, count(*) bands, round(min(lo), 9) lo, round(max(lo), 9) hi from (select width, 2.0::double * lo / 250 lo from (values (1, 1), (2, 2), (3, 4), (4, 4), (8, 4)) w(width, step), range(4, 41) r(lo) where lo + width <= 40 and (lo - 4) % step = 0) group by width")
-def band_counts(spark, d):
-    rows = [(w, lo) for w in (1, 2, 3, 4, 8) for lo, _ in filters.bands([w])]
-    return spark.createDataFrame(rows, "width int, lo double").groupBy("width").agg(F.count(F.lit(1)).alias("bands"), F.round(F.min("lo"), 9).alias("lo"), F.round(F.max("lo"), 9).alias("hi"))
-
-
 @query(f"select event_id, value, ((value::float)::bit)::bigint & 4294967295 bits from events")
 def float_bits(spark, d):
     """The 32 bits of each value as a single-precision number, and that number again from its bits."""
@@ -481,6 +475,18 @@ def csp_predict(spark, d):
     return f.select(F.col("vec_id").cast("long"), F.col("label").cast("double"), "f").mapInArrow(run, "vec_id long, label double, prediction int")
 
 
+@query(
+    f"with x as (select vec_id, c, t, x from ({trials(8)})), w as (select k, c, ((7 * c + 3 * k) % 11 - 5)::double v from range(3) a(k), range(8) b(c)), y as (select vec_id, k, t, sum(x * v) y from x join w using (c) group by all), "
+    "win as (select * from (values (0, 0, 8), (1, 0, 5), (2, 3, 8)) v(win, lo, hi)), f as (select vec_id, 3 * win + k i, log10(var_pop(y)) v from y, win where t >= lo and t < hi group by vec_id, win, k) select vec_id, i::int i, round(v, 6) v from f"
+)
+def csp_fixed_features(spark, d):
+    """Log variances of three given projections over the windows."""
+    i, k = np.arange(8)[:, None], np.arange(3)[None, :]
+    w = ((7 * i + 3 * k) % 11 - 5).astype(float)
+    f = spd.csp_features(_trials(spark, d), "x", 8, {(n, 0): w for n in range(3)}, WINDOWS, [None])
+    return M.entries(f, "vec_id", "f").select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
 @query()
 def csp_score(spark, d):
     return classify.accuracy(csp_predict(spark, d))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
-from sigflow.operators import filters
 from sigflow.plans.dialect import SIGNAL, quant, trials
 from sigflow.session import table
 from sigflow.sources.tables import embeddings, signals, trial_samples
@@ -47,11 +46,6 @@ def prepare_bitshift(spark, d):
     return n.select("k", Q.bit_shift(two(F.col("k") % 5), two(F.lit(7)), two(F.lit(15)), two(F.col("k") % 3), two(F.lit(1)), two(F.col("k"))).alias("shift"))
 
 
-def load_bands(spark, d):
-    rows = [(w, i, float(lo), float(hi)) for w in (1, 2, 4, 8, 16, 32) for i, (lo, hi) in enumerate(filters.bands([w]))]
-    return spark.createDataFrame(rows, "width int, band int, lo double, hi double").select("width", "band", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
-
-
 def window_index(spark, d):
     w = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("win"))
     return w.select("win", ((F.col("win") * 0.1 + 2.5) * 250).cast("int").alias("t_start"), ((F.col("win") * 0.1 + 6.0) * 250).cast("int").alias("t_end"))
@@ -87,13 +81,12 @@ def channel_project(spark, d):
     return trial_samples(spark, d, 8).where("c < 5").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c").alias("channels"))
 
 
-for _f in (scale_solve, prepare_bitshift, load_bands, window_index, time_window_slice, align_pad, vectorise_features, artifact_filter, channel_project):
+for _f in (scale_solve, prepare_bitshift, window_index, time_window_slice, align_pad, vectorise_features, artifact_filter, channel_project):
     QUERIES[_f.__name__] = _f
 
 SQL |= {
     "scale_solve": "select k, round(y / a, 9) linear, round(sqrt(y / a), 9) square, round(pow(2.0::double, ceil(log2(k + 1.5))), 6) power from (select n_nationkey::int k, pow(2.0::double, n_nationkey % 7) a, pow(2.0::double, n_nationkey % 11) y from nation)",
     "prepare_bitshift": "select n_nationkey::int k, ((n_nationkey % 5) + 7 + n_nationkey - ((n_nationkey % 3) + 1 + 15))::bigint shift from nation",
-    "load_bands": "select width::int width, (row_number() over (partition by width order by f) - 1)::int band, round(2.0::double * f / 250, 9) lo, round(2.0::double * (f + width) / 250, 9) hi from (select width, unnest(range(4, 41, case when width < 4 then width else 4 end)) f from (values (1), (2), (4), (8), (16), (32)) w(width)) where f + width <= 40",
     "window_index": "select n_nationkey::int win, trunc((n_nationkey * 0.1::double + 2.5::double) * 250)::int t_start, trunc((n_nationkey * 0.1::double + 6.0::double) * 250)::int t_end from nation",
     "time_window_slice": f"select vec_id, win, c, (t - lo)::int t, round(x, 6) v from ({trials(8)}), (values (0, 0, 3), (1, 2, 6), (2, 5, 8)) w(win, lo, hi) where t >= lo and t < hi",
     "align_pad": f"with s as ({SIGNAL}), n as (select user_id, count(*) n from s group by 1) select user_id, k::bigint k, round(value, 6) v from s union all select user_id, (n + i)::bigint, 0.0::double from n, range(3) r(i) where n + i < ceil(n / 4.0) * 4",

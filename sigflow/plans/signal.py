@@ -109,30 +109,53 @@ def fir_same(spark, d):
     return _samples(filters.apply_filter(_qsignals(spark, d), "x", "fir", TAPS))
 
 
-@query()
+def _bands(spark, d):
+    """Bands of the widths that the table has as line numbers."""
+    return filters.bands_of(table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("width")).distinct(), "width")
+
+
+_BANDS = "select width, (row_number() over (partition by width order by f) - 1)::int band, 2.0::double * f / 250 lo, 2.0::double * (f + width) / 250 hi from (select width, unnest(range(4, 41, case when width < 3 then width else 4 end)) f from (select distinct l_linenumber::int width from lineitem)) where f + width <= 40"
+
+
+@query(f"select width, band, round(lo, 9) lo, round(hi, 9) hi from ({_BANDS})")
+def load_bands(spark, d):
+    return _bands(spark, d).select("width", "band", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query(f"select width, count(*) bands, round(min(lo), 9) lo, round(max(lo), 9) hi from ({_BANDS}) group by width")
+def band_counts(spark, d):
+    return _bands(spark, d).groupBy("width").agg(F.count(F.lit(1)).alias("bands"), F.round(F.min("lo"), 9).alias("lo"), F.round(F.max("lo"), 9).alias("hi"))
+
+
+#: Order-one band-pass in closed form: the bilinear transform of one pole pair.
+_ORDER1 = "select width, band, w / (1 + w + c) b0, (2 * c - 2) / (1 + w + c) a1, (1 - w + c) / (1 + w + c) a2 from (select *, tan(pi() * hi / 2) - tan(pi() * lo / 2) w, tan(pi() * hi / 2) * tan(pi() * lo / 2) c from ({b}))"
+
+
+@query(f"select width, band, round(b0, 8) b0, 0.0::double b1, round(-b0, 8) b2, 1.0::double a0, round(a1, 8) a1, round(a2, 8) a2 from ({_ORDER1.format(b=_BANDS)})")
 def butter_design(spark, d):
-    rows = [(b, s, *map(float, sec)) for b, sos in enumerate(filters.filter_bank([2], order=2)) for s, sec in enumerate(sos)]
-    return spark.createDataFrame(rows, "band int, section int, b0 double, b1 double, b2 double, a0 double, a1 double, a2 double")
+    """Order-one band-pass of every band."""
+    v = lambda k: (F.round(F.col("sos")[0][k], 8) + 0.0)
+    return filters.design(_bands(spark, d), 1).select("width", "band", *(v(k).alias(c) for k, c in enumerate(("b0", "b1", "b2", "a0", "a1", "a2"))))
 
 
 @query()
 def quantized_bank(spark, d):
-    bank = [filters.quantize_sos(s, 1.0, 1.0) for s in filters.filter_bank([2, 4, 8], order=2)]
-    rows = [(k, m, q["a"][m].tolist(), q["b"][m].tolist(), int(q["a_shift"][m]), int(q["b_shift"][m]), q["y_shift"]) for k, q in enumerate(bank) for m in range(len(q["a"]))]
-    return spark.createDataFrame(rows, "band int, section int, a array<bigint>, b array<bigint>, a_shift int, b_shift int, y_shift int")
+    """Order-two band-pass of every band, and its integer form."""
+    return filters.design(_bands(spark, d), 2, True).select("width", "band", "a", "b", "a_shift", "b_shift", "y_shift")
 
 
 @query()
 def freq_sweep(spark, d):
-    """Amplitudes of each band's filter over 200 frequencies, a row a pair: all in integers, floating, with quantised coefficients."""
-    return filters.sweep(spark.range(1, 201, 1, 8).select((F.col("id") * np.pi / 625.0).alias("f")), list(filters.filter_bank([4], order=2)))
+    """Amplitudes of each band's filter at a frequency for every user, a row a pair: all in integers, floating, with quantised coefficients."""
+    freqs = table(spark, d, "events").select("user_id").distinct().select((F.pmod(F.xxhash64("user_id"), F.lit(5000)) * np.pi / 15625.0 + 0.005).alias("f"))
+    return filters.sweep(freqs, list(filters.filter_bank([4], order=2)))
 
 
 @query()
 def filter_bits_search(spark, d):
-    """Bit widths 8 to 16 over the 4 Hz bands and 60 frequencies: summed errors, three rankings, and the best by l1."""
-    freqs = spark.range(0, 60, 1, 4).select((F.col("id") * np.pi / 120).alias("f"), F.col("id").cast("int").alias("k"))
-    return filters.bits_search(freqs, list(filters.filter_bank([8], order=2)), list(range(8, 17)), [0])
+    """Coefficients of 8 to 14 bits on every user's signal: summed errors, three rankings, and the best by l1."""
+    s = signals(spark, d).select(F.transform("x", lambda v: (v - 280.0) / 512.0).alias("x"))
+    return filters.bits_search(s, "x", list(filters.filter_bank([16], order=2))[:2], [8, 10, 12, 14], [0])
 
 
 # ---- covariances and means ----------------------------------------------------------------------------------------
@@ -466,9 +489,11 @@ def _runs(spark, d):
     return x.agg(F.round(F.avg("l_discount") * 10, 6).alias("accuracy"), F.sum("l_quantity").cast("bigint").alias("n_params"))
 
 
-@query("select h1, h2, act from (values (8), (16), (32)) a(h1), (values (0), (8)) b(h2), (values ('relu'), ('logistic')) c(act)")
+@query("select * from (select distinct l_linenumber run from lineitem), (select distinct l_returnflag mode from lineitem), (select distinct l_linestatus status from lineitem)")
 def hparam_grid(spark, d):
-    return search.grid(spark, h1=[8, 16, 32], h2=[0, 8], act=["relu", "logistic"]).selectExpr("cast(h1 as int) as h1", "cast(h2 as int) as h2", "act")
+    """Every combination of the values that three columns have."""
+    x = table(spark, d, "lineitem")
+    return search.grid_of(x, run="l_linenumber", mode="l_returnflag", status="l_linestatus")
 
 
 @query(f"select mode, run, round(avg(accuracy), 6) mean_accuracy, round(stddev_pop(accuracy), 6) std_accuracy from ({_RUNS}) group by all order by avg(accuracy) desc, mode, run limit 1")

@@ -363,6 +363,35 @@ def test_shifted_apart_cascade(form):
         assert got[r].tolist() == v
 
 
+def test_bits_search_on_signals(spark):
+    """Summed over tasks as one after the other; fewer bits are worse, and a setting that overflows is left out."""
+    rng = np.random.default_rng(17)
+    x = [np.sin(np.arange(n) * 0.4).cumsum() * 0.2 + rng.normal(0, 0.1, n) for n in (30, 80, 80, 55)]
+    x = [v / np.abs(v).max() for v in x]
+    bank = list(filters.filter_bank([16], order=2))[:2]
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "x array<double>").repartition(3)
+    got = {r.bits: r for r in filters.bits_search(df, "x", bank, [6, 10, 14], [0]).collect()}
+    for bits, r in got.items():
+        want = sum(filters.signal_errors(v[None], sos, bits, 0)[0] for v in x for sos in bank)
+        assert np.allclose([r.l1, r.l2, r.log], want)
+    order = sorted(got.values(), key=lambda r: r.l1)
+    assert [r.rank_l1 for r in order] == list(range(1, len(order) + 1)) and [r.best for r in order] == [True] + [False] * (len(order) - 1)
+    assert got[14].l1 < got[6].l1
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(filters, "sos_int", lambda *a: (_ for _ in ()).throw(OverflowError()))
+        assert np.isnan(filters.signal_errors(x[0][None], bank[0], 10, 0)).all()
+
+
+def test_designs_of_a_table_are_those_of_the_driver(spark):
+    df = filters.bands_of(spark.createDataFrame([(w,) for w in (0, 1, 2, 3, 8, 36, 37)], "w int"), "w")
+    rows = filters.design(df, 2, True).collect()
+    assert sorted((r.w, r.band, r.lo, r.hi) for r in rows) == sorted((w, k, lo, hi) for w in (1, 2, 3, 8, 36) for k, (lo, hi) in enumerate(filters.bands([w])))
+    for r in rows:
+        sos = filters.butter_band(2, r.lo, r.hi)
+        q = filters.quantize_sos(sos, 1.0, 1.0)
+        assert np.allclose(r.sos, sos) and r.a == q["a"].tolist() and r.b_shift == q["b_shift"].tolist() and r.y_shift == q["y_shift"]
+
+
 def test_section_pairing_and_pass_through():
     sos = filters.butter_band(2, *filters.bands([4])[2])
     assert np.allclose(sos[0, 1:3] / sos[0, 0], [2, 1]) and np.allclose(sos[1, :3], [1, -2, 1]) or np.allclose(sos[0, 1:3] / sos[0, 0], [-2, 1]) and np.allclose(sos[1, :3], [1, 2, 1])
