@@ -40,71 +40,99 @@ def half_vector(m: np.ndarray) -> np.ndarray:
     return np.concatenate([np.diagonal(m, axis1=-2, axis2=-1), np.sqrt(2) * m[..., i, j]], -1)
 
 
+def _batched(m: np.ndarray) -> tuple[np.ndarray, bool]:
+    m = np.array(m, float)
+    return (m[None], True) if m.ndim == 2 else (m, False)
+
+
 def reflect(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """H T H of the reflection H = I - 2 v v', as a rank-two update."""
-    w = t @ v
-    w = w - (v @ w) * v
-    return t - 2 * np.outer(v, w) - 2 * np.outer(w, v)
+    """H T H of the reflections H = I - 2 v v' of a batch (rows, n, n), as rank-two updates."""
+    w = np.einsum("bij,bj->bi", t, v)
+    w = w - np.einsum("bi,bi->b", v, w)[:, None] * v
+    return t - 2 * v[:, :, None] * w[:, None, :] - 2 * w[:, :, None] * v[:, None, :]
 
 
 def reflect_basis(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Q H of the same reflection."""
-    return q - 2 * np.outer(q @ v, v)
+    """Q H of the same reflections."""
+    return q - 2 * np.einsum("bij,bj->bi", q, v)[:, :, None] * v[:, None, :]
 
 
 def tridiagonal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(T, Q) with m = Q T Q': reflections clear one column after the other."""
-    t, n = np.array(m, float), len(m)
-    q = np.eye(n)
+    """(T, Q) with m = Q T Q' of one matrix or a batch: reflections clear one column after the other, in all matrices together."""
+    t, one = _batched(m)
+    n = t.shape[-1]
+    q = np.broadcast_to(np.eye(n), t.shape).copy()
     for k in range(n - 2):
-        v = t[:, k].copy()
-        v[: k + 1] = 0
-        r = np.linalg.norm(v)
-        if r == 0:
-            continue
-        v[k + 1] += np.copysign(r, v[k + 1])
-        v /= np.linalg.norm(v)
+        v = t[:, :, k].copy()
+        v[:, : k + 1] = 0
+        r = np.linalg.norm(v, axis=1)
+        v[:, k + 1] += np.copysign(r, v[:, k + 1])
+        v /= np.where(r > 0, np.linalg.norm(v, axis=1), 1.0)[:, None]  # a column that is clear keeps v = 0
         t, q = reflect(t, v), reflect_basis(q, v)
-    return t, q
+    return (t[0], q[0]) if one else (t, q)
 
 
-def rotation(a: float, b: float) -> tuple[float, float]:
+def rotation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(c, s) with c a - s b = r and s a + c b = 0."""
     r = np.hypot(a, b)
-    return (1.0, 0.0) if r == 0 else (a / r, -b / r)
+    safe = np.where(r == 0, 1.0, r)
+    return np.where(r == 0, 1.0, a / safe), np.where(r == 0, 0.0, -b / safe)
+
+
+def _rotate(x: np.ndarray, at: np.ndarray, k: int, c: np.ndarray, s: np.ndarray) -> None:
+    """Columns k and k + 1 of the chosen matrices."""
+    left, right = x[at, :, k], x[at, :, k + 1]
+    x[at, :, k], x[at, :, k + 1] = c[:, None] * left - s[:, None] * right, s[:, None] * left + c[:, None] * right
 
 
 def tridiagonal_eigen(t: np.ndarray, q: np.ndarray, eps: float = 1e-14) -> tuple[np.ndarray, np.ndarray]:
-    """(eigenvalues, vectors) of a symmetric tridiagonal matrix by shifted rotations, vectors starting from ``q``.
+    """(eigenvalues, vectors) of symmetric tridiagonal matrices by shifted rotations, vectors starting from ``q``; one matrix or a batch.
 
-    The shift is the eigenvalue of the trailing 2 x 2 block nearest its last entry;
-    an off-diagonal entry at or below ``eps`` times its neighbours ends a block.
+    Each matrix works on its last block that is not yet diagonal. The shift is the
+    eigenvalue of the block's trailing 2 x 2 part nearest its last entry; an
+    off-diagonal entry at or below ``eps`` times its neighbours ends a block. The
+    sweeps of all matrices go along together; those that are diagonal rest.
     """
-    t, q = np.array(t, float), np.array(q, float)
-    hi = len(t) - 1
-    for _ in range(60 * len(t)):
-        small = [abs(t[k + 1, k]) <= eps * (abs(t[k, k]) + abs(t[k + 1, k + 1])) for k in range(len(t) - 1)]
-        for k in np.flatnonzero(small).tolist():
-            t[k + 1, k] = t[k, k + 1] = 0.0
-        while hi > 0 and t[hi, hi - 1] == 0:
-            hi -= 1
-        if hi == 0:
+    (t, one), (q, _) = _batched(t), _batched(q)
+    n = t.shape[-1]
+    below = np.arange(n - 1)
+    for _ in range(60 * n):
+        d = np.abs(np.diagonal(t, axis1=1, axis2=2))
+        off = np.abs(t[:, below + 1, below])
+        row, k = np.nonzero(off <= eps * (d[:, :-1] + d[:, 1:]))
+        t[row, k + 1, k] = t[row, k, k + 1] = 0.0
+        linked = t[:, below + 1, below] != 0
+        busy = np.flatnonzero(linked.any(1))
+        if not len(busy):
             break
-        lo = hi - 1
-        while lo > 0 and t[lo, lo - 1] != 0:
-            lo -= 1
-        half, b = (t[hi - 1, hi - 1] - t[hi, hi]) / 2, t[hi, hi - 1]
-        shift = t[hi, hi] - b * b / (half + np.copysign(np.hypot(half, b), half if half else 1.0))
-        x, z = t[lo, lo] - shift, t[lo + 1, lo]
-        for k in range(lo, hi):
+        live = linked[busy]
+        hi = n - 1 - live[:, ::-1].argmax(1)  # the block ends here
+        upto = np.arange(n - 1)[None, :] < hi[:, None]
+        gap = np.where(upto & ~live, np.arange(n - 1)[None, :], -1).max(1)
+        lo = gap + 1
+        corner, last, b = t[busy, hi - 1, hi - 1], t[busy, hi, hi], t[busy, hi, hi - 1]
+        half = (corner - last) / 2
+        shift = last - b * b / (half + np.copysign(np.hypot(half, b), np.where(half == 0, 1.0, half)))
+        for k in range(n - 1):
+            on = np.flatnonzero((lo <= k) & (k < hi))
+            if not len(on):
+                continue
+            at, first = busy[on], lo[on] == k
+            x = np.where(first, t[at, k, k] - shift[on], t[at, k, k - 1] if k else 0.0)
+            z = np.where(first, t[at, k + 1, k], t[at, k + 1, k - 1] if k else 0.0)
             c, s = rotation(x, z)
-            g = np.array([[c, s], [-s, c]])
-            t[:, k : k + 2] = t[:, k : k + 2] @ g
-            t[k : k + 2] = g.T @ t[k : k + 2]
-            q[:, k : k + 2] = q[:, k : k + 2] @ g
-            if k < hi - 1:
-                x, z = t[k + 1, k], t[k + 2, k]
-    return np.diag(t).copy(), q
+            _rotate(t, at, k, c, s)
+            _rotate(np.swapaxes(t, 1, 2), at, k, c, s)
+            _rotate(q, at, k, c, s)
+    w = np.diagonal(t, axis1=1, axis2=2).copy()
+    return (w[0], q[0]) if one else (w, q)
+
+
+def eigen(m: np.ndarray, eps: float = 1e-14) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, vectors) of symmetric matrices by reflections and rotations, ascending."""
+    w, q = tridiagonal_eigen(*tridiagonal(m), eps)
+    order = np.argsort(w, -1)
+    return np.take_along_axis(w, order, -1), np.take_along_axis(q, order[..., None, :], -1)
 
 
 def epsilon_for_accuracy(matrices: DataFrame, column: str, n: int, accuracy: float) -> float:
@@ -113,11 +141,11 @@ def epsilon_for_accuracy(matrices: DataFrame, column: str, n: int, accuracy: flo
 
     def worst(e: float):
         def run(m: np.ndarray) -> np.ndarray:
-            out = []
-            for a in m:
-                w, q = tridiagonal_eigen(*tridiagonal(a), e)
-                out.append(max(np.abs(q * w @ q.T - a).max(), np.abs(np.sort(w) - np.linalg.eigvalsh(a)).max()))
-            return np.array(out)[:, None]
+            if not len(m):
+                return np.zeros((0, 1))
+            w, q = eigen(m, e)
+            back = np.abs(q * w[:, None, :] @ np.swapaxes(q, 1, 2) - m).max((1, 2))
+            return np.maximum(back, np.abs(w - np.linalg.eigvalsh(m)).max(1))[:, None]
 
         return run
 

@@ -553,14 +553,14 @@ def _cov(spark, d):
 @query(_C8)
 def eigh_invariants_c8(spark, d):
     """Sum and sum of squares of the eigenvalues: trace and squared norm of the matrix."""
-    w = M.entries(spd.map_matrices(_cov(spark, d), "cov", 8, np.linalg.eigvalsh), "vec_id", "m")
+    w = M.entries(spd.map_matrices(_cov(spark, d), "cov", 8, lambda m: spd.eigen(m)[0]), "vec_id", "m")
     return w.groupBy("vec_id").agg(F.round(F.sum("v"), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
 
 
 @query(_C8)
 def tridiag_invariants_c8(spark, d):
     """Trace and squared norm of the tridiagonal form."""
-    f = lambda x: np.stack([spd.tridiagonal(m)[0] for m in x]) if len(x) else x
+    f = lambda x: spd.tridiagonal(x)[0]
     t = M.cells(spd.map_matrices(_cov(spark, d), "cov", 8, f), "vec_id", "m", 8)
     return t.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))
 
@@ -570,8 +570,8 @@ def qr_invariants_c8(spark, d):
     """Shifted rotations on the tridiagonal form: the matrix rebuilt from eigenvalues and vectors."""
 
     def rebuilt(x):
-        pairs = [spd.tridiagonal_eigen(*spd.tridiagonal(m)) for m in x]
-        return np.stack([q * w @ q.T for w, q in pairs]) if pairs else x
+        w, q = spd.eigen(x)
+        return q * w[:, None, :] @ np.swapaxes(q, 1, 2)
 
     t = M.cells(spd.map_matrices(_cov(spark, d), "cov", 8, rebuilt), "vec_id", "m", 8)
     return t.groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), 5).alias("trace"), F.round(F.sum(F.col("v") * F.col("v")), 5).alias("squares"))

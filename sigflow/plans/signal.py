@@ -302,7 +302,7 @@ def eigh_c8(spark, d):
 
 @query()
 def householder_tridiag(spark, d):
-    f = lambda x: np.stack([spd.tridiagonal(m)[0] for m in x]) if len(x) else x
+    f = lambda x: spd.tridiagonal(x)[0]
     t = _rounded(spd.map_matrices(spd.covariance(_trials8(spark, d), "x", 8), "cov", 8, f), "m")
     return t.withColumn("v", F.when(F.abs(F.col("i") - F.col("j")) == 1, F.abs("v")).otherwise(F.col("v")))
 

@@ -363,6 +363,29 @@ def test_shifted_apart_cascade(form):
         assert got[r].tolist() == v
 
 
+def test_eigenvalues_of_a_batch():
+    """Matrices of very different kinds side by side: full, diagonal, zero, with blocks and with equal eigenvalues."""
+    rng = np.random.default_rng(31)
+    for n in (1, 2, 3, 5, 8, 22):
+        a = rng.normal(size=(40, n, n))
+        a = a @ np.swapaxes(a, 1, 2)
+        a[1], a[2], a[3] = np.diag(np.arange(n)), 0, np.eye(n)
+        half = n // 2
+        a[4:9, :half, half:] = a[4:9, half:, :half] = 0
+        a[9] = np.ones((n, n))
+        a[10:20] *= np.exp(rng.normal(0, 8, 10))[:, None, None]
+        t, q = spd.tridiagonal(a)
+        scale = np.abs(a).max((1, 2), keepdims=True) + 1e-300
+        assert np.abs((q @ t @ np.swapaxes(q, 1, 2) - a) / scale).max() < 1e-12
+        i, j = np.indices((n, n))
+        assert np.abs((t / scale)[:, abs(i - j) > 1]).max(initial=0) < 1e-12
+        w, v = spd.eigen(a)
+        assert np.abs((v * w[:, None, :] @ np.swapaxes(v, 1, 2) - a) / scale).max() < 1e-11
+        assert np.abs(np.swapaxes(v, 1, 2) @ v - np.eye(n)).max() < 1e-11
+        assert np.abs((w - np.linalg.eigvalsh(a)) / scale[:, :, 0]).max() < 1e-11
+    assert spd.eigen(np.zeros((0, 4, 4)))[0].shape == (0, 4)
+
+
 def test_bits_search_on_signals(spark):
     """Summed over tasks as one after the other; fewer bits are worse, and a setting that overflows is left out."""
     rng = np.random.default_rng(17)
