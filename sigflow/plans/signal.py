@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigflow.functions import quant as Q
 from sigflow.functions import sym2
-from sigflow.operators import classify, filters, kernel, means, scan, search, spd
+from sigflow.operators import classify, filters, kernel, means, neighbours, scan, search, spd
 from sigflow.operators import matrices as M
 from sigflow.plans.dialect import SIGNAL, qtrials, quant, trials
 from sigflow.plans.linear import base
@@ -469,6 +469,12 @@ def knn_classify(spark, d):
     return votes.groupBy("vec_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
 
 
+@query(f"with q as (select vec_id, list(x order by c, t) x from ({qtrials(8)}) group by 1), n as (select a.vec_id, b.vec_id neighbour, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::double d from q a join q b on a.vec_id <> b.vec_id) select vec_id, neighbour, (row_number() over (partition by vec_id order by d, neighbour))::int as rank, d from n qualify row_number() over (partition by vec_id order by d, neighbour) <= 3")
+def knn_of_all(spark, d):
+    """The three nearest other trials of every trial."""
+    return neighbours.NearestOfAll(base(spark, d).select("vec_id", "a"), "vec_id", "a", 3, rows=128).neighbours()
+
+
 @query("with e as (select vec_id, unnest(range(64))::int i, unnest(embedding)::double x from embeddings), r as (select i, min(x) lo, max(x) hi from e group by 1) select vec_id, i, round((x - lo) / case when hi > lo then hi - lo else 1 end, 6) v from e join r using (i)")
 def minmax_scale(spark, d):
     return M.entries(classify.min_max(_trials8(spark, d), "x", 64), "vec_id", "x").select("vec_id", "i", F.round("v", 6).alias("v"))
