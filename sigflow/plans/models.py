@@ -390,7 +390,7 @@ _COEF = "(({k} % 11) - 5) / 10.0"
 
 @query(
     f"with v as (select vec_id, list(x order by p) x from (select vec_id, unnest(embedding)::double x, unnest(range(64)) p from embeddings) group by 1), s as (select vec_id, x, {_COEF.format(k='vec_id')} w from v where vec_id % 50 = 0) "
-    + " union all ".join(f"select a.vec_id, '{k}' kernel, round(sum(b.w * {f}), 6) score from v a, s b group by 1" for k, f in _PAIR.items())
+    + " union all ".join(f"select a.vec_id, '{k}' kernel, round(sum(b.w * {f}), 6) + 0.0 score from v a, s b group by 1" for k, f in _PAIR.items())
 )
 def kernel_scores(spark, d):
     """Decision values of all trials under fixed support vectors, the three kernels."""
@@ -400,7 +400,7 @@ def kernel_scores(spark, d):
     support = kernel.with_coefficients(chosen, lambda ids: ((ids % 11) - 5)[:, None] / 10)
     out = None
     for name, (gamma, degree) in KERNELS.items():
-        got = kernel.kernel_scores(packed, support, name, gamma, 1, "vec_id", degree).select("vec_id", F.lit(name).alias("kernel"), F.round(F.col("f")[0], 6).alias("score"))
+        got = kernel.kernel_scores(packed, support, name, gamma, 1, "vec_id", degree).select("vec_id", F.lit(name).alias("kernel"), (F.round(F.col("f")[0], 6) + 0.0).alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -425,14 +425,14 @@ _IN = "e as materialized (select vec_id, unnest(embedding)::double v, unnest(ran
 
 @query(
     f"with {_IN}, {_layer_sql('r1', 'e', 8, _RELU)}, {_layer_sql('r2', 'r1', 4, _RELU)}, {_layer_sql('r3', 'r2', 10, _NONE)}, {_layer_sql('l1', 'e', 6, _LOGISTIC)}, {_layer_sql('l2', 'l1', 10, _NONE)} "
-    "select 'relu' net, vec_id, i::int cls, round(v, 6) score from r3 union all select 'logistic', vec_id, i::int, round(v, 6) from l2"
+    "select 'relu' net, vec_id, i::int cls, round(v, 6) + 0.0 score from r3 union all select 'logistic', vec_id, i::int, round(v, 6) + 0.0 from l2"
 )
 def network_scores(spark, d):
     """Scores of two networks with fixed weights: two hidden layers of rectifiers, and one of sigmoids."""
     t = _trials(spark, d)
     out = None
     for name, sizes in (("relu", [64, 8, 4, 10]), ("logistic", [64, 6, 10])):
-        got = network.scores(t, "vec_id", "x", _fixed_layers(sizes), name).select(F.lit(name).alias("net"), "vec_id", F.posexplode("scores").alias("cls", "v")).select("net", "vec_id", "cls", F.round("v", 6).alias("score"))
+        got = network.scores(t, "vec_id", "x", _fixed_layers(sizes), name).select(F.lit(name).alias("net"), "vec_id", F.posexplode("scores").alias("cls", "v")).select("net", "vec_id", "cls", (F.round("v", 6) + 0.0).alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
 
