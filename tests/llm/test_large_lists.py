@@ -60,3 +60,15 @@ def test_rarest_values_of_linked_sets_meet():
         few = [set(value[owner == k].tolist()) for k in range(len(sets))]
         links = [(i, j) for j in range(len(sets)) for i in range(j) if comp[i] != comp[j] and minhash._share(sets[i], sets[j], num, 100)]
         assert len(links) > 20 and all(few[i] & few[j] for i, j in links)
+
+
+def test_lines_of_one_large_list_all_meet(spark, one_list):
+    rng = np.random.default_rng(7)
+    block = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 90))
+    texts = []
+    for _ in range(60):
+        own = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60))
+        texts += [block + own, block + own + "#!"]
+    rows = one_list(lines)
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {i: i % 2 for i in range(len(texts))} and rows[0] < 40 * len(texts)
