@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sigflow.llm import lines, minhash, neardup
 from tests.llm.test_llm import brute_components, frame, shingle_set
 
@@ -72,3 +73,14 @@ def test_lines_of_one_large_list_all_meet(spark, one_list):
     rows = one_list(lines)
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect()}
     assert got == {i: i % 2 for i in range(len(texts))} and rows[0] < 40 * len(texts)
+
+
+def test_pipeline_stages_of_one_large_list(spark, one_list):
+    """Each text is one line, so either stage leaves one of each pair: the second by an empty text, or none."""
+    texts = pairs_in_boilerplate(np.random.default_rng(9))
+    docs = frame(spark, texts)
+    one_list(neardup)
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_dedup(spark, docs, "").select("doc_id").collect()) == list(range(0, len(texts), 2))
+    one_list(lines)
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").select("doc_id", "text").collect()}
+    assert left == {i: "" if i % 2 else t for i, t in enumerate(texts)}
