@@ -84,3 +84,14 @@ def test_pipeline_stages_of_one_large_list(spark, one_list):
     one_list(lines)
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").select("doc_id", "text").collect()}
     assert left == {i: "" if i % 2 else t for i, t in enumerate(texts)}
+
+
+def test_pairs_told_apart_by_their_bits_are_no_links():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base[: 60 if k % 2 else 900], 50 if k % 2 else 800, replace=False), rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)])) for k in range(120)]
+    task, comp = np.repeat(np.arange(4), 30), np.arange(120) // 2
+    got = set(zip(*(x.tolist() for x in minhash.possible_links(sets, task, comp, 80, 100))))
+    pairs = {(i, j) for j in range(120) for i in range(j) if task[i] == task[j] and comp[i] != comp[j]}
+    links = {(i, j) for i, j in pairs if minhash._share(sets[i], sets[j], 80, 100)}
+    assert links and links <= got < pairs
