@@ -1,6 +1,7 @@
 """Links in large lists that no second list has: each list counts as large from 20 members on, and all items share one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,28 @@ def test_pairs_told_apart_by_their_bits_are_no_links():
     pairs = {(i, j) for j in range(120) for i in range(j) if task[i] == task[j] and comp[i] != comp[j]}
     links = {(i, j) for i, j in pairs if minhash._share(sets[i], sets[j], 80, 100)}
     assert links and links <= got < pairs
+
+
+def test_lines_of_one_set_link_whatever_their_lengths(spark):
+    """A line that repeats its shingles is as long as it likes; sets are what counts, also where 16-bit samples give way to 32-bit ones."""
+    rng = np.random.default_rng(17)
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    few, many = letters(45), letters(2450)
+    pairs = [("-" * 10, "-" * 40), ("ab" * 20, "ab" * 300), ("abc " * 500, "abc " * 2000), (few * 2, few * 9), (many, many + letters(300)), (many[::-1], many[::-1][:2100])]
+    texts = [x for p in pairs for x in p]
+    assert brute_components([shingle_chars(t) for t in texts], 80) == [k - k % 2 for k in range(len(texts))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {k: k % 2 for k in range(len(texts))}
+
+
+def shingle_chars(x):
+    return {x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)}
+
+
+def test_bit_pairs_estimate_similarity():
+    rng, n, k = np.random.default_rng(19), 4000, lines.SAMPLES
+    same = rng.random((n, k)) < 0.8
+    x = rng.integers(0, 1 << 15, (n, k)).astype(np.uint16) * np.uint16(2) + np.uint16(1)
+    y = np.where(same, x, rng.integers(0, 1 << 15, (n, k)).astype(np.uint16) * np.uint16(2) + np.uint16(1))
+    est = minhash.pair_matches(minhash.bit_pairs(x), minhash.bit_pairs(y))
+    assert minhash.bit_pairs(x).shape[1] == lines.SKETCH and abs(est.mean() - 0.8) < 0.005 and est.std() < 0.046 and est.min() >= lines.LOW
