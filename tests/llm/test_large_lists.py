@@ -121,3 +121,26 @@ def test_bit_pairs_estimate_similarity():
     y = np.where(same, x, rng.integers(0, 1 << 15, (n, k)).astype(np.uint16) * np.uint16(2) + np.uint16(1))
     est = minhash.pair_matches(minhash.bit_pairs(x), minhash.bit_pairs(y))
     assert minhash.bit_pairs(x).shape[1] == lines.SKETCH and abs(est.mean() - 0.8) < 0.005 and est.std() < 0.046 and est.min() >= lines.LOW
+
+
+def test_tasks_of_one_home_link_like_each_alone():
+    """Parts that share items and pairs are compared side by side: the same components as by brute force."""
+    rng = np.random.default_rng(23)
+    base = rng.integers(0, 1 << 63, (30, 50)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base[k % 30], 47, replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64)])) for k in range(150)]
+    task, home, ids = (np.concatenate(x) for x in zip(*[(np.full(m, 99 - t), np.full(m, t % 7), rng.choice(150, m, replace=False)) for t, m in enumerate(rng.integers(2, 40, 60))]))
+    comp = ids // 2
+    t = pa.table({"task": task, "home": home, "id": ids, "comp": comp, "values": pa.array([sets[k].tobytes() for k in ids], pa.binary())})
+    got = minhash._compare(80, 100, minhash.plain_sets, t).to_pylist()
+    assert all(minhash._share(sets[r["a"]], sets[r["b"]], 80, 100) for r in got)
+    pairs = {(i, j) for k in range(60) for i in ids[task == 99 - k].tolist() for j in ids[task == 99 - k].tolist() if i < j and i // 2 != j // 2}
+    links = [p for p in pairs if minhash._share(sets[p[0]], sets[p[1]], 80, 100)]
+
+    def joined(edges):
+        up = list(range(75))
+        for i, j in edges:
+            a, b = sorted((minhash._find(up, i // 2), minhash._find(up, j // 2)))
+            up[b] = a
+        return [minhash._find(up, k) for k in range(75)]
+
+    assert len(set(joined(links))) < 60 and joined(links) == joined([(r["a"], r["b"]) for r in got])
