@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,20 @@ from sigflow.session import ship
 CAPACITY = 2048
 #: Bins open at once in one task.
 OPEN_BINS = 4096
-_TOKENIZERS: dict[str, WordBpe] = {}
 
 
-def _tokenizer(path: str) -> WordBpe:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordBpe(path)
-    return _TOKENIZERS[path]
+class Tokenizer:
+    """The vocabulary at a path, read where it is first used. As a broadcast's value it stays in a worker, with the words met so far, until the worker's next task does without it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __reduce__(self):
+        return Tokenizer, (self.path,)
+
+    @cached_property
+    def words(self) -> WordBpe:
+        return WordBpe(self.path)
 
 
 class BestFit:
@@ -71,9 +79,9 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{_PIECES}, sequence_id long, offset long"
 
 
-def _cut(path: str, capacity: int, end_id: int):
+def _cut(shared, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        tok = shared.value.words
         for c in chunks(batches):
             ids, lens = tok.ids([c.text(k) for k in range(len(c))])
             ids = ids.astype("<u4")
@@ -117,7 +125,8 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     null id are left out. Repeated rows are packed once each. An empty table
     gives an empty result. Other columns are not looked at.
     """
-    ship(docs.sparkSession)
-    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(tokenizer_path, capacity, end_id), _PIECES)
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(Tokenizer(tokenizer_path))
+    pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(shared, capacity, end_id), _PIECES)
     dealt = pieces.repartition("doc_id").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(_fill(capacity, open_bins), PACKED_SCHEMA)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
 from sigflow.llm.text import _BLANK, Chunk, chunks, lower_ascii, packed, release, row_chunks, unpacked
-from sigflow.session import checkpoint, discard, ship
+from sigflow.session import buckets, checkpoint, discard, ship
 
 #: Hashed feature space, n-gram orders, features kept for the linear model, documents that must hold a kept feature.
 BITS, ORDERS, KEPT, LEAST = 20, (3, 4, 5, 6), 16384, 5
@@ -21,8 +21,10 @@ MAX_ROWS = 12_000
 #: Occurrences in 1,000 characters at which a feature has half its full value; weight of label 1 in the fit; L2 penalty.
 HALF, POSITIVE, L2 = 4.0, 4.0, 1.0
 THRESHOLD = 0.7
-_SHARDS = 64
-_CHUNK = 512 << 10
+#: Bytes of text whose n-grams are held at once; some 250 bytes of arrays for each.
+_CHUNK = 128 << 10
+#: Slices of the feature space that a task's counts leave in.
+_SLICES = 16
 _FOLD = "crc32(cast(doc_id as string)) % 3 = 1"
 
 
@@ -71,8 +73,8 @@ def values(doc: np.ndarray, times: np.ndarray, size: np.ndarray) -> np.ndarray:
     return often / (often + HALF)
 
 
-def _counts(batches):
-    """(feature, documents and occurrences in class 0, the same in class 1) of the features that a task meets, packed by shard; feature -1 counts all."""
+def _counts(n: int, batches):
+    """(feature, documents and occurrences in class 0, the same in class 1) of the features that a task meets, packed by bucket, a range of features; feature -1 counts all."""
     total = np.zeros((4, 1 << BITS), np.int64)
     rows = np.zeros(4, np.int64)
     for b in batches:
@@ -82,13 +84,16 @@ def _counts(batches):
             d, f, times, _ = occurrences(c)
             for k in (0, 1):
                 ok = label[d] == k
-                total[2 * k] += np.bincount(f[ok], minlength=1 << BITS)
-                total[2 * k + 1] += np.bincount(f[ok], times[ok], minlength=1 << BITS).astype(np.int64)
+                np.add.at(total[2 * k], f[ok], 1)
+                np.add.at(total[2 * k + 1], f[ok], times[ok])
                 rows[2 * k] += int((label == k).sum())
                 rows[2 * k + 1] += int(times[ok].sum())
     if rows.any():
-        at = np.flatnonzero(total.any(0))
-        yield packed(np.append(at % _SHARDS, 0), _SHARDS, np.append(at, -1).astype(np.int32), *(np.append(total[k][at], rows[k]) for k in range(4)))
+        yield packed(np.zeros(1, np.int64), n, np.array([-1], np.int32), *rows[:, None])
+        for lo in range(0, 1 << BITS, (1 << BITS) // _SLICES):  # never a copy of all counts
+            at = lo + np.flatnonzero(total[:, lo : lo + (1 << BITS) // _SLICES].any(0))
+            if len(at):
+                yield packed(at * n >> BITS, n, at.astype(np.int32), *(total[k][at] for k in range(4)))
     del total
     release()
 
@@ -100,13 +105,14 @@ def _sum(t: pa.Table) -> pa.Table:
 
 
 def _rows(slot, batches):
+    """Label, kept features and their values of each row, and (doc_id, hash of the text) to order the rows by."""
     for b in batches:
         for c in row_chunks(b, 1, _CHUNK):
             d, f, times, size = occurrences(c, slot)
             cut = np.searchsorted(d, np.arange(len(c) + 1)).tolist()
             x = values(d, times, size).astype(np.float16)
             f = f.astype(np.uint16)
-            yield pa.record_batch([b.column(0).take(pa.array(c.ids)), pa.array([f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], names=["y", "f", "x"])
+            yield pa.record_batch([b.column(0).take(pa.array(c.ids)), pa.array([f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), *(b.column(k).take(pa.array(c.ids)) for k in (2, 3))], names=["y", "f", "x", "doc_id", "hash"])
 
 
 def logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, size: int, l2: float = L2, positive: float = POSITIVE, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -197,7 +203,8 @@ def _labelled_rows(docs: DataFrame, y: DataFrame, keep) -> DataFrame:
 
 def _kept_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows and occurrences by class, the kept features' numbers, and their log-count ratios."""
-    counted = rows.select("y", "text").mapInArrow(_counts, "bucket int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("bucket").applyInArrow(lambda t: _sum(t), "f int, d0 long, n0 long, d1 long, n1 long").toArrow()
+    n = buckets(rows.sparkSession)
+    counted = rows.select("y", "text").mapInArrow(partial(_counts, n), "bucket int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("bucket").applyInArrow(lambda t: _sum(t), "f int, d0 long, n0 long, d1 long, n1 long").toArrow()
     f, *columns = (counted.column(k).to_numpy() for k in range(5))
     whole = np.array([c[f < 0].sum() for c in columns])
     none = np.zeros(0, np.int64)
@@ -220,13 +227,15 @@ def _fit(rows: DataFrame, max_rows: int) -> ToxicityModel:
         return ToxicityModel(slot, np.zeros(KEPT), float(np.log((whole[2] + 1) / (whole[0] + 1))))
     slot[kept] = np.arange(len(kept))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(partial(_rows, slot), "y int, f binary, x binary").toArrow()
-    truth = got.column("y").to_numpy().astype(float)
-    feats = [np.frombuffer(x.as_buffer(), np.uint16) for x in got.column("f")]
+    got = rows.join(F.broadcast(chosen), "doc_id").select("y", "text", "doc_id", F.xxhash64("text").alias("hash")).mapInArrow(partial(_rows, slot), "y int, f binary, x binary, doc_id long, hash long").toArrow()
+    order = np.lexsort((got.column("hash").to_numpy(), got.column("doc_id").to_numpy()))  # sums of doubles depend on it, and tasks end in any order
+    truth = got.column("y").to_numpy().astype(float)[order]
+    feats, parts = ([np.frombuffer(x.as_buffer(), kind) for x in got.column(name)] for name, kind in (("f", np.uint16), ("x", np.float16)))
+    feats, parts = [feats[k] for k in order], [parts[k] for k in order]
     row = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
     col = np.concatenate(feats)
-    x = np.concatenate([np.frombuffer(x.as_buffer(), np.float16) for x in got.column("x")]).astype(np.float32)
-    del got, feats
+    x = np.concatenate(parts).astype(np.float32)
+    del got, feats, parts
     x *= ratio.astype(np.float32)[col]
     w, b = logistic(truth, row, col, x, len(kept))
     return ToxicityModel(slot, np.append(w * ratio, 0.0), b)

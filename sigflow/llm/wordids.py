@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import partial
 
 import numpy as np
 import regex
@@ -88,13 +89,14 @@ class WordBpe:
         self.merges = Merges(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         self.mark = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, self.mark)))
-        self.cache = Pieces(self._encode)
+        self.cache = Pieces(partial(self._encode, self.merges))  # not of self: the last user's end frees it all
 
-    def _encode(self, words: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _encode(merges, words: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
         found = [[] if isinstance(w, int) else _PIECE.findall(w.decode()) for w in words]
         pieces = [p for x in found for p in x]
         number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
-        flat, lens = self.merges.encode([p.encode() for p in number])
+        flat, lens = merges.encode([p.encode() for p in number])
         at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
         flat, lens = flat[spread((np.cumsum(lens) - lens)[at], lens[at])], lens[at]
         count = np.array([len(x) for x in found], np.int64)

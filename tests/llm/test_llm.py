@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -627,6 +628,45 @@ def test_held_out_labels_move_no_score(spark):
     assert scores[0] == scores[1]
 
 
+def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
+    texts = [prose(60) + (" you utter nastyword" if k % 3 == 0 else "") for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int").repartition(3)
+    rows = [(k, t) for k, t in enumerate(texts)]
+    models = [toxicity.fit_toxicity(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 5))]
+    assert models[0].bias == models[1].bias and (models[0].weight == models[1].weight).all()
+
+
+def test_memory_of_the_toxicity_counts():
+    """Beside its counts (32 MB) a task holds the n-grams of a small chunk, and its result leaves in slices."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz      ", np.uint8)
+    texts = [letters[np.random.default_rng(k).integers(0, 32, 20_000)].tobytes().decode() for k in range(200)]
+    batch = pa.record_batch([pa.array(np.arange(200) % 2, pa.int32()), pa.array(texts)], names=["y", "text"])
+    tracemalloc.start()
+    try:
+        whole, parts = 0, 0
+        for r in toxicity._counts(48, [batch]):
+            f = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in r.column("p0")])
+            n = np.concatenate([np.frombuffer(a.as_buffer(), np.int64) + np.frombuffer(b.as_buffer(), np.int64) for a, b in zip(r.column("p2"), r.column("p4"))])
+            whole, parts = whole + n[f < 0].sum(), parts + n[f >= 0].sum()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert whole == parts == sum(200 * (20_000 - k + 1) for k in toxicity.ORDERS)
+    assert peak < 90e6
+
+
+def test_no_worker_keeps_a_tokenizer_that_its_tasks_do_not_use(spark):
+    def kept(batches):
+        import gc
+
+        for b in batches:
+            yield pa.record_batch([pa.array([sum(type(x).__name__ == "WordBpe" for x in gc.get_objects())], pa.int32())], names=["n"])
+
+    df = frame(spark, [prose(50) for _ in range(40)]).repartition(8)
+    assert packing.best_fit_pack(df, public_tokenizers.path("word_bpe_49k.json")).count() == 40
+    assert {r.n for r in df.mapInArrow(kept, "n int").collect()} == {0}
+
+
 def test_texts_beyond_a_chunk(spark):
     """Texts longer than a chunk of text, one of them a single word and one a single line."""
     words = prose(60000)
