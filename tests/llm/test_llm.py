@@ -628,6 +628,19 @@ def test_held_out_labels_move_no_score(spark):
     assert scores[0] == scores[1]
 
 
+def test_two_samples_of_one_product():
+    """The second half of the samples orders the values the other way round, and no band of lines or documents holds both of a pair."""
+    for dtype, k, rows in ((np.uint16, lines.BANDS * lines.ROWS, lines.ROWS), (np.uint32, neardup.SAMPLES, neardup.ROWS)):
+        a = minhash.coefficients(k, dtype)
+        assert len(set(a.tolist())) == k and (a % 2 == 1).all() and (a[k - k // 2 :] == np.negative(a[: k // 2])).all()
+        assert k - k // 2 >= rows
+    v = RNG.integers(0, 1 << 16, 4000).astype(np.uint16)
+    starts, sizes = np.arange(0, 4000, 40), RNG.integers(1, 41, 100)
+    a = minhash.coefficients(175, np.uint16)
+    want = [[int((x | np.uint16(1)).astype(np.uint16).__mul__(c).min()) for c in a] for x in (v[s : s + n] for s, n in zip(starts, sizes))]
+    assert minhash.signatures(v, starts, sizes, 175).tolist() == want
+
+
 def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
     texts = [prose(60) + (" you utter nastyword" if k % 3 == 0 else "") for k in range(120)]
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int").repartition(3)
