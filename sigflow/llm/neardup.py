@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.graph import KeyFilter
-from sigflow.llm.minhash import band_keys, class_gap, key_lists, linked_components, odd_similarity, odd_sketch, signatures
+from sigflow.llm.minhash import band_keys, class_gap, deal_sketches, key_lists, linked_components, odd_similarity, odd_sketch, signatures
 from sigflow.llm.text import Chunk, binary_offsets, chunks, gram_hash, lower_ascii, mix, span_hash, tokens
 from sigflow.session import buckets, checkpoint, discard, ship
 
@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
 
     n = buckets(spark)
     lists = key_lists(classes, class_gap(percent, 100), n)
-    comp = linked_components(lists, lambda ids: classes.select("id", "sketch"), sets_of, partial(odd_similarity, SAMPLES), FLOOR, LOW, num=percent, buckets=n)
+    comp = linked_components(lists, lambda ids: classes.select("id", "sketch").mapInArrow(partial(deal_sketches, n), "bucket int, p1 binary, p3 binary"), sets_of, partial(odd_similarity, SAMPLES), FLOOR, LOW, num=percent, buckets=n)
     named = checkpoint(classes.select("d1", "d2", "id").join(comp, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id")))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

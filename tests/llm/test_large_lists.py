@@ -144,3 +144,42 @@ def test_tasks_of_one_home_link_like_each_alone():
         return [minhash._find(up, k) for k in range(75)]
 
     assert len(set(joined(links))) < 60 and joined(links) == joined([(r["a"], r["b"]) for r in got])
+
+
+def packed_members(spark, parts):
+    rows = [tuple(bytearray(np.array(x, kind).tobytes()) for x, kind in zip(p, (np.int64, np.int64, np.bool_))) for p in parts]
+    return spark.createDataFrame(rows, "p0 binary, p1 binary, p2 binary")
+
+
+def test_members_of_lists_count_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    parts = [(rng.integers(-9, 9, 70), rng.integers(-30, 30, 70), rng.random(70) < 0.2) for _ in range(5)] + [([], [], [])]
+    want = {}
+    for which, ids, early in parts:
+        for key, e in zip(zip(map(int, which), map(int, ids)), early):
+            want[key] = want.get(key, False) or bool(e)
+    size = {k: sum(x == k for x, _ in want) for k, _ in want}
+    df = minhash.unique_lists(packed_members(spark, parts), 7)
+    got = df.collect()
+    assert len(got) == len(want) and {(r.list, r.id): r.early for r in got} == want
+    assert all(r.n == size[r.list] for r in got)
+    monkeypatch.setattr(minhash, "LARGE", sorted(size.values())[9])
+    large = {(r.list, r.n) for r in minhash.beyond(df).collect()}
+    assert large == {(k, n) for k, n in size.items() if n > minhash.LARGE} == {(r.list, r.n) for r in minhash.beyond(df.drop("n")).collect()}
+    assert minhash.unique_lists(packed_members(spark, parts[-1:]), 7).count() == 0
+
+
+def test_members_meet_their_sketches_without_a_join(spark):
+    rng = np.random.default_rng(9)
+    sketch = {int(i): rng.integers(0, 256, 16, dtype=np.uint8).tobytes()[:-1] + b"\0" for i in range(-20, 20)}
+    rows = sorted({(int(a), bool(a % 3), int(b)) for a, b in rng.integers(-25, 25, (300, 2))})
+    lists = spark.createDataFrame(rows, "list long, early boolean, id long")
+    items = spark.createDataFrame([(i, bytearray(x)) for i, x in sketch.items()], "id long, sketch binary")
+    dealt = minhash.with_sketches(lists, items.mapInArrow(lambda b: minhash.deal_sketches(7, b), "bucket int, p1 binary, p3 binary"), 7)
+    assert "Join" not in dealt._jdf.queryExecution().toString()
+    got, bucket = [], {}
+    for r in dealt.collect():
+        which, ids, early = (np.frombuffer(x, kind).tolist() for x, kind in zip((r.p0, r.p1, r.p2), (np.int64, np.int64, np.bool_)))
+        got += [(a, e, i, bytes(r.p3[16 * k : 16 * k + 16])) for k, (a, i, e) in enumerate(zip(which, ids, early))]
+        assert all(bucket.setdefault(a, r.bucket) == r.bucket for a in which)  # a list lies in one bucket
+    assert sorted(got) == [(a, e, i, sketch[i]) for a, e, i in rows if i in sketch]
