@@ -304,12 +304,47 @@ def signal_errors(x: np.ndarray, sos: np.ndarray, bits: int, reserve: int) -> np
     return np.stack([np.abs(y - exact).sum(1), ((y - exact) ** 2).sum(1), np.abs(power(y) - power(exact))], 1)
 
 
+#: Samples times settings that are worked on at once.
+CELLS = 1 << 20
+
+
+def errors_of_settings(x: np.ndarray, size: np.ndarray, sos: np.ndarray, settings: list[tuple[int, int]]) -> np.ndarray:
+    """``signal_errors`` of every (bits, reserve) and signal, (settings, signals, 3): signals of ``size`` samples side by side, zeros behind their ends."""
+    inside = np.arange(x.shape[1])[:, None] < size[None, :]
+    exact = np.where(inside, sos_float(x, sos).T, 0)
+    power = lambda v: np.where(size > 0, np.log(np.maximum(np.sqrt((v * v).sum(-2) / np.maximum(size, 1)), 1e-6)), 0)
+    scale = np.exp2(np.ceil(np.log2(np.maximum(np.abs(exact).max(0, initial=0), 1e-300))))
+    qs = [quantize_sos(sos, 1.0, 1.0, *s) for s in settings]
+    at = lambda k, m: np.array([q[k][m] for q in qs], np.int64)
+    half_up = lambda v, k: (v + ((1 << k) >> 1)) >> k
+    y = np.repeat(np.trunc(np.clip(x.T * 128, -128, 127)).astype(np.int64)[:, None, :], len(qs), 1)  # samples, settings, signals
+    over = np.zeros(y.shape[1:], bool)
+    for m in range(len(sos)):
+        (b0, b1, b2), (_, a1, a2) = (at(k, m).T[:, :, None] for k in "ba")
+        sa, sb = at("a_shift", m)[:, None], (at("b_shift", m) - at("a_shift", m))[:, None]
+        x1, x2, y1, y2 = np.zeros((4, *y.shape[1:]), np.int64)
+        for v in y:
+            o = half_up(half_up(b0 * v + b1 * x1 + b2 * x2, sb) - a1 * y1 - a2 * y2, sa)
+            x1, x2, y1, y2 = v.copy(), x1, o, y1
+            v[:] = o
+        over |= (((y >= 1 << 15) | (y < -(1 << 15))) & inside[:, None, :]).any(0)
+    out = np.empty((len(qs), len(size), 3))
+    for k, q in enumerate(qs):
+        shift = np.round(-np.log2(scale)).astype(np.int64) + q["y_shift"]
+        got = np.where(shift >= 0, y[:, k] << np.maximum(shift, 0), y[:, k] >> np.maximum(-shift, 0)) / 128 * scale
+        off = np.where(inside, got - exact, 0)
+        out[k] = np.stack([np.abs(off).sum(0), (off * off).sum(0), np.abs(power(np.where(inside, got, 0)) - power(exact))], 1)
+    out[over] = np.nan
+    return out
+
+
 def bits_search(signals: DataFrame, column: str, bank: list[np.ndarray], widths: list[int], reserves: list[int]) -> DataFrame:
     """(bits, reserve, l1, l2, log, rank_l1, rank_l2, rank_log, best) of integer filters with so many coefficient bits on real signals.
 
-    A task runs all settings over its signals and sends one row of summed errors a
-    setting. A setting that overflows on any signal is left out. Rankings are by
-    error, then bits, then reserve; ``best`` marks the smallest l1. Null signals have no part.
+    A task runs all settings side by side over many signals of like length at once and
+    sends one row of summed errors a setting. A setting that overflows on any signal is
+    left out. Rankings are by error, then bits, then reserve; ``best`` marks the smallest
+    l1. Null signals have no part; a null sample is an error.
     """
     ship(signals.sparkSession)
     settings = [(w, r) for w in widths for r in reserves]
@@ -317,10 +352,20 @@ def bits_search(signals: DataFrame, column: str, bank: list[np.ndarray], widths:
     def run(batches):
         total = np.zeros((len(settings), 3))
         for b in batches:
-            for x in b.column(0):
-                x = x.values.to_numpy(zero_copy_only=False).astype(float)[None, :]
-                for k, (w, r) in enumerate(settings):
-                    total[k] += sum(signal_errors(x, sos, w, r)[0] for sos in bank)
+            size = pc.list_value_length(b.column(0)).to_numpy().astype(np.int64)
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            if np.isnan(flat).any():
+                raise ValueError("a signal has a sample that is no number")
+            starts, order, lo = np.cumsum(size) - size, np.argsort(size, kind="stable"), 0
+            while lo < len(order):
+                n = np.maximum(size[order[lo:]], 1) * np.arange(1, len(order) - lo + 1) * max(len(settings), 1)
+                rows = order[lo : lo + max(1, int(np.searchsorted(n, CELLS, "right")))]
+                x = np.zeros((len(rows), int(size[rows].max())))
+                inside = np.arange(x.shape[1])[None, :] < size[rows, None]
+                x[inside] = flat[(starts[rows, None] + np.arange(x.shape[1])[None, :])[inside]]
+                for sos in bank:
+                    total += errors_of_settings(x, size[rows], sos, settings).sum(1)
+                lo += len(rows)
         yield pa.record_batch([pa.array([w for w, _ in settings], pa.int32()), pa.array([r for _, r in settings], pa.int32()), *(pa.array(total[:, c]) for c in range(3))], names=["bits", "reserve", "e1", "e2", "el"])
 
     errors = signals.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "bits int, reserve int, e1 double, e2 double, el double")

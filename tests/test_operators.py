@@ -405,6 +405,33 @@ def test_bits_search_on_signals(spark):
         assert np.isnan(filters.signal_errors(x[0][None], bank[0], 10, 0)).all()
 
 
+def test_bits_of_many_signals_at_once(spark, monkeypatch):
+    """Signals of all lengths side by side, each by its own scale, some of them overflowing: as each by itself. Signals are not filtered one by one."""
+    rng = np.random.default_rng(23)
+    sizes = [0, 1, 2, 3, 40, 41, 64, 65, 200]
+    bank = list(filters.filter_bank([16], order=2))[:2]
+    settings = [(6, 0), (8, 0), (10, 1), (12, 0), (14, 0), (24, 0)]
+    x = [rng.normal(0, 10.0 ** rng.integers(-3, 1), n).clip(-1, 1) for n in sizes]
+    flat = np.zeros((len(x), max(sizes)))
+    for row, v in zip(flat, x):
+        row[: len(v)] = v
+    loud = [np.array([[3.0, 0, 0, 1, -1.9, 0.99], [2.0, 1, 1, 1, -1.9, 0.99]])]
+    for sos in [*bank, *loud]:
+        got = filters.errors_of_settings(flat, np.array(sizes), sos, settings)
+        want = np.stack([np.concatenate([filters.signal_errors(v[None], sos, *s) for v in x]) for s in settings])
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12, equal_nan=True)
+    assert np.isnan(want).any() and not np.isnan(want).all()
+    df = spark.createDataFrame([(v.tolist(),) for v in x] * 2, "x array<double>").repartition(2)
+    monkeypatch.setattr(filters, "CELLS", 500)
+    monkeypatch.setattr(filters, "signal_errors", None)
+    rows = {(r.bits, r.reserve): r for r in filters.bits_search(df, "x", bank, [8, 12], [0, 1]).collect()}
+    for s, r in rows.items():
+        want = 2 * sum(filters.errors_of_settings(flat, np.array(sizes), sos, [s])[0].sum(0) for sos in bank)
+        assert np.allclose([r.l1, r.l2, r.log], want)
+    with pytest.raises(Exception, match="no number"):
+        filters.bits_search(spark.createDataFrame([([0.5, None],)], "x array<double>"), "x", bank, [8], [0]).collect()
+
+
 def test_designs_of_a_table_are_those_of_the_driver(spark):
     df = filters.bands_of(spark.createDataFrame([(w,) for w in (0, 1, 2, 3, 8, 36, 37)], "w int"), "w")
     rows = filters.design(df, 2, True).collect()
